@@ -3,18 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
+from .packing import Packing, packed
+from .substring_dedup import substring_dedup
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), NearDedup(words=3, num=85, den=100))
 
 
+def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_bernoulli_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packed(table(spark, sf_dir, "documents"), Packing(vocabulary()))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {"op3_minhash_odd_sketch": op3_minhash_odd_sketch}
+    return {f.__name__: f for f in (op3_minhash_odd_sketch, op6_gear_chunks, op8_bernoulli_mix, op10_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_bernoulli_mix": OP8_SQL}
+
+
+#: The same filling by weight, over the sources in the order of limit over weight.
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS nth
+  FROM sized GROUP BY source
+), limited AS (
+  SELECT source, source_size, [3.0, 1.0, 2.0][(nth % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS lim FROM by_source
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM limited
+  WINDOW before AS (ORDER BY lim / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), free AS (
+  SELECT level FROM levels WHERE w * level <= lim ORDER BY lim / w, source ASC NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, source_size, least(lim, w * coalesce((SELECT level FROM free), lim / w)) AS target FROM levels
+), rates AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  size * (floor(rate)::BIGINT + (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate))::BIGINT) AS taken
+FROM rates
+"""
