@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordscan import blocks, scan_spans
+from .wordscan import KEEP_CASE, blocks, scan_spans
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class WordTokenizer:
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self._clear()
-        hashes, bounds, starts, ends = scan_spans(texts, lower=False)
+        hashes, bounds, starts, ends = scan_spans(texts, KEEP_CASE)
         if not len(hashes):
             return [np.empty(0, np.uint32)] * len(texts)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import langid, toxicity
+from .common import fold, table
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
 from .packing import Packing, packed
@@ -18,6 +19,15 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _held():
+    return F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
+
+
+def op1_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.language(docs, langid.fit(docs)).select("doc_id", _held(), "lang_pred", "score")
+
+
 def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), NearDedup(words=3, num=85, den=100))
 
@@ -31,13 +41,19 @@ def op8_bernoulli_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed(table(spark, sf_dir, "documents"), Packing(vocabulary()))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_minhash_odd_sketch, op6_gear_chunks, op8_bernoulli_mix, op10_differencing)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op3_minhash_odd_sketch, op6_gear_chunks, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,9 @@ SLICE = 1 << 20
 _FOLD = bytes(
     32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-_KEEP_CASE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
+KEEP_CASE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
+#: Letters, digits and bytes beyond ASCII make words; A-Z is lower-cased.
+ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,18 +59,18 @@ def _hash_slice(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start, end
 
 
-def scan(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def scan(texts: list[str | None], fold: bytes = _FOLD) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word and, last, the number of words)."""
-    hashes, bounds, _, _ = scan_spans(texts, lower)
+    hashes, bounds, _, _ = scan_spans(texts, fold)
     return hashes, bounds
 
 
-def scan_spans(texts: list[str | None], lower: bool = True):
+def scan_spans(texts: list[str | None], fold: bytes = _FOLD):
     """As ``scan``, with each word's first byte and the byte after it, counted from its text's start."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    data = np.frombuffer((b" ".join(raw) + b" ").translate(_FOLD if lower else _KEEP_CASE), np.uint8)
+    data = np.frombuffer((b" ".join(raw) + b" ").translate(fold), np.uint8)
     hashes, starts, ends, at = [], [], [], 0
     while at < len(data):
         stop = at + SLICE
