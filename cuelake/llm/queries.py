@@ -10,6 +10,7 @@ from .common import fold, table
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
 from .packing import Packing, packed
+from .quality import quality
 from .substring_dedup import substring_dedup
 
 
@@ -36,6 +37,11 @@ def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
 def op8_bernoulli_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -53,7 +59,7 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bitmask_filters, op3_minhash_odd_sketch, op6_gear_chunks, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op3_minhash_odd_sketch, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
