@@ -29,7 +29,8 @@ from .wordscan import blocks, mix, shingle_sets
 class NearDedup:
     """words: words a shingle. num/den: the least similarity. rows: MinHash samples a band.
 
-    miss: the chance that a pair just at the limit shares no band. bits: size of the odd sketch.
+    miss: the chance that a pair just at the limit shares no band. samples: MinHash samples in the
+    odd sketch (the bands' and more, as more tell high similarities apart better). bits: its size.
     slack: standard deviations below the limit at which a sketch still passes. rounds: star rounds.
     """
 
@@ -38,9 +39,10 @@ class NearDedup:
     den: int = 100
     rows: int = 5
     miss: float = 1e-5
-    bits: int = 512
-    slack: float = 4.0
-    rounds: int = 3
+    samples: int = 400
+    bits: int = 1024
+    slack: float = 3.5
+    rounds: int = 4
 
     @property
     def bands(self) -> int:
@@ -49,14 +51,15 @@ class NearDedup:
     @property
     def most_odd(self) -> int:
         """The most differing bits with which a pair may still reach the similarity."""
-        k, n, t = self.bands * self.rows, self.bits, self.num / self.den
-        t -= self.slack * math.sqrt(t * (1 - t) / k)
-        expected = n / 2 * (1 - math.exp(-4 * k * (1 - max(t, 0.0)) / n))
-        return min(n, math.ceil(expected + self.slack * math.sqrt(n) / 4))
+        k, n, t = max(self.samples, self.bands * self.rows), self.bits, self.num / self.den
+        apart = k * (1 - t) + self.slack * math.sqrt(k * t * (1 - t))  # samples that differ
+        odd = n / 2 * (1 - math.exp(-4 * apart / n))  # each toggles two bits
+        return min(n, math.ceil(odd + self.slack * math.sqrt(apart * apart * 2 / n)))
 
 
 def _sketcher(p: NearDedup):
-    k = p.bands * p.rows
+    banded = p.bands * p.rows
+    k = max(p.samples, banded)
     seed = mix(np.arange(1, 2 * k + 1, dtype=np.uint64))
     mul, add = (seed[:k] | np.uint64(1)).astype(np.uint32) | np.uint32(1), seed[k:].astype(np.uint32)
     salt = mix(np.arange(1, k + 1, dtype=np.uint64) << np.uint64(20))
@@ -64,8 +67,8 @@ def _sketcher(p: NearDedup):
 
     def samples(s: np.ndarray) -> np.ndarray:
         x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(k, 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(x), 4096):
-            low = np.minimum(low, (x[i : i + 4096, None] * mul + add).min(axis=0))
+        for i in range(0, len(x), 512):
+            low = np.minimum(low, (x[i : i + 512, None] * mul + add).min(axis=0))
         return low
 
     def sketch(batches):
@@ -78,7 +81,7 @@ def _sketcher(p: NearDedup):
                 with np.errstate(over="ignore"):
                     sig = np.array([[np.bitwise_xor.reduce(mix(s)) if len(s) else 0, s.sum(dtype=np.uint64)] for s in sets], np.uint64)
                     mixed = mix(low.astype(np.uint64) ^ salt)
-                    keys = mix(mixed.reshape(j - i, p.bands, p.rows).sum(axis=2, dtype=np.uint64) + band_salt)
+                    keys = mix(mixed[:, :banded].reshape(j - i, p.bands, p.rows).sum(axis=2, dtype=np.uint64) + band_salt)
                 spot = (mixed % np.uint64(p.bits)).astype(np.int64) + np.arange(j - i)[:, None] * p.bits
                 odd = (np.bincount(spot.ravel(), minlength=(j - i) * p.bits) & 1).astype(np.uint8)
                 odd = np.packbits(odd.reshape(j - i, p.bits), axis=1).view(np.int64)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .common import fold, table
+from .licenses import BASE, TEMPLATES, license_report
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
 from .packing import Packing, packed
@@ -33,6 +34,10 @@ def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), NearDedup(words=3, num=85, den=100))
 
 
+def op4_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,11 +64,47 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bitmask_filters, op3_minhash_odd_sketch, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op3_minhash_odd_sketch, op4_diagonal_voting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_bernoulli_mix": OP8_SQL}
+    return {"op4_diagonal_voting": _op4_sql(), "op8_bernoulli_mix": OP8_SQL}
+
+
+def _op4_sql() -> str:
+    listed = [(i, t, label, i < len(BASE)) for i, (t, label) in enumerate(BASE + TEMPLATES)]
+    values = ", ".join(f"({i}, '{t}', '{label}', {str(b).lower()})" for i, t, label, b in listed)
+    return rf"""
+WITH templates(template, t, label, base) AS (VALUES {values}),
+texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, i - 1 AS pos, x || ' ' || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS gram
+  FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM texts)
+), parts AS (
+  SELECT template, label, base, len(string_split(t, ' ')) - 1 AS grams, i - 1 AS at_, string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1] AS gram
+  FROM templates, unnest(range(1, len(string_split(t, ' ')))) AS r(i)
+), diagonal AS (
+  SELECT doc_id, template, label, base, grams, pos - at_ AS off, list(DISTINCT at_) AS ats, min(pos) AS lo, max(pos) + 1 AS hi
+  FROM grams JOIN parts USING (gram) GROUP BY ALL
+), kept AS (
+  SELECT *, (base OR coalesce(off - lag(off) OVER line > 3, true))::INT AS fresh FROM diagonal WHERE NOT base OR len(ats) = grams
+  WINDOW line AS (PARTITION BY doc_id, template ORDER BY off)
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY off) AS island FROM kept
+), merged AS (
+  SELECT doc_id, template, label, base, grams, island, len(list_distinct(flatten(list(ats)))) AS n, min(lo) AS first_, max(hi) AS last_
+  FROM islands GROUP BY ALL
+), found AS (
+  SELECT *, n / grams::DOUBLE AS cover FROM merged WHERE base OR (n / grams::DOUBLE >= 0.75 AND last_ - first_ + 1 <= 1.5 * (grams + 1))
+)
+SELECT x.doc_id, len(any_value(x.w))::BIGINT AS n_words, count(f.template) FILTER (f.base) AS n_base,
+  min(first_) FILTER (f.base)::BIGINT AS first_word, max(first_) FILTER (f.base)::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (f.base)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels,
+  coalesce(max(cover), 0.0) AS score
+FROM texts x LEFT JOIN found f ON x.doc_id = f.doc_id GROUP BY x.doc_id
+"""
 
 
 #: The same filling by weight, over the sources in the order of limit over weight.
