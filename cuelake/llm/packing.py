@@ -9,7 +9,10 @@ goes into sequences of power-of-two lengths, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordscan import KEEP_CASE, blocks, scan_spans
+from .wordscan import scan_spans, text_blocks
 
 
 @dataclass(frozen=True)
@@ -27,7 +30,7 @@ class Packing:
 
     crumbs: the last tokens of a block are cut into pieces of these sizes, one of each a window;
     differencing places them last, which evens the windows out.
-    words: how many words' ids a task remembers before it starts afresh.
+    words: how many words' ids a worker remembers before it starts afresh.
     """
 
     vocabulary: str = ""
@@ -36,31 +39,37 @@ class Packing:
     windows: int = 32
     slack: int = 6
     crumbs: tuple[int, ...] = (32, 16, 8)
-    words: int = 400_000
+    words: int = 800_000
+
+
+#: 1: ASCII letters, 2: ASCII signs; the splitter always parts a letter from a sign after it.
+_KINDS = np.array([1 if chr(b).isalpha() else 2 if 32 < b < 127 and not chr(b).isalnum() else 0 for b in range(128)] + [0] * 128, np.uint8)
 
 
 class WordTokenizer:
-    """Ids of whole texts, each distinct white-space separated word being encoded once.
+    """Ids of whole texts, each distinct word being encoded once.
 
-    The vocabulary's normaliser and splitter never join what ASCII white space separates, and drop
-    white space, so a text's ids are its words' ids one after the other.
+    The vocabulary's normaliser and splitter drop white space, never join what ASCII white space
+    separates or an ASCII letter with a sign after it, and fold A-Z, so a text's ids are its words'
+    ids one after the other. Texts that may hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.encode, self.limit = Tokenizer.from_file(path).encode_batch, limit
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.encode, self.limit = Tokenizer.from_file(path).encode_batch_fast, limit
         self._clear()
 
     def _clear(self):
         self.known, self.ids = {}, np.empty(1 << 16, np.uint32)
-        self.start, self.size, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.start, self.size, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0
 
     def _learn(self, keys: list[int], words: list[str]):
-        for i in range(0, len(words), 8192):
-            got = [e.ids for e in self.encode(words[i : i + 8192], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum()))
+        for i in range(0, len(words), 4096):
+            got = [e.ids for e in self.encode(words[i : i + 4096], add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int32, len(got))
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))
             n = len(self.known)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
@@ -70,33 +79,52 @@ class WordTokenizer:
             self.start[n : n + len(got)] = self.used + np.cumsum(size) - size
             self.size[n : n + len(got)] = size
             self.used += len(flat)
-            self.known.update(zip(keys[i : i + 8192], range(n, n + len(got))))
+            self.known.update(zip(keys[i : i + 4096], range(n, n + len(got))))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self._clear()
-        hashes, bounds, starts, ends = scan_spans(texts, KEEP_CASE)
+        whole = {i: t for i, t in enumerate(texts) if t and "<|" in t}
+        plain = ["" if i in whole else t for i, t in enumerate(texts)] if whole else texts
+        out = self._by_word(plain)
+        for i, t in whole.items():
+            out[i] = np.array(self.encode([t], add_special_tokens=False)[0].ids, np.uint32)
+        return out
+
+    def _by_word(self, texts: list[str | None]) -> list[np.ndarray]:
+        hashes, bounds, starts, ends = scan_spans(texts, kinds=_KINDS)
         if not len(hashes):
             return [np.empty(0, np.uint32)] * len(texts)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        at = list(map(self.known.get, keys))
+        new = [i for i, k in enumerate(at) if k is None]
         if new:
-            owner = np.searchsorted(bounds, first[new], side="right") - 1
-            raw, words = {}, []
+            new.sort(key=first.__getitem__)  # text by text
+            owner, raw, held = np.searchsorted(bounds, first[new], side="right") - 1, b"", -1
+            words = []
             for w, o in zip(first[new].tolist(), owner.tolist()):
-                if o not in raw:
-                    raw = {o: texts[o].encode("utf-8", "surrogatepass")} if len(raw) > 4096 else raw | {o: texts[o].encode("utf-8", "surrogatepass")}
-                words.append(raw[o][starts[w] : ends[w]].decode("utf-8", "replace"))
+                if o != held:
+                    raw, held = texts[o].encode("utf-8", "surrogatepass"), o
+                words.append(raw[starts[w] : ends[w]].decode("utf-8", "replace"))
+            n = len(self.known)
             self._learn([keys[i] for i in new], words)
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        size = self.size[at]
+            for k, i in enumerate(new):
+                at[i] = n + k
+        at = np.array(at, np.int64)[inverse]
+        size = self.size[at].astype(np.int64)
         stop = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[at] - (stop - size), size) + np.arange(int(stop[-1]))]
         edge = np.concatenate([[0], stop])[bounds]
         return [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
+@functools.lru_cache(maxsize=1)
+def tokenizer(path: str, limit: int) -> WordTokenizer:
+    """One for each worker process, so that later tasks know the words of earlier ones."""
+    return WordTokenizer(path, limit)
+
+
 def difference(sizes: list[int], k: int) -> tuple[list[int], int]:
     """(window of each item, the largest window's sum) by k-way largest differencing."""
     if k <= 1:
@@ -135,7 +163,7 @@ def _packer(p: Packing):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def pack(batches):
-        tokenizer, sequence = WordTokenizer(p.vocabulary, p.words), TaskContext.get().partitionId() << 36
+        encode, sequence = tokenizer(p.vocabulary, p.words), TaskContext.get().partitionId() << 36
         waiting, held, rows = [], 0, []  # pieces: (doc_id, start, ids, doc_tokens)
         most = p.windows * (p.capacity - p.slack)
 
@@ -187,9 +215,9 @@ def _packer(p: Packing):
             return batch
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in blocks(texts, lambda t: len(t or "") + 1, 1 << 20):
-                for doc, tokens in zip(ids[i:j], tokenizer(texts[i:j])):
+            ids = batch.column(0).to_pylist()
+            for i, j, texts in text_blocks(batch.column(1), 3 << 20):
+                for doc, tokens in zip(ids[i:j], encode(texts)):
                     tokens = np.append(tokens, np.uint32(p.end_id))
                     total, at = len(tokens), 0
                     while total - at > p.capacity:

@@ -6,6 +6,7 @@ Words are runs of bytes other than space and 0x09-0x0D in the UTF-8 text; A-Z is
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 #: Bytes looked at together; a word longer than that is looked at whole.
 SLICE = 1 << 20
@@ -46,10 +47,21 @@ def _powers(n: int) -> list[np.ndarray]:
     return out
 
 
-def _hash_slice(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _edges(part: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    word = part != 32
+    if kinds is None:
+        edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        return edge[::2], edge[1::2]
+    kind = kinds[part]
+    begin = word & ~np.concatenate([[False], word[:-1]])
+    begin[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+    last = word & np.concatenate([begin[1:] | ~word[1:], [True]])
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
+def _hash_slice(part: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A polynomial of each word's bytes, from one running sum over the slice."""
-    edge = np.flatnonzero(np.diff(part != 32, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
+    start, end = _edges(part, kinds)
     if not len(start):
         return np.empty(0, np.uint64), start, end
     power, inverse = _powers(max(len(part), SLICE))
@@ -65,8 +77,11 @@ def scan(texts: list[str | None], fold: bytes = _FOLD) -> tuple[np.ndarray, np.n
     return hashes, bounds
 
 
-def scan_spans(texts: list[str | None], fold: bytes = _FOLD):
-    """As ``scan``, with each word's first byte and the byte after it, counted from its text's start."""
+def scan_spans(texts: list[str | None], fold: bytes = _FOLD, kinds: np.ndarray | None = None):
+    """As ``scan``, with each word's first byte and the byte after it, counted from its text's start.
+
+    With ``kinds`` words also end where a byte of kind 1 is followed by one of kind 2.
+    """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -78,7 +93,7 @@ def scan_spans(texts: list[str | None], fold: bytes = _FOLD):
             while stop < len(data) and not (spaces := np.flatnonzero(data[at:stop] == 32)).size:
                 stop += SLICE
             stop = at + int(spaces[-1]) + 1 if stop < len(data) else len(data)
-        h, s, e = _hash_slice(data[at:stop])
+        h, s, e = _hash_slice(data[at:stop], kinds)
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)
@@ -127,3 +142,10 @@ def blocks(values: list, size, limit: int):
         total += n
     if start < len(values):
         yield start, len(values)
+
+
+def text_blocks(column, limit: int = 1 << 20):
+    """(first, end, texts) of runs of a batch's rows whose texts have about ``limit`` bytes together."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for i, j in blocks(sizes, lambda n: int(n) + 1, limit):
+        yield i, j, column.slice(i, j - i).to_pylist()
