@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, saved
-from .wordscan import blocks, mix
+from .wordscan import mix, text_blocks
 
 
 @dataclass(frozen=True)
@@ -71,13 +71,6 @@ def _grams(texts: list[str | None], n: int):
     return mix(h[inside]), owner[:m][inside], lettered
 
 
-def _texts(batch, column):
-    """Blocks of rows by their texts' length."""
-    texts = batch.column(column).to_pylist()
-    for i, j in blocks(texts, lambda t: len(t or "") + 1, 1 << 18):
-        yield i, j, texts[i:j]
-
-
 def _slots(h: np.ndarray, bits: int, hashes: int):
     for k in range(hashes):
         yield ((h >> np.uint64(k * 24 % 40)) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -86,7 +79,7 @@ def _slots(h: np.ndarray, bits: int, hashes: int):
 def _counter(n: int):
     def count(batches):
         for batch in batches:
-            for i, j, texts in _texts(batch, 1):
+            for i, j, texts in text_blocks(batch.column(1), 1 << 18):
                 langs = batch.column(0).slice(i, j - i).to_pylist()
                 for lang in sorted(set(langs)):
                     h, _, _ = _grams([t for t, g in zip(texts, langs) if g == lang], n)
@@ -141,7 +134,7 @@ def _predictor(m: LangModel, p: LangId):
 
     def predict(batches):
         for batch in batches:
-            for i, j, texts in _texts(batch, batch.num_columns - 1):
+            for i, j, texts in text_blocks(batch.column(batch.num_columns - 1), 1 << 18):
                 if len(texts) == 1 and len(texts[0] or "") > 1 << 20:  # a long text, piece by piece
                     got = [hits([texts[0][k : k + (1 << 20)]], m, p) for k in range(0, len(texts[0]), 1 << 20)]
                     total, per, lettered = sum(g[0] for g in got), sum(g[1] for g in got), np.logical_or.reduce([g[2] for g in got])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .wordscan import blocks, mix, scan_spans
+from .wordscan import mix, scan_spans, text_blocks
 
 
 @dataclass(frozen=True)
@@ -58,9 +58,8 @@ def _key():
 def _emit(p: SubstringDedup):
     def emit(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, j in blocks(texts, lambda t: len(t or "") + 1, 1 << 20):
-                owner, first, _, digest, bounds, _, _ = _chunks(texts[i:j], p)
+            for i, j, texts in text_blocks(batch.column(2)):
+                owner, first, _, digest, bounds, _, _ = _chunks(texts, p)
                 if len(owner):
                     nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
                     at = pa.array(owner + i)
@@ -73,12 +72,12 @@ def _emit(p: SubstringDedup):
 def _erase(p: SubstringDedup):
     def erase(batches):
         for batch in batches:
-            texts, twice = batch.column(1).to_pylist(), batch.column(2)
-            for i, j in blocks(texts, lambda t: len(t or "") + 1, 1 << 20):
-                owner, first, size, _, bounds, starts, ends = _chunks(texts[i:j], p)
+            twice = batch.column(2)
+            for i, j, texts in text_blocks(batch.column(1)):
+                owner, first, size, _, bounds, starts, ends = _chunks(texts, p)
                 lows = np.searchsorted(owner, np.arange(j - i + 1))
                 out, gone_words, spans = [], [], []
-                for n, text in enumerate(texts[i:j]):
+                for n, text in enumerate(texts):
                     cut, gone = [], 0
                     if twice[i + n].is_valid:
                         flag = np.zeros(lows[n + 1] - lows[n] + 2, np.int8)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, saved
-from .wordscan import ALNUM, blocks, scan, shingle_sets
+from .wordscan import ALNUM, scan, shingle_sets, text_blocks
 
 
 @dataclass(frozen=True)
@@ -76,16 +76,10 @@ def segments(at: np.ndarray, gain: np.ndarray, penalty: float) -> list[tuple[int
     return [(int(at[a]), int(at[b]), r - l) for (a, b), l, r in zip(spans, left, right)]
 
 
-def _texts(batch, column):
-    texts = batch.column(column).to_pylist()
-    for i, j in blocks(texts, lambda t: len(t or "") + 1, 1 << 20):
-        yield i, j, texts[i:j]
-
-
 def _cluster(batches):
     """The least 3-word shingle of each text: copies and most near copies share it."""
     for batch in batches:
-        for i, j, texts in _texts(batch, 0):
+        for i, j, texts in text_blocks(batch.column(0)):
             low = [int(s[0].view(np.int64)) if len(s) else 0 for s in shingle_sets(texts, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), *(c.slice(i, j - i) for c in batch.columns)], ["cluster", "text", "toxic"])
 
@@ -93,7 +87,7 @@ def _cluster(batches):
 def _presence(batches):
     for batch in batches:
         toxic = np.asarray(batch.column(1))
-        for i, j, texts in _texts(batch, 0):
+        for i, j, texts in text_blocks(batch.column(0)):
             words, bounds = scan(texts, ALNUM)
             parts = [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             if len(words):
@@ -133,7 +127,7 @@ def _scorer(m: ToxicModel, spans: bool):
 
     def score(batches):
         for batch in batches:
-            for i, j, texts in _texts(batch, batch.num_columns - 1):
+            for i, j, texts in text_blocks(batch.column(batch.num_columns - 1)):
                 stat, passages = [], []
                 for n, seg in found(texts):
                     stat.append(beats_chance(n, seg, m))
@@ -201,7 +195,7 @@ def _chance_segments(m: ToxicModel):
     def chance(batches):
         """How many segments chance would need to be worth: the sum of exp(lambda * S) / segments."""
         for batch in batches:
-            for _, _, texts in _texts(batch, 0):
+            for _, _, texts in text_blocks(batch.column(0)):
                 rows = [(n, sum(1.0 for _ in seg)) for n, seg in found(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["n", "score"])
 
