@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .common import fold, table
+from .embedding_dedup import embedding_components
+from .extraction import extract
 from .licenses import BASE, TEMPLATES, license_report
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
@@ -30,6 +32,11 @@ def op1_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(docs, langid.fit(docs)).select("doc_id", _held(), "lang_pred", "score")
 
 
+def op2_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+
+
 def op3_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), NearDedup(words=3, num=85, den=100))
 
@@ -38,6 +45,10 @@ def op4_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,7 +75,7 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bitmask_filters, op3_minhash_odd_sketch, op4_diagonal_voting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
