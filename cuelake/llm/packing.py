@@ -29,7 +29,8 @@ class Packing:
     """capacity: tokens a window. windows: windows a block. slack: tokens left free in a window.
 
     crumbs: the last tokens of a block are cut into pieces of these sizes, one of each a window;
-    differencing places them last, which evens the windows out.
+    differencing places them last, which evens the windows out. Where the first sizes do not bring
+    all windows within the capacity, the next are tried before there is a window more.
     words: how many words' ids a worker remembers before it starts afresh.
     """
 
@@ -38,7 +39,7 @@ class Packing:
     capacity: int = 4096
     windows: int = 32
     slack: int = 6
-    crumbs: tuple[int, ...] = (32, 16, 8)
+    crumbs: tuple[tuple[int, ...], ...] = ((32, 16, 8), (256, 128, 64, 32, 16, 8))
     words: int = 800_000
 
 
@@ -190,19 +191,21 @@ def _packer(p: Packing):
         def spread(pieces, k):
             if not k:
                 return
-            if k > 1:
-                total = sum(len(x[2]) for x in pieces)
-                pieces, rest = cut(pieces, total - k * sum(p.crumbs))
-                for size in [c for c in p.crumbs for _ in range(k)]:
+            total = sum(len(x[2]) for x in pieces)
+            for crumbs in p.crumbs:
+                fine, rest = cut(pieces, total - k * sum(crumbs) if k > 1 else total)
+                for size in [c for c in crumbs for _ in range(k)]:
                     crumb, rest = cut(rest, size)
-                    pieces += crumb
-            sizes = [len(x[2]) for x in pieces]
-            window, fullest = difference(sizes, k)
+                    fine += crumb
+                sizes = [len(x[2]) for x in fine]
+                window, fullest = difference(sizes, k)
+                if fullest <= p.capacity:
+                    break
             while fullest > p.capacity:
                 k += 1
                 window, fullest = difference(sizes, k)
             packed = [[] for _ in range(k)]
-            for w, x in zip(window, pieces):
+            for w, x in zip(window, fine):
                 packed[w].append(x)
             for x in packed:
                 if x:
