@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.ORACLES)
