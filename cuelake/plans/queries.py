@@ -26,7 +26,9 @@ def query(sql: str | None = None):
     return put
 
 
-WIDTH = F.length("text")
+def width():
+    return F.length("text")
+
 LINE = "(PARTITION BY ep ORDER BY pos)"
 FLOOR = "floor(floor({x} / (1000.0::DOUBLE / 30) + 1e-9) * (1000.0::DOUBLE / 30))::BIGINT"
 CEIL = "CASE WHEN " + FLOOR + " < {x} - 1e-9 THEN floor((floor({x} / (1000.0::DOUBLE / 30) + 1e-9) + 1) * (1000.0::DOUBLE / 30))::BIGINT ELSE " + FLOOR + " END"
@@ -42,7 +44,7 @@ def ceil_sql(x: str) -> str:
 
 @query("SELECT ep, cue_id, round(length(text) / ((end_ms - start_ms) / 1000.0::DOUBLE), 3) AS cps, CASE WHEN round(length(text) / ((end_ms - start_ms) / 1000.0::DOUBLE), 3) > 30 THEN 'impossible_cps_fast' WHEN end_ms - start_ms > 2000 AND round(length(text) / ((end_ms - start_ms) / 1000.0::DOUBLE), 3) < 2 THEN 'impossible_cps_slow' END AS kind FROM v_cues")
 def cps_lint(spark, sf):
-    return quality_control.cps_lint(cues(spark, sf), WIDTH)
+    return quality_control.cps_lint(cues(spark, sf), width())
 
 
 LINT = f""", lint_in AS (SELECT *, lag(end_ms) OVER {LINE} AS pe, lag(speaker) OVER {LINE} AS ps FROM v_cues),
@@ -56,7 +58,7 @@ lint AS (
 
 
 def _flags(spark, sf):
-    return quality_control.style_lint(cues(spark, sf), WIDTH)
+    return quality_control.style_lint(cues(spark, sf), width())
 
 
 @query(LINT + "SELECT * FROM lint")
@@ -162,7 +164,7 @@ def cap_overlaps(spark, sf):
 @query(f""", x AS (SELECT *, least({ceil_sql("start_ms + ceil(length(text) / 90.0::DOUBLE * 1000)::BIGINT")}, greatest(start_ms + 1, {floor_sql("start_ms + 7000")})) AS need, coalesce(lead(start_ms) OVER {LINE}, 4611686018427387904) AS ns FROM v_cues)
 SELECT ep, cue_id, CASE WHEN need > end_ms AND ns >= need AND length(text) > 0 THEN need ELSE end_ms END AS new_end FROM x""")
 def cps_extend(spark, sf):
-    return sequence.cps_extend(cues(spark, sf), WIDTH, 90.0, 30.0).select("ep", "cue_id", "new_end")
+    return sequence.cps_extend(cues(spark, sf), width(), 90.0, 30.0).select("ep", "cue_id", "new_end")
 
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -424,12 +426,12 @@ def fps_detect(spark, sf):
 o AS (SELECT *, count(*) OVER (PARTITION BY ep) AS n, row_number() OVER (PARTITION BY ep ORDER BY w) AS wr, row_number() OVER (PARTITION BY ep ORDER BY d) AS dr FROM c)
 SELECT ep, count(*) AS n, greatest(26, max(w) FILTER (wr <= CASE WHEN n < 20 THEN n ELSE greatest(1, ceil(0.95 * n)) END)) AS max_chars, least(round(min(d) FILTER (dr > CASE WHEN n < 20 THEN 0 ELSE floor(0.05 * n) END), 3), 0.5) AS min_dur, coalesce(bool_or(z), false) AS zero_gap, round(min(d), 3) AS shortest, round(max(d), 3) AS longest FROM o GROUP BY ep""")
 def style_profile(spark, sf):
-    return quality_control.style_profile(cues(spark, sf), WIDTH)
+    return quality_control.style_profile(cues(spark, sf), width())
 
 
 @query(""", p(kind, i, o) AS (VALUES ('user', 1250, 5000), ('assistant', 2500, 10000)), t AS (SELECT ep, speaker AS kind, length(text) AS ti, length(text) * 2 AS t_o FROM v_cues)
 SELECT ep, sum(ti)::BIGINT AS tokens_in, sum(t_o)::BIGINT AS tokens_out, sum((ti * coalesce(i, 0) + t_o * coalesce(o, 0) + 500) // 1000) / 1e6::DOUBLE AS usd FROM t LEFT JOIN p USING (kind) GROUP BY ep""")
 def cost_totals(spark, sf):
-    items = cues(spark, sf).select("ep", F.col("speaker").alias("kind"), WIDTH.cast("long").alias("tokens_in"), (2 * WIDTH).cast("long").alias("tokens_out"))
+    items = cues(spark, sf).select("ep", F.col("speaker").alias("kind"), width().cast("long").alias("tokens_in"), (2 * width()).cast("long").alias("tokens_out"))
     prices = spark.sql("SELECT * FROM VALUES ('user', 1250, 5000), ('assistant', 2500, 10000) AS t(kind, nano_in, nano_out)")
     return quality_control.cost_totals(items, prices)
