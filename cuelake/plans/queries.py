@@ -435,3 +435,84 @@ def cost_totals(spark, sf):
     items = cues(spark, sf).select("ep", F.col("speaker").alias("kind"), width().cast("long").alias("tokens_in"), (2 * width()).cast("long").alias("tokens_out"))
     prices = spark.sql("SELECT * FROM VALUES ('user', 1250, 5000), ('assistant', 2500, 10000) AS t(kind, nano_in, nano_out)")
     return quality_control.cost_totals(items, prices)
+
+
+# ---- media, edits, limits
+
+
+def _numbered(spark, sf):
+    return words(spark, sf).withColumn("n_tokens", F.col("event_id") % 3)
+
+
+@query(""", c AS (SELECT ep, word_idx AS pos, word_idx AS cue_id, event_id % 3 AS n_tokens FROM v_words), o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY ep ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM c)
+SELECT o.ep, o.cue_id, min(w.start_us) AS start_us, max(w.end_us) AS end_us, round(avg(w.confidence), 4) AS score FROM o JOIN v_words w ON w.ep = o.ep AND w.word_idx >= f AND w.word_idx < f + n_tokens GROUP BY ALL""")
+def forced_rollup(spark, sf):
+    from ..operators import media
+
+    c = _numbered(spark, sf).select("ep", F.col("word_idx").alias("pos"), F.col("word_idx").alias("cue_id"), "n_tokens")
+    return media.forced_rollup(c, words(spark, sf).select("ep", "word_idx", "start_us", "end_us", "confidence"))
+
+
+@query(""", s AS (SELECT ep, word_idx // 10 AS win, avg(((start_us // 1000) % 2001 - 1000)::DOUBLE * ((start_us // 1000) % 2001 - 1000)) AS ms FROM v_words GROUP BY ALL), l AS (SELECT * FROM s WHERE ms > 330000),
+f AS (SELECT *, coalesce(win - lag(win) OVER (PARTITION BY ep ORDER BY win) > 1, true)::INT AS fresh FROM l), g AS (SELECT *, sum(fresh) OVER (PARTITION BY ep ORDER BY win) - 1 AS region FROM f)
+SELECT ep, region::BIGINT AS region, min(win) AS first, max(win) AS last, count(*) AS n FROM g GROUP BY ep, region HAVING count(*) >= 2""")
+def energy_vad(spark, sf):
+    from ..operators import media
+
+    samples = words(spark, sf).select("ep", F.col("word_idx").alias("sample_idx"), (F.floor(F.col("start_us") / 1000) % 2001 - 1000).alias("value"))
+    return media.energy_regions(media.window_energy(samples, 10), F.col("mean_square") > 330000, 2)
+
+
+@query(""", s AS (SELECT ep, cue_id AS case_id, pos AS first_pos, pos + 1 AS last_pos FROM v_cues WHERE cue_id % 3 = 0)
+SELECT s.ep, s.case_id, CASE WHEN c.pos < first_pos THEN 'before' ELSE 'after' END AS side, c.pos, c.cue_id, c.text FROM s JOIN v_cues c ON c.ep = s.ep AND ((c.pos >= first_pos - 2 AND c.pos < first_pos) OR (c.pos > last_pos AND c.pos <= last_pos + 2))""")
+def scene_context(spark, sf):
+    from ..operators import edits
+
+    c = cues(spark, sf)
+    return edits.scene_context(c.where("cue_id % 3 = 0").select("ep", F.col("cue_id").alias("case_id"), F.col("pos").alias("first_pos"), (F.col("pos") + 1).alias("last_pos")), c)
+
+
+@query("SELECT ep, cue_id, 'retimed' AS kind, '# retimed cue=' || cue_id || chr(10) || array_to_string(['- ' || x FOR x IN string_split(text, chr(10))], chr(10)) || chr(10) || '+ ' || speaker AS diff FROM v_cues WHERE text <> ''")
+def changes_diff(spark, sf):
+    from ..operators import edits
+
+    return edits.changes_diff(cues(spark, sf).where("text <> ''").select("ep", "cue_id", F.lit("retimed").alias("kind"), F.col("text").alias("old_text"), F.col("speaker").alias("new_text")))
+
+
+@query("SELECT ep, text, speaker, min(word_idx) AS word_idx FROM v_words GROUP BY ALL")
+def dedupe_first(spark, sf):
+    from ..operators import edits
+
+    return edits.first_wins(words(spark, sf).select("ep", "text", "speaker", "word_idx"), ["word_idx"])
+
+
+@query("SELECT doc_id, sha256(lang || '|' || source || '|' || text) AS digest FROM documents")
+def cache_keys(spark, sf):
+    from ..operators import edits
+
+    return edits.cache_keys(read(spark, sf, "documents"), "lang", "source", "text").select("doc_id", "digest")
+
+
+@query(f""", j AS (SELECT ep AS job_id, arg_max(CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'complete' ELSE 'failed' END, (start_us, event_id)) AS status, max(start_us) AS updated_us FROM v_words GROUP BY ep)
+SELECT *, CASE WHEN status IN ('complete', 'failed') AND updated_us + {24 * HOUR} <= {720 * HOUR} THEN 'delete' WHEN status NOT IN ('complete', 'failed') AND updated_us <= {720 * HOUR} - {12 * HOUR} THEN 'fail' ELSE 'keep' END AS action FROM j""")
+def job_expiry(spark, sf):
+    from ..streaming import limits
+
+    status = F.element_at(F.array(*map(F.lit, ("queued", "processing", "complete", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = words(spark, sf).select(F.col("ep").alias("job_id"), status.alias("status"), F.col("start_us").alias("ts_us"), "event_id")
+    return limits.expire(limits.latest_state(e), 720 * HOUR, 24 * HOUR, 12 * HOUR)
+
+
+@query()
+def rate_limit(spark, sf):
+    from ..streaming import limits
+
+    return limits.rate_limit(words(spark, sf).select(F.col("ep").alias("key"), "event_id", F.col("start_us").alias("ts_us")), 3, 24 * HOUR)
+
+
+@query()
+def name_drift(spark, sf):
+    from ..operators import edits
+
+    one = lambda t: read(spark, sf, t).select(F.explode(tx.tokens(F.col("text"))).alias("token")).where("length(token) between 4 and 12")
+    return edits.name_drift(one("benchmark"), one("documents"))
