@@ -516,3 +516,109 @@ def name_drift(spark, sf):
 
     one = lambda t: read(spark, sf, t).select(F.explode(tx.tokens(F.col("text"))).alias("token")).where("length(token) between 4 and 12")
     return edits.name_drift(one("benchmark"), one("documents"))
+
+
+# ---- predicates, placements, removals
+
+
+@query(", w AS (SELECT *, start_us >= 0 AND end_us >= start_us AND coalesce(start_us >= lag(start_us) OVER (PARTITION BY ep ORDER BY word_idx), true) AS g FROM v_words) SELECT ep, bool_and(g) AS usable FROM w GROUP BY ep")
+def ordered_intervals(spark, sf):
+    from ..operators import decisions
+
+    return decisions.ordered_intervals(words(spark, sf))
+
+
+@query(f""", w AS (SELECT *, greatest(0, start_us - {HOUR}) AS lo, end_us + {HOUR} AS hi FROM v_words), s AS (SELECT *, CASE WHEN hi - lo > {4 * HOUR} THEN greatest(0, (lo + hi) // 2 - {2 * HOUR}) ELSE lo END AS snip_start FROM w)
+SELECT ep, word_idx, snip_start, CASE WHEN hi - lo > {4 * HOUR} THEN snip_start + {4 * HOUR} ELSE hi END AS snip_end FROM s""")
+def snippet_windows(spark, sf):
+    from ..operators import decisions
+
+    return decisions.snippet_windows(words(spark, sf), HOUR, 4 * HOUR).select("ep", "word_idx", "snip_start", "snip_end")
+
+
+@query("SELECT w.ep, w.word_idx, min(r.start_us) AS first_start, arg_max(r.end_us, (r.start_us, r.end_us)) AS last_end FROM v_words w JOIN v_regions r ON w.ep = r.ep AND r.start_us < w.end_us AND w.start_us < r.end_us WHERE w.text <> 'purchase' GROUP BY ALL")
+def region_ends(spark, sf):
+    from ..operators import decisions
+
+    return decisions.region_ends(_others(spark, sf), regions(spark, sf), "word_idx", 6 * HOUR)
+
+
+@query("SELECT c.ep, c.region_idx AS cue_id, w.word_idx FROM v_regions c JOIN v_words w ON c.ep = w.ep AND w.end_us >= c.start_us AND w.start_us <= c.end_us WHERE w.text = 'click'")
+def cue_words(spark, sf):
+    from ..operators import decisions
+
+    return decisions.cue_words(regions(spark, sf).withColumnRenamed("region_idx", "cue_id"), words(spark, sf).where("text = 'click'"), 6 * HOUR)
+
+
+@query(rf""", t AS (SELECT ep, pos % 2 AS side, unnest({TOKENS}) AS token FROM v_cues), l AS (SELECT ep, token, count(*) AS n_left FROM t WHERE side = 0 GROUP BY ALL), r AS (SELECT ep, token, count(*) AS n_right FROM t WHERE side = 1 GROUP BY ALL)
+SELECT ep, token, n_left, n_right FROM l JOIN r USING (ep, token) WHERE n_left > 1 OR n_right > 1""")
+def repeated_tokens(spark, sf):
+    from ..operators import decisions
+
+    return decisions.repeated_tokens(_turns(spark, sf, 0), _turns(spark, sf, 1))
+
+
+@query("SELECT ep, min(start_us) AS first_us, max(end_us) AS last_us, least(12000000, (max(end_us) - min(start_us)) // 10) AS limit_us FROM v_words GROUP BY ep")
+def episode_extent(spark, sf):
+    from ..operators import decisions
+
+    return decisions.extent(words(spark, sf))
+
+
+@query(f""", f AS (SELECT *, CASE WHEN cue_id % 2 = 0 THEN greatest(0, {floor_sql("start_ms + 40")}) END AS s FROM v_cues)
+SELECT ep, cue_id, coalesce(s, start_ms) AS new_start, CASE WHEN s IS NULL THEN end_ms ELSE greatest({ceil_sql("end_ms - 200")}, {ceil_sql("s + 500")}) END AS new_end FROM f""")
+def forced_apply(spark, sf):
+    from ..operators import decisions
+
+    c = cues(spark, sf)
+    f = c.where("cue_id % 2 = 0").select("ep", "cue_id", (F.col("start_ms") + 40).alias("f_start"), (F.col("end_ms") - 200).alias("f_end"), F.lit(0).alias("seq"))
+    return decisions.apply_forced(c, f, 30.0, 500).select("ep", "cue_id", "new_start", "new_end")
+
+
+@query(""", b AS (SELECT * FROM v_cues WHERE cue_id % 3 <> 0), m AS (SELECT *, max(start_ms) OVER (PARTITION BY ep ORDER BY pos) AS reach FROM b),
+u AS (SELECT ep, reach AS t, 1 AS side, pos, cue_id FROM m UNION ALL SELECT ep, start_ms + 7, 0, NULL, cue_id FROM v_cues WHERE cue_id % 3 = 0)
+SELECT ep, cue_id, row_number() OVER (PARTITION BY ep ORDER BY t, side DESC, pos NULLS LAST, cue_id) - 1 AS place FROM u""")
+def positional_merge(spark, sf):
+    from ..operators import decisions
+
+    c = cues(spark, sf)
+    return decisions.positional_merge(c.where("cue_id % 3 <> 0"), c.where("cue_id % 3 = 0").withColumn("start_ms", F.col("start_ms") + 7))
+
+
+@query("SELECT ep, cue_id FROM v_cues WHERE NOT (cue_id % 2 = 0 AND length(text) % 3 = 0)")
+def silent_removal(spark, sf):
+    from ..operators import decisions
+
+    c = cues(spark, sf)
+    return decisions.silent_removal(c, c.where("cue_id % 2 = 0"), c.where("length(text) % 3 = 0")).select("ep", "cue_id")
+
+
+@query(ANCHORS + "SELECT ep, x::BIGINT AS word_idx FROM sp")
+def sampled_anchors(spark, sf):
+    return align.sampled(_anchors(spark, sf)).select("ep", F.col("x").cast("long").alias("word_idx"))
+
+
+@query(LINT + "SELECT * FROM lint WHERE kind NOT IN ('impossible_cps_fast', 'impossible_cps_slow', 'negative_duration', 'min_duration', 'frame_grid', 'line_count', 'line_length', 'overlap')")
+def stale_flags(spark, sf):
+    from ..operators import decisions
+
+    return decisions.without_stale(_flags(spark, sf))
+
+
+@query(""", e AS (SELECT user_id AS owner, event_id, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'complete' ELSE 'failed' END AS status FROM events)
+SELECT owner, count(*) FILTER (status IN ('queued', 'processing')) AS busy, count(*) FILTER (status IN ('queued', 'processing')) + 1 <= 30 AS admitted FROM e GROUP BY owner""")
+def job_admission(spark, sf):
+    from ..operators import decisions
+
+    status = F.element_at(F.array(*map(F.lit, ("queued", "processing", "complete", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return decisions.admission(read(spark, sf, "events").select(F.col("user_id").alias("owner"), status.alias("status")), 30)
+
+
+@query(""", a AS (SELECT ep, cue_id, start_ms AS start_us, end_ms AS end_us FROM v_cues WHERE cue_id % 3 = 0), t AS (SELECT ep, max(cue_id) AS top FROM v_cues GROUP BY ep)
+SELECT a.ep, a.cue_id AS seq, coalesce(top, 0) + row_number() OVER (PARTITION BY a.ep ORDER BY start_us, end_us, a.cue_id) AS cue_id FROM a LEFT JOIN t USING (ep)""")
+def fresh_ids(spark, sf):
+    from ..operators import decisions
+
+    c = cues(spark, sf)
+    added = c.where("cue_id % 3 = 0").select("ep", F.col("cue_id").alias("seq"), F.col("start_ms").alias("start_us"), F.col("end_ms").alias("end_us"))
+    return decisions.fresh_ids(c, added).select("ep", "seq", "cue_id")
