@@ -29,7 +29,7 @@ class Toxicity:
     penalty: the score of any other token. min_docs: documents a scoring token stands in.
     """
 
-    max_rows: int = 200_000
+    max_rows: int = 20_000
     max_tokens: int = 20_000
     prior: float = 200.0
     min_z: float = 3.0
@@ -145,7 +145,8 @@ def _scorer(m: ToxicModel, spans: bool):
 def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> ToxicModel:
     """Learn from at most about ``max_rows`` labelled rows outside the held-out fold.
 
-    Rows of one label whose texts share their least shingle count once, so that copies do not
+    The sample's ids are few whatever the tables' sizes, so they are broadcast and no text moves
+    to meet them. Rows of one label whose texts share their least shingle count once, so that copies do not
     outweigh the rest. With no toxic or no other row the model scores all texts alike.
     """
     spark = docs.sparkSession
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> ToxicMo
     marks = marks.where(fold() != 0)
     share = min(1.0, p.max_rows / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(marks, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
     texts = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_cluster, "cluster long, text string, toxic int")
     sample = saved(texts.dropDuplicates(["cluster", "toxic"]).select("text", "toxic"), "toxic-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
