@@ -29,7 +29,8 @@ def per_episode(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: s
     columns = [c.split()[0] for c in schema.split(",")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").to_dict("records")
+        pdf = pdf.sort_values(order, kind="stable").astype(object)
+        rows = pdf.where(pdf.notna(), None).to_dict("records")  # pandas reads nulls among numbers as NaN
         return pd.DataFrame(fn(rows), columns=columns)
 
     return df.groupBy("ep").applyInPandas(run, schema)

@@ -622,3 +622,32 @@ def fresh_ids(spark, sf):
     c = cues(spark, sf)
     added = c.where("cue_id % 3 = 0").select("ep", F.col("cue_id").alias("seq"), F.col("start_ms").alias("start_us"), F.col("end_ms").alias("end_us"))
     return decisions.fresh_ids(c, added).select("ep", "seq", "cue_id")
+
+
+# ---- whole runs
+
+
+def _spoken(spark, sf):
+    """Words as they would be heard: the cues' tokens in their order, every seventh missing, half a second late."""
+    from . import flows
+
+    t = flows.cue_tokens(cues(spark, sf)).join(cues(spark, sf).select("ep", "cue_id", "start_ms", "end_ms", "speaker"), ["ep", "cue_id"])
+    n, i = F.count("*").over(sequence.Window.partitionBy("ep", "cue_id")), F.row_number().over(sequence.Window.partitionBy("ep", "cue_id").orderBy("idx")) - 1
+    at = F.col("start_ms") * 1000 + 500_000 + F.floor((F.col("end_ms") - F.col("start_ms")) * 1000 * i / n)
+    d = t.withColumn("start_us", at.cast("long")).where("idx % 7 <> 3")
+    place = F.row_number().over(sequence.Window.partitionBy("ep").orderBy("idx")) - 1
+    return d.select("ep", place.cast("long").alias("word_idx"), F.col("token").alias("text"), "start_us", (F.col("start_us") + 40_000).alias("end_us"), F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("speaker"))
+
+
+@query()
+def sync_episodes(spark, sf):
+    from . import flows
+
+    return flows.sync(cues(spark, sf), _spoken(spark, sf))
+
+
+@query()
+def generate_episodes(spark, sf):
+    from . import flows
+
+    return flows.generate(_spoken(spark, sf))
