@@ -5,9 +5,10 @@ samples, folded into a parity bitmap (an odd sketch), let a pair's XOR populatio
 similarity, so that only likely pairs fetch their texts. Links are confirmed on the full sets.
 
 Copies with equal sets are one node. A bucket with many nodes is not expanded into pairs: in each
-round its nodes meet one node of every other component only (a star), and what is linked then
-counts as one component. Only nodes of a bucket that are still apart after the rounds are compared
-with each other, so no link between components is left out.
+round its nodes meet one of them only (a star), and what is linked then counts as one component.
+From the second round on a bucket is cut up by one band more, another in each round, so that a node
+meets one that is more like it. Only nodes of a bucket that are still apart after the rounds are
+compared with each other, so no link between components is left out.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, forget, saved
-from .wordscan import blocks, mix, shingle_sets
+from .wordscan import blocks, mix, shingle_sets, text_blocks
 
 
 @dataclass(frozen=True)
@@ -39,9 +41,9 @@ class NearDedup:
     den: int = 100
     rows: int = 5
     miss: float = 1e-5
-    samples: int = 400
-    bits: int = 1024
-    slack: float = 3.5
+    samples: int = 800
+    bits: int = 2048
+    slack: float = 3.2
     rounds: int = 4
 
     @property
@@ -73,9 +75,9 @@ def _sketcher(p: NearDedup):
 
     def sketch(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i, j in blocks(texts, lambda t: len(t or "") + 1, 1 << 20):
-                sets = shingle_sets(texts[i:j], p.words)
+            ids = batch.column(0)
+            for i, j, texts in text_blocks(batch.column(1)):
+                sets = shingle_sets(texts, p.words)
                 n = np.array([len(s) for s in sets], np.int64)
                 low = np.array([samples(s) for s in sets], np.uint32).reshape(j - i, k)
                 with np.errstate(over="ignore"):
@@ -107,8 +109,8 @@ def _confirmer(p: NearDedup):
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ta, tb = batch.column(2), batch.column(3)
-            size = lambda i: len(ta[i].as_buffer() or b"") + len(tb[i].as_buffer() or b"")
-            for i, j in blocks(list(range(len(a))), size, 1 << 21):
+            sizes = pc.add(pc.binary_length(ta), pc.binary_length(tb)).to_numpy()
+            for i, j in blocks(sizes, int, 1 << 21):
                 need = {}
                 for at in range(i, j):
                     for d, t in ((a[at], ta), (b[at], tb)):
@@ -149,26 +151,38 @@ def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     nodes = saved(
         sized.groupBy(*keyed).agg(F.min(F.struct("doc_id", "bands", "odd")).alias("x")).select(*keyed, "x.*"), "nodes"
     )
-    in_band = nodes.select("doc_id", "odd", F.posexplode("bands").alias("band", "key"))
+    sketch = [f"o{i}" for i in range(p.bits // 64)]  # columns: quicker to compare than an array
+    about = ["doc_id", "n", *sketch, "comp"]
+    wide = nodes.select("doc_id", "bands", F.col("n_shingles").alias("n"), *(F.col("odd")[i].alias(c) for i, c in enumerate(sketch)))
+    # what moves for every band is a key and an id; sketches join only what shares a bucket
+    in_band = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = in_band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = saved(in_band.join(shared, ["band", "key"]).select("key", "band", "doc_id", "odd", F.col("doc_id").alias("comp")), "members")
-    differ = sum((F.bit_count(F.col("l.odd")[i].bitwiseXOR(F.col("r.odd")[i])) for i in range(p.bits // 64)), F.lit(0))
-    near = differ <= p.most_odd
+    members = saved(in_band.join(shared, ["band", "key"]).select("key", "band", "doc_id", F.col("doc_id").alias("comp")), "members")
+    differ = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in sketch), F.lit(0))
+    # sets of too different sizes cannot reach the similarity, and sketches tell most others
+    alike = p.den * F.least("l.n", "r.n") >= p.num * F.greatest("l.n", "r.n")
+    near = alike & (differ <= p.most_odd)
     links = tried = None
     comps = None
     for turn in range(p.rounds + 1):
-        if turn < p.rounds:  # one node of each bucket, another in each round, and one more from outside its component
+        full = members.join(wide, "doc_id")
+        if turn < p.rounds:  # a bucket's nodes with one of them
+            bucket = ["band", "key"] if turn == 0 else ["band", "key", "cut"]
+            mine = full.withColumn("cut", F.get("bands", (F.col("band") + turn) % p.bands)) if turn else full
             rank = F.xxhash64("doc_id", F.lit(turn))
-            head = members.groupBy("band", "key").agg(F.min(F.struct(rank.alias("h"), "doc_id", "odd", "comp")).alias("x"))
-            other = head.select("band", "key", F.col("x.doc_id").alias("doc_id"), F.col("x.odd").alias("odd"), F.col("x.comp").alias("comp"))
+            head = mine.groupBy(*bucket).agg(F.min(F.struct(rank.alias("h"), *about)).alias("x"))
+            other = head.select(*bucket, *(F.col(f"x.{c}").alias(c) for c in about))
+            met = near
         else:
-            other = members
-        pairs = (
-            members.alias("l")
-            .join(other.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & near)
-            .select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
-            .distinct()
-        )
+            bucket, mine, other = ["band", "key"], full, full
+            # a pair is taken from the first band that both share, and from one side
+            later = F.exists(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: (i < F.col("l.band")) & (F.get("l.bands", i) == F.get("r.bands", i)))
+            met = near & (F.col("l.comp") < F.col("r.comp")) & ~later
+        met = (F.col("l.comp") != F.col("r.comp")) & met
+        for c in bucket:
+            met = (F.col(f"l.{c}") == F.col(f"r.{c}")) & met
+        low, high = F.least("l.doc_id", "r.doc_id"), F.greatest("l.doc_id", "r.doc_id")
+        pairs = mine.alias("l").join(other.alias("r"), met).select(low.alias("a"), high.alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -179,7 +193,7 @@ def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
             comps = connected_components(links)
             grown = members.drop("comp").join(comps.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
             apart = grown.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-            fresh = saved(grown.join(apart, ["band", "key"]).select("key", "band", "doc_id", "odd", "comp"), "members")
+            fresh = saved(grown.join(apart, ["band", "key"]).select("key", "band", "doc_id", "comp"), "members")
             forget(members)
             members = fresh
             if members.isEmpty():
@@ -188,7 +202,7 @@ def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
             comps = connected_components(links)
     classes = nodes.select(*keyed, F.col("doc_id").alias("node")).join(comps, "node", "left").select(*keyed, F.coalesce("component", "node").alias("component"))
     return everything.select("doc_id", *keyed).join(classes, keyed, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
