@@ -381,7 +381,7 @@ def repetitive_text(spark, sf):
 @query(r"""SELECT doc_id, array_to_string([regexp_replace(x, '^(.[^aeiouäöüAEIOUÄÖÜ]*)[aeiouäöüAEIOUÄÖÜ]', '\1*') FOR x IN regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:20]], ' ') AS masked FROM documents WHERE lang = 'de'""")
 def censor_tokens(spark, sf):
     d = read(spark, sf, "documents").where("lang = 'de'")
-    return d.select("doc_id", F.array_join(F.transform(F.slice(tx.tokens(F.col("text")), 1, 20), tx.mask), " ").alias("masked"))
+    return d.select("doc_id", F.array_join(F.transform(tx.tokens(F.col("text")), tx.mask), " ").alias("masked"))
 
 
 @query(rf""", d AS (SELECT doc_id, {TOKENS} AS w FROM documents), q AS (SELECT item_id, {TOKENS} AS w FROM benchmark WHERE length(text) > 60),
