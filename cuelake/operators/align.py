@@ -13,6 +13,7 @@ from ..functions.text import indel
 # Fixed values of the alignment's scores, bands and budget.
 LIKE, LIKE_SCORE, UNLIKE, GAP = 0.85, 2.0, -0.6, -0.75
 MARGINS, CELLS = (64, 256, 1024), 2_000_000
+DELETE, INSERT, PAIR = 1, 2, 3
 
 OPS = "ep long, op_pos long, kind string, left_idx long, right_idx long, score double"
 
@@ -30,13 +31,15 @@ def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int
 
 def bands(n: int, m: int, margin: int, centres: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """For rows 0..n the disjoint column ranges that are worked out: the diagonal and the centres."""
+    if not n:
+        return [[(0, m)]]
     extra: dict[int, list[int]] = {}
     for i, j in centres:
         extra.setdefault(i, []).append(j)
         extra.setdefault(i + 1, []).append(j + 1)
     out = []
     for i in range(n + 1):
-        spots = [round(i * m / n) if n else 0, *extra.get(i, ())]
+        spots = [round(i * m / n), *extra.get(i, ())]
         spots += [0] if i == 0 else [m] if i == n else []
         merged: list[list[int]] = []
         for lo, hi in sorted((max(0, s - margin), min(m, s + margin)) for s in spots):
@@ -52,63 +55,77 @@ def edit_script(left: list[str], right: list[str]) -> list[tuple[str, int | None
     """Operations in order: match, replace, delete (left only), insert (right only).
 
     A like pair scores as one but is a match only if both are the same. Among equal scores delete
-    comes before insert before match. Bands widen until they hold all unique exact pairs.
+    comes before insert before match. Bands widen until all unique exact pairs are matched or the
+    budget of cells is used up; then the last run stands. Without any run nothing matches.
     """
     n, m = len(left), len(right)
     pairs = unique_exact_pairs(left, right)
-    spent = 0
-    for margin in MARGINS:
-        rows = bands(n, m, min(margin, max(n, m)), [])
+    room, last = CELLS, None
+    for margin in dict.fromkeys(min(x, max(n, m)) for x in MARGINS):
+        rows = bands(n, m, margin, pairs)
         cells = sum(b - a + 1 for r in rows for a, b in r)
-        if spent + cells > CELLS:
+        if cells > room:
+            continue
+        room -= cells
+        ops = _fill(left, right, rows)
+        if ops is None:
+            continue
+        last = ops
+        if margin >= max(n, m) or set(pairs) <= {(i, j) for kind, i, j, _ in ops if kind == "match"}:
             break
-        spent += cells
-        if margin >= max(n, m) or all(any(a <= j + 1 <= b for a, b in rows[i + 1]) for i, j in pairs) or margin == MARGINS[-1]:
-            return _fill(left, right, bands(n, m, min(margin, max(n, m)), pairs))
-    return [("delete", i, None, 0.0) for i in range(n)] + [("insert", None, j, 0.0) for j in range(m)]
+    if last is None:
+        return [("delete", i, None, 0.0) for i in range(n)] + [("insert", None, j, 0.0) for j in range(m)]
+    return last
 
 
 def _fill(left, right, rows):
+    """The best script within the bands; None if they don't reach the end."""
     n, m = len(left), len(right)
     low = float("-inf")
-    best: list[dict[int, float]] = []
-    step: list[dict[int, str]] = []
+    above: dict[int, float] = {}
+    step: list[list[tuple[int, bytearray]]] = []  # a row's ranges: first column, 0 or the kind of each
     known: dict[tuple[str, str], float] = {}
     for i, ranges in enumerate(rows):
         now: dict[int, float] = {}
-        how: dict[int, str] = {}
-        above = best[i - 1] if i else {}
+        how = []
+        x = left[i - 1] if i else ""
         for lo, hi in ranges:
+            kinds = bytearray(hi - lo + 1)
             for j in range(lo, hi + 1):
                 if i == 0 and j == 0:
                     now[0] = 0.0
                     continue
-                score, kind = low, ""
+                score, kind = low, 0
                 if j in above:
-                    score, kind = above[j] + GAP, "delete"
+                    score, kind = above[j] + GAP, DELETE
                 if j - 1 in now and now[j - 1] + GAP > score:
-                    score, kind = now[j - 1] + GAP, "insert"
+                    score, kind = now[j - 1] + GAP, INSERT
                 if i and j - 1 in above:
-                    x, y = left[i - 1], right[j - 1]
+                    y = right[j - 1]
                     if x == y:
                         s = 1.0 if x else 0.0
+                    elif 2 * min(len(x), len(y)) < LIKE * (len(x) + len(y)):
+                        s = 0.0  # too different in length to be like
                     elif (s := known.get((x, y))) is None:
                         s = known[x, y] = indel(x, y) / 100
                     s = above[j - 1] + (LIKE_SCORE * s if s >= LIKE else UNLIKE)
                     if s > score:
-                        score, kind = s, "pair"
+                        score, kind = s, PAIR
                 if kind:
-                    now[j], how[j] = score, kind
-        best.append(now)
+                    now[j], kinds[j - lo] = score, kind
+            how.append((lo, kinds))
+        above = now
         step.append(how)
+    if m not in above:
+        return None
     out, i, j = [], n, m
     while i or j:
-        kind = step[i].get(j, "delete" if i else "insert")
-        if kind == "pair":
+        kind = next(kinds[j - lo] for lo, kinds in step[i] if lo <= j < lo + len(kinds))
+        if kind == PAIR:
             i, j = i - 1, j - 1
             same = left[i] == right[j]
             out.append(("match" if same else "replace", i, j, 1.0 if same else indel(left[i], right[j]) / 100))
-        elif kind == "delete":
+        elif kind == DELETE:
             i -= 1
             out.append(("delete", i, None, 0.0))
         else:

@@ -5,6 +5,7 @@ import re
 import pandas as pd
 
 from cuelake import registry
+from cuelake.operators import align
 
 QUERIES = registry.queries()
 
@@ -23,3 +24,22 @@ def test_censor_tokens_masks_whole_texts(spark, sf):
     want = {i: " ".join(mask.sub(r"\1*", w, count=1) for w in words_of(t)) for i, t in zip(d.doc_id, d.text)}
     assert max(len(x.split()) for x in want.values()) > 20
     assert {r.doc_id: r.masked for r in QUERIES["censor_tokens"](spark, sf).collect()} == want
+
+
+def test_alignment_keeps_the_widest_run_within_the_budget():
+    """3,300 tokens a side: margins 64 and 256 together pass 2,000,000 cells."""
+    left = [f"t{i % 1000:03}" for i in range(3300)]
+    right = [f"t{i % 1000:03}" for i in range(3300)]
+    left[100], right[900] = "once", "once"  # outside the first band, so its run isn't enough
+    left[50], right[50] = "here", "here"
+    ops = align.edit_script(left, right)
+    assert [o[1] for o in ops if o[1] is not None] == list(range(3300)) == [o[2] for o in ops if o[2] is not None]
+    assert sum(o[0] == "match" for o in ops) > 2000
+    assert all(left[i] == right[j] for kind, i, j, _ in ops if kind == "match")
+
+
+def test_alignment_widens_until_the_unique_pairs_match():
+    left = ["pp", "qq"] * 100 + ["once"] + ["rr"] * 50
+    assert ("match", 200, 300, 1.0) in align.edit_script(left, ["cc"] * 100 + left)
+    assert align.edit_script([], ["x"] * 300) == [("insert", None, j, 0.0) for j in range(300)]
+    assert {o[0] for o in align.edit_script(["x"], ["y"] * 100_000)} == {"delete", "insert"}
