@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +22,24 @@ def cps_lint(cues: DataFrame, width: Column, most: float = 30.0, least: float =
     return d.select("ep", "cue_id", "cps", kind.alias("kind"))
 
 
-def style_lint(cues: DataFrame, width: Column, fps: float = 30.0, chars: int = 400, min_ms: int = 700) -> DataFrame:
-    """A row for each rule that a cue breaks."""
+def style_lint(cues: DataFrame, width: Callable[[Column], Column], fps: float = 30.0, chars: int = 400, min_ms: int = 700, most_lines: int = 2) -> DataFrame:
+    """A row for each rule that a cue breaks, of ``line_length`` one for each line over ``chars`` wide."""
     lasts = F.col("end_ms") - F.col("start_ms")
     w = by("pos")
     prev_end, prev = F.lag("end_ms").over(w), F.lag("speaker").over(w)
     same = prev.isNull() | F.col("speaker").isNull() | (prev == F.col("speaker"))
+    lines = F.split("text", "\n")
     broken = {
         "negative_duration": (lasts < 0, "error"),
         "min_duration": ((lasts >= 0) & (lasts < min_ms), "warning"),
         "frame_grid": (~aligned(F.col("start_ms"), fps) | ~aligned(F.col("end_ms"), fps), "warning"),
-        "line_length": (width > chars, "warning"),
+        "line_count": (F.size(lines) > most_lines, "warning"),
         "overlap": (F.coalesce((F.col("start_ms") < prev_end) & same, F.lit(False)), "warning"),
     }
-    found = F.filter(F.array(*(F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for k, (c, s) in broken.items())), lambda x: x.isNotNull())
+    finding = lambda kind, severity: F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    found = F.filter(F.array(*(F.when(c, finding(k, s)) for k, (c, s) in broken.items())), lambda x: x.isNotNull())
+    long = F.transform(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: width(x) > chars), lambda _: finding("line_length", "warning"))
+    found = F.concat(found, long)
     return cues.withColumn("found", found).select("ep", "cue_id", "start_ms", F.explode("found").alias("x")).select("ep", "cue_id", "start_ms", "x.kind", "x.severity")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,6 @@ def generate(words: DataFrame, gap_us: int = 800_000, span_us: int = 5_000_000,
     return sequence.cap_overlaps(c, fps).withColumn("end_ms", F.col("new_end")).drop("new_end")
 
 
-def report(cues: DataFrame, width: Column) -> DataFrame:
+def report(cues: DataFrame, width: Callable[[Column], Column]) -> DataFrame:
     """Findings of the final cues, rolled up by episode."""
     return quality_control.qc_summary(quality_control.style_lint(cues, width))

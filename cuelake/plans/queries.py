@@ -58,7 +58,7 @@ lint AS (
 
 
 def _flags(spark, sf):
-    return quality_control.style_lint(cues(spark, sf), width())
+    return quality_control.style_lint(cues(spark, sf), F.length)
 
 
 @query(LINT + "SELECT * FROM lint")

@@ -1,11 +1,13 @@
 """Each query on all of its input: against brute force, without what once was left out."""
 
 import re
+from collections import Counter
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from cuelake import registry
-from cuelake.operators import align
+from cuelake.operators import align, quality_control
 
 QUERIES = registry.queries()
 
@@ -43,3 +45,18 @@ def test_alignment_widens_until_the_unique_pairs_match():
     assert ("match", 200, 300, 1.0) in align.edit_script(left, ["cc"] * 100 + left)
     assert align.edit_script([], ["x"] * 300) == [("insert", None, j, 0.0) for j in range(300)]
     assert {o[0] for o in align.edit_script(["x"], ["y"] * 100_000)} == {"delete", "insert"}
+
+
+def test_style_lint_counts_lines_and_tests_each(spark, sf):
+    d = table(sf, "conversations")
+    want = Counter()
+    for ep, turn, text in zip(d.conv_id, d.turn, d.text):
+        lines = text.split("\n")
+        want[ep, turn + 1, "line_count"] += len(lines) > 2
+        want[ep, turn + 1, "line_length"] += sum(len(x) > 400 for x in lines)
+    got = Counter((r.ep, r.cue_id, r.kind) for r in QUERIES["style_lint"](spark, sf).where("kind like 'line%'").collect())
+    assert got == +want and {k for *_, k in got} == {"line_count", "line_length"}
+    two = spark.createDataFrame([(1, 0, 1, 0, 1000, "é" * 401 + "\n\n" + "x" * 402, None), (1, 1, 2, 1000, 2000, None, None)], "ep long, pos long, cue_id long, start_ms long, end_ms long, text string, speaker string")
+    assert sorted(r.kind for r in quality_control.style_lint(two, F.length).collect()) == ["line_count", "line_length", "line_length"]
+    total = {r.ep: r.total for r in QUERIES["qc_summary"](spark, sf).collect()}
+    assert total == Counter(r.ep for r in QUERIES["style_lint"](spark, sf).collect())
