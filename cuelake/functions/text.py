@@ -95,6 +95,15 @@ def indel(a: str, b: str) -> float:
     return 200.0 * (len(a) - s.bit_count()) / (len(a) + len(b))
 
 
+def indel_series(a: Column, b: Column) -> Column:
+    """``indel`` on Arrow batches: for long strings or many pairs."""
+
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([indel(s, t) for s, t in zip(x, y)], dtype=float)
+
+    return F.pandas_udf(ratios, "double")(a, b)
+
+
 def normalize(token: str) -> str:
     """NFC, lower case, umlauts spelt out, marks off, number words as digits."""
     t = unicodedata.normalize("NFC", token).lower()

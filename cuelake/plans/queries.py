@@ -514,7 +514,7 @@ def rate_limit(spark, sf):
 def name_drift(spark, sf):
     from ..operators import edits
 
-    one = lambda t: read(spark, sf, t).select(F.explode(tx.tokens(F.col("text"))).alias("token")).where("length(token) between 4 and 12")
+    one = lambda t: read(spark, sf, t).select(F.explode(tx.tokens(F.col("text"))).alias("token"))
     return edits.name_drift(one("benchmark"), one("documents"))
 
 

@@ -1,5 +1,6 @@
 """Each query on all of its input: against brute force, without what once was left out."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,7 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cuelake import registry
-from cuelake.operators import align, quality_control
+from cuelake.functions.text import indel
+from cuelake.operators import align, edits, quality_control
 
 QUERIES = registry.queries()
 
@@ -60,3 +62,33 @@ def test_style_lint_counts_lines_and_tests_each(spark, sf):
     assert sorted(r.kind for r in quality_control.style_lint(two, F.length).collect()) == ["line_count", "line_length", "line_length"]
     total = {r.ep: r.total for r in QUERIES["qc_summary"](spark, sf).collect()}
     assert total == Counter(r.ep for r in QUERIES["style_lint"](spark, sf).collect())
+
+
+def drifts(tokens, known):
+    """J18 over all pairs."""
+    n, k, out = Counter(tokens), Counter(known), set()
+    for t in set(n) - set(k):
+        near = [(k[s], indel(t, s), s) for s in k if len(t) >= 4 and k[s] >= 2 and abs(len(s) - len(t)) <= 3 and indel(t, s) >= 70]
+        if near:
+            c, ratio, s = min(near, key=lambda x: (-x[0], -x[1], x[2]))
+            if c / sum(x[0] for x in near) >= 0.8:
+                out.add((t, n[t], s, ratio))
+    return out
+
+
+def test_name_drift_equals_all_pairs(spark):
+    r = random.Random(3)
+    make = lambda n, letters: ["".join(r.choice(letters) for _ in range(r.choice([*range(1, 12), 17, 30]))) for _ in range(n)]
+    base = make(150, "abcde") + make(150, "abcdefghijklmnopqrstuvwxyzäé")
+    known = base + [x for x in base for _ in range(r.randint(0, 40))] + ["kate"] * 9 + ["philip"] * 5
+    drift = lambda x: "".join(r.choice([c, c, c, c, c, "", c + "k", "q"]) for c in x)
+    tokens = [y for y in map(drift, base * 2) if y] + ["cate", "filip", "philip", "phi"]
+    one = lambda x: spark.createDataFrame([(t,) for t in x], "token string")
+    got = {tuple(x) for x in edits.name_drift(one(tokens), one(known)).collect()}
+    assert got == drifts(tokens, known) and {("cate", 1, "kate", 75.0), ("filip", 1, "philip", 200.0 * 4 / 11)} & got
+    assert len(got) > 100 and any(len(x[0]) > 12 for x in got) and any(x[0][0] != x[2][0] for x in got)
+
+
+def test_name_drift_query_equals_all_pairs(spark, sf):
+    tokens, known = ([w for t in table(sf, n).text for w in words_of(t)] for n in ("benchmark", "documents"))
+    assert {tuple(x) for x in QUERIES["name_drift"](spark, sf).collect()} == drifts(tokens, known)
