@@ -48,14 +48,11 @@ MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|b
 class Extraction:
     """support: least share of a host's pages in which a class stands. pages: and least number.
 
-    tokens: template tokens a host keeps, those of most support first. root_pages: pages a host needs
-    before text that all of them repeat is left out of the article too.
+    Pages without any token don't count.
     """
 
     support: float = 0.5
     pages: int = 3
-    tokens: int = 2000
-    root_pages: int = 20
 
 
 class Node:
@@ -185,7 +182,10 @@ def page_tokens(page: str) -> list[int]:
 
 
 def _vectors(batches):
-    """host, token, hash of (page, count), place: summed up over some pages before they leave."""
+    """host, token, hash of (page, count), place: summed up over some pages before they leave.
+
+    A null token has the number of pages with tokens and, as its place, how many tokens they have.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -199,6 +199,10 @@ def _vectors(batches):
                         seen[token][0] += 1
                     else:
                         seen[token] = [1, place / len(tokens)]
+                if seen:
+                    whole = rows.setdefault((host, None), [0, 0, 0.0])
+                    whole[0] += 1
+                    whole[2] += len(seen)
                 key &= 0xFFFFFFFFFFFFFFFF
                 for token, (count, place) in seen.items():
                     got = rows.setdefault((host, token), [0, 0, 0.0])
@@ -206,31 +210,38 @@ def _vectors(batches):
                     got[1] = (got[1] + hash((key, count)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
                     got[2] += place
             if rows:
-                token = np.array([k[1] for k in rows], np.uint64).view(np.int64)
+                token = np.array([k[1] or 0 for k in rows], np.uint64).view(np.int64)
+                none = np.array([k[1] is None for k in rows])
                 vector = np.array([v[1] for v in rows.values()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows]), pa.array(token), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array(vector), pa.array([v[2] for v in rows.values()], pa.float64())], ["host", "token", "n", "vector", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows]), pa.array(token, mask=none), pa.array([v[0] for v in rows.values()], pa.int64()), pa.array(vector), pa.array([v[2] for v in rows.values()], pa.float64())], ["host", "token", "n", "vector", "place"])
 
 
 def templates(pages: DataFrame, p: Extraction = Extraction()) -> DataFrame:
-    """host, tokens (hashes in the template's order) from (host, key, html) rows.
+    """host, template (hashes in the template's order), root (those on all pages) from (host, key, html) rows.
 
-    A class of tokens is their common occurrence vector; its support is the number of pages. The
-    root class and those nested in it are put in the order of their tokens' mean place.
+    A token's support is the number of pages that have it; the template is what stands on enough of
+    them, in the order of mean places, at most two tokens for each that an average page has. Pages
+    that are all alike don't tell what is template: their host has no root.
     """
-    per_host = pages.groupBy("host").agg(F.count("*").alias("pages"))
     vectors = pages.select("host", "key", "html").mapInArrow(_vectors, "host string, token long, n long, vector long, place double")
     # vectors are added modulo 2**64: as two halves, which cannot overflow a long
     low, high = F.sum(F.expr("vector & 4294967295L")), F.sum(F.expr("shiftrightunsigned(vector, 32)"))
-    tokens = vectors.groupBy("host", "token").agg(F.sum("n").alias("support"), low.alias("v0"), high.alias("v1"), F.sum("place").alias("place")).where(F.col("support") >= p.pages)
-    strong = tokens.join(per_host, "host").where(F.col("support") >= p.support * F.col("pages"))
-    classes = strong.groupBy("host", "support", "v0", "v1").agg(F.collect_list(F.struct((F.col("place") / F.col("support")).alias("place"), "token")).alias("members"), F.max("pages").alias("pages"))
-    listed = F.slice(F.array_sort(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), "members"))), lambda c: c["members"]))), 1, p.tokens)
-    root = F.sum(F.when((F.col("support") == F.col("pages")) & (F.col("pages") >= p.root_pages), F.size("members")).otherwise(0))
-    return classes.groupBy("host").agg(F.transform(listed, lambda x: x["token"]).alias("template"), root.cast("int").alias("n_root"))
+    tokens = vectors.groupBy("host", "token").agg(F.sum("n").alias("support"), low.alias("v0"), high.alias("v1"), F.sum("place").alias("place"))
+    tokens = saved(tokens.where((F.col("support") >= p.pages) | F.col("token").isNull()), "tokens")
+    per_host = tokens.where("token is null").select("host", F.col("support").alias("pages"), F.col("place").alias("total"))
+    strong = tokens.where("token is not null").join(per_host, "host").where(F.col("support") >= p.support * F.col("pages"))
+    member = F.struct((F.col("place") / F.col("support")).alias("place"), "token", (F.col("support") == F.col("pages")).alias("root"))
+    same = F.sum(F.when(F.col("support") == F.col("pages"), F.col("support")).otherwise(0)) == F.max("total")
+    listed = strong.groupBy("host").agg(F.array_sort(F.collect_list(member)).alias("listed"), same.alias("same"))
+    root = F.when(F.col("same"), F.array().cast("array<long>")).otherwise(F.transform(F.filter("listed", lambda x: x["root"]), lambda x: x["token"]))
+    return listed.select("host", F.transform("listed", lambda x: x["token"]).alias("template"), root.alias("root"))
 
 
-def main_text(page: str, template: dict[int, int], n_root: int = 0) -> tuple[str, int]:
-    """(the main text, template tokens matched) of a page under its host's template (token: place)."""
+def main_text(page: str, template: dict[int, int], root: frozenset[int] = frozenset()) -> tuple[str, int]:
+    """(the main text, template tokens matched) of a page under its host's template (token: place).
+
+    root: the template's tokens that all pages have.
+    """
     nodes = parse(page)
     tokens = [hash_text(f"{x.path}\x00{_squeeze(x.text)}") for x in nodes] if template else []
     spots = [(template[t], i) for i, t in enumerate(tokens) if t in template]
@@ -241,7 +252,7 @@ def main_text(page: str, template: dict[int, int], n_root: int = 0) -> tuple[str
         if x.out:
             continue
         if level >= 2:
-            if x.main < level or i in fixed and template[tokens[i]] < n_root:
+            if x.main < level or i in fixed and tokens[i] in root:
                 continue
         elif i in fixed:  # no element says where the article is: what the host repeats isn't in it
             continue
@@ -290,16 +301,16 @@ def _dense(nodes: list[Node]) -> list[Node]:
 
 
 def _extractor(batches):
-    held: tuple[str | None, dict[int, int]] = (None, {})
+    held: tuple[str | None, dict[int, int], frozenset[int]] = (None, {}, frozenset())
     for batch in batches:
         hosts, pages, found = batch.column(0), batch.column(1), batch.column(2)
         texts, matched = [], []
         for i in range(batch.num_rows):
             host = hosts[i].as_py()
             if host != held[0]:
-                tokens = np.asarray(found[i].values).view(np.uint64).tolist() if found[i].is_valid else []
-                held = (host, {t: k for k, t in reversed(list(enumerate(tokens)))})
-            text, n = main_text(pages[i].as_py() or "", held[1], batch.column(3)[i].as_py() or 0)
+                tokens, root = (np.asarray(x[i].values).view(np.uint64).tolist() if x[i].is_valid else [] for x in (found, batch.column(3)))
+                held = (host, {t: k for k, t in reversed(list(enumerate(tokens)))}, frozenset(root))
+            text, n = main_text(pages[i].as_py() or "", held[1], held[2])
             texts.append(text)
             matched.append(n)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4, batch.num_columns)), pa.array(texts, pa.string()), pa.array(matched, pa.int64())], names=[*batch.schema.names[4:], "text", "n_template"])
@@ -317,4 +328,4 @@ def extract(pages: DataFrame, p: Extraction = Extraction()) -> DataFrame:
     found = saved(templates(known.select("host", F.xxhash64("url", "page_id").alias("key"), "html"), p), "templates")
     joined = known.join(found.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left")
     kinds = dict(pages.dtypes)
-    return joined.select("host", "html", "template", "n_root", "page_id", "url").mapInArrow(_extractor, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_template long")
+    return joined.select("host", "html", "template", "root", "page_id", "url").mapInArrow(_extractor, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_template long")
