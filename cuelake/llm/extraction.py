@@ -1,11 +1,10 @@
-"""HTML extraction by equivalence-class template deduction.
+"""HTML extraction by markup names and a template of each host.
 
 Pages of a host are read as token sequences: tags and text runs, told apart by their path from the
-root. Tokens with the same occurrence vector over the host's pages form an equivalence class. A
-vector is kept as its support and a sum of hashes of (page, count), which partial aggregates add up,
-so no host's pages need to meet in one task. Classes with enough support nest into the host's
-template. Per page, template tokens that stand in the template's order are markup and fixed text;
-what lies between them are slots. Slots in the article's part of the page are its main text.
+root. Partial aggregates add up each token's support over the host's pages, so no host's pages need
+to meet in one task; tokens with enough support are the host's template. Occurrence vectors are summed
+as well, but classes of equal vectors are neither tested nor nested: elements and class names say
+where the article is, and the template takes out what the host repeats.
 """
 
 from __future__ import annotations
@@ -46,7 +45,7 @@ MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|b
 
 @dataclass(frozen=True)
 class Extraction:
-    """support: least share of a host's pages in which a class stands. pages: and least number.
+    """support: least share of a host's pages on which a token stands. pages: and least number.
 
     Pages without any token don't count.
     """
