@@ -273,9 +273,10 @@ def word_clamp(spark, sf):
 
 
 def _doc_tokens(spark, sf, lang_rank):
-    d = read(spark, sf, "documents").where(F.col("lang") == "en").select((F.col("doc_id") - F.col("doc_id") % 40).alias("ep"), "doc_id", "text")
+    d = read(spark, sf, "documents").select((F.col("doc_id") - F.col("doc_id") % 40).alias("ep"), "doc_id", "text")
     d = d.where(F.col("doc_id") % 40 < 20) if lang_rank else d.where(F.col("doc_id") % 40 >= 20)
-    return d.select("ep", "doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("i", "token")).select("ep", (F.col("doc_id") * 100_000 + F.col("i")).alias("idx"), "token")
+    # an array has less than 2**31 tokens, so no text reaches into the next one's places
+    return d.select("ep", "doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("i", "token")).select("ep", (F.col("doc_id") % 40 * 2**32 + F.col("i")).alias("idx"), "token")
 
 
 @query(rf""", t AS (SELECT doc_id - doc_id % 40 AS ep, doc_id, doc_id % 40 < 20 AS l, {TOKENS} AS w FROM documents WHERE lang = 'en'), u AS (SELECT ep, l, doc_id * 100000 + generate_subscripts(w, 1) - 1 AS idx, unnest(w) AS token FROM t),

@@ -92,3 +92,12 @@ def test_name_drift_equals_all_pairs(spark):
 def test_name_drift_query_equals_all_pairs(spark, sf):
     tokens, known = ([w for t in table(sf, n).text for w in words_of(t)] for n in ("benchmark", "documents"))
     assert {tuple(x) for x in QUERIES["name_drift"](spark, sf).collect()} == drifts(tokens, known)
+
+
+def test_unique_exact_pairs_of_all_languages_and_long_texts(spark, tmp_path):
+    long = " ".join(["a"] * 100_005 + ["late"])
+    docs = [(0, long, "en"), (1, "early a", "de"), (20, "late early", None), (40, "eins", "de"), (60, "zwei eins", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in QUERIES["unique_exact_pairs"](spark, str(tmp_path)).collect()}
+    far = 2**32
+    assert got == {(0, "late", 100_005, 20 * far), (0, "early", far, 20 * far + 1), (40, "eins", 0, 20 * far + 1)}
