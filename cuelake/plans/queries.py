@@ -389,15 +389,22 @@ def censor_tokens(spark, sf):
 g AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i, w FROM d)
 SELECT d.doc_id, q.item_id, min(g.i) - 1 AS first FROM q JOIN g ON g.a = q.w[1] AND len(g.w) >= g.i + len(q.w) - 1 AND g.w[g.i + 1] = q.w[2] AND g.w[g.i + 2] = q.w[3] AND g.w[g.i:g.i + len(q.w) - 1] = q.w JOIN d ON d.doc_id = g.doc_id GROUP BY d.doc_id, q.item_id""")
 def subsequence_bounds(spark, sf):
-    """U9 by an equi-join on the first three tokens, then the whole run."""
-    q = read(spark, sf, "benchmark").where("length(text) > 60").select("item_id", tx.tokens(F.col("text")).alias("q"))
-    q = q.select("item_id", "q", F.array_join(F.slice("q", 1, 3), " ").alias("gram"))
+    """The first run of as many tokens that reads like the item, else the first token that does.
+
+    Both begin with the item's first signs, blanks left out, so the join is on these.
+    """
+    signs = 16
+    q = read(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
+    q = q.select("item_id", F.size("q").alias("k"), F.array_join("q", "").alias("joined")).withColumn("key", F.left("joined", F.lit(signs)))
+    lengths = sorted(r[0] for r in q.select(F.length("key")).distinct().collect())  # at most ``signs`` numbers
     d = read(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
-    grams = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
-    at = d.select("doc_id", "w", grams.alias("g")).select("doc_id", F.posexplode_outer("g").alias("i", "gram"))
-    near = at.join(q, "gram").join(d, "doc_id")
-    whole = near.where(F.slice("w", F.col("i") + 1, F.size("q")) == F.col("q"))
-    return whole.groupBy("doc_id", "item_id").agg(F.min("i").cast("long").alias("first"))
+    at = d.select("doc_id", F.posexplode(F.transform("w", lambda x, i: F.left(F.array_join(F.slice("w", i + 1, signs), ""), F.lit(signs)))).alias("i", "start"))
+    keys = F.array_distinct(F.array(*(F.left("start", F.lit(n)) for n in lengths or [signs])))
+    near = at.select("doc_id", "i", F.explode(keys).alias("key")).join(q, "key").join(d, "doc_id")
+    run = F.slice("w", F.col("i") + 1, F.col("k"))
+    near = near.withColumn("run", (F.size(run) == F.col("k")) & (F.array_join(run, "") == F.col("joined"))).withColumn("one", F.get("w", F.col("i")) == F.col("joined"))
+    first = F.coalesce(F.min(F.when(F.col("run"), F.col("i"))), F.min("i"))
+    return near.where("run or one").groupBy("doc_id", "item_id").agg(first.cast("long").alias("first"))
 
 
 # ---- evaluation, styles, costs

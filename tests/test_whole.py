@@ -101,3 +101,19 @@ def test_unique_exact_pairs_of_all_languages_and_long_texts(spark, tmp_path):
     got = {tuple(r) for r in QUERIES["unique_exact_pairs"](spark, str(tmp_path)).collect()}
     far = 2**32
     assert got == {(0, "late", 100_005, 20 * far), (0, "early", far, 20 * far + 1), (40, "eins", 0, 20 * far + 1)}
+
+
+def bounds(hay, needle):
+    k, joined = len(needle), "".join(needle)
+    runs = [i for i in range(len(hay) - k + 1) if k and "".join(hay[i : i + k]) == joined]
+    return next(iter(runs or [i for i, x in enumerate(hay) if k and x == joined]), None)
+
+
+def test_subsequence_bounds_finds_short_and_joined_items(spark, tmp_path):
+    docs = ["one two", "so on and so forth", "and soon", "x " * 300 + "so on", "into one two three four five six seven", "onetwo one two", "", "abc de fgh ij klm nop qrs tuv"]
+    items = ["so on", "two", "in to", "one two three four five six", "one two", "?", "ab cde fg hij klm nop qr stuv", "three four"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {tuple(r) for r in QUERIES["subsequence_bounds"](spark, str(tmp_path)).collect()}
+    want = {(i, j, bounds(words_of(x), words_of(y))) for i, x in enumerate(docs) for j, y in enumerate(items)}
+    assert got == {x for x in want if x[2] is not None} and {(2, 0, 1), (5, 4, 1), (7, 6, 0)} <= got
