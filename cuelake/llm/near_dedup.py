@@ -2,29 +2,30 @@
 
 Every distinct shingle set gets k MinHash samples. Bands of them give candidate buckets; the same
 samples, folded into a parity bitmap (an odd sketch), let a pair's XOR population count estimate its
-similarity, so that only likely pairs fetch their texts. Links are confirmed on the full sets.
+similarity, so that only likely pairs fetch their sets. Links are confirmed on the full sets.
 
 Copies with equal sets are one node. A bucket with many nodes is not expanded into pairs: in each
 round its nodes meet one of them only (a star), and what is linked then counts as one component.
 From the second round on a bucket is cut up by one band more, another in each round, so that a node
 meets one that is more like it. Only nodes of a bucket that are still apart after the rounds are
 compared with each other, so no link between components is left out.
+
+What moves for every band is a key and a node's number. Sketches move once for each different pair,
+and full sets only those of nodes that share a bucket, hashed once for all rounds.
 """
 
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, forget, saved
-from .wordscan import blocks, mix, shingle_sets, text_blocks
+from .wordscan import mix, shingle_sets, text_blocks
 
 
 @dataclass(frozen=True)
@@ -90,123 +91,127 @@ def _sketcher(p: NearDedup):
                 wrap = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), pa.array(n), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)), wrap(keys), wrap(np.ascontiguousarray(odd))],
-                    ["doc_id", "n_shingles", "sig0", "sig1", "bands", "odd"],
+                    ["row", "n_shingles", "sig0", "sig1", "bands", "odd"],
                 )
 
     return sketch
 
 
 def sketches(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """doc_id, n_shingles, signature of the set, band keys, odd sketch of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _sketcher(p), "doc_id long, n_shingles long, sig0 long, sig1 long, bands array<long>, odd array<long>"
-    )
+    """doc_id, hash of the text, n_shingles, signature of the set, band keys, odd sketch of every row."""
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("row"), "text").mapInArrow(
+        _sketcher(p), "row struct<doc_id:long,h:long>, n_shingles long, sig0 long, sig1 long, bands array<long>, odd array<long>"
+    ).select("row.*", "n_shingles", "sig0", "sig1", "bands", "odd")
 
 
-def _confirmer(p: NearDedup):
-    def confirm(batches):
-        held: OrderedDict[int, np.ndarray] = OrderedDict()
+def _hasher(p: NearDedup):
+    def hashed(batches):
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            sizes = pc.add(pc.binary_length(ta), pc.binary_length(tb)).to_numpy()
-            for i, j in blocks(sizes, int, 1 << 21):
-                need = {}
-                for at in range(i, j):
-                    for d, t in ((a[at], ta), (b[at], tb)):
-                        if d not in held and d not in need:
-                            need[d] = t[at].as_py()
-                held.update(zip(need, shingle_sets(list(need.values()), p.words)))
-                keep = []
-                for at in range(i, j):
-                    x, y = held[a[at]], held[b[at]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and p.den * both >= p.num * (len(x) + len(y) - both))
-                while len(held) > 256:
-                    held.popitem(last=False)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).filter(pa.array(keep)) for c in (0, 1)], ["a", "b"])
-
-    return confirm
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    return full.select("a", "b", "ta", "tb").mapInArrow(_confirmer(p), "a long, b long")
+            for i, j, texts in text_blocks(batch.column(1)):
+                sets = shingle_sets(texts, p.words)
+                flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
+    return hashed
 
-def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
 
-    Documents without words, or with a null text, are components of their own and kept. Rows with
-    the same doc_id are one document with equal sets at best; a null doc_id stays unlinked. An empty
-    table gives an empty result. Other columns of ``docs`` are not read.
-    """
+def shingles(docs: DataFrame, nodes: DataFrame, p: NearDedup) -> DataFrame:
+    """(node, its full shingle set) of ``nodes`` (node, doc_id, h); rows that repeat a text count once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return texts.join(nodes, ["doc_id", "h"]).groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_hasher(p), "node long, shingles array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    union = F.size("sa").cast("long") + F.size("sb") - F.col("both")
+    return both.where((F.col("both") > 0) & (p.den * F.col("both") >= p.num * union)).select("a", "b")
+
+
+def _components(docs: DataFrame, p: NearDedup) -> DataFrame:
+    """doc_id, h, n_shingles, component_id, first: whether the row is its component's least (doc_id, text)."""
     everything = saved(sketches(docs, p), "sketches")
-    sized = everything.where("n_shingles > 0 and doc_id is not null")
     keyed = ["sig0", "sig1", "n_shingles"]
-    nodes = saved(
-        sized.groupBy(*keyed).agg(F.min(F.struct("doc_id", "bands", "odd")).alias("x")).select(*keyed, "x.*"), "nodes"
-    )
+    sized = everything.where("n_shingles > 0 and doc_id is not null")
+    nodes = sized.groupBy(*keyed).agg(F.min(F.struct("doc_id", "h", "bands", "odd")).alias("x")).select(*keyed, "x.*")
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are fixed once written
     sketch = [f"o{i}" for i in range(p.bits // 64)]  # columns: quicker to compare than an array
-    about = ["doc_id", "n", *sketch, "comp"]
-    wide = nodes.select("doc_id", "bands", F.col("n_shingles").alias("n"), *(F.col("odd")[i].alias(c) for i, c in enumerate(sketch)))
-    # what moves for every band is a key and an id; sketches join only what shares a bucket
-    in_band = nodes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = in_band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = saved(in_band.join(shared, ["band", "key"]).select("key", "band", "doc_id", F.col("doc_id").alias("comp")), "members")
-    differ = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in sketch), F.lit(0))
+    wide = nodes.select("node", F.col("n_shingles").alias("n"), *(F.col("odd")[i].alias(c) for i, c in enumerate(sketch)))
+    cuts = [f"cut{t}" for t in range(1, p.rounds)]
+    band = nodes.select("node", "bands", F.posexplode("bands").alias("band", "key"))
+    band = band.select("band", "key", "node", *(F.get("bands", (F.col("band") + t) % p.bands).alias(c) for t, c in enumerate(cuts, 1)))
+    shared = band.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    members = saved(band.join(shared, ["band", "key"]).withColumn("comp", F.col("node")), "members")
+    candidates = nodes.select("node", "doc_id", "h").join(members.select("node").distinct(), "node")
+    sets = saved(shingles(docs, candidates, p), "shingles")
+    differ = lambda l, r: sum((F.bit_count(F.col(f"{l}{c}").bitwiseXOR(F.col(f"{r}{c}"))) for c in sketch), F.lit(0))
     # sets of too different sizes cannot reach the similarity, and sketches tell most others
-    alike = p.den * F.least("l.n", "r.n") >= p.num * F.greatest("l.n", "r.n")
-    near = alike & (differ <= p.most_odd)
-    links = tried = None
-    comps = None
+    near = lambda l, r: (p.den * F.least(f"{l}n", f"{r}n") >= p.num * F.greatest(f"{l}n", f"{r}n")) & (differ(l, r) <= p.most_odd)
+    links = tried = comps = None
     for turn in range(p.rounds + 1):
-        full = members.join(wide, "doc_id")
         if turn < p.rounds:  # a bucket's nodes with one of them
-            bucket = ["band", "key"] if turn == 0 else ["band", "key", "cut"]
-            mine = full.withColumn("cut", F.get("bands", (F.col("band") + turn) % p.bands)) if turn else full
-            rank = F.xxhash64("doc_id", F.lit(turn))
-            head = mine.groupBy(*bucket).agg(F.min(F.struct(rank.alias("h"), *about)).alias("x"))
-            other = head.select(*bucket, *(F.col(f"x.{c}").alias(c) for c in about))
-            met = near
+            bucket = ["band", "key"] if turn == 0 else ["band", "key", f"cut{turn}"]
+            mine = members.select(*bucket, "node", "comp")
+            head = mine.groupBy(*bucket).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("x")).select(*bucket, F.col("x.node").alias("head"), F.col("x.comp").alias("head_comp"))
+            met = mine.join(head, bucket).where("comp <> head_comp")
+            pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            named = lambda c: wide.select(*(F.col(x).alias(f"{c}_{x}") for x in wide.columns)).withColumnRenamed(f"{c}_node", c)
+            pairs = pairs.join(named("a"), "a").join(named("b"), "b").where(near("a_", "b_")).select("a", "b")
         else:
-            bucket, mine, other = ["band", "key"], full, full
+            full = members.select("band", "key", "node", "comp").join(wide, "node").join(nodes.select("node", "bands"), "node")
             # a pair is taken from the first band that both share, and from one side
             later = F.exists(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: (i < F.col("l.band")) & (F.get("l.bands", i) == F.get("r.bands", i)))
-            met = near & (F.col("l.comp") < F.col("r.comp")) & ~later
-        met = (F.col("l.comp") != F.col("r.comp")) & met
-        for c in bucket:
-            met = (F.col(f"l.{c}") == F.col(f"r.{c}")) & met
-        low, high = F.least("l.doc_id", "r.doc_id"), F.greatest("l.doc_id", "r.doc_id")
-        pairs = mine.alias("l").join(other.alias("r"), met).select(low.alias("a"), high.alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            met = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") < F.col("r.comp")) & near("l.", "r.") & ~later
+            pairs = full.alias("l").join(full.alias("r"), met).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        found = saved(confirmed(pairs, docs, p), "links")
+        found = saved(confirmed(pairs, sets, p), "links")
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
+        comps = connected_components(links)
         if turn < p.rounds:
-            comps = connected_components(links)
-            grown = members.drop("comp").join(comps.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("comp", F.coalesce("c", "doc_id")).drop("c")
+            grown = members.drop("comp").join(comps.select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
             apart = grown.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-            fresh = saved(grown.join(apart, ["band", "key"]).select("key", "band", "doc_id", "comp"), "members")
+            fresh = saved(grown.join(apart, ["band", "key"]).select(*members.columns), "members")
             forget(members)
             members = fresh
             if members.isEmpty():
                 break
-        else:
-            comps = connected_components(links)
-    classes = nodes.select(*keyed, F.col("doc_id").alias("node")).join(comps, "node", "left").select(*keyed, F.coalesce("component", "node").alias("component"))
-    return everything.select("doc_id", *keyed).join(classes, keyed, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = nodes.select(*keyed, "node", "doc_id", "h").join(comps, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    least = placed.groupBy("label").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    classes = placed.select(*keyed, "label").join(least, "label").select(*keyed, "least")
+    mine = everything.select("doc_id", "h", *keyed).join(classes, keyed, "left")
+    own = F.col("least").isNull() | F.col("doc_id").isNull()
+    return mine.select(
+        "doc_id", "h", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id"),
+        (own | ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("h") == F.col("least.h")))).alias("first"),
+    )
+
+
+def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Rows without words, or with a null text, are components of their own and kept. Rows that share a
+    doc_id are compared by their own texts; each gets the smallest doc_id reachable from its text. A
+    null doc_id stays unlinked and is kept, with a null component_id. An empty table gives an empty
+    result. Other columns of ``docs`` are not read.
+    """
+    got = _components(docs, p).drop("h", "first")
+    return got.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
-    """``docs`` with one document of each component (that of the smallest doc_id)."""
-    gone = near_components(docs, p).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """``docs`` with one document of each component: the one with the smallest doc_id, and of texts
+    that share it the one with the smallest hash.
+
+    Rows with equal doc_id and text are one document and stay or go together. Rows without words, or
+    without doc_id, stay. Extra columns pass through unread.
+    """
+    gone = _components(docs, p).where("not first").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti")
