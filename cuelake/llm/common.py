@@ -60,6 +60,11 @@ def _clean() -> None:
             return
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns, whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fold(column: str = "doc_id"):
     """crc32 of the id as text, mod 5; 0 marks the held-out fifth."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5

@@ -146,10 +146,11 @@ def embedding_components(rows: DataFrame, p: EmbeddingDedup = EmbeddingDedup())
     keyed = rows.select("vec_id", "label", "embedding", F.coalesce(fine, F.lit(False)).alias("fine"), F.xxhash64("embedding").alias("h0"), F.xxhash64("embedding", F.lit(1)).alias("h1"))
     key = ["label", "h0", "h1"]
     classes = keyed.where("fine").groupBy(*key).agg(F.min(F.struct("vec_id", "embedding")).alias("x"), F.count("*").alias("times"))
-    reps = classes.select("x.embedding", F.size("x.embedding").alias("dim"), F.col("x.vec_id").alias("rep"), "times", *key)
+    # a class goes by a number of its own, as rows may share a vec_id
+    reps = classes.select("x.embedding", F.size("x.embedding").alias("dim"), F.monotonically_increasing_id().alias("rep"), F.col("x.vec_id").alias("least"), "times", *key)
     kinds = dict(reps.dtypes)
     placed = saved(
-        reps.mapInArrow(_first_projection(p), f"rep {kinds['rep']}, times long, label {kinds['label']}, h0 long, h1 long, dim int, embedding {kinds['embedding']}, place double"), "placed"
+        reps.mapInArrow(_first_projection(p), f"rep long, least {kinds['least']}, times long, label {kinds['label']}, h0 long, h1 long, dim int, embedding {kinds['embedding']}, place double"), "placed"
     )
     group = ["label", "dim"]
     shape = placed.groupBy(*group).agg(F.count("*").alias("n"), F.avg("place").alias("mean"), F.coalesce(F.stddev("place"), F.lit(0.0)).alias("sd"))
@@ -168,13 +169,12 @@ def embedding_components(rows: DataFrame, p: EmbeddingDedup = EmbeddingDedup())
     same = F.col("x") == F.col("y")
     sides = pairs.select(F.explode(F.when(same, F.array(F.struct(F.col("x").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y").alias("block"), F.lit(1).alias("side"))))).alias("s"), "x", "y")
     members = dealt.withColumn("block", F.xxhash64(*group, "strip", "part")).select("block", "rep", "times", "embedding").join(sides.select("s.block", "s.side", "x", "y"), "block")
-    found = saved(members.select("x", "y", "side", "rep", "times", "embedding").groupBy("x", "y").applyInArrow(_pairs(p), f"rep {kinds['rep']}, links long, root {kinds['rep']}"), "embedding-links")
+    found = saved(members.select("x", "y", "side", "rep", "times", "embedding").groupBy("x", "y").applyInArrow(_pairs(p), "rep long, links long, root long"), "embedding-links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("rep <> root"), "rep", "root")
-    named = (
-        placed.select(*key, "rep", "times").join(counted, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*(F.col(c).alias(f"k_{c}") for c in key), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    )
+    named = placed.select(*key, "rep", "least", "times").join(counted, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(firsts, "root").select(*(F.col(c).alias(f"k_{c}") for c in key), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "first")
     back = keyed.join(named, [F.col("fine"), *(F.col(c) == F.col(f"k_{c}") for c in key)], "left")
-    out = back.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    out = back.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

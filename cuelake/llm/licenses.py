@@ -60,7 +60,8 @@ def _templates(spark: SparkSession) -> DataFrame:
 def license_spans(docs: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame:
     """doc_id, n_words, and spans found: template, label, base, first and last word, cover.
 
-    A text without a hit has one row with a null template. Rows with one doc_id and text are one.
+    A text without a hit has one row with a null template. Rows with one doc_id and text are one here;
+    ``copies`` of the row with the null template tells how many they are.
     """
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, SPLIT), lambda w: w != "")
@@ -75,17 +76,17 @@ def license_spans(docs: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame:
     hit = d.join(F.broadcast(_templates(spark).unionByName(itself)), "gram").where("template is not null or pos = 0")
     hit = hit.where("template is null or pos > 0").withColumn("offset", F.col("pos") - 1 - F.col("at"))
     doc = ["doc_id", "k", "n_words"]
-    diagonal = hit.groupBy(*doc, "template", "label", "base", "grams", "offset").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    diagonal = hit.groupBy(*doc, "template", "label", "base", "grams", "offset").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("rows"))
     # a base phrase needs its one diagonal whole; others merge with neighbours
     diagonal = diagonal.where(~F.col("base") | (F.size("ats") == F.col("grams")))
     line = Window.partitionBy(*doc, "template").orderBy("offset")
     fresh = F.col("base") | F.coalesce(F.col("offset") - F.lag("offset").over(line) > p.drift, F.lit(True))
     merged = diagonal.withColumn("island", F.sum(fresh.cast("int")).over(line)).groupBy(*doc, "template", "label", "base", "grams", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), (F.min("lo") - 1).alias("first"), F.max("hi").alias("last"), F.min("offset").alias("start")
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n"), (F.min("lo") - 1).alias("first"), F.max("hi").alias("last"), F.sum("rows").alias("rows")
     )
     cover = F.col("n") / F.greatest(F.col("grams"), F.lit(1))
     fits = F.col("base") | ((cover >= p.cover) & (F.col("last") - F.col("first") + 1 <= p.room * (F.col("grams") + 1)))
-    return merged.select(*doc, "template", "label", "base", F.col("first").cast("long"), F.col("last").cast("long"), F.when(F.col("template").isNotNull(), cover).alias("cover"), (fits & F.col("template").isNotNull()).alias("found"))
+    return merged.select(*doc, "template", "label", "base", F.col("first").cast("long"), F.col("last").cast("long"), F.when(F.col("template").isNotNull(), cover).alias("cover"), (fits & F.col("template").isNotNull()).alias("found"), F.when(F.col("template").isNull(), F.col("rows")).alias("copies"))
 
 
 def license_report(docs: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame:
@@ -105,5 +106,9 @@ def license_report(docs: DataFrame, p: LicenseScan = LicenseScan()) -> DataFrame
         joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined(F.when(found, F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(found, F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.max("copies").alias("copies"),
     )
-    return report.drop("k")
+    # a row for each copy, by thousands, so that no array is long
+    thousand = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div 1000")))
+    report = report.withColumn("part", thousand).withColumn("left", F.least(F.lit(1000).cast("long"), F.col("copies") - 1000 * F.col("part")))
+    return report.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left")))).drop("k", "copies", "part", "left", "nth")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import columns_of, saved
 
 
 @dataclass(frozen=True)
@@ -82,4 +82,4 @@ def mixed(docs: DataFrame, p: Mixing = Mixing()) -> DataFrame:
     taken = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]), "left")
     one_more = chance(p, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) < F.col("__rate") - F.floor("__rate")
     copies = (F.floor("__rate") + one_more.cast("long")).cast("int")
-    return taken.withColumn("__nth", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return taken.withColumn("__nth", F.explode(F.array_repeat(F.lit(0), copies))).select(*columns_of(docs))

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import saved
+from .common import columns_of, saved
 from .wordscan import mix, scan_spans, text_blocks
 
 
@@ -105,6 +106,22 @@ def _erase(p: SubstringDedup):
     return erase
 
 
+def _shortened(docs: DataFrame, p: SubstringDedup) -> DataFrame:
+    """row (all columns but the text), text, n_words, n_gone, gone of every row."""
+    rest = [c for c, name in zip(columns_of(docs), docs.columns) if name != "text"]
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    chunks = docs.select(last.alias("doc_id"), _key().alias("k"), "text").mapInArrow(_emit(p), "digest long, doc_id long, spot long")
+    owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest", F.col("lo").alias("owner"))
+    owners = saved(owners, "chunk-owners")
+    again = chunks.join(owners, "digest").where("doc_id <> owner").select("doc_id", F.expr("spot >> 32 << 32").alias("k"), F.expr("cast(spot & 4294967295L as int)").alias("nth"))
+    again = saved(again.groupBy("doc_id", "k").agg(F.collect_set("nth").alias("nths")), "chunks-again")
+    left = docs.select(last.alias("__id"), _key().alias("__k"), F.struct(*rest).alias("row"), "text")
+    joined = left.join(again, (F.col("__id") == F.col("doc_id")) & (F.col("__k") == F.col("k")), "left")
+    span = StructType([StructField("start", LongType()), StructField("stop", LongType())])
+    out = StructType([StructField("row", left.schema["row"].dataType), StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_gone", LongType()), StructField("gone", ArrayType(span))])
+    return joined.select("__id", "text", "nths", "row").mapInArrow(_erase(p), out)
+
+
 def substring_dedup(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> DataFrame:
     """``docs`` with ``text`` shortened, and n_words (before), n_gone, gone (byte spans taken out).
 
@@ -113,17 +130,9 @@ def substring_dedup(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> Da
     gone are replaced.
     """
     docs = docs.drop("n_words", "n_gone", "gone")
-    rest = [c for c in docs.columns if c != "text"]
-    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    chunks = docs.select(last.alias("doc_id"), _key().alias("k"), "text").mapInArrow(_emit(p), "digest long, doc_id long, spot long")
-    owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest", F.col("lo").alias("owner"))
-    owners = saved(owners, "chunk-owners")
-    again = chunks.join(owners, "digest").where("doc_id <> owner").select("doc_id", F.expr("spot >> 32 << 32").alias("k"), F.expr("cast(spot & 4294967295L as int)").alias("nth"))
-    again = saved(again.groupBy("doc_id", "k").agg(F.collect_set("nth").alias("nths")), "chunks-again")
-    left = docs.select(last.alias("__id"), _key().alias("__k"), F.struct(*rest).alias("__rest"), "text")
-    joined = left.join(again, (F.col("__id") == F.col("doc_id")) & (F.col("__k") == F.col("k")), "left")
-    erased = joined.select("__id", "text", "nths", "__rest").mapInArrow(
-        _erase(p), f"__rest {docs.select(F.struct(*rest).alias('r')).schema['r'].dataType.simpleString()}, text string, n_words long, n_gone long, gone array<struct<start:bigint,stop:bigint>>"
-    )
-    whole = erased.select("__rest.*", "text", "n_words", "n_gone", "gone")
-    return whole.select(*docs.columns, "n_words", "n_gone", "gone")
+    return _shortened(docs, p).select("row.*", "text", "n_words", "n_gone", "gone").select(*columns_of(docs), "n_words", "n_gone", "gone")
+
+
+def deduplicated(docs: DataFrame, p: SubstringDedup = SubstringDedup()) -> DataFrame:
+    """``docs`` with ``text`` shortened as by ``substring_dedup`` and every other column as it was, whatever its name."""
+    return _shortened(docs, p).select("row.*", "text").select(*columns_of(docs))

@@ -2,20 +2,23 @@
 
 Tokens get log-odds of toxic against other documents with an informative Dirichlet prior. Tokens
 that are clearly toxic score their log-odds, all others a small penalty, so that every maximal
-segment found by one linear scan is a passage. Under extreme-value statistics a segment of score S
-in n tokens stands for K n exp(-lambda S) chance segments; the bits by which a document's segments
-beat chance are summed, and a logistic curve turns the sum into a probability.
+segment found by one linear scan is a passage. Extreme-value statistics calibrate segments: lambda
+solves E[exp(lambda X)] = 1 over the scores X of the tokens of other documents, and their segments
+tell K, as K n exp(-lambda S) segments of score S or more are chance in n tokens. The excess of each
+segment over chance is summed, and a logistic curve, fitted on rows that the odds were not learned
+from, turns the sum into a probability.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import fold, saved
 from .wordscan import ALNUM, scan, shingle_sets, text_blocks
@@ -25,15 +28,16 @@ from .wordscan import ALNUM, scan, shingle_sets, text_blocks
 class Toxicity:
     """max_rows: labelled rows to learn from (expected number). max_tokens: tokens in the lexicon.
 
-    prior: the Dirichlet prior's weight, in documents. min_z: least z-score of a scoring token.
+    curve: one of so many rows is kept for the curve and not used for the odds. prior: the Dirichlet prior's weight, in documents. min_z: least z-score of a scoring token.
     penalty: the score of any other token. min_docs: documents a scoring token stands in.
     """
 
     max_rows: int = 20_000
+    curve: int = 3
     max_tokens: int = 20_000
     prior: float = 200.0
-    min_z: float = 3.0
-    min_docs: int = 3
+    min_z: float = 2.0
+    min_docs: int = 4
     penalty: float = 0.05
     bins: int = 400
 
@@ -122,7 +126,7 @@ def beats_chance(n: int, found: list[tuple[int, int, float]], m: ToxicModel) ->
     return sum(max(0.0, m.rate * s - max(floor, 0.0)) for _, _, s in found)
 
 
-def _scorer(m: ToxicModel, spans: bool):
+def _scorer(m: ToxicModel):
     found = _finder(m)
 
     def score(batches):
@@ -156,51 +160,90 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> ToxicMo
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(marks), "doc_id")
     texts = texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_cluster, "cluster long, text string, toxic int")
-    sample = saved(texts.dropDuplicates(["cluster", "toxic"]).select("text", "toxic"), "toxic-sample")
+    later = (F.pmod(F.xxhash64("cluster", F.lit(3)), F.lit(p.curve)) == 0).alias("later")
+    sample = saved(texts.dropDuplicates(["cluster", "toxic"]).select("text", "toxic", later), "toxic-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size.get(1, 0), sum(v for k, v in size.items() if k != 1)
+    m = _odds(sample, p) if n1 and n0 else None
+    if m is None:
+        return ToxicModel(np.empty(0, np.uint64), np.empty(0), p.penalty, 1.0, 0.0, 0.0, math.log((n1 + 1) / (n0 + 1)))
+    step = F.least(F.floor(F.log1p("bits") * 40), F.lit(p.bins))
+    # the curve's rows are strange to the odds that it is fitted on; with few rows one class may be missing
+    for part, rows in ((_odds(sample.where("not later"), p), sample.where("later")), (m, sample)):
+        if part is None:
+            continue
+        curve = rows.select(F.col("toxic").alias("y"), "text").mapInArrow(_scorer(part), f"y int, bits double, score double, passages {PASSAGES}").groupBy(step.alias("x"), "y").agg(F.count("*").alias("n")).collect()
+        if len({r["y"] == 1 for r in curve}) == 2:
+            break
+    x, y, w = (np.array(c, float) for c in zip(*((r["x"] / 40 + 0.0125 * (r["x"] > 0), r["y"] == 1, r["n"]) for r in curve)))
+    slope, bias = _logistic(x, y, w)
+    return replace(m, slope=slope, bias=bias)
+
+
+def _odds(learn: DataFrame, p: Toxicity) -> ToxicModel | None:
+    """Lexicon, lambda and K from rows of (text, toxic); none where a class is missing or no token tells them apart."""
+    size = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(size.get(1, 0)), float(sum(v for k, v in size.items() if k != 1))
-    nothing = ToxicModel(np.empty(0, np.uint64), np.empty(0), p.penalty, 1.0, 0.0, 0.0, math.log((n1 + 1) / (n0 + 1)))
     if not n1 or not n0:
-        return nothing
-    counts = sample.mapInArrow(_presence, "token long, toxic long").groupBy("token").agg(F.sum((F.col("toxic") == 1).cast("double")).alias("y1"), F.sum((F.col("toxic") != 1).cast("double")).alias("y0"))
+        return None
+    counts = learn.select("text", "toxic").mapInArrow(_presence, "token long, toxic long").groupBy("token").agg(F.sum((F.col("toxic") == 1).cast("double")).alias("y1"), F.sum((F.col("toxic") != 1).cast("double")).alias("y0"))
     a = (F.col("y1") + F.col("y0")) / (n1 + n0) * p.prior + 0.01
     l1, l0 = (F.col("y1") + a) / (n1 + p.prior - F.col("y1") - a + 1), (F.col("y0") + a) / (n0 + p.prior - F.col("y0") - a + 1)
     scored = counts.withColumn("odds", F.log(l1) - F.log(l0)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
     chosen = scored.where((F.col("z") >= p.min_z) & (F.col("y1") >= p.min_docs) & (F.col("odds") > 0)).orderBy(F.desc("z"), "token").limit(p.max_tokens).collect()
     if not chosen:
-        return nothing
+        return None
     keys = np.array([r["token"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(keys)
-    tokens, odds = keys[order], np.array([r["odds"] for r in chosen])[order]
-    # lambda: the mean of exp(lambda * score) over the tokens of other documents is 1
-    total = sample.where("toxic <> 1").select(F.sum(F.size(F.split("text", " "))).alias("n")).first()["n"] or 1
-    share0 = np.array([(r["y0"] + 0.5) for r in chosen])[order] / total
+    m = ToxicModel(keys[order], np.array([r["odds"] for r in chosen])[order], p.penalty, 1.0, 0.0, 1.0, 0.0)
+    others = learn.where("toxic <> 1").select("text")
+    seen = {r["token"]: r["n"] for r in others.mapInArrow(_occurrences(m), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    share = (np.array([seen.get(int(t), 0) for t in m.tokens.view(np.int64)]) + 0.5) / (max(seen.get(None, 0), 1) + len(m.tokens))
+    gain = float((share * m.odds).sum())
+    m = replace(m, penalty=max(p.penalty, 1.1 * gain / (1 - share.sum())))  # else chance segments have no end
+    m = replace(m, rate=_rate(share, m.odds, m.penalty))
+    found = others.mapInArrow(_segment_counts(m), "n long, segments long").groupBy().agg(F.sum("n").alias("n"), F.sum("segments").alias("k")).first()
+    # every segment scores the least gain or more
+    return replace(m, log_k=math.log(max(found["k"] or 0, 0.5) / max(found["n"] or 1, 1)) + m.rate * float(m.odds.min()))
+
+
+def _rate(share: np.ndarray, odds: np.ndarray, penalty: float) -> float:
+    """Lambda: the positive number at which exp(lambda * score) has mean 1 over chance tokens."""
     lo, hi = 1e-3, 20.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        mean = float((share0 * np.exp(np.minimum(mid * odds, 600))).sum() + (1 - share0.sum()) * math.exp(-mid * p.penalty))
+        mean = float((share * np.exp(np.minimum(mid * odds, 600))).sum() + (1 - share.sum()) * math.exp(-mid * penalty))
         lo, hi = (mid, hi) if mean < 1 else (lo, mid)
-    m = ToxicModel(tokens, odds, p.penalty, lo, 0.0, 1.0, 0.0)
-    base = sample.where("toxic <> 1").select("text").mapInArrow(_chance_segments(m), "n long, score double").groupBy().agg(F.sum("n").alias("n"), F.sum("score").alias("e")).first()
-    m = ToxicModel(tokens, odds, p.penalty, lo, math.log(max(base["e"] or 0.0, 1e-9) / max(base["n"] or 1, 1)), 1.0, 0.0)
-    step = F.least(F.floor(F.log1p("bits") * 40), F.lit(p.bins))
-    curve = sample.select(F.col("toxic").alias("y"), "text").mapInArrow(_scorer(m, False), "y int, bits double, score double, passages array<struct<first:bigint,last:bigint,score:double>>").groupBy(step.alias("x"), "y").agg(F.count("*").alias("n")).collect()
-    x, y, w = (np.array(c, float) for c in zip(*((r["x"] / 40 + 0.0125 * (r["x"] > 0), r["y"] == 1, r["n"]) for r in curve)))
-    slope, bias = _logistic(x, y, w)
-    return ToxicModel(tokens, odds, p.penalty, m.rate, m.log_k, slope, bias)
+    return lo
 
 
-def _chance_segments(m: ToxicModel):
+def _occurrences(m: ToxicModel):
+    """How often each token of the lexicon stands in some texts; with a null token, how many tokens they have."""
+    tokens = m.tokens
+
+    def count(batches):
+        for batch in batches:
+            for _, _, texts in text_blocks(batch.column(0)):
+                words, _ = scan(texts, ALNUM)
+                spot = np.minimum(np.searchsorted(tokens, words), len(tokens) - 1)
+                n = np.bincount(spot[tokens[spot] == words], minlength=len(tokens))
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([*tokens[some].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[some].tolist(), len(words)], pa.int64())], ["token", "n"])
+
+    return count
+
+
+def _segment_counts(m: ToxicModel):
+    """Tokens and maximal segments of each text."""
     found = _finder(m)
 
-    def chance(batches):
-        """How many segments chance would need to be worth: the sum of exp(lambda * S) / segments."""
+    def count(batches):
         for batch in batches:
             for _, _, texts in text_blocks(batch.column(0)):
-                rows = [(n, sum(1.0 for _ in seg)) for n, seg in found(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["n", "score"])
+                rows = [(n, len(seg)) for n, seg in found(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["n", "segments"])
 
-    return chance
+    return count
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -215,12 +258,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(max(b[0], 0.0)), float(b[1])
 
 
+PASSAGES = "array<struct<first:bigint,last:bigint,score:double>>"
+
+
 def toxicity(docs: DataFrame, m: ToxicModel) -> DataFrame:
     """doc_id, bits, score, passages (token spans) of every row; only the text is looked at.
 
     Null and empty texts have no segments and get the score of a text without any. Repeated rows
-    are scored alike; other columns are not read.
+    are scored alike; other columns are not read. A doc_id of any type passes through.
     """
-    return docs.select("doc_id", "text").mapInArrow(
-        _scorer(m, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits double, score double, passages array<struct<first:bigint,last:bigint,score:double>>"
-    )
+    span = StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("score", DoubleType())])
+    judged = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("bits", DoubleType()), StructField("score", DoubleType()), StructField("passages", ArrayType(span))])
+    return docs.select("doc_id", "text").mapInArrow(_scorer(m), judged)

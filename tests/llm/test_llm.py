@@ -158,7 +158,7 @@ def test_licenses(spark, odd, none):
         assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == license_brute(t)
     assert got[8].labels == "mit" and got[8].score == 1.0
     assert got[10].labels == "apache-2.0"  # one word more: two neighbouring diagonals
-    assert licenses.license_report(none).count() == 0 and licenses.license_report(odd).count() == 10
+    assert licenses.license_report(none).count() == 0 and licenses.license_report(odd).count() == 11
 
 
 def test_embeddings_equal_brute_force(spark):
@@ -272,6 +272,41 @@ def test_segments_are_maximal():
         assert sum(x for *_, x in got) == pytest.approx(sum(sum(s[a : b + 1]) for a, b in slow(s)))
 
 
+def test_segments_equal_their_definition():
+    """Scores without ties: each maximal segment by itself, its ends and its score."""
+
+    def slow(scores, at=0):
+        best = max(((sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        total, i, j = best
+        return [*slow(scores[:i], at), (at + i, at + j - 1, total), *slow(scores[j:], at + j)]
+
+    r = random.Random(9)
+    for _ in range(200):
+        s = [r.uniform(0.5, 3) if r.random() < 0.4 else -0.7 for _ in range(r.randint(0, 14))]
+        at = np.array([i for i, x in enumerate(s) if x > 0], int)
+        got = toxicity.segments(at, np.array([s[i] for i in at]), 0.7)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in slow(s)]
+        assert [x for *_, x in got] == pytest.approx([x for *_, x in slow(s)])
+
+
+def test_lambda_solves_its_equation():
+    share, odds = np.array([0.01, 0.002]), np.array([1.5, 3.0])
+    rate = toxicity._rate(share, odds, 0.05)
+    assert (share * np.exp(rate * odds)).sum() + (1 - share.sum()) * np.exp(-rate * 0.05) == pytest.approx(1)
+
+
+def test_held_out_toxic_documents_are_caught(spark):
+    """At least nine of ten of the fold that nothing is learned from, few others."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").select("doc_id", "score", "toxic").collect()
+    held = [(x.score >= 0.5, x.toxic) for x in got if zlib.crc32(str(x.doc_id).encode()) % 5 == 0]
+    caught, toxic = sum(p and y for p, y in held), sum(y for _, y in held)
+    assert caught >= 0.9 * toxic and sum(p and not y for p, y in held) <= 0.01 * len(held)
+
+
 def test_toxicity_learns_and_scores(spark, odd, none):
     r = random.Random(4)
     rows, labels = [], []
@@ -335,6 +370,16 @@ def test_packing_round_trip(spark, odd, none):
     assert packing.packed(odd, packing.Packing(vocabulary())).where("start = 0").count() == 11
 
 
+def whole(pieces):
+    """What doesn't depend on partitions: by document the number of copies, and the tokens of all pieces."""
+    got = Counter()
+    for x in pieces.collect():
+        got[x.doc_id, "copies"] += x.start == 0
+        got[x.doc_id, "tokens"] += x.length
+        got[x.doc_id, "size"] = max(got[x.doc_id, "size"], x.doc_tokens)
+    return got
+
+
 def test_pipeline_runs(spark, sf):
     import corpus_pipeline
 
@@ -346,4 +391,40 @@ def test_pipeline_runs(spark, sf):
         assert docs.columns == columns and docs.count() <= before * (2 if name == "mix_sources" else 1)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert pieces.where("start = 0").count() == docs.count()
-    assert corpus_pipeline.run(spark, sf).count() == pieces.count()
+    assert whole(corpus_pipeline.run(spark, sf)) == whole(pieces)
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_stages_take_odd_rows_and_columns(spark, sf, odd, none, which):
+    """Nulls, empty and long texts, repeated rows, clashing and quoted names, and an empty table."""
+    import corpus_pipeline
+
+    docs = {"odd": odd, "none": none}[which]
+    docs = docs.withColumn("my col", F.lit(1)).withColumn("n_words", F.lit("mine")).withColumn("gone", F.lit(2)).withColumn("a.b`c", F.lit(3))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema["n_words"].dataType.simpleString() == "string"
+        rows = out.collect()
+        if which == "none":
+            assert not rows
+        else:
+            ids = Counter(x.doc_id for x in rows)
+            assert {x["n_words"] for x in rows} == {"mine"} and {x["my col"] for x in rows} == {1} and {x["gone"] for x in rows} == {2}
+            assert ids[1] >= 1 and ids[2] >= 1 or name == "mix_sources"
+            assert name != "near_duplicates" or (5 not in ids and ids[4] == 2)
+            assert name != "repeated_passages" or (len(rows) == 11 and {x.text for x in rows if x.doc_id == 5} == {""})
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.where("start = 0").count() == docs.count()
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = words(60, 21), words(60, 22)
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b + " x"), (3, words(60, 23))], "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in near_dedup.drop_near(df).collect()) == sorted([(1, a), (2, b), (3, words(60, 23))])
+    got = Counter((x.doc_id, x.component_id) for x in near_dedup.near_components(df).collect())
+    assert got == Counter([(1, 1), (2, 1), (2, 2), (3, 2), (3, 3)])
+    vectors = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    rows = embedding_dedup.embedding_components(spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<float>, label int")).collect()
+    assert Counter((x.vec_id, x.n_links, x.component_id) for x in rows) == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)])
+    report = licenses.license_report(spark.createDataFrame([(1, "cc by")] * 2500 + [(1, "cc")], "doc_id long, text string"))
+    assert report.groupBy("base_labels").count().orderBy("count").collect() == [("", 1), ("cc-by", 2500)]
