@@ -119,9 +119,9 @@ def test_extraction_of_an_article():
     <main><article class="post"><header><h1>Title &amp; more</h1></header><p>One <i>two</i>
     three&nbsp;four.<p>Five<div class="ad">Buy</div><ul><li>a<li>b</ul><form><input name=q> Search</form><section class="comments"><p>nice</p></section></article></main>
     <aside><p>side</p></aside><footer>f</footer><script>if(a<b){"</p>"}</script></body></html>"""
-    assert extraction.main_text(page, {})[0] == "Title & more\n\nOne two three four.\n\nFive\n\na\n\nb"
-    assert extraction.main_text("", {})[0] == "" and extraction.main_text("a <b", {})[0] == "a"
-    assert extraction.main_text("<p>" * 3000 + "x", {})[0] == "x"
+    assert extraction.main_text(page)[0] == "Title & more\n\nOne two three four.\n\nFive\n\na\n\nb"
+    assert extraction.main_text("")[0] == "" and extraction.main_text("a <b")[0] == "a"
+    assert extraction.main_text("<p>" * 3000 + "x")[0] == "x"
 
 
 def test_extraction_learns_a_hosts_template(spark):

@@ -32,3 +32,95 @@ def test_a_template_of_any_size_keeps_its_last_tokens(spark):
 
 def test_copies_of_one_page_keep_their_article(spark):
     assert set(texts(spark, ["<article><p>the same on all</p></article>"] * 25).values()) == {"the same on all"}
+
+
+def vectors(pages):
+    """Occurrence vectors of each token over the pages, by counting."""
+    from collections import Counter
+
+    seqs = [extraction.page_tokens(p)[0] for p in pages]
+    counts = [Counter(s) for s in seqs]
+    return seqs, {t: tuple(c[t] for c in counts) for t in set().union(*counts)}
+
+
+def brute_classes(pages, p):
+    """Members of valid classes by their definition, from whole vectors and all pages at once."""
+    seqs, vector = vectors(pages)
+    n = sum(bool(s) for s in seqs)
+    strong = {t: v for t, v in vector.items() if sum(map(bool, v)) >= max(p.pages, p.support * n)}
+    signed = lambda t: t - (1 << 64) if t >> 63 else t
+    place = {}
+    for t in strong:
+        at = [(s.index(t) + 1) / len(s) for s in seqs if t in s]
+        place[t] = sum(at) / len(at)
+    groups = {}
+    for t, v in strong.items():
+        groups.setdefault(v, []).append(t)
+    root_vector = tuple(int(bool(s)) for s in seqs)
+    roots = set(groups.get(root_vector, ()))
+    out = set()
+    for v, members in groups.items():
+        members.sort(key=lambda t: (round(place[t], 9), signed(t)))
+        slots, whole, bad = set(), True, set()
+        for s in seqs:
+            slot, got = 0, []
+            for t in s:
+                slot += t in roots
+                if t in members:
+                    got.append(members.index(t))
+                    slots.add(slot)
+            if max(v) == 1:
+                kept = extraction._in_order([(k, i) for i, k in enumerate(got)])
+                bad |= {members[k] for i, k in enumerate(got) if i not in kept}
+            else:
+                whole &= got == list(range(len(members))) * (len(got) // len(members))
+        if whole and (v == root_vector or len(slots) == 1):
+            out |= set(members) - bad
+    return {signed(t) for t in out}
+
+
+def random_pages(r, n):
+    def some(k):
+        return " ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(k))
+
+    pages = []
+    for i in range(n):
+        links = "".join(f"<li><a href=x>{some(1)}</a></li>" for _ in range(r.randint(2, 5)))
+        parts = [f"<div><ul>{links}</ul></div>", f"<section><h2>{some(3)}</h2>{''.join(f'<p>{some(20)}</p>' for _ in range(r.randint(2, 6)))}<table><tr><td>{some(1)}</td></tr></table></section>", "<div>all rights kept</div>"]
+        if r.random() < 0.6:
+            parts.insert(r.choice([1, 1, 2]), f"<div><b>offer</b>{some(4)}</div>")
+        if r.random() < 0.2:
+            parts.reverse()
+        pages.append(f"<body>{''.join(parts)}</body>")
+    return pages
+
+
+def test_valid_classes_equal_brute_force(spark):
+    import random
+
+    r = random.Random(12)
+    p = extraction.Extraction()
+    hosts = {f"h{k}": random_pages(r, r.randint(2, 14)) for k in range(8)}
+    rows = [(h, k * 100 + i, page) for k, (h, pages) in enumerate(hosts.items()) for i, page in enumerate(pages)] + [("h0", 9999, None)]
+    seqs = spark.createDataFrame(rows, "host string, key long, html string").repartition(3).mapInArrow(extraction._sequences, extraction.FACTS)
+    got = {}
+    for x in extraction.valid_members(seqs, extraction.token_classes(seqs, p)).collect():
+        got.setdefault(x.host, set()).add(x.token)
+    assert got == {h: brute_classes(pages, p) for h, pages in hosts.items()}
+    assert any(len(v) > 8 for v in got.values())
+
+
+def test_the_slot_is_found_without_any_names(spark):
+    """Containers alone tell the article from menus, adverts and footers; without a template they don't."""
+    import random
+
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+    want, bodies = {}, []
+    for i in range(12):
+        paragraphs = [words(r.choice([4, 30])) for _ in range(r.randint(1, 4))] if i else [words(3)]
+        advert = f"<div>{words(12)}</div>" if i % 2 else ""
+        bodies.append(f"<body><div><ul><li><a>{words(1)}</a></li></ul></div>{advert}<div><h1>{i} title</h1>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div><div>{words(9)}</div></body>")
+        want[i] = "\n\n".join([f"{i} title", *paragraphs])
+    assert texts(spark, bodies) == want
+    assert {i: extraction.main_text(b)[0] for i, b in enumerate(bodies)} != want
