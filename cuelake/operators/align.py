@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +14,16 @@ from ..functions.text import indel
 # Fixed values of the alignment's scores, bands and budget.
 LIKE, LIKE_SCORE, UNLIKE, GAP = 0.85, 2.0, -0.6, -0.75
 MARGINS, CELLS = (64, 256, 1024), 2_000_000
+BONUS, LEAST_RADIUS = 0.2, 2.0
 DELETE, INSERT, PAIR = 1, 2, 3
 
-OPS = "ep long, op_pos long, kind string, left_idx long, right_idx long, score double"
+#: Scores are whole numbers of this part of 1, so that equal scores are equal whatever their order of addition.
+UNIT = 20 * 2**24
+GAP_UNITS, UNLIKE_UNITS, NEVER = round(GAP * UNIT), round(UNLIKE * UNIT), -(2**60)
+#: Cells whose steps are kept at once; larger parts are halved.
+HELD = 1 << 24
+
+OPS = "ep long, op_pos long, kind string, left_idx long, right_idx long, score double, limited boolean"
 
 
 def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]]:
@@ -51,100 +59,283 @@ def bands(n: int, m: int, margin: int, centres: list[tuple[int, int]]) -> list[l
     return out
 
 
+class Scores:
+    """What pairing left token i with each right token of a range is worth, a row at a time.
+
+    Each different left token is compared with the different right tokens once, and only with those
+    whose letters allow a ratio of ``LIKE``. ``priors`` are (expected time, radius) of left tokens and
+    the times of right ones: like pairs near their expected time score up to ``BONUS`` more.
+    """
+
+    def __init__(self, left: list[str], right: list[str], priors=None):
+        names = sorted(set(right))
+        number = {t: k for k, t in enumerate(names)}
+        self.left, self.right, self.priors = left, right, priors
+        self.ids = np.array([number[t] for t in right], np.int64)
+        self.worth = np.full(len(names), UNLIKE_UNITS, np.int64)
+        self.names, self.number = names, number
+        self.bags, self.sizes = self._bags(names), np.array([len(t) for t in names], np.int64)
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def _bags(names: list[str]) -> np.ndarray:
+        bags = np.zeros((len(names), 64), np.int16)
+        for k, t in enumerate(names):
+            for c in t:
+                bags[k, ord(c) % 64] += 1
+        return bags
+
+    def like(self, token: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of right tokens that are like ``token``, their scores)."""
+        if token not in self.known:
+            found = []
+            if token and len(self.names):
+                apart = np.abs(self.bags - self._bags([token])[0]).sum(axis=1)  # never more than letters to add or remove
+                near = apart <= (1 - LIKE) * (self.sizes + len(token)) + 1e-9
+                for k in np.flatnonzero(near & (self.sizes > 0)):
+                    ratio = 1.0 if self.names[k] == token else indel(token, self.names[k]) / 100
+                    if ratio >= LIKE:
+                        found.append((k, round(LIKE_SCORE * ratio * UNIT)))
+            self.known[token] = (np.array([k for k, _ in found], np.int64), np.array([s for _, s in found], np.int64))
+        return self.known[token]
+
+    def row(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Scores of left token i with right tokens lo..hi-1."""
+        ids, scores = self.like(self.left[i])
+        self.worth[ids] = scores
+        out = self.worth[self.ids[lo:hi]]
+        self.worth[ids] = UNLIKE_UNITS
+        if self.priors is not None and len(ids):
+            expected, radius, times = self.priors
+            away = np.abs(times[lo:hi] - expected[i]) / radius[i]
+            out = out + np.where((out != UNLIKE_UNITS) & (away < 1), np.rint(BONUS * UNIT * (1 - np.minimum(away, 1))).astype(np.int64), 0)
+        return out
+
+
+def _down(scores: Scores, above: np.ndarray, i: int, base: int, ranges, gaps: np.ndarray, left0: int):
+    """The row after ``above`` (columns base..base+len-1) and, by range, the step that reaches each cell.
+
+    Among equal scores delete comes before insert before pair; inserts run along a range, so their
+    best start is a running maximum.
+    """
+    now, how = np.full(len(above), NEVER, np.int64), []
+    for lo, hi in ranges:
+        a, b = lo - base, hi - base + 1
+        down = above[a:b] + GAP_UNITS
+        pair = np.full(b - a, NEVER, np.int64)
+        first = max(lo, base + 1)
+        if first <= hi:
+            pair[first - lo :] = above[first - 1 - base : hi - base] + scores.row(left0 + i - 1, first - 1, hi)
+        best = np.maximum(down, pair)
+        run = np.maximum.accumulate(best - gaps[: b - a]) + gaps[: b - a]
+        kind = np.where(run == down, DELETE, np.where(run > best, INSERT, PAIR)).astype(np.uint8)
+        insert = np.zeros(b - a, bool)
+        insert[1:] = run[:-1] + GAP_UNITS == run[1:]
+        kind[(kind == PAIR) & insert] = INSERT
+        dead = run <= NEVER // 2
+        now[a:b] = np.where(dead, NEVER, run)
+        kind[dead] = 0
+        how.append((lo, kind))
+    return now, how
+
+
+def _fill(scores: Scores, rows, left0: int = 0, right0: int = 0, m: int | None = None):
+    """Steps (kind, i, j) of the best script within the bands of ``rows``; None if they don't reach the end.
+
+    Columns are counted from ``right0`` in the scores, rows from ``left0``; ``rows`` are absolute columns.
+    """
+    m = len(scores.right) if m is None else m
+    base, n = right0, len(rows) - 1
+    gaps = np.arange(m + 1, dtype=np.int64) * GAP_UNITS
+    above, step = np.full(m + 1, NEVER, np.int64), []
+    first = []
+    for lo, hi in rows[0]:
+        kind = np.zeros(hi - lo + 1, np.uint8)
+        if lo == base:
+            above[: hi - base + 1], kind[1:] = gaps[: hi - base + 1], INSERT
+        first.append((lo, kind))
+    step.append(first)
+    for i in range(1, n + 1):
+        above, how = _down(scores, above, i, base, rows[i], gaps, left0)
+        step.append(how)
+    if above[m] == NEVER:
+        return None
+    out, i, j = [], n, base + m
+    while i or j > base:
+        kind = next(kinds[j - lo] for lo, kinds in step[i] if lo <= j < lo + len(kinds))
+        i, j = i - (kind != INSERT), j - (kind != DELETE)
+        out.append((int(kind), left0 + i, j))
+    return out[::-1]
+
+
+def _exact(scores: Scores, a: int, b: int, c: int, d: int) -> list[tuple[int, int, int]]:
+    """Steps of a best script of left[a:b] and right[c:d], over all cells; large parts are halved."""
+    n, m = b - a, d - c
+    if not n or not m or n * m <= HELD:
+        return _fill(scores, [[(c, d)]] * (n + 1), a, c, m)
+    if n == 1:
+        return _fill(scores, [[(c, d)]] * 2, a, c, m)
+    half, gaps = n // 2, np.arange(m + 1, dtype=np.int64) * GAP_UNITS
+    row = gaps.copy()
+    for i in range(1, half + 1):
+        row, _ = _down(scores, row, i, c, [(c, d)], gaps, a)
+    up = gaps.copy()
+    for i in range(n - 1, half - 1, -1):  # from the end: best score of the rest, by column
+        pair = np.full(m + 1, NEVER, np.int64)
+        pair[1:] = up[:-1] + scores.row(a + i, c, d)[::-1]
+        best = np.maximum(up + GAP_UNITS, pair)
+        up = np.maximum.accumulate(best - gaps) + gaps
+    j = c + int(np.argmax(row + up[::-1]))
+    return _exact(scores, a, a + half, c, j) + _exact(scores, a + half, b, j, d)
+
+
 def edit_script(left: list[str], right: list[str]) -> list[tuple[str, int | None, int | None, float]]:
-    """Operations in order: match, replace, delete (left only), insert (right only).
+    """The operations of ``scripted`` alone."""
+    return scripted(left, right)[0]
+
+
+def scripted(left: list[str], right: list[str], priors=None) -> tuple[list[tuple[str, int | None, int | None, float]], bool]:
+    """(operations in order: match, replace, delete (left only), insert (right only); whether bands fell short).
 
     A like pair scores as one but is a match only if both are the same. Among equal scores delete
-    comes before insert before match. Bands widen until all unique exact pairs are matched or the
-    budget of cells is used up; then the last run stands. Without any run nothing matches.
+    comes before insert before match. Bands widen until all unique exact pairs are matched. Where the
+    budget of cells ends before, both sequences are cut at these pairs and each part is aligned over
+    all of its cells, so no match is given up.
     """
     n, m = len(left), len(right)
     pairs = unique_exact_pairs(left, right)
-    room, last = CELLS, None
+    scores = Scores(left, right, priors)
+    centres = pairs
+    if priors is not None and m:
+        expected, _, times = priors
+        after = np.clip(np.searchsorted(times, expected), 1, max(m - 1, 1))
+        near = np.where(np.abs(times[after - 1] - expected) <= np.abs(times[np.minimum(after, m - 1)] - expected), after - 1, np.minimum(after, m - 1))
+        centres = pairs + list(enumerate(near.tolist()))
+    room, steps = CELLS, None
     for margin in dict.fromkeys(min(x, max(n, m)) for x in MARGINS):
-        rows = bands(n, m, margin, pairs)
+        rows = bands(n, m, margin, centres)
         cells = sum(b - a + 1 for r in rows for a, b in r)
         if cells > room:
             continue
         room -= cells
-        ops = _fill(left, right, rows)
-        if ops is None:
-            continue
-        last = ops
-        if margin >= max(n, m) or set(pairs) <= {(i, j) for kind, i, j, _ in ops if kind == "match"}:
+        got = _fill(scores, rows)
+        if got is not None and (margin >= max(n, m) or set(pairs) <= {(i, j) for kind, i, j in got if kind == PAIR}):
+            steps = got
             break
-    if last is None:
-        return [("delete", i, None, 0.0) for i in range(n)] + [("insert", None, j, 0.0) for j in range(m)]
-    return last
+    limited = steps is None
+    if limited:
+        steps, a, c = [], 0, 0
+        for i, j in [*pairs, (n, m)]:
+            steps += _exact(scores, a, i, c, j)
+            if i < n:
+                steps.append((PAIR, i, j))
+            a, c = i + 1, j + 1
+    return [_operation(left, right, *s) for s in steps], limited
 
 
-def _fill(left, right, rows):
-    """The best script within the bands; None if they don't reach the end."""
-    n, m = len(left), len(right)
-    low = float("-inf")
-    above: dict[int, float] = {}
-    step: list[list[tuple[int, bytearray]]] = []  # a row's ranges: first column, 0 or the kind of each
-    known: dict[tuple[str, str], float] = {}
-    for i, ranges in enumerate(rows):
-        now: dict[int, float] = {}
-        how = []
-        x = left[i - 1] if i else ""
-        for lo, hi in ranges:
-            kinds = bytearray(hi - lo + 1)
-            for j in range(lo, hi + 1):
-                if i == 0 and j == 0:
-                    now[0] = 0.0
-                    continue
-                score, kind = low, 0
-                if j in above:
-                    score, kind = above[j] + GAP, DELETE
-                if j - 1 in now and now[j - 1] + GAP > score:
-                    score, kind = now[j - 1] + GAP, INSERT
-                if i and j - 1 in above:
-                    y = right[j - 1]
-                    if x == y:
-                        s = 1.0 if x else 0.0
-                    elif 2 * min(len(x), len(y)) < LIKE * (len(x) + len(y)):
-                        s = 0.0  # too different in length to be like
-                    elif (s := known.get((x, y))) is None:
-                        s = known[x, y] = indel(x, y) / 100
-                    s = above[j - 1] + (LIKE_SCORE * s if s >= LIKE else UNLIKE)
-                    if s > score:
-                        score, kind = s, PAIR
-                if kind:
-                    now[j], kinds[j - lo] = score, kind
-            how.append((lo, kinds))
-        above = now
-        step.append(how)
-    if m not in above:
-        return None
-    out, i, j = [], n, m
-    while i or j:
-        kind = next(kinds[j - lo] for lo, kinds in step[i] if lo <= j < lo + len(kinds))
-        if kind == PAIR:
-            i, j = i - 1, j - 1
-            same = left[i] == right[j]
-            out.append(("match" if same else "replace", i, j, 1.0 if same else indel(left[i], right[j]) / 100))
-        elif kind == DELETE:
-            i -= 1
-            out.append(("delete", i, None, 0.0))
-        else:
-            j -= 1
-            out.append(("insert", None, j, 0.0))
-    return out[::-1]
+def _operation(left: list[str], right: list[str], kind: int, i: int, j: int) -> tuple[str, int | None, int | None, float]:
+    if kind == DELETE:
+        return "delete", i, None, 0.0
+    if kind == INSERT:
+        return "insert", None, j, 0.0
+    x, y = left[i], right[j]
+    same = x == y and x != ""
+    return "match" if same else "replace", i, j, 1.0 if same else indel(x, y) / 100
 
 
 def align_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Edit scripts of (ep, idx, token) sequences, one task group an episode."""
+    """Edit scripts of (ep, idx, token) sequences, one task group an episode.
+
+    Null tokens count as empty, which is like nothing. ``limited`` tells that the bands of the episode fell short.
+    """
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("idx"), b.sort_values("idx")
-        ops = edit_script(a["token"].tolist(), b["token"].tolist())
-        return pd.DataFrame([(key[0], k, *op) for k, op in enumerate(ops)], columns=["ep", "op_pos", "kind", "left_idx", "right_idx", "score"]).astype({"left_idx": "Int64", "right_idx": "Int64"})
+        a, b = (x.sort_values("idx")["token"].fillna("").tolist() for x in (a, b))
+        return _frame(key[0], *scripted(a, b))
 
     return left.groupBy("ep").cogroup(right.groupBy("ep")).applyInPandas(run, OPS)
 
 
+def _frame(ep, ops, limited: bool) -> pd.DataFrame:
+    return pd.DataFrame([(ep, k, *op, limited) for k, op in enumerate(ops)], columns=["ep", "op_pos", "kind", "left_idx", "right_idx", "score", "limited"]).astype({"left_idx": "Int64", "right_idx": "Int64"})
+
+
+def fit_times(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
+    """(rate, offset) of anchors in order; None where not even the median anchor fits.
+
+    The rate is 1 unless the median slope of up to 128 evenly spaced anchors, from 0.5 to 2, leaves a
+    smaller median residual.
+    """
+    if not len(x):
+        return None
+    rate, offset = 1.0, float(np.median(y - x))
+    miss = float(np.median(np.abs(x + offset - y)))
+    spread = x[-1] - x[0]
+    if len(x) > 1 and spread >= 5.0:
+        pick = np.arange(len(x)) if len(x) <= 128 else np.array([round(k * (len(x) - 1) / 127) for k in range(128)])
+        i, j = np.triu_indices(len(pick), 1)
+        dx, dy = x[pick][j] - x[pick][i], y[pick][j] - y[pick][i]
+        far = dx >= max(1.0, spread * 0.1)
+        if far.any():
+            r = float(np.median(dy[far] / dx[far]))
+            if 0.5 <= r <= 2.0:
+                o = float(np.median(y - r * x))
+                left = float(np.median(np.abs(r * x + o - y)))
+                if left < miss:
+                    rate, offset, miss = r, o, left
+    return None if miss > max(2.0, abs(y[-1] - y[0]) * 0.05) else (rate, offset)
+
+
+def align_timed(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """J1 with W24's priors: as ``align_tokens`` over (ep, idx, token, cue_id, start, end) and (ep, idx, token, start, end).
+
+    Times are seconds, a token's being its cue's. Where a token that both sides have stands twice on
+    one and all times are in order, a second pass prefers pairs near the expected time; unique matches
+    of the first pass tell how the cues' times became the words'.
+    """
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("idx"), b.sort_values("idx")
+        left, right = a["token"].fillna("").tolist(), b["token"].fillna("").tolist()
+        ops, limited = scripted(left, right)
+        priors = time_priors_of(a, b, left, right, ops)
+        if priors is not None:
+            ops, more = scripted(left, right, priors)
+            limited = limited or more
+        return _frame(key[0], ops, limited)
+
+    return tokens.groupBy("ep").cogroup(words.groupBy("ep")).applyInPandas(run, OPS)
+
+
+def time_priors_of(a: pd.DataFrame, b: pd.DataFrame, left: list[str], right: list[str], ops) -> tuple | None:
+    """(expected times, radii, word centres) of a second pass; None where it would not help or times are unusable."""
+    n, m = Counter(left), Counter(right)
+    if not any(t and (n[t] > 1 or m[t] > 1) for t in n.keys() & m.keys()):
+        return None
+    cues = a.drop_duplicates("cue_id")
+    for s, e in ((cues["start"], cues["end"]), (b["start"], b["end"])):
+        s, e = s.to_numpy(float), e.to_numpy(float)
+        if not len(s) or not np.isfinite(s).all() or not np.isfinite(e).all() or (s < 0).any() or (e < s).any() or (np.diff(s) < 0).any():
+            return None
+    nth = a.groupby("cue_id").cumcount().to_numpy()
+    size = a.groupby("cue_id")["idx"].transform("size").to_numpy()
+    lasts = (a["end"] - a["start"]).to_numpy(float)
+    expected, radius = a["start"].to_numpy(float) + lasts * ((nth + 0.5) / size), np.maximum(LEAST_RADIUS, lasts)
+    times = ((b["start"] + b["end"]) / 2).to_numpy(float)
+    anchors = [(i, j) for kind, i, j, _ in ops if kind == "match" and n[left[i]] == 1 and m[right[j]] == 1]
+    if anchors:
+        x, y = expected[[i for i, _ in anchors]], times[[j for _, j in anchors]]
+        fit = None if (np.diff(x) <= 0).any() or (np.diff(y) < 0).any() else fit_times(x, y)
+        if fit is not None:
+            expected, radius = fit[1] + fit[0] * expected, np.maximum(LEAST_RADIUS, fit[0] * radius)
+    return expected, radius, times
+
+
+def band_limited_flags(ops: DataFrame) -> DataFrame:
+    """One warning an episode whose bands fell short of the unique exact pairs."""
+    return ops.where("limited").select("ep").distinct().select("ep", F.lit("alignment_band_limited").alias("kind"), F.lit("warning").alias("severity"))
+
+
 def divergences(ops: DataFrame) -> DataFrame:
     """A5: maximal runs of operations that are no match, with the matches on either side."""
     w = Window.partitionBy("ep").orderBy("op_pos")

@@ -9,13 +9,17 @@ from ..functions.text import repetitive
 from ..functions.timing import snap_ceil, snap_floor
 from .intervals import overlap_join
 
-# Kinds of findings that a resumed run works out anew.
-RECOMPUTED = ("impossible_cps_fast", "impossible_cps_slow", "negative_duration", "min_duration", "frame_grid", "line_count", "line_length", "overlap")
+# Kinds of findings that the last stage of a run works out anew.
+RECOMPUTED = (
+    "asr_word_clamped", "cps_cue_merged", "cps_duration_extended", "cue_on_silence", "cue_without_speech_activity", "cue_with_excessive_trailing_silence",
+    "adlib_removed_without_speech_activity", "duplicate_cue_merged", "forced_alignment_refined", "impossible_cps_fast", "impossible_cps_slow",
+    "output_overlap_resolved", "overlap_detected", "speaker_transition_gap_inserted", "timing_refined", "vad_provider_fallback",
+)
 
 
 def without_stale(flags: DataFrame, kinds: tuple[str, ...] = RECOMPUTED) -> DataFrame:
-    """Findings that a resumed run keeps."""
-    return flags.where(~F.col("kind").isin(*kinds))
+    """Findings that a resumed run keeps; one without kind is kept."""
+    return flags.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)))
 
 
 def known_different(left: Column, right: Column) -> Column:
@@ -96,10 +100,10 @@ def silent_removal(cues: DataFrame, inserted: DataFrame, silent: DataFrame) -> D
 
 
 def reject_generated(added: DataFrame, limits: DataFrame, toks: Column, slack_us: int = 5_000_000) -> DataFrame:
-    """Why a generated cue is refused: it repeats itself or lies outside the episode's words."""
+    """Why a generated cue is refused: it repeats itself or lies outside the source's extent."""
     d = added.join(limits.select("ep", "first_us", "last_us"), "ep", "left")
     start, end = F.coalesce("start_us", "end_us"), F.coalesce("end_us", "start_us")
-    outside = (start < F.col("first_us") - slack_us) | (end > F.col("last_us") + slack_us)
+    outside = (end < F.col("first_us") - slack_us) | (start > F.col("last_us") + slack_us)
     return d.withColumn("reason", F.when(repetitive(toks), "repetitive").when(outside, "outside")).drop("first_us", "last_us")
 
 

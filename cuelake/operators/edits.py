@@ -60,9 +60,14 @@ def first_wins(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("o")).select(*keys, "o.*")
 
 
+# Names of parameters that never enter a key.
+SECRETS = ("api_key", "access_token", "authorization", "auth_token", "hf_token", "password", "secret", "token")
+
+
 def cache_keys(rows: DataFrame, *parts: str) -> DataFrame:
-    """A digest of the parts in a fixed order."""
-    return rows.withColumn("digest", F.sha2(F.concat_ws("|", *parts), 256))
+    """A digest of the parts as canonical JSON: names in order, nulls told apart, secrets left out."""
+    kept = sorted(p for p in parts if p.lower() not in SECRETS)
+    return rows.withColumn("digest", F.sha2(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}), 256))
 
 
 def span_coverage(spans: DataFrame, source: DataFrame, rebuilt: DataFrame, least: float = 0.5) -> DataFrame:

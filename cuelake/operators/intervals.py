@@ -87,11 +87,20 @@ def nearest(probes: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def speech_envelope(words: DataFrame, regions: DataFrame, width: int, gap_us: int, over_us: int, long_us: int) -> DataFrame:
-    """Words are cut where speech around their start has ended, or after ``long_us``.
+    """Words that last over ``long_us`` or pass the end of speech by over ``over_us`` are cut.
 
-    The envelope is the island of regions with gaps up to ``gap_us`` that holds the word's start.
+    Speech is the first region that holds the word's start and those after it, each up to ``gap_us``
+    after all before, that begin by the word's end. Words outside all regions are held to ``long_us`` alone.
     """
-    stretched = merge_intervals(regions.select("ep", "start_us", (F.col("end_us") + gap_us).alias("end_us"))).select("ep", "start_us", (F.col("end_us") - gap_us).alias("end_us"))
-    held = containing_region(words.withColumn("at", F.col("start_us")), stretched, "at", "word_idx", width)
-    limit = F.least(F.col("start_us") + long_us, F.coalesce(F.greatest(F.col("region_end"), F.col("start_us")) + over_us, F.lit(2**62)))
-    return held.withColumn("new_end", F.least("end_us", limit)).withColumn("clamped", F.col("new_end") < F.col("end_us")).drop("at", "region_start", "region_end")
+    order = Window.partitionBy("ep").orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
+    chained = islands(regions.select("ep", "start_us", "end_us"), F.col("start_us") - F.max("end_us").over(order) > gap_us, ["start_us", "end_us"], "chain")
+    pairs = overlap_join(words.select("ep", "word_idx", "start_us", "end_us"), chained, width, touching=True)
+    holds = (F.col("r_start_us") <= F.col("l_start_us")) & (F.col("l_start_us") <= F.col("r_end_us"))
+    key = ["l_ep", "l_word_idx", "r_chain"]
+    chains = pairs.groupBy(*key).agg(F.min(F.when(holds, F.struct("r_start_us", "r_end_us"))).alias("holder"), F.max("r_end_us").alias("speech_end"))
+    ends = chains.where("holder is not null").groupBy(F.col("l_ep").alias("ep"), F.col("l_word_idx").alias("word_idx")).agg(F.min_by("speech_end", "holder").alias("speech_end"))
+    d = words.join(ends, ["ep", "word_idx"], "left")
+    too_long = F.col("end_us") - F.col("start_us") > long_us
+    over = F.coalesce(F.col("end_us") - F.col("speech_end") > over_us, F.lit(False))
+    end = F.least(F.col("end_us"), F.when(too_long, F.col("start_us") + long_us), F.when(over, F.col("speech_end")))
+    return d.withColumn("new_end", F.greatest("start_us", end)).withColumn("clamped", too_long | over).drop("speech_end")

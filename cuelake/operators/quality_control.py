@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timing import aligned, cps
+from .apply_decisions import plain_text
 from .sequence import by
 
 # The frame rates that detection tries, in order of preference.
@@ -31,7 +32,7 @@ def style_lint(cues: DataFrame, width: Callable[[Column], Column], fps: float =
     lines = F.split("text", "\n")
     broken = {
         "negative_duration": (lasts < 0, "error"),
-        "min_duration": ((lasts >= 0) & (lasts < min_ms), "warning"),
+        "min_duration": (lasts < min_ms, "warning"),
         "frame_grid": (~aligned(F.col("start_ms"), fps) | ~aligned(F.col("end_ms"), fps), "warning"),
         "line_count": (F.size(lines) > most_lines, "warning"),
         "overlap": (F.coalesce((F.col("start_ms") < prev_end) & same, F.lit(False)), "warning"),
@@ -66,33 +67,39 @@ def fps_detect(cues: DataFrame) -> DataFrame:
     return top.select("ep", "fps", F.col("error").alias("error_ms"), ((F.col("error") <= 2) & (F.col("next") - F.col("error") >= 0.25)).alias("confident"))
 
 
-def style_profile(cues: DataFrame, width: Column) -> DataFrame:
-    """A10: limits that an episode keeps: robust from 20 cues on, else its extremes."""
-    lasts = (F.col("end_ms") - F.col("start_ms")) / 1000.0
-    d = cues.withColumn("w", width).withColumn("d", lasts).withColumn("zero", F.col("end_ms") == F.lead("start_ms").over(by("pos")))
-    up = Window.partitionBy("ep").orderBy("w")
-    down = Window.partitionBy("ep").orderBy("d")
-    n = F.count("*").over(Window.partitionBy("ep"))
-    d = d.withColumn("n", n).withColumn("wr", F.row_number().over(up)).withColumn("dr", F.row_number().over(down))
-    upper = F.max(F.when(F.col("wr") <= F.when(F.col("n") < 20, F.col("n")).otherwise(F.greatest(F.lit(1), F.ceil(0.95 * F.col("n")))), F.col("w")))
-    lower = F.min(F.when(F.col("dr") > F.when(F.col("n") < 20, 0).otherwise(F.floor(0.05 * F.col("n"))), F.col("d")))
-    return d.groupBy("ep").agg(F.count("*").alias("n"), F.greatest(F.lit(26), upper).cast("long").alias("max_chars"), F.least(F.round(lower, 3), F.lit(0.5)).alias("min_dur"), F.coalesce(F.max("zero"), F.lit(False)).alias("zero_gap"), F.round(F.min("d"), 3).alias("shortest"), F.round(F.max("d"), 3).alias("longest"))
-
-
-def timing_metrics(predicted: DataFrame, golden: DataFrame, fps: float = 30.0) -> DataFrame:
-    """Start error of cues matched by id: mean, and shares within one and three frames."""
-    g = golden.select("ep", "cue_id", F.col("start_ms").alias("gold_ms"))
-    miss = F.abs(F.col("start_ms") - F.col("gold_ms"))
-    share = lambda k: F.round(F.avg((miss <= k * 1000.0 / fps).cast("double")), 4)
-    return predicted.join(g, ["ep", "cue_id"], "left").groupBy("ep").agg(F.count("*").alias("n"), F.count("gold_ms").alias("matched"), F.round(F.avg(miss), 3).alias("mae_ms"), share(1).alias("within_1"), share(3).alias("within_3"))
+def _limit(values: DataFrame, name: str, upper: bool) -> DataFrame:
+    """ep and its highest or lowest value ``v``: from 20 values on without the outer twentieth."""
+    n, i = F.count("*").over(Window.partitionBy("ep")), F.row_number().over(Window.partitionBy("ep").orderBy("v"))
+    d = values.withColumn("n", n).withColumn("i", i)
+    many = F.col("n") >= 20
+    if upper:
+        return d.where(F.col("i") <= F.when(many, F.greatest(F.lit(1), F.ceil(0.95 * F.col("n")))).otherwise(F.col("n"))).groupBy("ep").agg(F.max("v").alias(name))
+    return d.where(F.col("i") > F.when(many, F.floor(0.05 * F.col("n"))).otherwise(0)).groupBy("ep").agg(F.min("v").alias(name))
 
 
-def precision_recall(flagged: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """From two sets of keys; null where a denominator is 0."""
-    f, a = flagged.select(key).distinct().withColumn("f", F.lit(1)), actual.select(key).distinct().withColumn("a", F.lit(1))
-    both = f.join(a, key, "full_outer").agg(F.count(F.when(F.col("f").isNotNull() & F.col("a").isNotNull(), 1)).alias("tp"), F.count("f").alias("flagged"), F.count("a").alias("actual"))
-    share = lambda n, d: F.when(d > 0, F.round(n / d, 4))
-    return both.select("tp", (F.col("flagged") - F.col("tp")).alias("fp"), (F.col("actual") - F.col("tp")).alias("fn"), share(F.col("tp"), F.col("flagged")).alias("precision"), share(F.col("tp"), F.col("actual")).alias("recall"))
+def style_profile(cues: DataFrame, width: Callable[[Column], Column]) -> DataFrame:
+    """A10: limits that an episode keeps: robust from 20 cues (or lines) on, else its extremes."""
+    lasts = (F.col("end_ms") - F.col("start_ms")) / 1000.0
+    lines = F.split("text", "\n")
+    d = cues.withColumn("d", lasts).withColumn("zero", F.col("end_ms") == F.lead("start_ms").over(by("pos")))
+    whole = d.groupBy("ep").agg(F.count("*").alias("n"), F.coalesce(F.max("zero"), F.lit(False)).alias("zero_gap"), F.round(F.min("d"), 3).alias("shortest"), F.round(F.max("d"), 3).alias("longest"))
+    many = _limit(cues.select("ep", F.size(lines).alias("v")), "lines", True)
+    wide = _limit(cues.select("ep", F.explode(lines).alias("line")).select("ep", width(F.col("line")).alias("v")), "wide", True)
+    short = _limit(d.select("ep", F.col("d").alias("v")), "short", False)
+    out = whole.join(many, "ep").join(wide, "ep").join(short, "ep")
+    return out.select("ep", "n", F.greatest(F.lit(2), "lines").cast("long").alias("max_lines"), F.greatest(F.lit(26), "wide").cast("long").alias("max_chars"), F.least(F.round("short", 3), F.lit(0.5)).alias("min_dur"), "zero_gap", "shortest", "longest")
+
+
+def sample_style(cues: DataFrame, width: Callable[[Column], Column]) -> DataFrame:
+    """Generation limits from an example's extremes, each held within bounds; cues of no length or text are not usable."""
+    hold = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    lasts, plain = (F.col("end_ms") - F.col("start_ms")) / 1000.0, width(plain_text(F.col("text")))
+    widest = F.array_max(F.transform(F.split("text", "\n"), width))
+    d = cues.select("ep", lasts.alias("d"), (plain / lasts).alias("cps"), F.size(F.split("text", "\n")).alias("lines"), widest.alias("wide"), ((lasts > 0) & (plain > 0)).alias("usable"))
+    return d.groupBy("ep").agg(
+        F.bool_and("usable").alias("usable"), hold(F.max("lines"), 1, 4).cast("long").alias("max_lines"), hold(F.max("wide"), 10, 80).cast("long").alias("max_chars"),
+        F.round(hold(F.min("d"), 0.2, 5.0), 3).alias("min_dur"), F.round(hold(F.max("d"), 0.5, 20.0), 3).alias("max_dur"), F.round(hold(F.min("cps"), 0.0, 10.0), 2).alias("min_cps"), F.round(hold(F.max("cps"), 5.0, 60.0), 2).alias("max_cps"),
+    )
 
 
 def cost_totals(items: DataFrame, prices: DataFrame) -> DataFrame:
@@ -101,5 +108,21 @@ def cost_totals(items: DataFrame, prices: DataFrame) -> DataFrame:
     Each item is rounded to a millionth, half up, in whole numbers; the total is exact.
     """
     nano = F.col("tokens_in") * F.coalesce("nano_in", F.lit(0)) + F.col("tokens_out") * F.coalesce("nano_out", F.lit(0))
-    priced = items.join(F.broadcast(prices), "kind", "left").withColumn("micro", F.floor((nano + 500) / 1000))
+    priced = items.join(prices, "kind", "left").withColumn("micro", F.floor((nano + 500) / 1000))
     return priced.groupBy("ep").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum("micro") / 1e6).alias("usd"))
+
+
+def audio_cost(audio: DataFrame, per_hour: float) -> DataFrame:
+    """Dollars of (ep, seconds) at a price an hour, to a millionth each."""
+    return audio.groupBy("ep").agg(F.sum(F.round(F.col("seconds") / 3600.0 * per_hour, 6)).alias("usd"))
+
+
+# Names under which providers report tokens read and written.
+TOKENS_IN = ("input_tokens", "prompt_tokens", "prompt_token_count")
+TOKENS_OUT = ("output_tokens", "completion_tokens", "candidates_token_count")
+
+
+def usage(response: Column) -> tuple[Column, Column]:
+    """(tokens read, tokens written) of a response's JSON, under ``usage`` or ``usage_metadata``; 0 where neither says."""
+    get = lambda names: F.coalesce(*(F.get_json_object(response, f"$.{where}.{n}").try_cast("long") for where in ("usage", "usage_metadata") for n in names), F.lit(0))
+    return get(TOKENS_IN), get(TOKENS_OUT)

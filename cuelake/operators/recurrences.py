@@ -5,12 +5,14 @@ An episode is the unit (at most some tens of thousands of cues), so a pass holds
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.text import flow, indel, normalize, split_tokens, width_of
+from ..functions.text import flow, indel, normalize, split_tokens, width_of, wrap
 
 
 def frame_floor(ms: float, fps: float) -> int:
@@ -26,14 +28,25 @@ def frame_ceil(ms: float, fps: float) -> int:
 
 
 def per_episode(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str, order: str = "pos") -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(",")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").astype(object)
-        rows = pdf.where(pdf.notna(), None).to_dict("records")  # pandas reads nulls among numbers as NaN
-        return pd.DataFrame(fn(rows), columns=columns)
-
-    return df.groupBy("ep").applyInPandas(run, schema)
+    """``fn`` over each episode's rows in order: one exchange and one sort, then batches of many episodes."""
+    fields = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches):
+        held: list[dict] = []
+        out: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[-1]["ep"] != row["ep"]:
+                    out += fn(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_pylist(fn(held), fields)
+
+    return df.repartition("ep").sortWithinPartitions("ep", order).mapInArrow(run, schema)
 
 
 TIMED = "ep long, pos long, cue_id long, new_start long, new_end long"
@@ -44,12 +57,18 @@ def _timed(row: dict, start: int, end: int) -> dict:
 
 
 def residual_overlaps(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zero_gap: bool = True) -> DataFrame:
-    """A cue that starts before the last one ends (or as it ends, on another speaker) moves on."""
+    """A cue that starts before the last one ends (or as it ends, on another speaker) moves on.
+
+    A cue without both times stays as it is and the next one looks past it.
+    """
 
     def fold(rows):
         out, end, speaker = [], None, None
         for r in rows:
             start, stop = r["start_ms"], r["end_ms"]
+            if start is None or stop is None:
+                out.append(_timed(r, start, stop))
+                continue
             other = bool(speaker and r["speaker"] and speaker != r["speaker"])
             if end is not None and (start < end or start == end and other):
                 start = end if zero_gap and not other else frame_ceil(end + 1, fps)
@@ -58,45 +77,67 @@ def residual_overlaps(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zer
             end, speaker = stop, r["speaker"]
         return out
 
-    return per_episode(cues, fold, TIMED)
+    return per_episode(cues.select("ep", "pos", "cue_id", "start_ms", "end_ms", "speaker"), fold, TIMED)
 
 
-def enforce_monotonic(cues: DataFrame, min_ms: int = 500) -> DataFrame:
-    """Per speaker no cue starts before the last one's end as moved; its duration is kept."""
+def enforce_monotonic(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zero_gap: bool = True) -> DataFrame:
+    """A cue that starts before the same speaker's last one ends moves to that end and lasts ``min_ms``.
+
+    Cues without speaker follow one another; a cue without both times stays as it is.
+    """
 
     def fold(rows):
         out, ends = [], {}
         for r in rows:
-            start = max(r["start_ms"], ends.get(r["speaker"], r["start_ms"]))
-            stop = max(r["end_ms"], start + min_ms)
-            ends[r["speaker"]] = stop
+            start, stop, who = r["start_ms"], r["end_ms"], r["speaker"] or "__unknown__"
+            if start is not None and stop is not None:
+                last = ends.get(who)
+                if last is not None and start < last:
+                    start = last if zero_gap else frame_ceil(last + 1, fps)
+                    stop = max(stop, frame_ceil(start + min_ms, fps))
+                ends[who] = stop
             out.append(_timed(r, start, stop))
         return out
 
-    return per_episode(cues, fold, TIMED)
+    return per_episode(cues.select("ep", "pos", "cue_id", "start_ms", "end_ms", "speaker"), fold, TIMED)
 
 
 MERGED = "ep long, cue_id long, n long, start_ms long, end_ms long, text string"
+CUE = ("ep", "pos", "cue_id", "start_ms", "end_ms", "text", "speaker")
 
 
 def _merged(r: dict, n: int) -> dict:
     return {"ep": r["ep"], "cue_id": r["cue_id"], "n": n, "start_ms": r["start_ms"], "end_ms": r["end_ms"], "text": r["text"]}
 
 
-def duplicate_merge(cues: DataFrame, least: float = 90.0) -> DataFrame:
-    """Overlapping neighbours of like wording become one, with the longer-lasting text."""
+def _timed_text(r: dict) -> bool:
+    return r["start_ms"] is not None and r["end_ms"] is not None and r["text"] is not None
+
+
+def _different(a: dict, b: dict) -> bool:
+    return bool(a["speaker"] and b["speaker"] and a["speaker"] != b["speaker"])
 
-    def key(r):
-        return " ".join(x for x in map(normalize, split_tokens(r["text"] or "")) if x)
 
+@functools.lru_cache(4096)
+def _key(text: str) -> str:
+    return " ".join(x for x in map(normalize, split_tokens(text)) if x)
+
+
+def duplicate_merge(cues: DataFrame, least: float = 90.0) -> DataFrame:
+    """Overlapping neighbours of like wording become one, with the longer-lasting text.
+
+    Cues without text or without both times merge with nothing.
+    """
     def fold(rows):
         out, i = [], 0
         while i < len(rows):
             cur, n = dict(rows[i]), 1
             while i + n < len(rows):
                 nxt = rows[i + n]
-                a, b = key(cur), key(nxt)
-                if nxt["start_ms"] >= cur["end_ms"] or not a or not b or (a != b and indel(a, b) < least):
+                if not _timed_text(cur) or not _timed_text(nxt) or nxt["start_ms"] >= cur["end_ms"]:
+                    break
+                a, b = _key(cur["text"]), _key(nxt["text"])
+                if not a or not b or (a != b and indel(a, b) < least):
                     break
                 longer = nxt["end_ms"] - nxt["start_ms"] > cur["end_ms"] - cur["start_ms"] or len(nxt["text"]) > len(cur["text"])
                 cur |= {"text": nxt["text"] if longer else cur["text"], "cue_id": min(cur["cue_id"], nxt["cue_id"]), "start_ms": min(cur["start_ms"], nxt["start_ms"]), "end_ms": max(cur["end_ms"], nxt["end_ms"]), "speaker": cur["speaker"] or nxt["speaker"]}
@@ -105,33 +146,38 @@ def duplicate_merge(cues: DataFrame, least: float = 90.0) -> DataFrame:
             i += n
         return out
 
-    return per_episode(cues, fold, MERGED)
+    return per_episode(cues.select(*CUE), fold, MERGED)
+
 
+def cps_merge(cues: DataFrame, most: float = 15.0, width: int = 400, longest_ms: int | None = None, most_lines: int = 2) -> DataFrame:
+    """A cue read too fast joins the next one, a line each, if both then fit and read slowly enough.
 
-def cps_merge(cues: DataFrame, most: float = 15.0, width: int = 400, longest_ms: int | None = None) -> DataFrame:
-    """A cue read too fast joins the next one if both then fit and read slowly enough."""
+    With fewer than two lines a cue nothing can join. Cues without text or both times stay alone.
+    """
 
     def speed(text_width, ms):
         return text_width / (ms / 1000) if ms > 0 else 0.0
 
+    def plain(text):
+        return " ".join(x.strip() for x in text.split("\n") if x.strip())
+
     def fold(rows):
         out, i = [], 0
         while i < len(rows):
             a = rows[i]
             b = rows[i + 1] if i + 1 < len(rows) else None
-            take = b is not None and speed(width_of(a["text"]), a["end_ms"] - a["start_ms"]) > most and not (a["speaker"] and b["speaker"] and a["speaker"] != b["speaker"])
+            take = most_lines >= 2 and b is not None and _timed_text(a) and _timed_text(b) and not _different(a, b) and speed(width_of(plain(a["text"])), a["end_ms"] - a["start_ms"]) > most
             if take:
-                end = max(a["end_ms"], b["end_ms"])
-                text = f"{a['text']} {b['text']}"
-                take = max(width_of(a["text"]), width_of(b["text"])) <= width and speed(width_of(text), end - a["start_ms"]) <= most and (longest_ms is None or end - a["start_ms"] <= longest_ms)
+                end, lines = max(a["end_ms"], b["end_ms"]), [plain(a["text"]), plain(b["text"])]
+                take = max(map(width_of, lines)) <= width and speed(width_of(plain("\n".join(lines))), end - a["start_ms"]) <= most and (longest_ms is None or end - a["start_ms"] <= longest_ms)
             if take:
-                out.append(_merged(a | {"end_ms": end, "text": f"{a['text']}\n{b['text']}"}, 2))
+                out.append(_merged(a | {"end_ms": end, "text": "\n".join(lines)}, 2))
             else:
                 out.append(_merged(a, 1))
             i += 1 + take
         return out
 
-    return per_episode(cues, fold, MERGED)
+    return per_episode(cues.select(*CUE), fold, MERGED)
 
 
 def dash_merge(cues: DataFrame) -> DataFrame:
@@ -142,22 +188,24 @@ def dash_merge(cues: DataFrame) -> DataFrame:
         while i < len(rows):
             a = rows[i]
             b = rows[i + 1] if i + 1 < len(rows) else None
-            if b is not None and a["speaker"] and b["speaker"] and a["speaker"] != b["speaker"] and b["start_ms"] < a["end_ms"]:
-                out.append(_merged(a | {"end_ms": max(a["end_ms"], b["end_ms"]), "text": f"- {a['text']}\n- {b['text']}"}, 2))
+            if b is not None and _timed_text(a) and _timed_text(b) and _different(a, b) and b["start_ms"] < a["end_ms"]:
+                out.append(_merged(a | {"start_ms": min(a["start_ms"], b["start_ms"]), "end_ms": max(a["end_ms"], b["end_ms"]), "text": f"- {a['text']}\n- {b['text']}"}, 2))
                 i += 2
             else:
                 out.append(_merged(a, 1))
                 i += 1
         return out
 
-    return per_episode(cues, fold, MERGED)
+    return per_episode(cues.select(*CUE), fold, MERGED)
 
 
 def words_to_cues(words: DataFrame, gap_us: int, span_us: int, width: int = 26, lines: int = 2, min_us: int = 500_000) -> DataFrame:
     """Words become cues: a new one after a gap, on a speaker change, or when it is full.
 
-    A sentence's end closes a cue that has lasted ``min_us``.
+    A sentence's end closes a cue that has lasted ``min_us``. Words without text or both times, that
+    begin before 0 or end before they begin make no cue (P5).
     """
+    usable = "trim(text) <> '' and start_us >= 0 and end_us >= start_us"
 
     def fold(rows):
         out, cur = [], []
@@ -175,9 +223,8 @@ def words_to_cues(words: DataFrame, gap_us: int, span_us: int, width: int = 26,
         for w in rows:
             if cur:
                 last = cur[-1]
-                text = " ".join([*(x["text"] for x in cur), w["text"]])
                 turn = last["speaker"] is not None and w["speaker"] is not None and last["speaker"] != w["speaker"]
-                if w["start_us"] - last["end_us"] > gap_us or turn or w["end_us"] - cur[0]["start_us"] > span_us or len(flow(text, width, 10**6)) > lines:
+                if w["start_us"] - last["end_us"] > gap_us or turn or w["end_us"] - cur[0]["start_us"] > span_us or len(wrap(" ".join([*(x["text"] for x in cur), w["text"]]), width)) > lines:
                     close()
             cur.append(w)
             if w["text"][-1:] in ".?!…" and w["end_us"] - cur[0]["start_us"] >= min_us:
@@ -185,4 +232,5 @@ def words_to_cues(words: DataFrame, gap_us: int, span_us: int, width: int = 26,
         close()
         return out
 
-    return per_episode(words, fold, "ep long, pos long, start_us long, end_us long, text string, speaker long, n long", "word_idx")
+    some = words.where(usable).select("ep", "word_idx", F.trim("text").alias("text"), "start_us", "end_us", "speaker")
+    return per_episode(some, fold, "ep long, pos long, start_us long, end_us long, text string, speaker long, n long", "word_idx")

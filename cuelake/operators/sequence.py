@@ -124,17 +124,26 @@ def next_same_speaker(cues: DataFrame) -> DataFrame:
 
 
 def extend_into_gap(cues: DataFrame, min_ms: int, fps: float, zero_gap: bool = True) -> DataFrame:
-    """Short cues last ``min_ms``, but not into the same speaker's next cue."""
-    limit = F.col("next_start") if zero_gap else snap_floor(F.col("next_start") - 1, fps)
-    wanted = F.least(snap_ceil(F.col("start_ms") + min_ms, fps), F.coalesce(limit, F.lit(2**62)))
-    short = F.col("end_ms") - F.col("start_ms") < min_ms
-    return next_same_speaker(cues).withColumn("new_end", F.when(short, F.greatest(wanted, F.col("end_ms"))).otherwise(F.col("end_ms")))
+    """Short cues last ``min_ms`` on the frame grid, but not into the same speaker's next cue.
+
+    A cue that reaches past that one's start already is lengthened without regard to it.
+    """
+    least, limit = F.col("least_end"), F.col("next_start") if zero_gap else snap_floor(F.greatest(F.lit(0), F.col("next_start") - 1), fps)
+    d = next_same_speaker(cues).withColumn("least_end", snap_ceil(F.col("start_ms") + min_ms, fps))
+    free = F.col("next_start").isNull() | (F.col("end_ms") > F.col("next_start"))
+    end = F.when(F.col("end_ms") >= least, F.col("end_ms")).when(free, least).otherwise(F.least(least, F.greatest("end_ms", limit)))
+    return d.withColumn("new_end", end.cast("long")).drop("least_end")
 
 
 def cap_overlaps(cues: DataFrame, fps: float) -> DataFrame:
-    """A cue ends by the next one's start, on a frame, and lasts a millisecond at least."""
-    end = F.least("end_ms", F.coalesce(after("start_ms"), F.col("end_ms")))
-    return cues.withColumn("new_end", F.greatest(snap_floor(end, fps), F.col("start_ms") + 1))
+    """A cue that passes the next one's start ends there, a millisecond after its own start at least.
+
+    Ends after the start are then put on the frame grid, which may bring them back to the start.
+    """
+    nxt = after("start_ms")
+    end = F.when(F.coalesce(F.col("end_ms") > nxt, F.lit(False)), F.greatest(F.col("start_ms") + 1, nxt)).otherwise(F.col("end_ms"))
+    d = cues.withColumn("__end", end)
+    return d.withColumn("new_end", F.when(F.col("__end") > F.col("start_ms"), snap_floor(F.col("__end"), fps)).otherwise(F.col("__end")).cast("long")).drop("__end")
 
 
 def cps_extend(cues: DataFrame, width: Column, most: float, fps: float, most_ms: int = 7000) -> DataFrame:
@@ -146,15 +155,23 @@ def cps_extend(cues: DataFrame, width: Column, most: float, fps: float, most_ms:
 
 
 def duplicate_fragments(cues: DataFrame, toks: Column) -> DataFrame:
-    """A cue whose tokens begin or end like its predecessor's, or share its first two."""
-    d = cues.withColumn("t", toks).withColumn("pt", F.lag(toks).over(by("pos"))).withColumn("prev_id", before("cue_id"))
+    """Runs of up to three cues whose last repeats a part of the one before; each run once.
+
+    The last cue is the start or the end of the one before, or its first two tokens are that one's
+    first two or last two. Both have two tokens or more. What moves is a cue's tokens, to the next cue.
+    """
+    d = cues.withColumn("t", toks).withColumn("pt", F.lag(toks).over(by("pos"))).withColumn("ids", F.array_compact(F.array(F.lag("cue_id", 2).over(by("pos")), before("cue_id"), F.col("cue_id"))))
     n, m = F.size("t"), F.size("pt")
-    short, some = F.least(n, m), (n >= 2) & (m >= 2)
-    prefix = F.slice("t", 1, F.greatest(short, F.lit(1))) == F.slice("pt", 1, F.greatest(short, F.lit(1)))
-    suffix = F.slice("t", F.greatest(n - short + 1, F.lit(1)), F.greatest(short, F.lit(1))) == F.slice("pt", F.greatest(m - short + 1, F.lit(1)), F.greatest(short, F.lit(1)))
-    two = F.slice("t", 1, 2) == F.slice("pt", 1, 2)
-    kind = F.when(prefix, "prefix").when(suffix, "suffix").when(two, "opening")
-    return d.where(some).withColumn("kind", kind).where("kind is not null").select("ep", F.col("prev_id").alias("left_id"), F.col("cue_id").alias("right_id"), "kind")
+    part = lambda c, at, k: F.slice(c, F.greatest(at, F.lit(1)), F.greatest(k, F.lit(1)))
+    fits = n <= m
+    kind = (
+        F.when(fits & (F.col("t") == part("pt", F.lit(1), n)), "prefix")
+        .when(fits & (F.col("t") == part("pt", m - n + 1, n)), "suffix")
+        .when(F.slice("t", 1, 2) == F.slice("pt", 1, 2), "opening")
+        .when(F.slice("t", 1, 2) == part("pt", m - 1, F.lit(2)), "ending")
+    )
+    found = d.where((n >= 2) & (m >= 2)).withColumn("kind", kind).where("kind is not null")
+    return found.groupBy("ep", F.col("ids").alias("cue_ids")).agg(F.max_by("kind", "pos").alias("kind"))
 
 
 def token_offsets(cues: DataFrame, toks: Column) -> DataFrame:
@@ -178,8 +195,14 @@ def time_priors(cues: DataFrame, toks: Column) -> DataFrame:
     return t.select("ep", "cue_id", F.col("i").cast("long").alias("token_idx"), "token", (F.col("start_ms") + lasts * (2 * F.col("i") + 1) / (2 * F.col("n"))).alias("expected_ms"), F.greatest(F.lit(2000), lasts).cast("long").alias("radius_ms"))
 
 
-def flag_order(flags: DataFrame) -> DataFrame:
-    """Errors first, then by start, cue and original order."""
-    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    w = Window.partitionBy("ep").orderBy(rank, F.col("start_ms").asc_nulls_last(), "cue_id", "kind")
-    return flags.withColumn("rank", F.row_number().over(w).cast("long"))
+def flag_order(flags: DataFrame, cues: DataFrame) -> DataFrame:
+    """Place of each finding (ep, nth, severity, start_ms, cue_ids) in its episode's report.
+
+    Errors come first, then warnings and infos, others last; then by start, else by the first start of
+    the finding's cues; then by the least cue id, then in the order given (``nth``).
+    """
+    first = flags.select("ep", "nth", F.explode("cue_ids").alias("cue_id")).join(cues.select("ep", "cue_id", F.col("start_ms").alias("at")), ["ep", "cue_id"]).groupBy("ep", "nth").agg(F.min("at").alias("__at"))
+    d = flags.join(first, ["ep", "nth"], "left")
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(9)
+    w = Window.partitionBy("ep").orderBy(rank, F.coalesce("start_ms", "__at").asc_nulls_last(), F.array_min("cue_ids").asc_nulls_last(), "nth")
+    return d.withColumn("rank", F.row_number().over(w).cast("long")).drop("__at")

@@ -43,3 +43,14 @@ def read_energy(spark: SparkSession, path: str, frames: int) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("ep"), "content")
     return files.mapInPandas(scan, "ep string, window long, n long, mean_square double")
+
+
+def read_durations(spark: SparkSession, path: str) -> DataFrame:
+    """Ep, seconds of every file; 0 for what cannot be read."""
+
+    def scan(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"ep": pdf["ep"], "seconds": [duration(bytes(c)) for c in pdf["content"]]})
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("ep"), "content")
+    return files.mapInPandas(scan, "ep string, seconds double")
