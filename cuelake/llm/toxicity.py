@@ -28,15 +28,17 @@ from .wordscan import ALNUM, scan, shingle_sets, text_blocks
 class Toxicity:
     """max_rows: labelled rows to learn from (expected number). max_tokens: tokens in the lexicon.
 
-    curve: one of so many rows is kept for the curve and not used for the odds. prior: the Dirichlet prior's weight, in documents. min_z: least z-score of a scoring token.
-    penalty: the score of any other token. min_docs: documents a scoring token stands in.
+    curve: one of so many rows is kept for the curve. prior: the Dirichlet prior's weight, as a
+    share of the documents learned from.
+    false_share: of the lexicon's tokens, those that chance brings in. penalty: the score of any other
+    token. min_docs: documents a scoring token stands in.
     """
 
     max_rows: int = 20_000
     curve: int = 3
+    false_share: float = 0.2
     max_tokens: int = 20_000
-    prior: float = 200.0
-    min_z: float = 2.0
+    prior: float = 0.15
     min_docs: int = 4
     penalty: float = 0.05
     bins: int = 400
@@ -187,10 +189,14 @@ def _odds(learn: DataFrame, p: Toxicity) -> ToxicModel | None:
     if not n1 or not n0:
         return None
     counts = learn.select("text", "toxic").mapInArrow(_presence, "token long, toxic long").groupBy("token").agg(F.sum((F.col("toxic") == 1).cast("double")).alias("y1"), F.sum((F.col("toxic") != 1).cast("double")).alias("y0"))
-    a = (F.col("y1") + F.col("y0")) / (n1 + n0) * p.prior + 0.01
-    l1, l0 = (F.col("y1") + a) / (n1 + p.prior - F.col("y1") - a + 1), (F.col("y0") + a) / (n0 + p.prior - F.col("y0") - a + 1)
+    weight = p.prior * (n1 + n0)
+    a = (F.col("y1") + F.col("y0")) / (n1 + n0) * weight + 0.01
+    l1, l0 = (F.col("y1") + a) / (n1 + weight - F.col("y1") - a + 1), (F.col("y0") + a) / (n0 + weight - F.col("y0") - a + 1)
     scored = counts.withColumn("odds", F.log(l1) - F.log(l0)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
-    chosen = scored.where((F.col("z") >= p.min_z) & (F.col("y1") >= p.min_docs) & (F.col("odds") > 0)).orderBy(F.desc("z"), "token").limit(p.max_tokens).collect()
+    tested = scored.where(F.col("y1") >= p.min_docs)
+    tests = tested.count()
+    best = tested.where("odds > 0").orderBy(F.desc("z"), "token").limit(p.max_tokens).collect()
+    chosen = best[: _not_by_chance([r["z"] for r in best], tests, p.false_share)]
     if not chosen:
         return None
     keys = np.array([r["token"] for r in chosen], np.int64).view(np.uint64)
@@ -207,6 +213,15 @@ def _odds(learn: DataFrame, p: Toxicity) -> ToxicModel | None:
     return replace(m, log_k=math.log(max(found["k"] or 0, 0.5) / max(found["n"] or 1, 1)) + m.rate * float(m.odds.min()))
 
 
+def _not_by_chance(z: list[float], tests: int, false_share: float) -> int:
+    """How many of the highest z-scores to take so that about ``false_share`` of them are chance, out of ``tests``."""
+    k = 0
+    for i, x in enumerate(z, 1):
+        if 0.5 * math.erfc(x / math.sqrt(2)) <= false_share * i / tests:
+            k = i
+    return k
+
+
 def _rate(share: np.ndarray, odds: np.ndarray, penalty: float) -> float:
     """Lambda: the positive number at which exp(lambda * score) has mean 1 over chance tokens."""
     lo, hi = 1e-3, 20.0
