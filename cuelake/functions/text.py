@@ -174,6 +174,15 @@ def signature_of(text: str | None) -> list[str]:
     return [n for n in map(normalize, split_tokens(text or "")) if n]
 
 
+def normalized(token: Column) -> Column:
+    """``normalize`` on Arrow batches; null stays null."""
+
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else normalize(x))
+
+    return F.pandas_udf(run, "string")(token)
+
+
 def signature(text: Column) -> Column:
     """The non-empty normalized tokens, on Arrow batches."""
 

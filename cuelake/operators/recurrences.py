@@ -56,26 +56,48 @@ def _timed(row: dict, start: int, end: int) -> dict:
     return {"ep": row["ep"], "pos": row["pos"], "cue_id": row["cue_id"], "new_start": start, "new_end": end}
 
 
-def residual_overlaps(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zero_gap: bool = True) -> DataFrame:
-    """A cue that starts before the last one ends (or as it ends, on another speaker) moves on.
+Times = list[tuple[int | None, int | None]]
 
-    A cue without both times stays as it is and the next one looks past it.
-    """
 
-    def fold(rows):
-        out, end, speaker = [], None, None
-        for r in rows:
-            start, stop = r["start_ms"], r["end_ms"]
-            if start is None or stop is None:
-                out.append(_timed(r, start, stop))
-                continue
+def _apart(rows: list[dict], times: Times, fps: float, min_ms: int, zero_gap: bool) -> Times:
+    out, end, speaker = [], None, None
+    for r, (start, stop) in zip(rows, times):
+        if start is not None and stop is not None:
             other = bool(speaker and r["speaker"] and speaker != r["speaker"])
             if end is not None and (start < end or start == end and other):
                 start = end if zero_gap and not other else frame_ceil(end + 1, fps)
                 stop = max(stop, frame_ceil(start + min_ms, fps))
-            out.append(_timed(r, start, stop))
             end, speaker = stop, r["speaker"]
-        return out
+        out.append((start, stop))
+    return out
+
+
+def _monotonic(rows: list[dict], times: Times, fps: float, min_ms: int, zero_gap: bool) -> Times:
+    out, ends = [], {}
+    for r, (start, stop) in zip(rows, times):
+        who = r["speaker"] or "__unknown__"
+        if start is not None and stop is not None:
+            last = ends.get(who)
+            if last is not None and start < last:
+                start = last if zero_gap else frame_ceil(last + 1, fps)
+                stop = max(stop, frame_ceil(start + min_ms, fps))
+            ends[who] = stop
+        out.append((start, stop))
+    return out
+
+
+def _given(rows: list[dict]) -> Times:
+    return [(r["start_ms"], r["end_ms"]) for r in rows]
+
+
+def residual_overlaps(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zero_gap: bool = True) -> DataFrame:
+    """A cue that starts before the last one ends (or as it ends, on another speaker) moves on.
+
+    A cue without both times stays as it is and the next one looks past it.
+    """
+
+    def fold(rows):
+        return [_timed(r, *t) for r, t in zip(rows, _apart(rows, _given(rows), fps, min_ms, zero_gap))]
 
     return per_episode(cues.select("ep", "pos", "cue_id", "start_ms", "end_ms", "speaker"), fold, TIMED)
 
@@ -87,21 +109,21 @@ def enforce_monotonic(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zer
     """
 
     def fold(rows):
-        out, ends = [], {}
-        for r in rows:
-            start, stop, who = r["start_ms"], r["end_ms"], r["speaker"] or "__unknown__"
-            if start is not None and stop is not None:
-                last = ends.get(who)
-                if last is not None and start < last:
-                    start = last if zero_gap else frame_ceil(last + 1, fps)
-                    stop = max(stop, frame_ceil(start + min_ms, fps))
-                ends[who] = stop
-            out.append(_timed(r, start, stop))
-        return out
+        return [_timed(r, *t) for r, t in zip(rows, _monotonic(rows, _given(rows), fps, min_ms, zero_gap))]
 
     return per_episode(cues.select("ep", "pos", "cue_id", "start_ms", "end_ms", "speaker"), fold, TIMED)
 
 
+def settled(cues: DataFrame, fps: float = 30.0, min_ms: int = 500, zero_gap: bool = True) -> DataFrame:
+    """W9 and then W10 in one pass; cues (ep, pos, cue_id, start_ms, end_ms, text, speaker, timed) keep their columns."""
+
+    def fold(rows):
+        times = _apart(rows, _monotonic(rows, _given(rows), fps, min_ms, zero_gap), fps, min_ms, zero_gap)
+        return [r | {"start_ms": a, "end_ms": b} for r, (a, b) in zip(rows, times)]
+
+    return per_episode(cues.select(*CUE, "timed"), fold, "ep long, pos long, cue_id long, start_ms long, end_ms long, text string, speaker string, timed boolean")
+
+
 MERGED = "ep long, cue_id long, n long, start_ms long, end_ms long, text string"
 CUE = ("ep", "pos", "cue_id", "start_ms", "end_ms", "text", "speaker")
 

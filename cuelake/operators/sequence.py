@@ -94,27 +94,35 @@ def dense_cluster(words: DataFrame, gap_us: int, long_us: int, key: tuple[str, .
     return rolled.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 
 
-def interpolate(cues: DataFrame, matched: Column, min_ms: int = 500, most_ms: int = 2000) -> DataFrame:
-    """Untimed cues from their neighbours by position.
+def interpolate(cues: DataFrame, matched: Column, fps: float = 30.0, min_ms: int = 500, most_ms: int = 2000) -> DataFrame:
+    """Untimed cues from their timed neighbours, on frames.
 
-    Between two timed cues the place is in proportion to the number of cues; else the source's gap
-    to the one neighbour is kept. The duration is the source's, from ``min_ms`` to ``most_ms``.
+    ``src_start_ms`` and ``src_end_ms`` are the source's times, those of the cue where they are not there.
+    Between two timed cues a cue stands at the same share of the gap as in the source, and ends by the
+    next one; after or before the only one it keeps the source's gap. It lasts as long as in the source,
+    from ``min_ms`` to ``most_ms``. Without any timed cue it stays.
     """
-    t = cues.withColumn("timed", matched)
+    src = [F.col(c) if c in cues.columns else F.col(c.removeprefix("src_")) for c in ("src_start_ms", "src_end_ms")]
+    t = cues.withColumn("timed", matched).withColumn("__s", src[0]).withColumn("__e", src[1])
     past, future = by("pos").rowsBetween(Window.unboundedPreceding, -1), by("pos").rowsBetween(1, Window.unboundedFollowing)
-    anchor = F.when(F.col("timed"), F.struct("pos", "start_ms", "end_ms"))
+    anchor = F.when(F.col("timed"), F.struct("start_ms", "end_ms", "__s", "__e"))
     t = t.withColumn("p", F.last(anchor, ignorenulls=True).over(past)).withColumn("n", F.first(anchor, ignorenulls=True).over(future))
-    lasts = F.greatest(F.lit(min_ms), F.least(F.col("end_ms") - F.col("start_ms"), F.lit(most_ms)))
-    between = F.col("p.end_ms") + F.floor((F.col("n.start_ms") - F.col("p.end_ms")) * (F.col("pos") - F.col("p.pos")) / (F.col("n.pos") - F.col("p.pos")))
-    start = (
-        F.when(F.col("timed"), F.col("start_ms"))
-        .when(F.col("p").isNotNull() & F.col("n").isNotNull(), between)
-        .when(F.col("p").isNotNull(), F.col("p.end_ms") + F.greatest(F.lit(0), F.col("start_ms") - F.col("p.end_ms")))
-        .when(F.col("n").isNotNull(), F.greatest(F.lit(0), F.col("n.start_ms") - lasts))
-        .otherwise(F.col("start_ms"))
-    )
-    end = F.when(F.col("timed"), F.col("end_ms")).otherwise(F.col("new_start") + lasts)
-    return t.withColumn("new_start", start.cast("long")).withColumn("new_end", end.cast("long")).select("ep", "pos", "cue_id", "timed", "new_start", "new_end")
+    floor, ceil = (lambda c: snap_floor(c, fps)), (lambda c: snap_ceil(c, fps))
+    t = t.withColumn("lasts", F.greatest(ceil(F.lit(min_ms)), F.least(F.col("__e") - F.col("__s"), F.lit(most_ms))))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("__s") - F.col("p.__e")) / F.greatest(F.lit(1), F.col("n.__s") - F.col("p.__e"))))
+    between = floor(F.col("p.end_ms") + share * F.greatest(F.lit(0), F.col("n.start_ms") - F.col("p.end_ms")))
+    gap = F.greatest(F.lit(0), F.col("n.__s") - F.col("__e"))
+    kept = F.least(F.col("n.start_ms"), ceil(F.col("n.start_ms") - gap))
+    before_next = F.when(kept >= F.col("lasts"), kept).otherwise(F.col("n.start_ms"))
+    both, after_p, before_n = F.col("p").isNotNull() & F.col("n").isNotNull(), F.col("p").isNotNull(), F.col("n").isNotNull()
+    t = t.withColumn("a", F.when(both, between).when(after_p, floor(F.col("p.end_ms") + F.greatest(F.lit(0), F.col("__s") - F.col("p.__e")))).when(before_n, F.greatest(F.lit(0), floor(before_next - F.col("lasts")))))
+    t = t.withColumn("z", F.when(both, F.least(F.col("n.start_ms"), ceil(F.col("a") + F.col("lasts")))).when(after_p, ceil(F.col("a") + F.col("lasts"))).when(before_n, before_next))
+    # no room between both: before the next one, or as short as may be
+    none = both & (F.col("z") <= F.col("a"))
+    t = t.withColumn("a", F.when(none, F.greatest(F.col("p.end_ms"), floor(F.col("n.start_ms") - F.col("lasts")))).otherwise(F.col("a")))
+    t = t.withColumn("z", F.when(none, F.greatest(F.col("n.start_ms"), ceil(F.col("a") + min_ms))).otherwise(F.col("z")))
+    pick = lambda own, new: F.when(F.col("timed"), F.col(own)).otherwise(F.coalesce(new, own)).cast("long")
+    return t.select(*cues.columns, "timed", pick("start_ms", "a").alias("new_start"), pick("end_ms", "z").alias("new_end"))
 
 
 def next_same_speaker(cues: DataFrame) -> DataFrame:

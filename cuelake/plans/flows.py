@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import normalized, tokens
 from ..functions.timing import snap_ceil, snap_floor
 from ..operators import align, quality_control, recurrences, sequence
 
@@ -20,31 +20,46 @@ def cue_tokens(cues: DataFrame) -> DataFrame:
 
 
 def matched_words(cues: DataFrame, words: DataFrame) -> DataFrame:
-    """(ep, cue_id, word_idx, start_us, end_us) of the words that the alignment gives each cue."""
-    left = cue_tokens(cues)
-    heard = words.select("ep", F.col("word_idx").alias("idx"), F.lower("text").alias("token"))
-    ops = align.align_tokens(left.select("ep", "idx", "token"), heard).where("kind = 'match'")
-    pairs = ops.select("ep", F.col("left_idx").alias("idx"), F.col("right_idx").alias("word_idx")).join(left, ["ep", "idx"])
+    """(ep, cue_id, word_idx, start_us, end_us) of the words that the alignment gives each cue.
+
+    Tokens are compared as ``normalize`` has them; the cues' and words' times choose between repeated ones.
+    """
+    tokens_ = cue_tokens(cues)
+    times = cues.select("ep", "cue_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
+    left = tokens_.join(times, ["ep", "cue_id"]).select("ep", "idx", normalized(F.col("token")).alias("token"), "cue_id", "start", "end")
+    heard = words.select("ep", F.col("word_idx").alias("idx"), normalized(F.col("text")).alias("token"), (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"))
+    ops = align.align_timed(left, heard).where("kind = 'match'")
+    pairs = ops.select("ep", F.col("left_idx").alias("idx"), F.col("right_idx").alias("word_idx")).join(tokens_.select("ep", "idx", "cue_id"), ["ep", "idx"])
     return pairs.select("ep", "cue_id", "word_idx").join(words.select("ep", "word_idx", "start_us", "end_us"), ["ep", "word_idx"])
 
 
-def retime(cues: DataFrame, matches: DataFrame, fps: float = 30.0, lead_ms: int = 0, tail_ms: int = 40, min_ms: int = 500) -> DataFrame:
-    """A1: a cue lasts from its first matched word to its last, on frames and ``min_ms`` at least."""
-    m = matches.groupBy("ep", "cue_id").agg((F.min("start_us") / 1000).alias("lo"), (F.max("end_us") / 1000).alias("hi"))
+def retime(cues: DataFrame, matches: DataFrame, fps: float = 30.0, lead_ms: int = 0, tail_ms: int = 40, gap_us: int = 1_500_000, long_us: int = 2_000_000) -> DataFrame:
+    """A1: a cue lasts from the first to the last word of its densest cluster, on frames; ``src_*`` keep what it was."""
+    dense = sequence.dense_cluster(matches, gap_us, long_us)
+    m = dense.select("ep", "cue_id", (F.col("start_us") / 1000).alias("lo"), (F.col("end_us") / 1000).alias("hi"))
     start = F.greatest(F.lit(0), snap_floor(F.col("lo") - lead_ms, fps))
     d = cues.join(m, ["ep", "cue_id"], "left").withColumn("matched", F.col("lo").isNotNull())
+    d = d.withColumn("src_start_ms", F.col("start_ms")).withColumn("src_end_ms", F.col("end_ms"))
     d = d.withColumn("start_ms", F.when(F.col("matched"), start).otherwise(F.col("start_ms")).cast("long"))
-    end = F.greatest(snap_ceil(F.col("hi") + tail_ms, fps), snap_ceil(F.col("start_ms") + min_ms, fps))
-    return d.withColumn("end_ms", F.when(F.col("matched"), end).otherwise(F.col("end_ms")).cast("long")).drop("lo", "hi")
+    return d.withColumn("end_ms", F.when(F.col("matched"), snap_ceil(F.col("hi") + tail_ms, fps)).otherwise(F.col("end_ms")).cast("long")).drop("lo", "hi")
 
 
-def sync(cues: DataFrame, words: DataFrame, fps: float = 30.0) -> DataFrame:
-    """Aligns, re-times, places unmatched cues between neighbours and resolves what overlaps."""
+def sync(cues: DataFrame, words: DataFrame, fps: float = 30.0, min_ms: int = 500) -> DataFrame:
+    """Aligns, re-times, lengthens short cues into gaps, places unmatched ones and resolves what overlaps.
+
+    One chain without a join of a step with itself, so the alignment runs once.
+    """
     timed = retime(cues, matched_words(cues, words), fps)
-    placed = sequence.interpolate(timed, F.col("matched")).join(timed.select("ep", "cue_id", "text", "speaker"), ["ep", "cue_id"])
-    again = placed.select("ep", "pos", "cue_id", F.col("new_start").alias("start_ms"), F.col("new_end").alias("end_ms"), "text", "speaker", "timed")
-    done = recurrences.residual_overlaps(again, fps)
-    return again.drop("start_ms", "end_ms").join(done.select("ep", "cue_id", F.col("new_start").alias("start_ms"), F.col("new_end").alias("end_ms")), ["ep", "cue_id"])
+    # only matched cues say where the same speaker goes on
+    later = Window.partitionBy("ep", F.coalesce("speaker", F.lit("__unknown__"))).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    goes_on = F.first(F.when(F.col("matched"), F.col("start_ms")), ignorenulls=True).over(later)
+    least = snap_ceil(F.col("start_ms") + min_ms, fps)
+    longer = F.when(F.col("end_ms") >= least, F.col("end_ms")).when(F.col("goes_on").isNull() | (F.col("end_ms") > F.col("goes_on")), least).otherwise(F.least(least, F.greatest("end_ms", "goes_on")))
+    # neighbours take what a cue's words say; its lengthened end counts for itself alone
+    timed = timed.withColumn("goes_on", goes_on).withColumn("longer", F.when(F.col("matched"), longer))
+    placed = sequence.interpolate(timed, F.col("matched"), fps, min_ms)
+    placed = placed.select("ep", "pos", "cue_id", F.col("new_start").alias("start_ms"), F.coalesce("longer", "new_end").cast("long").alias("end_ms"), "text", "speaker", "timed")
+    return recurrences.settled(placed, fps, min_ms)
 
 
 def generate(words: DataFrame, gap_us: int = 800_000, span_us: int = 5_000_000, fps: float = 30.0) -> DataFrame:

@@ -157,12 +157,20 @@ def dense_cluster(spark, sf):
     return sequence.dense_cluster(words(spark, sf).withColumn("cue_id", F.floor(F.col("word_idx") / 12)), 5 * HOUR, HOUR)
 
 
-@query(""", t AS (SELECT *, pos % 3 <> 1 AS timed, CASE WHEN pos % 3 <> 1 THEN {'pos': pos, 's': start_ms, 'e': end_ms} END AS a FROM v_cues),
-n AS (SELECT *, last_value(a IGNORE NULLS) OVER (PARTITION BY ep ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(a IGNORE NULLS) OVER (PARTITION BY ep ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q, greatest(500, least(end_ms - start_ms, 2000)) AS d FROM t),
-s AS (SELECT *, CASE WHEN timed THEN start_ms WHEN p IS NOT NULL AND q IS NOT NULL THEN p.e + floor((q.s - p.e) * (pos - p.pos)::DOUBLE / (q.pos - p.pos)) WHEN p IS NOT NULL THEN p.e + greatest(0, start_ms - p.e) WHEN q IS NOT NULL THEN greatest(0, q.s - d) ELSE start_ms END::BIGINT AS new_start FROM n)
-SELECT ep, pos, cue_id, timed, new_start, CASE WHEN timed THEN end_ms ELSE new_start + d END AS new_end FROM s""")
+@query(f""", t AS (SELECT *, pos % 3 <> 1 AS timed, CASE WHEN pos % 3 <> 1 THEN {{'s': start_ms + 700, 'e': end_ms + 700, 'ss': start_ms, 'se': end_ms}} END AS a0 FROM v_cues),
+n AS (SELECT *, last_value(a0 IGNORE NULLS) OVER (PARTITION BY ep ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(a0 IGNORE NULLS) OVER (PARTITION BY ep ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q, greatest({ceil_sql("500")}, least(end_ms - start_ms, 2000)) AS d FROM t),
+k AS (SELECT *, p IS NOT NULL AND q IS NOT NULL AS both_, least(q.s, {ceil_sql("q.s - greatest(0, q.ss - end_ms)")}) AS kept, p.e + least(1.0::DOUBLE, greatest(0.0::DOUBLE, (start_ms - p.se)::DOUBLE / greatest(1, q.ss - p.se))) * greatest(0, q.s - p.e) AS mid FROM n),
+b AS (SELECT *, CASE WHEN kept >= d THEN kept ELSE q.s END AS bn FROM k),
+u AS (SELECT *, CASE WHEN both_ THEN {floor_sql("mid")} WHEN p IS NOT NULL THEN {floor_sql("p.e + greatest(0, start_ms - p.se)")} WHEN q IS NOT NULL THEN greatest(0, {floor_sql("bn - d")}) END AS a FROM b),
+v AS (SELECT *, CASE WHEN both_ THEN least(q.s, {ceil_sql("a + d")}) WHEN p IS NOT NULL THEN {ceil_sql("a + d")} WHEN q IS NOT NULL THEN bn END AS z FROM u),
+w AS (SELECT *, CASE WHEN both_ AND z <= a THEN greatest(p.e, {floor_sql("q.s - d")}) ELSE a END AS a2 FROM v),
+x AS (SELECT *, CASE WHEN both_ AND z <= a THEN greatest(q.s, {ceil_sql("a2 + 500")}) ELSE z END AS z2 FROM w)
+SELECT ep, pos, cue_id, timed, CASE WHEN timed THEN start_ms + 700 ELSE coalesce(a2, start_ms) END AS new_start, CASE WHEN timed THEN end_ms + 700 ELSE coalesce(z2, end_ms) END AS new_end FROM x""")
 def interpolate_unmatched(spark, sf):
-    return sequence.interpolate(cues(spark, sf), F.col("pos") % 3 != 1)
+    timed = F.col("pos") % 3 != 1
+    late = lambda c: F.when(timed, F.col(c) + 700).otherwise(F.col(c))
+    c = cues(spark, sf).withColumn("src_start_ms", F.col("start_ms")).withColumn("src_end_ms", F.col("end_ms"))
+    return sequence.interpolate(c.withColumn("start_ms", late("start_ms")).withColumn("end_ms", late("end_ms")), timed).select("ep", "pos", "cue_id", "timed", "new_start", "new_end")
 
 
 @query("SELECT ep, cue_id, lead(start_ms) OVER (PARTITION BY ep, coalesce(speaker, '__unknown__') ORDER BY pos) AS next_start FROM v_cues")
@@ -193,9 +201,9 @@ TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 @query(rf""", t AS (SELECT ep, pos, cue_id, {TOKENS} AS t FROM v_docs), p AS (SELECT *, lag(t) OVER {LINE} AS pt, [lag(cue_id, 2) OVER {LINE}, lag(cue_id) OVER {LINE}, cue_id] AS three FROM t),
 k AS (SELECT ep, pos, [x FOR x IN three IF x IS NOT NULL] AS cue_ids, CASE WHEN t = pt[1:len(t)] THEN 'prefix' WHEN len(t) <= len(pt) AND t = pt[len(pt) - len(t) + 1:] THEN 'suffix' WHEN t[1:2] = pt[1:2] THEN 'opening' WHEN t[1:2] = pt[len(pt) - 1:] THEN 'ending' END AS kind FROM p WHERE len(t) >= 2 AND len(pt) >= 2)
-SELECT ep, cue_ids[-1] AS cue_id, len(cue_ids)::INT AS n, arg_max(kind, pos) AS kind FROM k WHERE kind IS NOT NULL GROUP BY ep, cue_ids""".replace("v_docs", "(SELECT source AS ep, doc_id AS pos, doc_id AS cue_id, text FROM documents)"))
+SELECT ep, cue_ids[-1] AS cue_id, len(cue_ids)::INT AS n, arg_max(kind, pos) AS kind FROM k WHERE kind IS NOT NULL GROUP BY ep, cue_ids""".replace("v_docs", "(SELECT doc_id // 100 AS ep, doc_id AS pos, doc_id AS cue_id, text FROM documents)"))
 def duplicate_fragment(spark, sf):
-    d = read(spark, sf, "documents").select(F.col("source").alias("ep"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("cue_id"), "text")
+    d = read(spark, sf, "documents").select(F.expr("doc_id div 100").alias("ep"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("cue_id"), "text")
     found = sequence.duplicate_fragments(d.withColumn("toks", tx.tokens(F.col("text"))), F.col("toks"))
     return found.select("ep", F.element_at("cue_ids", -1).alias("cue_id"), F.size("cue_ids").alias("n"), "kind")
 

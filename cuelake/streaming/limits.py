@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,14 +26,24 @@ def admit(times: list[int], arrivals: list[int], limit: int, window_us: int) ->
 
 
 def rate_limit(events: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """R1 over a table (key, event_id, ts_us)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "event_id"])
-        pdf["allowed"] = admit([], pdf["ts_us"].tolist(), limit, window_us)[0]
-        return pdf[["key", "event_id", "ts_us", "allowed"]]
-
-    return events.groupBy("key").applyInPandas(run, ADMITTED)
+    """R1 over a table (key, event_id, ts_us): one exchange and sort, then a scan that holds a key's open window only."""
+
+    def run(batches):
+        key, held = None, deque()
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != key:
+                    key, held = k, deque()
+                while held and held[0] < t - window_us:
+                    held.popleft()
+                allowed.append(len(held) < limit)
+                if allowed[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], ["key", "event_id", "ts_us", "allowed"])
+
+    ordered = events.select("key", "event_id", "ts_us").repartition("key").sortWithinPartitions("key", "ts_us", "event_id")
+    return ordered.mapInArrow(run, ADMITTED)
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window_us: int) -> DataFrame:
