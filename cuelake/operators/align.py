@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.text import indel
 
@@ -23,9 +27,6 @@ GAP_UNITS, UNLIKE_UNITS, NEVER = round(GAP * UNIT), round(UNLIKE * UNIT), -(2**6
 #: Cells whose steps are kept at once; larger parts are halved.
 HELD = 1 << 24
 
-OPS = "ep long, op_pos long, kind string, left_idx long, right_idx long, score double, limited boolean"
-
-
 def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Tokens that stand once on either side; none at all unless their order agrees."""
     one = lambda seq: {t: i for i, t in enumerate(seq) if t and n[t] == 1}
@@ -243,21 +244,65 @@ def _operation(left: list[str], right: list[str], kind: int, i: int, j: int) ->
     return "match" if same else "replace", i, j, 1.0 if same else indel(x, y) / 100
 
 
+def paired(left: DataFrame, right: DataFrame, columns: list[str], fn: Callable[[object, dict, dict], list[tuple]], schema: StructType) -> DataFrame:
+    """``fn`` over both sides of each episode, as lists by column in the order of the first: rows of ``schema``.
+
+    One exchange and one sort bring both sides of an episode together; batches hold many episodes.
+    """
+    names = ["ep", "side", *columns]
+    sides = [d.select("ep", F.lit(k).alias("side"), *columns) for k, d in enumerate((left, right))]
+
+    def run(batches):
+        key, held = None, None
+        out: list[tuple] = []
+
+        def close():
+            if held is not None:
+                out.extend(fn(key, *held))
+
+        for batch in batches:
+            rows = batch.to_pydict()
+            at, ep, side = 0, rows["ep"], rows["side"]
+            for i in range(1, batch.num_rows + 1):
+                if i < batch.num_rows and ep[i] == ep[at] and side[i] == side[at]:
+                    continue
+                if held is None or ep[at] != key:
+                    close()
+                    key, held = ep[at], tuple({c: [] for c in columns} for _ in range(2))
+                for c in columns:
+                    held[side[at]][c].extend(rows[c][at:i])
+                at = i
+            if len(out) > 50_000:
+                yield _batch(out, schema)
+                out = []
+        close()
+        yield _batch(out, schema)
+
+    both = sides[0].unionByName(sides[1]).repartition("ep").sortWithinPartitions("ep", "side", columns[0])
+    return both.select(*names).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
+    fields = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
+
+
 def align_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Edit scripts of (ep, idx, token) sequences, one task group an episode.
+    """Edit scripts of (ep, idx, token) sequences.
 
     Null tokens count as empty, which is like nothing. ``limited`` tells that the bands of the episode fell short.
     """
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x.sort_values("idx")["token"].fillna("").tolist() for x in (a, b))
-        return _frame(key[0], *scripted(a, b))
+    def run(ep, a: dict, b: dict) -> list[tuple]:
+        ops, limited = scripted(*([t or "" for t in x["token"]] for x in (a, b)))
+        return [(ep, k, *op, limited) for k, op in enumerate(ops)]
 
-    return left.groupBy("ep").cogroup(right.groupBy("ep")).applyInPandas(run, OPS)
+    return paired(left, right, ["idx", "token"], run, _script_schema(left))
 
 
-def _frame(ep, ops, limited: bool) -> pd.DataFrame:
-    return pd.DataFrame([(ep, k, *op, limited) for k, op in enumerate(ops)], columns=["ep", "op_pos", "kind", "left_idx", "right_idx", "score", "limited"]).astype({"left_idx": "Int64", "right_idx": "Int64"})
+def _script_schema(left: DataFrame) -> StructType:
+    more = [("op_pos", LongType()), ("kind", StringType()), ("left_idx", LongType()), ("right_idx", LongType()), ("score", DoubleType()), ("limited", BooleanType())]
+    return StructType([StructField("ep", left.schema["ep"].dataType), *(StructField(n, t) for n, t in more)])
 
 
 def fit_times(x: np.ndarray, y: np.ndarray) -> tuple[float, float] | None:
@@ -294,17 +339,18 @@ def align_timed(tokens: DataFrame, words: DataFrame) -> DataFrame:
     of the first pass tell how the cues' times became the words'.
     """
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("idx"), b.sort_values("idx")
-        left, right = a["token"].fillna("").tolist(), b["token"].fillna("").tolist()
+    def run(ep, left_rows: dict, right_rows: dict) -> list[tuple]:
+        a, b = pd.DataFrame(left_rows), pd.DataFrame(right_rows)
+        left, right = ([t or "" for t in x["token"]] for x in (left_rows, right_rows))
         ops, limited = scripted(left, right)
         priors = time_priors_of(a, b, left, right, ops)
         if priors is not None:
             ops, more = scripted(left, right, priors)
             limited = limited or more
-        return _frame(key[0], ops, limited)
+        return [(ep, k, *op, limited) for k, op in enumerate(ops)]
 
-    return tokens.groupBy("ep").cogroup(words.groupBy("ep")).applyInPandas(run, OPS)
+    times = ["idx", "token", "cue_id", "start", "end"]
+    return paired(tokens.select("ep", *times), words.withColumn("cue_id", F.lit(None).cast("long")).select("ep", *times), times, run, _script_schema(tokens))
 
 
 def time_priors_of(a: pd.DataFrame, b: pd.DataFrame, left: list[str], right: list[str], ops) -> tuple | None:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions.text import signature
-from .align import edit_script
+from .align import edit_script, paired
 from .apply_decisions import plain_text
 
 CHANGES = ("text_changed", "adlib_inserted")
@@ -21,18 +21,14 @@ def matched_cues(predicted: DataFrame, golden: DataFrame) -> DataFrame:
     """
 
     def keyed(d: DataFrame) -> DataFrame:
-        # columns of their own: both sides may come from one table
-        return d.select(F.col("ep").alias("ep"), F.col("pos").alias("pos"), F.col("cue_id").alias("cue_id"), F.array_join(signature(plain_text(F.col("text"))), " ").alias("key"))
-
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("pos"), b.sort_values("pos")
-        left, right = a["key"].tolist(), b["key"].tolist()
-        ops = edit_script(left, right)
-        ids, gold = a["cue_id"].tolist(), b["cue_id"].tolist()
-        pairs = [(key[0], ids[i], gold[j], s, bool(left[i] == right[j] and left[i])) for kind, i, j, s in ops if kind in ("match", "replace")]
-        return pd.DataFrame(pairs, columns=["ep", "cue_id", "golden_id", "score", "exact"]).astype({"score": float, "exact": bool})
-
-    return keyed(predicted).groupBy("ep").cogroup(keyed(golden).groupBy("ep")).applyInPandas(run, "ep long, cue_id long, golden_id long, score double, exact boolean")
+        return d.select("ep", "pos", "cue_id", F.array_join(signature(plain_text(F.col("text"))), " ").alias("key"))
+
+    def run(ep, a: dict, b: dict) -> list[tuple]:
+        left, right = a["key"], b["key"]
+        return [(ep, a["cue_id"][i], b["cue_id"][j], s, left[i] == right[j] != "") for kind, i, j, s in edit_script(left, right) if kind in ("match", "replace")]
+
+    kinds = [("ep", predicted.schema["ep"].dataType), ("cue_id", LongType()), ("golden_id", LongType()), ("score", DoubleType()), ("exact", BooleanType())]
+    return paired(keyed(predicted), keyed(golden), ["pos", "cue_id", "key"], run, StructType([StructField(*k) for k in kinds]))
 
 
 def _share(n: Column, d: Column) -> Column:

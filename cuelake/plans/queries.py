@@ -354,6 +354,35 @@ def divergence_spans(spark, sf):
     return align.divergences(align.align_tokens(_turns(spark, sf, 0), _turns(spark, sf, 1)))
 
 
+# Short sequences over all cells: the letters of a part's name and type. Hundredths: a gap -75, unlike letters -60, the same 200.
+SCRIPT = """WITH RECURSIVE seq AS (SELECT p_partkey AS ep, string_split(p_name, '') AS a, string_split(p_type, '') AS b FROM part),
+f AS (SELECT ep, 0 AS i, [-75 * j FOR j IN range(len(b) + 1)] AS c FROM seq
+ UNION ALL SELECT s.ep, f.i + 1, [list_max([v[k + 1] - 75 * (j - k) FOR k IN range(j + 1)]) FOR j IN range(len(v))] FROM f JOIN seq s ON s.ep = f.ep AND f.i < len(s.a),
+  LATERAL (SELECT [greatest(f.c[j + 1] - 75, CASE WHEN j > 0 THEN f.c[j] + CASE WHEN s.a[f.i + 1] = s.b[j] THEN 200 ELSE -60 END ELSE -1000000 END) FOR j IN range(len(s.b) + 1)] AS v) z),
+w AS (SELECT ep, len(a) AS i, len(b) AS j, 0 AS n, '' AS kind FROM seq
+ UNION ALL SELECT w.ep, w.i - (k <> 'insert')::INT, w.j - (k <> 'delete')::INT, w.n + 1, k FROM w JOIN f ON f.ep = w.ep AND f.i = w.i LEFT JOIN f g ON g.ep = w.ep AND g.i = w.i - 1,
+  LATERAL (SELECT CASE WHEN w.i > 0 AND g.c[w.j + 1] - 75 = f.c[w.j + 1] THEN 'delete' WHEN w.j > 0 AND f.c[w.j] - 75 = f.c[w.j + 1] THEN 'insert' ELSE 'pair' END AS k) z WHERE w.i > 0 OR w.j > 0),
+o AS (SELECT w.ep, max(n) OVER (PARTITION BY w.ep) - n AS op_pos, CASE WHEN kind <> 'pair' THEN kind WHEN a[i + 1] = b[j + 1] THEN 'match' ELSE 'replace' END AS kind, CASE WHEN kind <> 'insert' THEN i END AS left_idx, CASE WHEN kind <> 'delete' THEN j END AS right_idx FROM w JOIN seq s ON s.ep = w.ep WHERE n > 0)
+"""
+
+
+def _letters(spark, sf, column):
+    d = read(spark, sf, "part").select(F.col("p_partkey").alias("ep"), F.posexplode(F.split(column, "")).alias("i", "token"))
+    return d.select("ep", F.col("i").cast("long").alias("idx"), "token")
+
+
+@query(SCRIPT + "SELECT ep, op_pos, kind, left_idx, right_idx, CASE WHEN kind = 'match' THEN 1.0 ELSE 0.0 END AS score, false AS limited FROM o")
+def align_names(spark, sf):
+    return align.align_tokens(_letters(spark, sf, "p_name"), _letters(spark, sf, "p_type"))
+
+
+@query(SCRIPT + """, m AS (SELECT *, sum((kind = 'match')::INT) OVER (PARTITION BY ep ORDER BY op_pos) AS after FROM o),
+d AS (SELECT ep, after, min(op_pos) AS first_op, count(*) AS n_ops, min(left_idx) AS left_from, max(left_idx) AS left_to, min(right_idx) AS right_from, max(right_idx) AS right_to FROM m WHERE kind <> 'match' GROUP BY ep, after)
+SELECT ep, first_op, n_ops, left_from, left_to, right_from, right_to, 'case-' || row_number() OVER (PARTITION BY ep ORDER BY first_op) AS case_id FROM d""")
+def name_divergences(spark, sf):
+    return align.divergences(align.align_tokens(_letters(spark, sf, "p_name"), _letters(spark, sf, "p_type")))
+
+
 # ---- recurrences
 
 
@@ -379,12 +408,28 @@ def duplicate_merge(spark, sf):
     return recurrences.duplicate_merge(cues(spark, sf))
 
 
-@query()
+#: Which rows the one before takes in: a row that is itself taken in takes none.
+TAKEN = """, o AS (SELECT *, row_number() OVER (PARTITION BY ep ORDER BY pos) AS k FROM can),
+r AS (SELECT ep, k, false AS taken FROM o WHERE k = 1 UNION ALL SELECT o.ep, o.k, NOT r.taken AND coalesce(o.fits, false) FROM r JOIN o ON o.ep = r.ep AND o.k = r.k + 1),
+j AS (SELECT o.*, r.taken, coalesce(lead(r.taken) OVER (PARTITION BY o.ep ORDER BY o.k), false) AS takes, lead(end_ms) OVER (PARTITION BY o.ep ORDER BY o.k) AS next_end, lead(text) OVER (PARTITION BY o.ep ORDER BY o.k) AS next_text FROM o JOIN r ON r.ep = o.ep AND r.k = o.k)
+"""
+
+
+def _plain_sql(text: str) -> str:
+    return PLAIN.replace("(text", f"({text}")
+
+
+@query(f"""WITH RECURSIVE {ORACLE_VIEWS.strip()[4:]}, x AS (SELECT *, {WIDTH} AS w, end_ms - start_ms AS d FROM (SELECT *, {PLAIN} AS p FROM v_cues)),
+y AS (SELECT *, lag(w) OVER {LINE} AS pw, lag(d) OVER {LINE} AS pd, lag(start_ms) OVER {LINE} AS ps, lag(end_ms) OVER {LINE} AS pe, lag(speaker) OVER {LINE} AS who FROM x),
+can AS (SELECT ep, pos, cue_id, start_ms, end_ms, text, CASE WHEN pd > 0 THEN pw / (pd / 1000.0::DOUBLE) ELSE 0 END > 90 AND NOT coalesce(speaker <> who, false) AND greatest(w, pw) <= 400
+  AND CASE WHEN greatest(pe, end_ms) > ps THEN (w + pw + CASE WHEN w > 0 AND pw > 0 THEN 1 ELSE 0 END) / ((greatest(pe, end_ms) - ps) / 1000.0::DOUBLE) ELSE 0 END <= 90 AS fits FROM y)
+{TAKEN} SELECT ep, cue_id, CASE WHEN takes THEN 2 ELSE 1 END::BIGINT AS n, start_ms, CASE WHEN takes THEN greatest(end_ms, next_end) ELSE end_ms END AS end_ms, CASE WHEN takes THEN {_plain_sql("text")} || chr(10) || {_plain_sql("next_text")} ELSE text END AS text FROM j WHERE NOT taken""")
 def cps_merge(spark, sf):
     return recurrences.cps_merge(cues(spark, sf), 90.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORACLE_VIEWS.strip()[4:]}, can AS (SELECT ep, pos, cue_id, start_ms, end_ms, text, speaker <> lag(speaker) OVER {LINE} AND start_ms < lag(end_ms) OVER {LINE} AS fits FROM v_cues)
+{TAKEN} SELECT ep, cue_id, CASE WHEN takes THEN 2 ELSE 1 END::BIGINT AS n, start_ms, CASE WHEN takes THEN greatest(end_ms, next_end) ELSE end_ms END AS end_ms, CASE WHEN takes THEN '- ' || text || chr(10) || '- ' || next_text ELSE text END AS text FROM j WHERE NOT taken""")
 def dash_merge(spark, sf):
     return recurrences.dash_merge(cues(spark, sf))
 
@@ -579,7 +624,10 @@ def job_expiry(spark, sf):
     return limits.expire(limits.latest_state(e), 720 * HOUR, 24 * HOUR, 12 * HOUR)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORACLE_VIEWS.strip()[4:]}, o AS (SELECT ep AS key, event_id, start_us AS ts_us, row_number() OVER (PARTITION BY ep ORDER BY start_us, event_id) AS k FROM v_words),
+r AS (SELECT key, event_id, ts_us, k, true AS allowed, [ts_us] AS held FROM o WHERE k = 1
+ UNION ALL SELECT o.key, o.event_id, o.ts_us, o.k, len(s.open) < 3, CASE WHEN len(s.open) < 3 THEN list_append(s.open, o.ts_us) ELSE s.open END FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1, LATERAL (SELECT [x FOR x IN r.held IF x >= o.ts_us - {24 * HOUR}] AS open) s)
+SELECT key, event_id, ts_us, allowed FROM r""")
 def rate_limit(spark, sf):
     from ..streaming import limits
 
