@@ -391,6 +391,63 @@ def divergences(ops: DataFrame) -> DataFrame:
     return spans.withColumn("case_id", F.concat(F.lit("case-"), F.row_number().over(Window.partitionBy("ep").orderBy("first_op")))).drop("after")
 
 
+def _described(ops: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Operations with their token (ep, idx, token, cue_id) as ``l`` and word (ep, word_idx, text, start_us, end_us, confidence, speaker) as ``r``."""
+    first = F.min("idx").over(Window.partitionBy("ep", "cue_id"))
+    left = tokens.select("ep", F.col("idx").alias("left_idx"), F.struct("token", "cue_id", (F.col("idx") - first).alias("nth")).alias("l"))
+    right = words.select("ep", F.col("word_idx").alias("right_idx"), F.struct("text", "start_us", "end_us", "confidence", "speaker").alias("r"))
+    return ops.join(left, ["ep", "left_idx"], "left").join(right, ["ep", "right_idx"], "left")
+
+
+def _texts(item: Column, text: str) -> Column:
+    """Texts in the order of operations, joined by blanks; those without are left out."""
+    listed = F.array_sort(F.collect_list(F.when(item.isNotNull(), F.struct("op_pos", item[text].alias("text")))))
+    return F.array_join(F.transform(listed, lambda x: x["text"]), " ")
+
+
+def divergence_details(ops: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """A5: maximal runs of operations that are no match, with all that a decision needs of them.
+
+    ep, nth, case_id, cue_ids, srt_text, asr_text, token_idx, word_idx, confidence (the least of its words, 0
+    without any), speaker_ids, start_us and end_us (of its words, else of the matches around) and, of
+    runs that only insert: the cues, times and speakers of the matches around, and how many tokens of
+    their common cue stand before.
+    """
+    w = Window.partitionBy("ep").orderBy("op_pos")
+    matched = F.col("kind") == "match"
+    hit = F.when(matched, F.struct("l", "r"))
+    d = _described(ops, tokens, words).withColumn("run", F.sum(matched.cast("int")).over(w))
+    d = d.withColumn("p", F.last(hit, ignorenulls=True).over(w)).withColumn("n", F.first(hit, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))).where(~matched)
+    some = lambda c: F.array_sort(F.collect_set(c))
+    g = d.groupBy("ep", "run").agg(
+        F.min("op_pos").alias("first_op"), some("l.cue_id").alias("cue_ids"), _texts(F.col("l"), "token").alias("srt_text"), _texts(F.col("r"), "text").alias("asr_text"),
+        some("left_idx").alias("token_idx"), some("right_idx").alias("word_idx"), F.coalesce(F.min("r.confidence"), F.lit(0.0)).alias("confidence"), some("r.speaker").alias("speaker_ids"),
+        F.min("r.start_us").alias("a"), F.max("r.end_us").alias("z"), F.first("p").alias("p"), F.first("n").alias("n"),
+    )
+    inserted = (F.size("word_idx") > 0) & (F.size("token_idx") == 0)
+    only = lambda c, name: F.when(inserted, F.col(c)).alias(name)
+    nth = F.row_number().over(Window.partitionBy("ep").orderBy("first_op")).cast("long")
+    inside = inserted & (F.col("p.l.cue_id") == F.col("n.l.cue_id"))
+    return g.withColumn("nth", nth).select(
+        "ep", "nth", F.concat(F.lit("case-"), "nth").alias("case_id"), "cue_ids", "srt_text", "asr_text", "token_idx", "word_idx", "confidence", "speaker_ids",
+        F.coalesce("a", "p.r.end_us", "n.r.start_us").alias("start_us"), F.coalesce("z", "n.r.start_us", "p.r.end_us").alias("end_us"),
+        only("p.l.cue_id", "left_cue"), only("n.l.cue_id", "right_cue"), F.when(inside, F.col("n.l.nth")).alias("insert_at"),
+        only("p.r.end_us", "left_end_us"), only("n.r.start_us", "right_start_us"), only("p.r.speaker", "left_speaker"), only("n.r.speaker", "right_speaker"),
+    )
+
+
+def anchor_regions(ops: DataFrame, tokens: DataFrame, words: DataFrame, least: int = 3) -> DataFrame:
+    """A4: runs of ``least`` matches or more: ep, nth, cue_ids, srt_text, asr_text, start_us, end_us, n, score (their mean)."""
+    w = Window.partitionBy("ep").orderBy("op_pos")
+    matched = F.col("kind") == "match"
+    d = _described(ops, tokens, words).withColumn("run", F.sum((~matched).cast("int")).over(w)).where(matched)
+    g = d.groupBy("ep", "run").agg(
+        F.min("op_pos").alias("first_op"), F.array_sort(F.collect_set("l.cue_id")).alias("cue_ids"), _texts(F.col("l"), "token").alias("srt_text"), _texts(F.col("r"), "text").alias("asr_text"),
+        F.min("r.start_us").alias("start_us"), F.max("r.end_us").alias("end_us"), F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("score"),
+    ).where(F.col("n") >= least)
+    return g.withColumn("nth", F.row_number().over(Window.partitionBy("ep").orderBy("first_op")).cast("long")).drop("run", "first_op")
+
+
 def exact_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """J2 in the engine: tokens once on both sides; an episode whose order disagrees gives none."""
     one = lambda d, n: d.groupBy("ep", "token").agg(F.count("*").alias("n"), F.min("idx").alias(n)).where("n = 1 and token <> ''").drop("n")
@@ -422,3 +479,9 @@ def outliers(anchors: DataFrame, fits: DataFrame, limit: Column) -> DataFrame:
     """Anchors whose residual to the fit passes the limit."""
     resid = F.abs(F.col("y") - (F.col("rate") * F.col("x") + F.col("offset")))
     return anchors.join(fits.drop("n"), "ep").withColumn("residual", resid).where(F.col("residual") > limit)
+
+
+def worst_by_cue(found: DataFrame, order: str) -> DataFrame:
+    """Of each cue (ep, cue_id) the outlier with the largest residual, the first by ``order`` among equals."""
+    rank = F.row_number().over(Window.partitionBy("ep", "cue_id").orderBy(F.desc("residual"), order))
+    return found.withColumn("__rank", rank).where("__rank = 1").drop("__rank")

@@ -383,6 +383,42 @@ def name_divergences(spark, sf):
     return align.divergences(align.align_tokens(_letters(spark, sf, "p_name"), _letters(spark, sf, "p_type")))
 
 
+PARTS = SCRIPT + """, d AS (SELECT o.*, s.a[left_idx + 1] AS lt, left_idx // 4 AS lc, s.b[right_idx + 1] AS rt, right_idx * 1000 AS rs, right_idx * 1000 + 700 AS re, (right_idx % 8) / 8 AS rc, CASE WHEN right_idx % 3 <> 2 THEN right_idx % 3 END AS rp FROM o JOIN seq s ON s.ep = o.ep)
+"""
+
+
+def _part_words(spark, sf):
+    w, i = _letters(spark, sf, "p_type"), F.col("idx")
+    return w.select("ep", i.alias("word_idx"), F.col("token").alias("text"), (i * 1000).alias("start_us"), (i * 1000 + 700).alias("end_us"), (i % 8 / 8).alias("confidence"), F.when(i % 3 != 2, i % 3).alias("speaker"))
+
+
+@query(PARTS + """, x AS (SELECT *, sum((kind = 'match')::INT) OVER w AS run, last_value(CASE WHEN kind = 'match' THEN {'c': lc, 'i': left_idx, 's': rs, 'e': re, 'p': rp} END IGNORE NULLS) OVER w AS p, first_value(CASE WHEN kind = 'match' THEN {'c': lc, 'i': left_idx, 's': rs, 'e': re, 'p': rp} END IGNORE NULLS) OVER (PARTITION BY ep ORDER BY op_pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM d WINDOW w AS (PARTITION BY ep ORDER BY op_pos)),
+g AS (SELECT ep, run, min(op_pos) AS first_op, min(lc) AS first_cue, count(DISTINCT lc) AS n_cues, coalesce(string_agg(lt, ' ' ORDER BY op_pos), '') AS srt_text, coalesce(string_agg(rt, ' ' ORDER BY op_pos), '') AS asr_text, count(left_idx) AS n_tokens, count(right_idx) AS n_words, coalesce(min(rc), 0.0) AS confidence, count(DISTINCT rp) AS n_speakers, min(rs) AS a, max(re) AS z, any_value(p) AS p, any_value(n) AS n FROM x WHERE kind <> 'match' GROUP BY ep, run),
+h AS (SELECT *, n_words > 0 AND n_tokens = 0 AS ins FROM g)
+SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY first_op) AS nth, first_cue, n_cues, srt_text, asr_text, n_tokens, n_words, confidence, n_speakers, coalesce(a, p.e, n.s) AS start_us, coalesce(z, n.s, p.e) AS end_us, CASE WHEN ins THEN p.c END AS left_cue, CASE WHEN ins THEN n.c END AS right_cue, CASE WHEN ins AND p.c = n.c THEN n.i - n.c * 4 END AS insert_at, CASE WHEN ins THEN p.e END AS left_end_us, CASE WHEN ins THEN n.s END AS right_start_us, CASE WHEN ins THEN p.p END AS left_speaker, CASE WHEN ins THEN n.p END AS right_speaker FROM h""")
+def divergence_details(spark, sf):
+    left = _letters(spark, sf, "p_name").withColumn("cue_id", F.floor(F.col("idx") / 4))
+    d = align.divergence_details(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "p_type")), left, _part_words(spark, sf))
+    n = lambda c: F.size(c).cast("long")
+    return d.select("ep", "nth", F.get("cue_ids", 0).alias("first_cue"), n("cue_ids").alias("n_cues"), "srt_text", "asr_text", n("token_idx").alias("n_tokens"), n("word_idx").alias("n_words"), "confidence", n("speaker_ids").alias("n_speakers"), "start_us", "end_us", "left_cue", "right_cue", "insert_at", "left_end_us", "right_start_us", "left_speaker", "right_speaker")
+
+
+@query(PARTS + """, x AS (SELECT *, sum((kind <> 'match')::INT) OVER (PARTITION BY ep ORDER BY op_pos) AS run FROM d),
+g AS (SELECT ep, run, min(op_pos) AS first_op, min(lc) AS first_cue, string_agg(lt, ' ' ORDER BY op_pos) AS srt_text, min(rs) AS start_us, max(re) AS end_us, count(*) AS n FROM x WHERE kind = 'match' GROUP BY ep, run)
+SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY first_op) AS nth, first_cue, srt_text, start_us, end_us, n, 1.0 AS score FROM g""")
+def anchor_regions(spark, sf):
+    left = _letters(spark, sf, "p_name").withColumn("cue_id", F.floor(F.col("idx") / 4))
+    d = align.anchor_regions(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "p_type")), left, _part_words(spark, sf), 1)
+    return d.select("ep", "nth", F.get("cue_ids", 0).alias("first_cue"), "srt_text", "start_us", "end_us", "n", "score")
+
+
+@query(ANCHORS + ", x AS (SELECT a.ep, a.x::BIGINT // 10 AS cue_id, a.x::BIGINT AS word_idx, round(abs(y - (rate * x + off)), 2) AS residual FROM anchors a JOIN fit USING (ep)) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY ep, cue_id ORDER BY residual DESC, word_idx) = 1")
+def worst_outliers(spark, sf):
+    a = _anchors(spark, sf)
+    d = align.outliers(a, align.theil_sen(a, 2.0), F.lit(-1.0)).select("ep", F.floor(F.col("word_idx") / 10).alias("cue_id"), "word_idx", F.round("residual", 2).alias("residual"))
+    return align.worst_by_cue(d, "word_idx")
+
+
 # ---- recurrences
 
 
