@@ -354,8 +354,8 @@ def divergence_spans(spark, sf):
     return align.divergences(align.align_tokens(_turns(spark, sf, 0), _turns(spark, sf, 1)))
 
 
-# Short sequences over all cells: the letters of a part's name and type. Hundredths: a gap -75, unlike letters -60, the same 200.
-SCRIPT = """WITH RECURSIVE seq AS (SELECT p_partkey AS ep, string_split(p_name, '') AS a, string_split(p_type, '') AS b FROM part),
+# Short sequences over all cells: the letters of a part's name and brand against those of its type and name. Hundredths: a gap -75, unlike letters -60, the same 200.
+SCRIPT = """WITH RECURSIVE seq AS (SELECT p_partkey AS ep, string_split(p_name || ' ' || lower(p_brand), '') AS a, string_split(lower(p_type) || ' ' || p_name, '') AS b FROM part),
 f AS (SELECT ep, 0 AS i, [-75 * j FOR j IN range(len(b) + 1)] AS c FROM seq
  UNION ALL SELECT s.ep, f.i + 1, [list_max([v[k + 1] - 75 * (j - k) FOR k IN range(j + 1)]) FOR j IN range(len(v))] FROM f JOIN seq s ON s.ep = f.ep AND f.i < len(s.a),
   LATERAL (SELECT [greatest(f.c[j + 1] - 75, CASE WHEN j > 0 THEN f.c[j] + CASE WHEN s.a[f.i + 1] = s.b[j] THEN 200 ELSE -60 END ELSE -1000000 END) FOR j IN range(len(s.b) + 1)] AS v) z),
@@ -366,21 +366,24 @@ o AS (SELECT w.ep, max(n) OVER (PARTITION BY w.ep) - n AS op_pos, CASE WHEN kind
 """
 
 
-def _letters(spark, sf, column):
-    d = read(spark, sf, "part").select(F.col("p_partkey").alias("ep"), F.posexplode(F.split(column, "")).alias("i", "token"))
+NAMED = {"left": "concat(p_name, ' ', lower(p_brand))", "right": "concat(lower(p_type), ' ', p_name)"}
+
+
+def _letters(spark, sf, side):
+    d = read(spark, sf, "part").select(F.col("p_partkey").alias("ep"), F.posexplode(F.split(F.expr(NAMED[side]), "")).alias("i", "token"))
     return d.select("ep", F.col("i").cast("long").alias("idx"), "token")
 
 
 @query(SCRIPT + "SELECT ep, op_pos, kind, left_idx, right_idx, CASE WHEN kind = 'match' THEN 1.0 ELSE 0.0 END AS score, false AS limited FROM o")
 def align_names(spark, sf):
-    return align.align_tokens(_letters(spark, sf, "p_name"), _letters(spark, sf, "p_type"))
+    return align.align_tokens(_letters(spark, sf, "left"), _letters(spark, sf, "right"))
 
 
 @query(SCRIPT + """, m AS (SELECT *, sum((kind = 'match')::INT) OVER (PARTITION BY ep ORDER BY op_pos) AS after FROM o),
 d AS (SELECT ep, after, min(op_pos) AS first_op, count(*) AS n_ops, min(left_idx) AS left_from, max(left_idx) AS left_to, min(right_idx) AS right_from, max(right_idx) AS right_to FROM m WHERE kind <> 'match' GROUP BY ep, after)
 SELECT ep, first_op, n_ops, left_from, left_to, right_from, right_to, 'case-' || row_number() OVER (PARTITION BY ep ORDER BY first_op) AS case_id FROM d""")
 def name_divergences(spark, sf):
-    return align.divergences(align.align_tokens(_letters(spark, sf, "p_name"), _letters(spark, sf, "p_type")))
+    return align.divergences(align.align_tokens(_letters(spark, sf, "left"), _letters(spark, sf, "right")))
 
 
 PARTS = SCRIPT + """, d AS (SELECT o.*, s.a[left_idx + 1] AS lt, left_idx // 4 AS lc, s.b[right_idx + 1] AS rt, right_idx * 1000 AS rs, right_idx * 1000 + 700 AS re, (right_idx % 8) / 8 AS rc, CASE WHEN right_idx % 3 <> 2 THEN right_idx % 3 END AS rp FROM o JOIN seq s ON s.ep = o.ep)
@@ -388,7 +391,7 @@ PARTS = SCRIPT + """, d AS (SELECT o.*, s.a[left_idx + 1] AS lt, left_idx // 4 A
 
 
 def _part_words(spark, sf):
-    w, i = _letters(spark, sf, "p_type"), F.col("idx")
+    w, i = _letters(spark, sf, "right"), F.col("idx")
     return w.select("ep", i.alias("word_idx"), F.col("token").alias("text"), (i * 1000).alias("start_us"), (i * 1000 + 700).alias("end_us"), (i % 8 / 8).alias("confidence"), F.when(i % 3 != 2, i % 3).alias("speaker"))
 
 
@@ -397,8 +400,8 @@ g AS (SELECT ep, run, min(op_pos) AS first_op, min(lc) AS first_cue, count(DISTI
 h AS (SELECT *, n_words > 0 AND n_tokens = 0 AS ins FROM g)
 SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY first_op) AS nth, first_cue, n_cues, srt_text, asr_text, n_tokens, n_words, confidence, n_speakers, coalesce(a, p.e, n.s) AS start_us, coalesce(z, n.s, p.e) AS end_us, CASE WHEN ins THEN p.c END AS left_cue, CASE WHEN ins THEN n.c END AS right_cue, CASE WHEN ins AND p.c = n.c THEN n.i - n.c * 4 END AS insert_at, CASE WHEN ins THEN p.e END AS left_end_us, CASE WHEN ins THEN n.s END AS right_start_us, CASE WHEN ins THEN p.p END AS left_speaker, CASE WHEN ins THEN n.p END AS right_speaker FROM h""")
 def divergence_details(spark, sf):
-    left = _letters(spark, sf, "p_name").withColumn("cue_id", F.floor(F.col("idx") / 4))
-    d = align.divergence_details(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "p_type")), left, _part_words(spark, sf))
+    left = _letters(spark, sf, "left").withColumn("cue_id", F.floor(F.col("idx") / 4))
+    d = align.divergence_details(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "right")), left, _part_words(spark, sf))
     n = lambda c: F.size(c).cast("long")
     return d.select("ep", "nth", F.get("cue_ids", 0).alias("first_cue"), n("cue_ids").alias("n_cues"), "srt_text", "asr_text", n("token_idx").alias("n_tokens"), n("word_idx").alias("n_words"), "confidence", n("speaker_ids").alias("n_speakers"), "start_us", "end_us", "left_cue", "right_cue", "insert_at", "left_end_us", "right_start_us", "left_speaker", "right_speaker")
 
@@ -407,8 +410,8 @@ def divergence_details(spark, sf):
 g AS (SELECT ep, run, min(op_pos) AS first_op, min(lc) AS first_cue, string_agg(lt, ' ' ORDER BY op_pos) AS srt_text, min(rs) AS start_us, max(re) AS end_us, count(*) AS n FROM x WHERE kind = 'match' GROUP BY ep, run)
 SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY first_op) AS nth, first_cue, srt_text, start_us, end_us, n, 1.0 AS score FROM g""")
 def anchor_regions(spark, sf):
-    left = _letters(spark, sf, "p_name").withColumn("cue_id", F.floor(F.col("idx") / 4))
-    d = align.anchor_regions(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "p_type")), left, _part_words(spark, sf), 1)
+    left = _letters(spark, sf, "left").withColumn("cue_id", F.floor(F.col("idx") / 4))
+    d = align.anchor_regions(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "right")), left, _part_words(spark, sf), 1)
     return d.select("ep", "nth", F.get("cue_ids", 0).alias("first_cue"), "srt_text", "start_us", "end_us", "n", "score")
 
 
