@@ -22,9 +22,11 @@ def without_stale(flags: DataFrame, kinds: tuple[str, ...] = RECOMPUTED) -> Data
     return flags.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)))
 
 
-def known_different(left: Column, right: Column) -> Column:
-    """Both speakers are known and differ."""
-    return F.coalesce((left != "") & (right != "") & (left != right), F.lit(False))
+def known_different(left: Column, right: Column, left_character: Column | None = None, right_character: Column | None = None) -> Column:
+    """Both speakers are known and differ, or both characters are, where these are given."""
+    differ = lambda a, b: F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
+    speakers = differ(left, right)
+    return speakers if left_character is None or right_character is None else speakers | differ(left_character, right_character)
 
 
 def anchor_speaker(ids: Column, anchor: Column) -> Column:
@@ -136,7 +138,7 @@ def storage(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("owner").agg(F.sum(F.greatest("actual", "reserved")).alias("bytes"))
 
 
-def admission(jobs: DataFrame, most: int) -> DataFrame:
-    """Waiting and running jobs by owner, and whether one more may come."""
+def admission(jobs: DataFrame, most: int, more: int = 1) -> DataFrame:
+    """Waiting and running jobs by owner, and whether ``more`` may come."""
     busy = F.count(F.when(F.col("status").isin("queued", "processing"), 1))
-    return jobs.groupBy("owner").agg(busy.alias("busy")).withColumn("admitted", F.col("busy") + 1 <= most)
+    return jobs.groupBy("owner").agg(busy.alias("busy")).withColumn("admitted", F.col("busy") + more <= most)

@@ -59,3 +59,10 @@ def render(cues: DataFrame) -> DataFrame:
     blocks = cues.withColumn("n", n).select("ep", "n", block(F.col("n"), F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("b"))
     listed = F.array_sort(F.collect_list(F.struct("n", "b")))
     return blocks.groupBy("ep").agg(F.count("*").alias("cues"), F.concat(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("srt"))
+
+
+def write_srt(cues: DataFrame, path: str) -> None:
+    """K1: a folder an episode (``ep=...``) with its SRT text; a cue without text is refused."""
+    blank = F.raise_error(F.concat(F.lit("a cue without text: "), F.col("cue_id").cast("string")))
+    checked = cues.withColumn("text", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", blank).otherwise(F.col("text")))
+    render(checked).select("ep", F.regexp_replace("srt", "\n$", "").alias("srt")).write.partitionBy("ep").text(path)

@@ -231,3 +231,18 @@ def test_live_adapters(spark):
     told = ['{"words":[{"type":"word","text":"hi","start":1,"end":2,"speaker_id":"s"},{"type":"spacing","text":" "}]}', '{"segments":[{"words":[{"word":"yo","start":0.5,"end":1,"score":0.7,"speaker":"A"}]}]}']
     got = spark.createDataFrame([(t,) for t in told], "r string").select(live.words_of(F.col("r")).alias("w")).collect()
     assert [[(w.text, w.start, w.confidence, w.speaker_id) for w in x.w] for x in got] == [[("hi", 1.0, 1.0, "s")], [("yo", 0.5, 0.7, "A")]]
+
+
+def test_srt_files_and_small_predicates(spark, tmp_path):
+    from cuelake.sources import srt
+
+    srt.write_srt(cue_table(spark, "one", "two\nlines"), str(tmp_path / "out"))
+    back = srt.parse(spark.read.text(str(tmp_path / "out"), wholetext=True).select("ep", "value")).orderBy("pos").collect()
+    assert [(x.cue_id, x.start_ms, x.text) for x in back] == [(1, 0, "one"), (2, 1000, "two\nlines")]
+    with pytest.raises(Exception, match="without text"):
+        srt.write_srt(cue_table(spark, "one", " "), str(tmp_path / "bad"))
+    d = spark.createDataFrame([("A", "A", "x", "y"), ("A", None, None, "y"), ("A", "B", None, None)], "a string, b string, c string, d string")
+    a, b, c, e = (F.col(x) for x in "abcd")
+    assert [tuple(x) for x in d.select(decisions.known_different(a, b), decisions.known_different(a, b, c, e)).collect()] == [(False, True), (False, False), (True, True)]
+    jobs = spark.createDataFrame([("o", "queued")] * 3, "owner string, status string")
+    assert [decisions.admission(jobs, 5, n).first().admitted for n in (1, 2, 3)] == [True, True, False]
