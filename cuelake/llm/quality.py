@@ -55,7 +55,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         F.size("lines").alias("n_lines"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
         "h",
-        F.array_sort(F.transform("h", lambda x, i: x.bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(i.cast("long")))).alias("s"),
+        F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(i.cast("long")))).alias("s"),
     )
     upper = lambda x: F.shiftright(x, 24)
     place = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
@@ -75,7 +75,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         "transform(filter(p, (x, i) -> coalesce(x.x = get(p, i - 1).x, false) or coalesce(x.x = get(p, i + 1).x, false)), x -> cast(x.i as bigint))"
     )
     d = d.withColumn("p", F.when(apart | (F.col("n") > (1 << 24)), pairs))
-    places = F.array_sort(F.when(F.col("p").isNotNull(), exact).otherwise(F.transform("twice", lambda x: place(x).cast("long"))))
+    places = F.sort_array(F.when(F.col("p").isNotNull(), exact).otherwise(F.transform("twice", lambda x: place(x).cast("long"))))
     d = d.withColumn("places", places)
     # a window covers three words, or as many as there are up to the next one
     covered = F.aggregate(
