@@ -15,6 +15,7 @@ from .near_dedup import NearDedup, near_components
 from .packing import Packing, packed
 from .quality import quality
 from .substring_dedup import substring_dedup
+from .token_counts import TokenCounts, token_counts
 
 
 def vocabulary() -> str:
@@ -74,8 +75,12 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), TokenCounts(vocabulary()))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing, op12_prefix_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
