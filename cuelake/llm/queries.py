@@ -13,6 +13,7 @@ from .licenses import BASE, TEMPLATES, license_report
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
 from .packing import Packing, packed
+from .prefix_trie import numbered_turns, prefix_trie, spliced
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .token_counts import TokenCounts, token_counts
@@ -75,16 +76,21 @@ def op10_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_preorder_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie(spliced(numbered_turns(table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TokenCounts(vocabulary()))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing, op12_prefix_counts)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing, op11_preorder_intervals, op12_prefix_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_odd_sketch": OP3_SQL, "op4_diagonal_voting": _op4_sql(), "op5_collision_counting": OP5_SQL, "op8_bernoulli_mix": OP8_SQL}
+    return {"op3_minhash_odd_sketch": OP3_SQL, "op4_diagonal_voting": _op4_sql(), "op5_collision_counting": OP5_SQL, "op8_bernoulli_mix": OP8_SQL, "op11_preorder_intervals": _op11_sql()}
 
 
 #: All pairs of documents that share a shingle, by counting, and what is reachable over links.
@@ -158,6 +164,37 @@ FROM texts x LEFT JOIN found f ON x.doc_id = f.doc_id GROUP BY x.doc_id
 """
 
 
+def _op11_sql() -> str:
+    """Every prefix as the list of its turns, grouped, and its ancestors by cutting it; crc32 by half bytes."""
+    halves = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        halves.append(n)
+    return rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'h': h, 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))}} ORDER BY turn NULLS FIRST, role, h) AS t FROM turns GROUP BY conv_id
+), asked AS (
+  SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(x) & 15, ord(x) >> 4] FOR x IN string_split(conv_id::VARCHAR, '')])::BIGINT[]), lambda crc, x: xor(({halves}::BIGINT[])[((xor(crc, x) & 15) + 1)::INT], crc >> 4)), 4294967295) % 4 AS h FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(o.t[1:a.h], []), a.t[a.h + 1:]) AS t FROM asked a LEFT JOIN own o ON o.conv_id = a.conv_id - a.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, [x.h FOR x IN t[1:d]] AS path, CASE WHEN d = 0 THEN 0 ELSE t[d].w END AS w, len(t) AS n FROM rebuilt, unnest(range(0, len(t) + 1)) AS r(d)
+), nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM prefixes GROUP BY path, d
+), kids AS (
+  SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), above AS (
+  SELECT path[1:i] AS path, sum(own) AS own, sum((k IS NULL)::INT) AS leaves
+  FROM (SELECT n.path, n.d, n.own, k.n AS k FROM nodes n LEFT JOIN kids k ON k.path = n.path), unnest(range(0, d + 1)) AS r(i) GROUP BY ALL
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves, a.own::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN above a ON a.path = n.path LEFT JOIN kids k ON k.path = n.path LEFT JOIN nodes p ON n.d > 0 AND p.path = n.path[1:n.d - 1]
+"""
+
+
 #: The same filling by weight, over the sources in the order of limit over weight.
 OP8_SQL = r"""
 WITH sized AS (
