@@ -9,6 +9,7 @@ from . import langid, toxicity
 from .common import fold, table
 from .embedding_dedup import embedding_components
 from .extraction import extract
+from .hard_negatives import hard_negatives
 from .licenses import BASE, TEMPLATES, license_report
 from .mixing import mix_plan
 from .near_dedup import NearDedup, near_components
@@ -85,12 +86,18 @@ def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TokenCounts(vocabulary()))
 
 
+def op13_inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing, op11_preorder_intervals, op12_prefix_counts)}
+    return {f.__name__: f for f in (op1_bitmask_filters, op2_template_deduction, op3_minhash_odd_sketch, op4_diagonal_voting, op5_collision_counting, op6_gear_chunks, op7_weak_supervision, op8_bernoulli_mix, op9_segment_search, op10_differencing, op11_preorder_intervals, op12_prefix_counts, op13_inverted_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_odd_sketch": OP3_SQL, "op4_diagonal_voting": _op4_sql(), "op5_collision_counting": OP5_SQL, "op8_bernoulli_mix": OP8_SQL, "op11_preorder_intervals": _op11_sql()}
+    return {"op3_minhash_odd_sketch": OP3_SQL, "op4_diagonal_voting": _op4_sql(), "op5_collision_counting": OP5_SQL, "op8_bernoulli_mix": OP8_SQL, "op11_preorder_intervals": _op11_sql(), "op13_inverted_lists": OP13_SQL}
 
 
 #: All pairs of documents that share a shingle, by counting, and what is reachable over links.
@@ -164,6 +171,23 @@ FROM texts x LEFT JOIN found f ON x.doc_id = f.doc_id GROUP BY x.doc_id
 """
 
 
+#: All pairs of an anchor and a row.
+OP13_SQL = r"""
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 3
+"""
+
+
 def _op11_sql() -> str:
     """Every prefix as the list of its turns, grouped, and its ancestors by cutting it; crc32 by half bytes."""
     halves = []
