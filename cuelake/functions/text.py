@@ -98,10 +98,13 @@ def _class_of(*kinds: str) -> str:
 
 
 def display_width(text: Column) -> Column:
-    """Columns on a screen: marks none, wide East Asian characters two, built from expressions."""
+    """Columns on a screen: marks none, wide East Asian characters two, built from expressions.
+
+    Below U+0300 every character takes one column: such texts are not searched.
+    """
     marks = F.length(F.regexp_replace(text, f"[^{_class_of('mark')}]+", ""))
     wide = F.length(F.regexp_replace(text, f"[^{_class_of('wide')}]+", ""))
-    return F.length(text) - marks + wide
+    return F.when(text.rlike(r"^[\x00-\x{2ff}]*$"), F.length(text)).otherwise(F.length(text) - marks + wide)
 
 
 def display_width_sql(text: str) -> str:

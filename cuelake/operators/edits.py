@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import indel_ratio, indel_series, restore_ending
+from ..functions.text import indel_ratio, restore_ending
+from .name_drift import similar_pairs
 
 
 def triage(spans: DataFrame, source: str, heard: str) -> DataFrame:
@@ -82,44 +83,25 @@ def span_coverage(spans: DataFrame, source: DataFrame, rebuilt: DataFrame, least
 
 
 def name_drift(tokens: DataFrame, known: DataFrame, least: float = 70.0, count: int = 2, share: float = 0.8) -> DataFrame:
-    """Tokens of four letters or more that the source lacks, with the known token most like them.
+    """J18 over one dictionary: tokens of four letters or more that ``known`` lacks, with the known token most like them.
 
     A known token that stands ``count`` times, within three letters of length and ``least`` alike, is
-    a candidate; the most frequent one counts if it has ``share`` of all candidates' places. Two tokens
-    that are ``least`` alike have so many letters in common that, both sorted, one of them is among the
-    first of either: pairs that share none of these can't pass, so the join has keys and loses nothing.
+    a candidate; the most frequent one counts if it has ``share`` of all candidates' places. By episode,
+    with kinds and cues, it is ``name_drift.name_drift_findings``.
     """
     given = known.groupBy("token").agg(F.count("*").alias("known_n"))
-    new = tokens.groupBy("token").agg(F.count("*").alias("n")).join(given, "token", "left_anti")
-    new = _letters(new.select("token", "n"), "token", "len", "letters").where("len >= 4")
-    old = _letters(given.where(F.col("known_n") >= count).withColumnRenamed("token", "known"), "known", "known_len", "known_letters")
-    common = F.ceil(least * (F.col("len") + F.col("known_len")) / 200 - 1e-9).cast("int")
-    near = lambda n, low: F.explode(F.sequence(F.greatest(n - 3, F.lit(low)), n + 3))
-
-    def first(d: DataFrame, letters: str, n: str) -> DataFrame:
-        d = d.withColumn("common", common).where("common <= len and common <= known_len")
-        d = d.withColumn(f"{letters}_first", F.slice(letters, 1, F.col(n) - F.col("common") + 1))
-        return d.withColumn("letter", F.explode(f"{letters}_first"))
-
-    a = first(new.withColumn("known_len", near(F.col("len"), 1)), "letters", "len")
-    b = first(old.withColumn("len", near(F.col("known_len"), 4)), "known_letters", "known_len").drop("common")
-    pairs = a.join(b, ["len", "known_len", "letter"])
-    once = F.get(F.array_intersect("letters_first", "known_letters_first"), 0) == F.col("letter")  # a pair counts at one letter
-    pairs = pairs.where(once & (F.size(F.array_intersect("letters", "known_letters")) >= F.col("common"))).select("token", "n", "known", "known_n")
-    pairs = pairs.withColumn("ratio", indel_series(F.col("token"), F.col("known"))).where(F.col("ratio") >= least)
+    new = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.length("token") >= 4).join(given, "token", "left_anti")
+    often = given.where(F.col("known_n") >= count).withColumnRenamed("token", "known")
+    one = F.lit(0).alias("ep")
+    # likeness has no side: the words that are asked about offer their rarest letters
+    pairs = similar_pairs(often.select(one, F.col("known").alias("key"), "known_n"), new.select(one, F.col("token").alias("known"), "n"), least)
+    pairs = pairs.select(F.col("known").alias("token"), F.col("key").alias("known"), "known_n", "n", "ratio")
     each = Window.partitionBy("token")
     best = each.orderBy(F.desc("known_n"), F.desc("ratio"), "known")
     ranked = pairs.withColumn("r", F.row_number().over(best)).withColumn("all_n", F.sum("known_n").over(each))
     return ranked.where((F.col("r") == 1) & (F.col("known_n") / F.col("all_n") >= share)).select("token", "n", "known", "ratio")
 
 
-def _letters(d: DataFrame, token: str, n: str, letters: str) -> DataFrame:
-    """Adds the token's length and its letters, last of the alphabet first, each with its number among equals."""
-    d = d.withColumn("sorted", F.array_sort(F.split(token, ""))).withColumn(n, F.size("sorted"))
-    numbered = F.transform("sorted", lambda c, i: F.concat(c, (i + 1 - F.array_position("sorted", c)).cast("string")))
-    return d.withColumn(letters, F.reverse(numbered)).drop("sorted")
-
-
 def pair_uploads(files: DataFrame) -> DataFrame:
     """Subtitle and audio names by their stem, wav before mp3; what lacks either is kept."""
     stem = F.upper(F.regexp_replace("name", r"\.[^.]*$", ""))

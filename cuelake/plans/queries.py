@@ -834,12 +834,37 @@ def spoken_pairs(spark, sf):
     return align.exact_pairs(flows.cue_tokens(cues(spark, sf)).select("ep", "idx", "token"), heard)
 
 
-@query()
+ENDED_SQL = r"""[.!?]["''»“”„’)\]]*\s*$"""
+DRIFT_WORDS = rf"""c AS (SELECT ep, pos, cue_id, speaker, regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+') AS w, string_split_regex(p, '[\p{{L}}\p{{N}}_]+') AS b FROM (SELECT *, {PLAIN} AS p FROM v_cues)),
+k AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(b[-1], '{ENDED_SQL}') THEN true WHEN len(w) > 0 THEN false END IGNORE NULLS) OVER (PARTITION BY ep, speaker ORDER BY pos, cue_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS carried FROM c),
+o AS (SELECT ep, pos, cue_id, speaker, i, token, translate(replace(lower(token), 'ß', 'ss'), 'ſς', 'sσ') AS key, regexp_matches(b[i], '{ENDED_SQL}') OR (i = 1 AND carried) AS initial FROM (SELECT *, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM k)),
+f AS (SELECT ep, key, token, count(*) AS n, min((pos, cue_id, i)) AS first, bool_or(regexp_matches(substr(token, 1, 1), '^\p{{Lu}}') AND NOT initial) AS name FROM o WHERE speaker = 'user' GROUP BY ALL),
+known AS (SELECT ep, key AS known, sum(n) AS n, first(token ORDER BY n DESC, first) AS token, min(first) AS first, bool_or(name) AS name FROM f GROUP BY ep, key),
+new AS (SELECT ep, key, first(token ORDER BY pos, cue_id, i) AS new_text, list_sort(list(DISTINCT cue_id)) AS cue_ids FROM o WHERE speaker = 'assistant' AND length(key) >= 4 AND (ep, key) NOT IN (SELECT (ep, known) FROM known) GROUP BY ep, key),
+p AS (SELECT new.ep, key, known, length(key) AS la, length(known) AS lb, list_reduce(list_prepend([0 FOR j IN range(length(known) + 1)], [[unicode(x)] FOR x IN string_split(key, '')]), lambda row, x: list_prepend(0, [list_max([greatest(row[k + 1], row[k] + (unicode(substr(known, k, 1)) = x[1])::INT) FOR k IN range(1, j + 1)]) FOR j IN range(1, length(known) + 1)]))[-1] AS lcs
+  FROM new JOIN known ON new.ep = known.ep AND n >= 2 AND abs(length(key) - length(known)) <= 3),
+r AS (SELECT p.*, k.n, k.token, k.name, row_number() OVER (PARTITION BY ep, key ORDER BY n DESC, 200.0 * lcs / (la + lb) DESC, first) AS r, sum(n) OVER (PARTITION BY ep, key) AS all_n FROM p JOIN known k USING (ep, known) WHERE 200 * lcs >= 70 * (la + lb))
+"""
+
+
+@query(", " + DRIFT_WORDS + """SELECT ep, CASE WHEN name THEN 'name_spelling_inconsistency' ELSE 'unsourced_word_substitution' END AS kind, 'warning' AS severity, cue_ids,
+  format('Output spelling ''{}'' is absent from the source, while near spelling ''{}'' appears {} times; review as {}.', new_text, token, n::BIGINT, CASE WHEN name THEN 'a possible name drift' ELSE 'an unsourced word substitution' END) AS message, token AS old_text, new_text
+FROM r JOIN new USING (ep, key) WHERE r = 1 AND n / all_n >= 0.8""")
 def name_drift_roles(spark, sf):
-    from ..operators import edits
+    """J18 by episode: what the assistant spells unlike the user."""
+    from ..operators.name_drift import name_drift_findings
+
+    c = cues(spark, sf)
+    return name_drift_findings(c.where("speaker = 'user'"), c.where("speaker = 'assistant'"))
+
+
+@query(", " + DRIFT_WORDS + "SELECT ep, speaker, cue_id, (i - 1)::INT AS i, token, initial FROM o")
+def sentence_starts(spark, sf):
+    """The words of every speaker's cues and which of them begin a sentence."""
+    from ..operators.name_drift import occurrences
 
-    one = lambda role: cues(spark, sf).where(F.col("speaker") == role).select(F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return edits.name_drift(one("assistant"), one("user"))
+    c = cues(spark, sf).withColumn("ep", F.struct("ep", "speaker"))
+    return occurrences(c).select("ep.ep", "ep.speaker", "cue_id", "i", "token", "initial")
 
 
 # ---- cues against words and speech
