@@ -459,20 +459,24 @@ def exact_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def sampled(anchors: DataFrame, most: int = 128) -> DataFrame:
-    """At most ``most`` evenly spaced anchors an episode (the rule of L5), with their number."""
+    """All anchors of an episode or ``most`` of them, evenly spaced from the first to the last, with their number."""
     n, i = F.count("*").over(Window.partitionBy("ep")), F.row_number().over(Window.partitionBy("ep").orderBy("x", "y")) - 1
     d = anchors.withColumn("n", n).withColumn("i", i)
-    pick = F.floor(F.col("i") * most / F.col("n")) != F.floor((F.col("i") - 1) * most / F.col("n"))
-    return d.where((F.col("n") <= most) | (F.col("i") == 0) | pick).select("ep", "x", "y", "i")
+    # halves go to the even neighbour
+    picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("n") - 1) / float(most - 1)))
+    return d.where((F.col("n") <= most) | F.array_contains(picked, F.col("i").cast("double"))).select("ep", "x", "y", "i")
 
 
-def theil_sen(anchors: DataFrame, least_dx: float) -> DataFrame:
-    """Rate and offset by median pairwise slope over at most 128 sampled anchors (ep, x, y)."""
-    s = sampled(anchors)
-    l, r = s.alias("l"), s.alias("r")
-    pairs = l.join(r, (F.col("l.ep") == F.col("r.ep")) & (F.col("l.i") < F.col("r.i")) & (F.col("r.x") - F.col("l.x") >= least_dx))
-    slopes = pairs.groupBy(F.col("l.ep").alias("ep")).agg(F.median((F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))).alias("rate"))
-    return anchors.join(slopes, "ep").groupBy("ep", "rate").agg(F.median(F.col("y") - F.col("rate") * F.col("x")).alias("offset"), F.count("*").alias("n"))
+def theil_sen(anchors: DataFrame) -> DataFrame:
+    """Rate and offset of each episode's anchors (ep, x, y in seconds) as ``fit_times`` has them; what it refuses has no row."""
+
+    def fits(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        found = [fit_times(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)]
+        return pd.DataFrame([(None, None) if f is None else f for f in found], columns=["rate", "offset"], dtype=float)
+
+    each = anchors.where("x is not null and y is not null").groupBy("ep").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("a"), F.count("*").alias("n"))
+    fit = F.pandas_udf(fits, "rate double, offset double")(F.col("a.x"), F.col("a.y"))
+    return each.select("ep", fit.alias("fit"), "n").select("ep", "fit.rate", "fit.offset", "n").where("rate is not null")
 
 
 def outliers(anchors: DataFrame, fits: DataFrame, limit: Column) -> DataFrame:

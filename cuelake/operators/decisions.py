@@ -118,7 +118,7 @@ def fresh_ids(cues: DataFrame, added: DataFrame) -> DataFrame:
 
 def speaker_map_flags(mapping: DataFrame) -> DataFrame:
     """One information per mapped speaker, unknown ones left out."""
-    return mapping.where("lower(character) <> 'unknown'").select("ep", F.lit("speaker_mapped").alias("kind"), F.lit("info").alias("severity"), F.concat("speaker", F.lit(" -> "), "character").alias("message"))
+    return mapping.where("lower(character) <> 'unknown'").select("ep", F.lit("speaker_character_mapped").alias("kind"), F.lit("info").alias("severity"), F.concat("speaker", F.lit(" -> "), "character").alias("message"))
 
 
 def sentence_initial(tokens: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def sentence_initial(tokens: DataFrame) -> DataFrame:
 
 def fps_flags(found: DataFrame, given: float) -> DataFrame:
     """A given frame rate that a confident detection contradicts, or a detection without confidence."""
-    kind = F.when(F.col("confident") & (F.abs(F.lit(given) - F.col("fps")) > 0.05), "fps_override_mismatch").when(~F.col("confident"), "fps_low_confidence")
+    kind = F.when(F.col("confident") & (F.abs(F.lit(given) - F.col("fps")) > 0.05), "fps_override_mismatch").when(~F.col("confident"), "fps_detection_low_confidence")
     return found.withColumn("kind", kind).where("kind is not null")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import flow, indel, normalize, split_tokens, width_of, wrap
+from ..functions.text import indel, normalize, split_tokens, width_of, wrap
 
 
 def frame_floor(ms: float, fps: float) -> int:
@@ -27,9 +27,9 @@ def frame_ceil(ms: float, fps: float) -> int:
     return int((n + 1) * frame) if low < ms - 1e-9 else low
 
 
-def per_episode(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str, order: str = "pos") -> DataFrame:
+def per_episode(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str, *order: str) -> DataFrame:
     """``fn`` over each episode's rows in order: one exchange and one sort, then batches of many episodes."""
-    fields = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in schema.split(", ")])
+    fields = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches):
         held: list[dict] = []
@@ -46,7 +46,7 @@ def per_episode(df: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: s
         if held:
             yield pa.RecordBatch.from_pylist(fn(held), fields)
 
-    return df.repartition("ep").sortWithinPartitions("ep", order).mapInArrow(run, schema)
+    return df.repartition("ep").sortWithinPartitions("ep", *(order or ("pos",))).mapInArrow(run, schema)
 
 
 TIMED = "ep long, pos long, cue_id long, new_start long, new_end long"
@@ -128,6 +128,10 @@ MERGED = "ep long, cue_id long, n long, start_ms long, end_ms long, text string"
 CUE = ("ep", "pos", "cue_id", "start_ms", "end_ms", "text", "speaker")
 
 
+def plain(text: str) -> str:
+    return " ".join(x.strip() for x in text.split("\n") if x.strip())
+
+
 def _merged(r: dict, n: int) -> dict:
     return {"ep": r["ep"], "cue_id": r["cue_id"], "n": n, "start_ms": r["start_ms"], "end_ms": r["end_ms"], "text": r["text"]}
 
@@ -158,10 +162,10 @@ def duplicate_merge(cues: DataFrame, least: float = 90.0) -> DataFrame:
                 nxt = rows[i + n]
                 if not _timed_text(cur) or not _timed_text(nxt) or nxt["start_ms"] >= cur["end_ms"]:
                     break
-                a, b = _key(cur["text"]), _key(nxt["text"])
+                a, b = _key(plain(cur["text"])), _key(plain(nxt["text"]))
                 if not a or not b or (a != b and indel(a, b) < least):
                     break
-                longer = nxt["end_ms"] - nxt["start_ms"] > cur["end_ms"] - cur["start_ms"] or len(nxt["text"]) > len(cur["text"])
+                longer = nxt["end_ms"] - nxt["start_ms"] > cur["end_ms"] - cur["start_ms"] or len(plain(nxt["text"])) > len(plain(cur["text"]))
                 cur |= {"text": nxt["text"] if longer else cur["text"], "cue_id": min(cur["cue_id"], nxt["cue_id"]), "start_ms": min(cur["start_ms"], nxt["start_ms"]), "end_ms": max(cur["end_ms"], nxt["end_ms"]), "speaker": cur["speaker"] or nxt["speaker"]}
                 n += 1
             out.append(_merged(cur, n))
@@ -180,9 +184,6 @@ def cps_merge(cues: DataFrame, most: float = 15.0, width: int = 400, longest_ms:
     def speed(text_width, ms):
         return text_width / (ms / 1000) if ms > 0 else 0.0
 
-    def plain(text):
-        return " ".join(x.strip() for x in text.split("\n") if x.strip())
-
     def fold(rows):
         out, i = [], 0
         while i < len(rows):
@@ -211,7 +212,7 @@ def dash_merge(cues: DataFrame) -> DataFrame:
             a = rows[i]
             b = rows[i + 1] if i + 1 < len(rows) else None
             if b is not None and _timed_text(a) and _timed_text(b) and _different(a, b) and b["start_ms"] < a["end_ms"]:
-                out.append(_merged(a | {"start_ms": min(a["start_ms"], b["start_ms"]), "end_ms": max(a["end_ms"], b["end_ms"]), "text": f"- {a['text']}\n- {b['text']}"}, 2))
+                out.append(_merged(a | {"start_ms": min(a["start_ms"], b["start_ms"]), "end_ms": max(a["end_ms"], b["end_ms"]), "text": f"- {plain(a['text'])}\n- {plain(b['text'])}"}, 2))
                 i += 2
             else:
                 out.append(_merged(a, 1))
@@ -224,7 +225,7 @@ def dash_merge(cues: DataFrame) -> DataFrame:
 def words_to_cues(words: DataFrame, gap_us: int, span_us: int, width: int = 26, lines: int = 2, min_us: int = 500_000) -> DataFrame:
     """Words become cues: a new one after a gap, on a speaker change, or when it is full.
 
-    A sentence's end closes a cue that has lasted ``min_us``. Words without text or both times, that
+    Words come by start, then end. A sentence's end closes a cue that has lasted ``min_us``. Words without text or both times, that
     begin before 0 or end before they begin make no cue (P5).
     """
     usable = "trim(text) <> '' and start_us >= 0 and end_us >= start_us"
@@ -239,7 +240,7 @@ def words_to_cues(words: DataFrame, gap_us: int, span_us: int, width: int = 26,
                 for w in cur:
                     if w["speaker"] is not None:
                         count[w["speaker"]] = count.get(w["speaker"], 0) + 1
-                out.append({"ep": cur[0]["ep"], "pos": len(out), "start_us": cur[0]["start_us"], "end_us": cur[-1]["end_us"], "text": "\n".join(flow(text, width, lines)), "speaker": max(count, key=count.get) if count else None, "n": len(cur)})
+                out.append({"ep": cur[0]["ep"], "pos": len(out), "start_us": cur[0]["start_us"], "end_us": cur[-1]["end_us"], "text": "\n".join(wrap(text, width) or [text]), "speaker": max(count, key=count.get) if count else None, "n": len(cur)})
                 cur.clear()
 
         for w in rows:
@@ -255,4 +256,4 @@ def words_to_cues(words: DataFrame, gap_us: int, span_us: int, width: int = 26,
         return out
 
     some = words.where(usable).select("ep", "word_idx", F.trim("text").alias("text"), "start_us", "end_us", "speaker")
-    return per_episode(some, fold, "ep long, pos long, start_us long, end_us long, text string, speaker long, n long", "word_idx")
+    return per_episode(some, fold, "ep long, pos long, start_us long, end_us long, text string, speaker long, n long", "start_us", "end_us", "word_idx")

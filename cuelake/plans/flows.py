@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized, tokens
+from ..functions.text import display_width, normalized, signature, tokens
 from ..functions.timing import snap_ceil, snap_floor
 from ..operators import align, quality_control, recurrences, sequence
+from ..operators.apply_decisions import plain_text
+from ..operators.finalize import Finish, cues_of, finalize, findings_of, overlap_policy
+from ..operators.name_drift import name_drift_findings
 
 
 def cue_tokens(cues: DataFrame) -> DataFrame:
@@ -19,14 +22,22 @@ def cue_tokens(cues: DataFrame) -> DataFrame:
     return t.select("ep", idx.cast("long").alias("idx"), "token", "cue_id")
 
 
+def aligner_tokens(cues: DataFrame) -> DataFrame:
+    """(ep, idx, token, cue_id): the normalized tokens of the cues' plain text in any script, empty ones left out."""
+    t = cues.select("ep", "pos", "cue_id", F.posexplode(signature(plain_text(F.coalesce("text", F.lit(""))))).alias("i", "token"))
+    idx = F.row_number().over(Window.partitionBy("ep").orderBy("pos", "i")) - 1
+    return t.select("ep", idx.cast("long").alias("idx"), "token", "cue_id")
+
+
 def matched_words(cues: DataFrame, words: DataFrame) -> DataFrame:
     """(ep, cue_id, word_idx, start_us, end_us) of the words that the alignment gives each cue.
 
-    Tokens are compared as ``normalize`` has them; the cues' and words' times choose between repeated ones.
+    Cues are split as ``aligner_tokens`` has it, words are normalized whole: a hyphenated word is one token
+    on both sides. The cues' and words' times choose between repeated ones.
     """
-    tokens_ = cue_tokens(cues)
+    tokens_ = aligner_tokens(cues)
     times = cues.select("ep", "cue_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
-    left = tokens_.join(times, ["ep", "cue_id"]).select("ep", "idx", normalized(F.col("token")).alias("token"), "cue_id", "start", "end")
+    left = tokens_.join(times, ["ep", "cue_id"]).select("ep", "idx", "token", "cue_id", "start", "end")
     heard = words.select("ep", F.col("word_idx").alias("idx"), normalized(F.col("text")).alias("token"), (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"))
     ops = align.align_timed(left, heard).where("kind = 'match'")
     pairs = ops.select("ep", F.col("left_idx").alias("idx"), F.col("right_idx").alias("word_idx")).join(tokens_.select("ep", "idx", "cue_id"), ["ep", "idx"])
@@ -62,13 +73,39 @@ def sync(cues: DataFrame, words: DataFrame, fps: float = 30.0, min_ms: int = 500
     return recurrences.settled(placed, fps, min_ms)
 
 
-def generate(words: DataFrame, gap_us: int = 800_000, span_us: int = 5_000_000, fps: float = 30.0) -> DataFrame:
-    """Cues from words alone, on frames, none reaching into the next."""
+def generate(words: DataFrame, gap_us: int = 800_000, span_us: int = 5_000_000, fps: float = 30.0, min_ms: int = 500, lead_ms: int = 0, tail_ms: int = 40) -> DataFrame:
+    """Cues from words alone, on frames, none reaching into the next.
+
+    A cue begins ``lead_ms`` before its first word and lasts ``tail_ms`` beyond its last, ``min_ms`` at least.
+    """
     made = recurrences.words_to_cues(words, gap_us, span_us)
-    c = made.select("ep", "pos", (F.col("pos") + 1).alias("cue_id"), snap_floor(F.col("start_us") / 1000, fps).alias("start_ms"), snap_ceil(F.col("end_us") / 1000, fps).alias("end_ms"), "text", F.col("speaker").cast("string").alias("speaker"))
+    start = snap_floor(F.greatest(F.lit(0.0), F.col("start_us") / 1000 - lead_ms), fps)
+    c = made.select("ep", "pos", (F.col("pos") + 1).alias("cue_id"), start.alias("start_ms"), "end_us", "text", F.col("speaker").cast("string").alias("speaker"))
+    end = F.greatest(snap_ceil(F.col("end_us") / 1000 + tail_ms, fps), snap_ceil(F.col("start_ms") + min_ms, fps), F.col("start_ms") + 1)
+    c = c.withColumn("end_ms", end.cast("long")).select("ep", "pos", "cue_id", "start_ms", "end_ms", "text", "speaker")
     return sequence.cap_overlaps(c, fps).withColumn("end_ms", F.col("new_end")).drop("new_end")
 
 
+def finished(cues: DataFrame, source: DataFrame | None = None, p: Finish = Finish()) -> tuple[DataFrame, DataFrame]:
+    """(cues, findings) of a run's end: overlaps are told, then the final pass, then what the cues themselves show.
+
+    With ``source`` also the words that it does not spell so. Findings are (ep, kind, severity, cue_ids,
+    message, start_ms, end_ms, old_text, new_text).
+    """
+    told = overlap_policy(cues, p)
+    done = finalize(cues_of(told), p)
+    out = cues_of(done)
+    none = F.lit(None).cast("string")
+    row = lambda d: d.select("ep", "kind", "severity", "cue_ids", "message", "start_ms", "end_ms", "old_text", "new_text")
+    speed = quality_control.cps_lint(out.where("start_ms is not null and end_ms is not null"), display_width(plain_text(F.col("text")))).where("kind is not null").join(out.select("ep", "cue_id", "start_ms", "end_ms"), ["ep", "cue_id"])
+    speed = speed.select("ep", "kind", F.lit("warning").alias("severity"), F.array("cue_id").alias("cue_ids"), F.format_string("Cue is read at %.2f characters a second.", "cps").alias("message"), "start_ms", "end_ms", none.alias("old_text"), none.alias("new_text"))
+    findings = row(findings_of(told)).unionByName(row(findings_of(done))).unionByName(speed)
+    if source is not None:
+        drift = name_drift_findings(source, out).withColumns({"start_ms": F.lit(None).cast("long"), "end_ms": F.lit(None).cast("long")})
+        findings = findings.unionByName(row(drift))
+    return out, findings
+
+
 def report(cues: DataFrame, width: Callable[[Column], Column]) -> DataFrame:
     """Findings of the final cues, rolled up by episode."""
     return quality_control.qc_summary(quality_control.style_lint(cues, width))
