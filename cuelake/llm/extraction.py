@@ -70,10 +70,10 @@ class Extraction:
 class Node:
     """A text run: its block, the tokens around it, how many elements were opened before it, and what its ancestors say of it."""
 
-    __slots__ = ("text", "block", "around", "at", "main", "out", "link")
+    __slots__ = ("text", "block", "around", "at", "main", "out", "link", "gone")
 
-    def __init__(self, text, block, around, at, main, out, link):
-        self.text, self.block, self.around, self.at, self.main, self.out, self.link = text, block, around, at, main, out, link
+    def __init__(self, text, block, around, at, main, out, link, gone):
+        self.text, self.block, self.around, self.at, self.main, self.out, self.link, self.gone = text, block, around, at, main, out, link, gone
 
     def token(self) -> int:
         return hash_text(f"{self.around[-1] if self.around else 0}\x00{_squeeze(self.text)}") | 1
@@ -82,14 +82,14 @@ class Node:
 class Element:
     """An open element. Its token is known once its first child is."""
 
-    __slots__ = ("tag", "names", "main", "out", "link", "token", "around")
+    __slots__ = ("tag", "names", "main", "out", "link", "gone", "token", "around")
 
-    def __init__(self, tag, names, main, out, link):
-        self.tag, self.names, self.main, self.out, self.link, self.token, self.around = tag, names, main, out, link, None, ()
+    def __init__(self, tag, names, main, out, link, gone):
+        self.tag, self.names, self.main, self.out, self.link, self.gone, self.token, self.around = tag, names, main, out, link, gone, None, ()
 
 
-def _look(tag: str, attributes: str, main: int, out: bool) -> tuple[str, int, bool]:
-    """(class and id names, main depth, left out) of an element below (main, out)."""
+def _look(tag: str, attributes: str, main: int) -> tuple[str, int, bool]:
+    """(class and id names, main depth, left out by its own names) of an element below ``main``."""
     names, role, gone = "", "", False
     if attributes:
         for m in NAMED.finditer(attributes):
@@ -107,7 +107,7 @@ def _look(tag: str, attributes: str, main: int, out: bool) -> tuple[str, int, bo
         main = max(main, 3 if tag == "article" or role == "article" else 2)
     elif names and MAIN_NAMES.search(names.strip()):
         main = max(main, 1)
-    return names, main, out or gone
+    return names, main, gone
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, int]]]:
@@ -117,7 +117,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int]]]:
     """
     nodes: list[Node] = []
     opened: list[tuple[int, int]] = []
-    top = Element("", "", 0, False, False)
+    top = Element("", "", 0, False, False, -1)
     top.token = 0
     stack = [top]
     block, at, n = 0, 0, len(page)
@@ -135,7 +135,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int]]]:
         if raw and not raw.isspace():
             first_child("#")
             x = stack[-1]
-            nodes.append(Node(entities.unescape(raw) if "&" in raw else raw, block, x.around, len(opened), x.main, x.out, x.link))
+            nodes.append(Node(entities.unescape(raw) if "&" in raw else raw, block, x.around, len(opened), x.main, x.out, x.link, x.gone))
         elif raw and nodes and nodes[-1].block == block:
             nodes[-1].text += " "
 
@@ -174,14 +174,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int]]]:
                     break
         first_child(tag)
         x = stack[-1]
-        names, main, out = _look(tag, m[3], x.main, x.out)
+        names, main, gone = _look(tag, m[3], x.main)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append(Element(tag, names, main, out, x.link or tag == "a"))
+        # gone: how deep the innermost element stands that is left out by its names
+        stack.append(Element(tag, names, main, x.out or gone, x.link or tag == "a", len(x.around) if gone else x.gone))
     return nodes, opened
 
 
@@ -210,7 +211,10 @@ def _squeeze(text: str) -> str:
 
 
 def page_tokens(page: str) -> tuple[list[int], dict[int, list]]:
-    """(tokens in order, by token: [times, place, running text, link text, mark]) of a page."""
+    """(tokens in order, by token: [times, place, running text, link text, mark, blocks]) of a page, whatever names say of the text.
+
+    blocks: how many changes of block its texts see; an element without any is a block itself.
+    """
     nodes, opened = parse(page)
     marks = dict(opened)
     seq: list[int] = []
@@ -226,11 +230,13 @@ def page_tokens(page: str) -> tuple[list[int], dict[int, list]]:
         if token in facts:
             facts[token][0] += 1
         else:
-            facts[token] = [1, place, 0, 0, 0]
+            facts[token] = [1, place, 0, 0, 0, 0]
+    last: dict[int, int] = {}
     for x in nodes:
-        if not x.out:
-            for token in set(x.around):
-                facts[token][3 if x.link else 2] += len(x.text)
+        for token in set(x.around):
+            facts[token][3 if x.link else 2] += len(x.text)
+            facts[token][5] += last.setdefault(token, x.block) != x.block
+            last[token] = x.block
     for token, fact in facts.items():
         fact[1] /= len(seq)
         fact[4] = marks.get(token, 0)
@@ -246,23 +252,23 @@ def _sequences(batches):
             for page in part.column(2):
                 seq, fact = page_tokens(page.as_py() or "")
                 seqs.append(np.array(seq, np.uint64).view(np.int64))
-                facts.append(np.array([(t, *f) for t, f in fact.items()], object).reshape(-1, 6))
+                facts.append(np.array([(t, *f) for t, f in fact.items()], object).reshape(-1, 7))
             sizes = np.cumsum([0, *map(len, seqs)])
             fact_sizes = np.cumsum([0, *map(len, facts)])
-            flat = np.concatenate([*facts, np.empty((0, 6), object)])
+            flat = np.concatenate([*facts, np.empty((0, 7), object)])
             listed = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             own = pa.StructArray.from_arrays(
-                [pa.array(flat[:, 0].astype(np.uint64).view(np.int64)), *(pa.array(flat[:, k].astype(t)) for k, t in ((1, np.int32), (2, np.float32), (3, np.int32), (4, np.int32), (5, np.int32)))],
-                ["token", "times", "place", "running", "linked", "mark"],
+                [pa.array(flat[:, 0].astype(np.uint64).view(np.int64)), *(pa.array(flat[:, k].astype(t)) for k, t in ((1, np.int32), (2, np.float32), (3, np.int32), (4, np.int32), (5, np.int32), (6, np.int32)))],
+                ["token", "times", "place", "running", "linked", "mark", "blocks"],
             )
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), listed(pa.array(np.concatenate([*seqs, np.empty(0, np.int64)])), sizes), listed(own, fact_sizes)], ["host", "key", "tokens", "facts"])
 
 
-FACTS = "host string, key long, tokens array<long>, facts array<struct<token:long,times:int,place:float,running:int,linked:int,mark:int>>"
+FACTS = "host string, key long, tokens array<long>, facts array<struct<token:long,times:int,place:float,running:int,linked:int,mark:int,blocks:int>>"
 
 
 def _vectors(batches):
-    """host, token and sums over some pages: support, occurrences, vector, place, running and link text, mark.
+    """host, token and sums over some pages: support, occurrences, vector, place, running and link text, blocks, mark.
 
     A null token has the number of pages with tokens and, as its occurrences, how many tokens they have.
     """
@@ -274,22 +280,23 @@ def _vectors(batches):
                 if not len(facts):
                     continue
                 cols = [x.to_numpy().tolist() for x in facts.values.flatten()]
-                whole = rows.setdefault((host, None), [0, 0, 0, 0.0, 0, 0, 0])
+                whole = rows.setdefault((host, None), [0, 0, 0, 0.0, 0, 0, 0, 0])
                 whole[0] += 1
                 whole[1] += len(cols[0])
-                for token, times, place, running, linked, mark in zip(*cols):
-                    got = rows.setdefault((host, token), [0, 0, 0, 0.0, 0, 0, mark])
+                for token, times, place, running, linked, mark, blocks in zip(*cols):
+                    got = rows.setdefault((host, token), [0, 0, 0, 0.0, 0, 0, 0, mark])
                     got[0] += 1
                     got[1] += times
                     got[2] = (got[2] + hash((key, times)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
                     got[3] += place
                     got[4] += running
                     got[5] += linked
+                    got[6] += blocks
             if rows:
                 names = [k[1] for k in rows]
                 cols = list(zip(*rows.values()))
                 arrays = [pa.array([k[0] for k in rows]), pa.array(names, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.array(cols[2], np.uint64).view(np.int64)), pa.array(cols[3], pa.float64()), *(pa.array(c, pa.int64()) for c in cols[4:])]
-                yield pa.RecordBatch.from_arrays(arrays, ["host", "token", "support", "times", "vector", "place", "running", "linked", "mark"])
+                yield pa.RecordBatch.from_arrays(arrays, ["host", "token", "support", "times", "vector", "place", "running", "linked", "blocks", "mark"])
 
 
 def order_faults(seq: list[int], classes: list[tuple[int, bool, bool, list[int]]]):
@@ -337,15 +344,15 @@ def _checker(batches):
 
 def token_classes(seqs: DataFrame, p: Extraction) -> DataFrame:
     """host, pages, same, cid, root, single, members of each class; members are in the order of mean places."""
-    vectors = seqs.select("host", "key", "facts").mapInArrow(_vectors, "host string, token long, support long, times long, vector long, place double, running long, linked long, mark long")
+    vectors = seqs.select("host", "key", "facts").mapInArrow(_vectors, "host string, token long, support long, times long, vector long, place double, running long, linked long, blocks long, mark long")
     # vectors are added modulo 2**64: as two halves, which cannot overflow a long
     low, high = F.sum(F.expr("vector & 4294967295L")), F.sum(F.expr("shiftrightunsigned(vector, 32)"))
     add = lambda c: F.sum(c).alias(c)
-    tokens = vectors.groupBy("host", "token").agg(add("support"), add("times"), low.alias("v0"), high.alias("v1"), add("place"), add("running"), add("linked"), F.max("mark").alias("mark"))
+    tokens = vectors.groupBy("host", "token").agg(add("support"), add("times"), low.alias("v0"), high.alias("v1"), add("place"), add("running"), add("linked"), add("blocks"), F.max("mark").alias("mark"))
     tokens = saved(tokens.where((F.col("support") >= p.pages) | F.col("token").isNull()), "tokens")
     per_host = tokens.where("token is null").select("host", F.col("support").alias("pages"), F.col("times").alias("total"))
     strong = tokens.where("token is not null").join(per_host, "host").where(F.col("support") >= p.support * F.col("pages"))
-    member = F.struct((F.col("place") / F.col("support")).alias("place"), "token", "running", "linked", "mark")
+    member = F.struct((F.col("place") / F.col("support")).alias("place"), "token", "running", "linked", "blocks", "mark")
     vector = ["host", "pages", "total", "support", "times", "v0", "v1"]
     classes = strong.groupBy(*vector).agg(F.array_sort(F.collect_list(member)).alias("members"))
     single = F.col("times") == F.col("support")
@@ -374,22 +381,25 @@ def valid_members(seqs: DataFrame, classes: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, p: Extraction = Extraction()) -> DataFrame:
     """host, slots (containers of the main text), fixed (texts of the template), lists (elements that hold links), template.
 
-    From (host, key, html) rows. Of containers that names call main text the clearest are taken, else
-    the innermost one that holds ``dense`` of the running text that the host's containers hold. Pages
-    that are all alike don't tell what is template: their host has no fixed texts.
+    From (host, key, html) rows. A container is a token of a valid class, once on a page, whose texts are of
+    several blocks. The slot is the innermost one that holds ``dense`` of the running text of all, whatever
+    its name. Of containers that hold more than what ``dense`` leaves, text alone cannot tell where the slot
+    ends: if one is named main text, the clearest name decides between these. Pages that are all alike don't
+    tell what is template: their host has no fixed texts.
     """
     seqs = saved(pages.select("host", "key", "html").mapInArrow(_sequences, FACTS), "sequences")
     valid = valid_members(seqs, token_classes(seqs, p))
     is_text = F.col("token").bitwiseAND(F.lit(1)) == 1
-    holds = ~is_text & F.col("single") & (F.col("mark") >= 0)
-    d = valid.withColumn("holds", holds).withColumn("named", F.when(F.col("holds") & (F.col("mark") >= 2), F.col("mark")))
+    d = valid.withColumn("holds", ~is_text & F.col("single") & (F.col("running") > 0) & (F.col("blocks") > 0))
     w = Window.partitionBy("host")
-    d = d.withColumn("clearest", F.max("named").over(w)).withColumn("most", F.max(F.when(F.col("holds"), F.col("running"))).over(w))
-    inner = F.max_by("token", F.when(F.col("holds") & (F.col("running") > 0) & (F.col("running") >= p.dense * F.col("most")), F.col("place")))
+    d = d.withColumn("most", F.max(F.when(F.col("holds"), F.col("running"))).over(w))
+    share = F.when(F.col("holds"), F.col("running") / F.col("most"))
+    d = d.withColumn("deep", F.when(share >= p.dense, F.col("place")))
+    d = d.withColumn("named", F.when((share > 1 - p.dense) & (F.col("mark") >= 2), F.col("mark"))).withColumn("clearest", F.max("named").over(w))
     fixed = is_text & F.col("everywhere") & ~F.col("same") & (F.col("pages") >= p.text_pages)
     lists = ~is_text & (F.col("linked") > F.col("running")) & F.col("clearest").isNull()
     some = lambda c: F.collect_set(F.when(c, F.col("token")))
-    out = d.groupBy("host").agg(some(F.col("named") == F.col("clearest")).alias("named"), inner.alias("inner"), some(fixed).alias("fixed"), some(lists).alias("lists"), F.collect_set("token").alias("template"))
+    out = d.groupBy("host").agg(some(F.col("named") == F.col("clearest")).alias("named"), F.max_by("token", "deep").alias("inner"), some(fixed).alias("fixed"), some(lists).alias("lists"), F.collect_set("token").alias("template"))
     return out.select("host", F.when(F.size("named") > 0, F.col("named")).otherwise(F.array_compact(F.array("inner"))).alias("slots"), "fixed", "lists", "template")
 
 
@@ -399,18 +409,21 @@ NONE: frozenset[int] = frozenset()
 def main_text(page: str, slots: frozenset[int] = NONE, fixed: frozenset[int] = NONE, lists: frozenset[int] = NONE, template: frozenset[int] = NONE, dense: float = 0.6) -> tuple[str, int]:
     """(the main text, template tokens matched) of a page under its host's template.
 
-    A page that has none of the template's containers is its own template: names choose the
-    container, else the innermost element that holds ``dense`` of the page's running text.
+    What fills the template's slot is the text, less the template's own texts and elements within the slot
+    that their names leave out; what stands around the slot is not asked. A page that has no such container
+    is its own template: names choose the container, else the innermost element that holds ``dense`` of the
+    page's running text.
     """
     nodes, opened = parse(page)
     tokens = [x.token() for x in nodes] if template else []
     matched = sum(t in template for t, _ in opened) + sum(t in template for t in tokens)
-    inside = [not slots.isdisjoint(x.around) for x in nodes]
+    inside = [_fills(x, slots) for x in nodes]
     level = 0
-    if not any(k and not x.out for k, x in zip(inside, nodes)):
+    if not any(inside):
         level = max((x.main for x in nodes if not x.out), default=0)
         inside = [x.main >= level for x in nodes] if level >= 2 else _held(nodes, opened, dense)
-    kept = [x for i, x in enumerate(nodes) if inside[i] and not x.out and not (fixed and tokens[i] in fixed) and lists.isdisjoint(x.around)]
+        inside = [k and not x.out for k, x in zip(inside, nodes)]
+    kept = [x for i, x in enumerate(nodes) if inside[i] and not (fixed and tokens[i] in fixed) and lists.isdisjoint(x.around)]
     if level < 2:
         kept = _dense(kept) if not any(x.main >= 2 for x in kept) else kept
     blocks: list[tuple[int, list[str]]] = []
@@ -423,6 +436,12 @@ def main_text(page: str, slots: frozenset[int] = NONE, fixed: frozenset[int] = N
     return "\n\n".join(t for t in texts if t), matched
 
 
+def _fills(x: Node, slots: frozenset[int]) -> bool:
+    """Whether a text stands in a slot and no element between them is left out by its names."""
+    depth = next((k for k, t in enumerate(x.around) if t in slots), None)
+    return depth is not None and x.gone <= depth
+
+
 def _held(nodes: list[Node], opened: list[tuple[int, int]], dense: float) -> list[bool]:
     """Which texts the innermost element with ``dense`` of the running text holds; elements that repeat don't count."""
     running: dict[int, int] = {}

@@ -124,3 +124,34 @@ def test_the_slot_is_found_without_any_names(spark):
         want[i] = "\n\n".join([f"{i} title", *paragraphs])
     assert texts(spark, bodies) == want
     assert {i: extraction.main_text(b)[0] for i, b in enumerate(bodies)} != want
+
+
+def _host(wrap, n=6):
+    """Pages of one host: a menu and a footer that all share, and an article of its own within ``wrap``."""
+    menu, foot = "<div><a href='/a'>Start</a> <a href='/b'>News</a></div>", "<div>All rights of this site belong to us, and to us alone.</div>"
+    article = lambda i: f"<div><h1>Title {i}</h1><p>Text number {i} goes on and on, {'word ' * (20 + i)}.</p><p>It ends after {i * 7} words.</p></div>"
+    return [(i, f"http://h.example/{i}", f"<html><body>{menu}{wrap[0]}{article(i)}{wrap[1]}{foot}</body></html>") for i in range(n)]
+
+
+def test_the_classes_decide_whatever_the_names_around_the_slot_say(spark):
+    for wrap in (("<div class='sidebar widget'>", "</div>"), ("<div id='comments'>", "</div>"), ("<div class='x'>", "</div>"), ("", "")):
+        pages = spark.createDataFrame(_host(wrap), "page_id long, url string, html string")
+        for r in extraction.extract(pages).collect():
+            i = r.page_id
+            assert r.text == f"Title {i}\n\nText number {i} goes on and on, {'word ' * (20 + i)}.\n\nIt ends after {i * 7} words.", wrap
+    misled = spark.createDataFrame(_host(("<div class='sidebar widget'>", "</div>")), "page_id long, url string, html string")
+    assert not any(r.text.startswith("Title") for r in extraction.extract(misled, extraction.Extraction(pages=10**9)).collect())
+
+
+def test_names_within_the_slot_and_clashing_columns(spark):
+    rows = [(i, u, h.replace("</h1>", "</h1><div class='advert'>Buy now, today only!</div>")) for i, u, h in _host(("<div class='layout-side'>", "</div>"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    more = pages.selectExpr("*", "'x' AS text", "1 AS host", "2 AS slots", "3 AS n_template", "4 AS `key`", "5 AS tokens")
+    got = {r.page_id: r.text for r in extraction.extract(more).collect()}
+    assert len(got) == 6 and all(t.startswith(f"Title {i}\n\nText number") and "Buy" not in t for i, t in got.items())
+
+
+def test_very_long_pages(spark):
+    rows = [(i, f"http://long.example/{i}", "<html><body><nav><a>Menu</a></nav><article><h1>T" + f"{i}</h1>" + "<p>" + f"w{i} " * 10 + "</p>" + f"<p>{f'lang{i} ' * 20_000}</p>" * 3 + "<div>" * 600 + "deep" + "</div>" * 600 + "</article></body></html>") for i in range(3)]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t.count("lang") == 60_000 and t.startswith(f"T{i}\n\n") and "Menu" not in t for i, t in got.items())
