@@ -904,6 +904,27 @@ def sync_findings(spark, sf):
     return flows.finished(flows.sync(c, _recognised(spark, sf)), c)[1]
 
 
+@query()
+def job_story(spark, sf):
+    """R3-R5 over users as jobs: every change, refusal and deadline, as the stream tells it."""
+    from ..streaming.jobs import Lifetimes, job_changes
+
+    kinds = {"view": "queue", "click": "claim", "purchase": "complete", "add_to_cart": "fail"}
+    kind = F.coalesce(*(F.when(F.col("text") == k, v) for k, v in kinds.items()), F.lit("interrupt"))
+    e = words(spark, sf).select(F.col("ep").alias("job_id"), "event_id", F.col("start_us").alias("ts_us"), kind.alias("event"))
+    return job_changes(e, 800 * HOUR, Lifetimes(12 * HOUR, 24 * HOUR))
+
+
+@query(r"""SELECT doc_id AS ep, len(l) - (l[-1] = '')::INT AS lines, CASE WHEN len(l) - (l[-1] = '')::INT > 40 THEN 'more than 40 lines' WHEN len(list_filter(l, lambda x: strlen(x) > 2000)) > 0 THEN format('line {} is longer than 2000 bytes', list_position([strlen(x) > 2000 FOR x IN l], true)) END AS problem
+FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents)""")
+def scan_uploads(spark, sf):
+    """S24 over documents as uploads, in chunks of 4 KiB."""
+    from ..sources.scanner import chunked, scan_chunks
+
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("ep"), F.encode("text", "UTF-8").alias("content"))
+    return scan_chunks(chunked(d, 4096), 40, 2000)
+
+
 # ---- pairs that there are, drift between roles
 
 
