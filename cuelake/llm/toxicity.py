@@ -3,10 +3,11 @@
 Tokens get log-odds of toxic against other documents with an informative Dirichlet prior. Tokens
 that are clearly toxic score their log-odds, all others a small penalty, so that every maximal
 segment found by one linear scan is a passage. Extreme-value statistics calibrate segments: lambda
-solves E[exp(lambda X)] = 1 over the scores X of the tokens of other documents, and their segments
-tell K, as K n exp(-lambda S) segments of score S or more are chance in n tokens. The excess of each
-segment over chance is summed, and a logistic curve, fitted on rows that the odds were not learned
-from, turns the sum into a probability.
+solves E[exp(lambda X)] = 1 over the scores X of the tokens of other documents, and the upper tail of
+their segments' scores tells K, as K n exp(-lambda S) segments of score S or more are chance in n
+tokens. The excess of each segment over chance is summed, and a logistic curve, fitted on rows that the
+odds were not learned from, turns the sum into a probability. How much the prior weighs and how many
+chance tokens the lexicon may hold is chosen by how well that curve fits those rows.
 """
 
 from __future__ import annotations
@@ -28,17 +29,17 @@ from .wordscan import ALNUM, scan, shingle_sets, text_blocks
 class Toxicity:
     """max_rows: labelled rows to learn from (expected number). max_tokens: tokens in the lexicon.
 
-    curve: one of so many rows is kept for the curve. prior: the Dirichlet prior's weight, as a
-    share of the documents learned from.
-    false_share: of the lexicon's tokens, those that chance brings in. penalty: the score of any other
-    token. min_docs: documents a scoring token stands in.
+    curve: one of so many learned rows is kept for the curve and for the choice between ``tries``: pairs of
+    the Dirichlet prior's weight, as a share of the documents learned from, and the share of the lexicon's
+    tokens that chance brings in. penalty: the score of any other token. min_docs: documents a scoring
+    token stands in. tail: the quantile of the gains above which segments tell K.
     """
 
     max_rows: int = 20_000
     curve: int = 3
-    false_share: float = 0.2
+    tries: tuple[tuple[float, float], ...] = ((0.15, 0.2), (0.05, 0.2), (0.5, 0.2), (0.15, 0.05))
     max_tokens: int = 20_000
-    prior: float = 0.15
+    tail: float = 0.75
     min_docs: int = 4
     penalty: float = 0.05
     bins: int = 400
@@ -166,37 +167,75 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> ToxicMo
     sample = saved(texts.dropDuplicates(["cluster", "toxic"]).select("text", "toxic", later), "toxic-sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), sum(v for k, v in size.items() if k != 1)
-    m = _odds(sample, p) if n1 and n0 else None
+    if not n1 or not n0:
+        return _flat(n1, n0, p)
+    # the curve's rows are strange to the odds that it is fitted on; with few rows one class may be missing
+    early, strange = sample.where("not later"), sample.where("later")
+    both = strange.agg(F.count_distinct(F.col("toxic") == 1)).first()[0] == 2 and early.agg(F.count_distinct(F.col("toxic") == 1)).first()[0] == 2
+    best = _chosen(early, strange, p) if both else None
+    try_ = best[0] if best else p.tries[0]
+    m = _odds(_token_counts(sample), sample, try_, p)
     if m is None:
-        return ToxicModel(np.empty(0, np.uint64), np.empty(0), p.penalty, 1.0, 0.0, 0.0, math.log((n1 + 1) / (n0 + 1)))
+        return _flat(n1, n0, p)
+    slope, bias = best[1] if best else _curve(m, sample, p)[:2]
+    return replace(m, slope=slope, bias=bias)
+
+
+def _flat(n1: int, n0: int, p: Toxicity) -> ToxicModel:
+    """What scores all texts alike."""
+    return ToxicModel(np.empty(0, np.uint64), np.empty(0), p.penalty, 1.0, 0.0, 0.0, math.log((n1 + 1) / (n0 + 1)))
+
+
+def _chosen(early: DataFrame, strange: DataFrame, p: Toxicity) -> tuple[tuple[float, float], tuple[float, float]] | None:
+    """A try and its curve: the first whose curve loses no more on the strange rows than the best one's, but for a standard error."""
+    counts = saved(_token_counts(early), "toxic-counts")
+    found = []
+    for try_ in p.tries:
+        m = _odds(counts, early, try_, p)
+        if m is not None:
+            slope, bias, loss, error = _curve(m, strange, p)
+            found.append((loss, error, try_, (slope, bias)))
+    if not found:
+        return None
+    least, error = min((loss, error) for loss, error, *_ in found)
+    return next(x[2:] for x in found if x[0] <= least + error)
+
+
+def _curve(m: ToxicModel, rows: DataFrame, p: Toxicity) -> tuple[float, float, float, float]:
+    """(slope, bias, mean loss, its standard error) of the logistic curve over the rows' bits, counted in ``bins`` at most."""
     step = F.least(F.floor(F.log1p("bits") * 40), F.lit(p.bins))
-    # the curve's rows are strange to the odds that it is fitted on; with few rows one class may be missing
-    for part, rows in ((_odds(sample.where("not later"), p), sample.where("later")), (m, sample)):
-        if part is None:
-            continue
-        curve = rows.select(F.col("toxic").alias("y"), "text").mapInArrow(_scorer(part), f"y int, bits double, score double, passages {PASSAGES}").groupBy(step.alias("x"), "y").agg(F.count("*").alias("n")).collect()
-        if len({r["y"] == 1 for r in curve}) == 2:
-            break
-    x, y, w = (np.array(c, float) for c in zip(*((r["x"] / 40 + 0.0125 * (r["x"] > 0), r["y"] == 1, r["n"]) for r in curve)))
+    scored = rows.select(F.col("toxic").alias("y"), "text").mapInArrow(_scorer(m), f"y int, bits double, score double, passages {PASSAGES}")
+    curve = scored.groupBy(step.alias("x"), (F.col("y") == 1).alias("y")).agg(F.count("*").alias("n")).collect()
+    x, y, w = (np.array(c, float) for c in zip(*((r["x"] / 40 + 0.0125 * (r["x"] > 0), r["y"], r["n"]) for r in curve)))
     slope, bias = _logistic(x, y, w)
-    return replace(m, slope=slope, bias=bias)
+    sign = np.where(y == 1, -1.0, 1.0)
+    loss = np.logaddexp(0.0, sign * (slope * x + bias))
+    mean = float(np.average(loss, weights=w))
+    return slope, bias, mean, math.sqrt(float(np.average((loss - mean) ** 2, weights=w)) / w.sum())
+
+
+def _token_counts(learn: DataFrame) -> DataFrame:
+    """token, y1, y0: toxic and other documents that it stands in; with a null token, how many there are."""
+    both = F.sum((F.col("toxic") == 1).cast("double")).alias("y1"), F.sum((F.col("toxic") != 1).cast("double")).alias("y0")
+    tokens = learn.select("text", "toxic").mapInArrow(_presence, "token long, toxic long")
+    return tokens.groupBy("token").agg(*both).union(learn.agg(F.lit(None).cast("long").alias("token"), *both))
 
 
-def _odds(learn: DataFrame, p: Toxicity) -> ToxicModel | None:
-    """Lexicon, lambda and K from rows of (text, toxic); none where a class is missing or no token tells them apart."""
-    size = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(size.get(1, 0)), float(sum(v for k, v in size.items() if k != 1))
+def _odds(counts: DataFrame, learn: DataFrame, try_: tuple[float, float], p: Toxicity) -> ToxicModel | None:
+    """Lexicon, lambda and K from token counts and the rows (text, toxic) they come from; none where no token tells classes apart."""
+    prior, false_share = try_
+    size = counts.where("token is null").first()
+    n1, n0 = size["y1"] or 0.0, size["y0"] or 0.0
     if not n1 or not n0:
         return None
-    counts = learn.select("text", "toxic").mapInArrow(_presence, "token long, toxic long").groupBy("token").agg(F.sum((F.col("toxic") == 1).cast("double")).alias("y1"), F.sum((F.col("toxic") != 1).cast("double")).alias("y0"))
-    weight = p.prior * (n1 + n0)
+    weight = prior * (n1 + n0)
     a = (F.col("y1") + F.col("y0")) / (n1 + n0) * weight + 0.01
     l1, l0 = (F.col("y1") + a) / (n1 + weight - F.col("y1") - a + 1), (F.col("y0") + a) / (n0 + weight - F.col("y0") - a + 1)
-    scored = counts.withColumn("odds", F.log(l1) - F.log(l0)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
+    scored = counts.where("token is not null").withColumn("odds", F.log(l1) - F.log(l0)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
     tested = scored.where(F.col("y1") >= p.min_docs)
     tests = tested.count()
     best = tested.where("odds > 0").orderBy(F.desc("z"), "token").limit(p.max_tokens).collect()
-    chosen = best[: _not_by_chance([r["z"] for r in best], tests, p.false_share)]
+    chosen = best[: _not_by_chance([r["z"] for r in best], tests, false_share)]
     if not chosen:
         return None
     keys = np.array([r["token"] for r in chosen], np.int64).view(np.uint64)
@@ -208,9 +247,11 @@ def _odds(learn: DataFrame, p: Toxicity) -> ToxicModel | None:
     gain = float((share * m.odds).sum())
     m = replace(m, penalty=max(p.penalty, 1.1 * gain / (1 - share.sum())))  # else chance segments have no end
     m = replace(m, rate=_rate(share, m.odds, m.penalty))
-    found = others.mapInArrow(_segment_counts(m), "n long, segments long").groupBy().agg(F.sum("n").alias("n"), F.sum("segments").alias("k")).first()
-    # every segment scores the least gain or more
-    return replace(m, log_k=math.log(max(found["k"] or 0, 0.5) / max(found["n"] or 1, 1)) + m.rate * float(m.odds.min()))
+    high = float(np.quantile(m.odds, p.tail))
+    found = others.mapInArrow(_segment_counts(m, high), "n long, segments long, high long").groupBy().agg(F.sum("n").alias("n"), F.sum("segments").alias("k"), F.sum("high").alias("high")).first()
+    # K from the tail, or where it is empty from all segments: they score the least gain or more
+    k, least = (found["high"], high) if found["high"] else (found["k"] or 0, float(m.odds.min()))
+    return replace(m, log_k=math.log(max(k, 0.5) / max(found["n"] or 1, 1)) + m.rate * least)
 
 
 def _not_by_chance(z: list[float], tests: int, false_share: float) -> int:
@@ -248,15 +289,15 @@ def _occurrences(m: ToxicModel):
     return count
 
 
-def _segment_counts(m: ToxicModel):
-    """Tokens and maximal segments of each text."""
+def _segment_counts(m: ToxicModel, high: float):
+    """Tokens, maximal segments, and those that score ``high`` or more, of each text."""
     found = _finder(m)
 
     def count(batches):
         for batch in batches:
             for _, _, texts in text_blocks(batch.column(0)):
-                rows = [(n, len(seg)) for n, seg in found(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["n", "segments"])
+                rows = [(n, len(seg), sum(s >= high for _, _, s in seg)) for n, seg in found(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["n", "segments", "high"])
 
     return count
 
