@@ -49,25 +49,17 @@ def is_character_token(c: str) -> bool:
     return any(lo <= ord(c) <= hi for _, lo, hi in CHARACTER_BLOCKS) and c.isalnum()
 
 
+_BLOCKS = "".join(f"{chr(lo)}-{chr(hi)}" for _, lo, hi in CHARACTER_BLOCKS)
+_DIGITS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())
+_SPLIT = re.compile(rf"[^\W{_BLOCKS}](?:[^\W{_BLOCKS}]|[-‑](?=[^\W_])|\*(?=\**[^\W_]))*|[{_BLOCKS}](?<=[^\W_])|(?<=[{_DIGITS}])%")
+
+
 def split_tokens(text: str) -> list[str]:
     """All scripts: NFC; characters of some scripts, and a % after a digit, stand alone.
 
     Hyphens before a letter or digit, and asterisks that mask inner letters, belong to their word.
     """
-    text = unicodedata.normalize("NFC", text)
-    out, word = [], ""
-    for i, c in enumerate(text):
-        rest = text[i + 1 :]
-        inside = bool(word) and (c in "-‑" and rest[:1].isalnum() or c == "*" and rest.lstrip("*")[:1].isalnum())
-        if not is_character_token(c) and not (c == "%" and text[i - 1 : i].isdigit()) and (c.isalnum() or c == "_" or inside):
-            word += c
-            continue
-        if word:
-            out.append(word)
-            word = ""
-        if is_character_token(c) or c == "%" and i and text[i - 1].isdigit():
-            out.append(c)
-    return [*out, word] if word else out
+    return _SPLIT.findall(unicodedata.normalize("NFC", text))
 
 
 def token_list(text: Column) -> Column:

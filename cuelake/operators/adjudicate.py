@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature
+from ..sources.kept import kept
 from .edits import triage
 from .sequence import islands
 
@@ -74,20 +73,6 @@ def scenes(spans: DataFrame, gap: float = 4.0) -> DataFrame:
     return islands(spans, first | F.coalesce(F.col("start") - F.lag("end").over(w) > gap, F.lit(False)), ["nth"], "batch")
 
 
-def kept_answers(df: DataFrame) -> DataFrame:
-    """Written to the folder that the cluster shares, and read again: asked once."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="cuelake-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/answers-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ask(spans: DataFrame, adapter: Asker, gap: float = 4.0) -> DataFrame:
     """A row for each span, as ``checked`` has them, of one request a scene."""
     columns = ["ep", "nth", "case_id", "srt_text", "asr_text", "start", "end", "speaker_ids"]
@@ -99,7 +84,7 @@ def ask(spans: DataFrame, adapter: Asker, gap: float = 4.0) -> DataFrame:
             rows = [r for text in pdf["request"] for r in _answer(adapter, json.loads(text))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DECIDED.split(", ")])
 
-    return kept_answers(requests.mapInPandas(answered, DECIDED))
+    return kept(requests.mapInPandas(answered, DECIDED), "answers")
 
 
 def _answer(adapter: Asker, spans: list[dict]) -> list[dict]:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import find_bounds, flow, indel_series, repetitive, signature, signature_of, split_for_cues, split_tokens, token_spans
+from ..sources.kept import kept
 from .intervals import overlap_join
 from .recurrences import per_episode
 
@@ -117,17 +118,20 @@ def placements(cues: DataFrame, cases: DataFrame, unmatched: DataFrame, width_us
 
     New cues are numbered on from the episode's largest id in the order of cases.
     """
-    refused = rejections(cues, cases)
-    left = _generated(cases).join(refused, ["ep", "nth"], "left_anti")
-    anchored = anchored_cue(left, cues)
-    rest = left.join(anchored.select("ep", "nth"), ["ep", "nth"], "left_anti")
-    reconciled = reconciled_cues(rest, unmatched, width_us)
-    new = rest.join(reconciled.select("ep", "nth"), ["ep", "nth"], "left_anti").select("ep", "nth")
+    keys = ["ep", "nth"]
+    refused = rejections(cues, cases).select(*keys, "reason")
+    anchored = anchored_cue(cases, cues).select(*keys, "cue_id")
+    judged = _generated(cases).select(*keys).join(refused, keys, "left").join(anchored, keys, "left")
+    how = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("cue_id").isNotNull(), "anchored")
+    judged = kept(judged.select(*keys, how.alias("how"), F.when(F.col("reason").isNull(), F.col("cue_id")).alias("cue_id")), "judged")
+    rest = cases.join(judged.where("how is null").select(*keys), keys, "left_semi")
+    taken = reconciled_cues(rest, unmatched, width_us).select(*keys, F.col("cue_id").alias("taken"))
     top = cues.groupBy("ep").agg(F.max("cue_id").alias("top"))
-    number = F.row_number().over(Window.partitionBy("ep").orderBy("nth"))
-    new = new.withColumn("k", number).join(top, "ep", "left").select("ep", "nth", (F.coalesce("top", F.lit(0)) + F.col("k")).cast("long").alias("cue_id"))
-    how = lambda d, name: d.select("ep", "nth", F.lit(name).alias("how"), "cue_id")
-    return refused.select("ep", "nth", F.col("reason").alias("how"), F.lit(None).cast("long").alias("cue_id")).unionByName(how(anchored, "anchored")).unionByName(how(reconciled, "reconciled")).unionByName(how(new, "new"))
+    new = F.col("how").isNull() & F.col("taken").isNull()
+    number = F.sum(new.cast("long")).over(Window.partitionBy("ep").orderBy("nth"))
+    fresh = F.when(new, F.coalesce("top", F.lit(0)) + number).cast("long")
+    d = judged.join(taken, keys, "left").join(top, "ep", "left")
+    return d.select(*keys, F.coalesce("how", F.when(F.col("taken").isNotNull(), "reconciled").otherwise("new")).alias("how"), F.coalesce("cue_id", "taken", fresh).alias("cue_id"))
 
 
 # ---- one case, one cue: small helpers
@@ -346,24 +350,32 @@ def changed_cues(cues: DataFrame, acts: DataFrame, width: int = 26, lines: int =
 def apply_decisions(cues: DataFrame, cases: DataFrame, placed: DataFrame, width: int = 26, lines: int = 2, drop_policy: str = "keep") -> tuple[DataFrame, DataFrame]:
     """(cues with changed texts, without removed ones, with new ones in their place; findings).
 
-    Columns of the cues: ep, place, cue_id, start_ms, end_ms, text. New cues go before the first cue
-    that starts later. A finding of one edited cue shows its text after all of its edits.
+    Columns of the cues: ep, place, cue_id, start_ms, end_ms, text, speaker, character; new ones have those
+    of their case, if it tells them. New cues go before the first cue that starts later. Findings: ep, nth,
+    kind, severity, cue_ids, message, confidence, start, end, old_text, new_text; one of a single edited cue
+    shows its text after all of its edits. What the cases do is worked out once and written.
     """
-    acts = actions(cues, cases, placed, drop_policy, width, lines)
+    acts = kept(actions(cues, cases, placed, drop_policy, width, lines), "acts")
+    told = lambda d, *names: [F.col(c).cast("string").alias(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in names]
     changed = changed_cues(cues, acts, width, lines)
-    base = cues.select("ep", "pos", "cue_id", "start_ms", "end_ms", F.col("text").alias("was")).join(changed.drop("edited"), ["ep", "cue_id"], "left").where("gone is null or not gone")
-    base = base.select("ep", "pos", "cue_id", "start_ms", "end_ms", F.coalesce("text", "was").alias("text"))
-    times = cases.select("ep", "nth", (F.coalesce("start", F.lit(0.0)) * 1000).cast("long").alias("start_ms"), (F.coalesce("end", "start", F.lit(0.0)) * 1000).cast("long").alias("end_ms"))
-    added = acts.where("act = 'add'").join(times, ["ep", "nth"]).select("ep", "cue_id", "start_ms", "end_ms", flowed(F.col("text"), width, lines).alias("text"))
+    whose = ("speaker", "character")
+    base = cues.select("ep", "pos", "cue_id", "start_ms", "end_ms", F.col("text").alias("was"), *told(cues, *whose)).join(changed.drop("edited"), ["ep", "cue_id"], "left").where("gone is null or not gone")
+    base = base.select("ep", "pos", "cue_id", "start_ms", "end_ms", F.coalesce("text", "was").alias("text"), *whose)
+    times = cases.select("ep", "nth", (F.coalesce("start", F.lit(0.0)) * 1000).cast("long").alias("start_ms"), (F.coalesce("end", "start", F.lit(0.0)) * 1000).cast("long").alias("end_ms"), *told(cases, *whose))
+    added = acts.where("act = 'add'").join(times, ["ep", "nth"]).select("ep", "cue_id", "start_ms", "end_ms", flowed(F.col("text"), width, lines).alias("text"), *whose)
     # the base keeps its order: each cue carries the highest start so far, and a new one stands before the first that passes its own
     reach = F.max("start_ms").over(Window.partitionBy("ep").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = base.select("*", reach.alias("t"), F.lit(1).alias("side")).unionByName(added.select("*", F.lit(None).cast("long").alias("pos"), F.col("start_ms").alias("t"), F.lit(0).alias("side")))
     order = Window.partitionBy("ep").orderBy("t", F.desc("side"), F.col("pos").asc_nulls_last(), "end_ms", "cue_id")
-    cues_out = both.select("ep", (F.row_number().over(order) - 1).cast("long").alias("place"), "cue_id", "start_ms", "end_ms", "text")
-    flags = acts.where("act = 'flag'").select("ep", "nth", "kind", "cue_ids", "old_text", "new_text")
+    cues_out = both.select("ep", (F.row_number().over(order) - 1).cast("long").alias("place"), "cue_id", "start_ms", "end_ms", "text", *whose)
     one = changed.where("edited is not null").select("ep", F.col("cue_id").alias("__one"), "edited")
-    flags = flags.withColumn("__one", F.when((F.size("cue_ids") == 1) & (F.col("kind") == "text_changed"), F.get("cue_ids", 0))).join(one, ["ep", "__one"], "left")
-    return cues_out, flags.select("ep", "nth", "kind", "cue_ids", "old_text", F.coalesce("edited", "new_text").alias("new_text"))
+    flags = acts.where("act = 'flag'").withColumn("__one", F.when((F.size("cue_ids") == 1) & (F.col("kind") == "text_changed"), F.get("cue_ids", 0))).join(one, ["ep", "__one"], "left")
+    why = cases.select("ep", "nth", "confidence", "start", "end", "verdict", *told(cases, "reason"))
+    emptied = F.when(F.col("kind") == "dropped_adjudicated_cue", " returned empty text; removed by drop_policy.").otherwise(" returned empty spoken text; preserving source cue for review.")
+    verdict = F.concat(F.lit("Adjudication verdict "), "verdict")
+    message = F.when(F.col("kind").startswith("dropped_"), F.concat(verdict, emptied)).otherwise(F.concat(verdict, F.lit(": "), F.coalesce("reason", F.lit(""))))
+    flags = flags.drop("text").join(why, ["ep", "nth"])
+    return cues_out, flags.select("ep", "nth", "kind", F.lit("warning").alias("severity"), "cue_ids", message.alias("message"), "confidence", "start", "end", "old_text", F.coalesce("edited", "new_text").alias("new_text"))
 
 
 def flowed(text: Column, width: int, lines: int) -> Column:
@@ -400,11 +412,13 @@ def keep_source(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 def validate(spans: DataFrame, first: DataFrame, retry=None) -> tuple[DataFrame, DataFrame]:
     """(a valid decision for every span, findings of those without).
 
-    ``first`` are responses (ep, case_id, verdict, final_text, confidence). Spans without a valid one are
+    ``first`` are responses (ep, case_id, verdict, final_text, confidence; answered, their order): the last
+    valid one counts, without an order the surest. In whole it is ``adjudicate.adjudicate``. Spans without a valid one are
     asked again once by ``retry`` (a function of these spans, or none); what then lacks one keeps its
     source with confidence 0.
     """
-    good = lambda d: d.where("verdict in ('keep_srt', 'use_audio', 'hybrid') and final_text is not null and confidence between 0 and 1").groupBy("ep", "case_id").agg(F.max(F.struct("confidence", "verdict", "final_text")).alias("d")).select("ep", "case_id", "d.verdict", "d.final_text", "d.confidence")
+    last = lambda d: F.struct(*(["answered"] if "answered" in d.columns else []), "confidence", "verdict", "final_text")
+    good = lambda d: d.where("verdict in ('keep_srt', 'use_audio', 'hybrid') and final_text is not null and confidence between 0 and 1").groupBy("ep", "case_id").agg(F.max(last(d)).alias("d")).select("ep", "case_id", "d.verdict", "d.final_text", "d.confidence")
     keys = ["ep", "case_id"]
     have = good(first).join(spans.select(*keys), keys, "left_semi")
     if retry is not None:

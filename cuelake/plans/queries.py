@@ -9,6 +9,7 @@ from ..functions import timing as tm
 from ..operators import align, intervals, quality_control, recurrences, sequence
 from ..operators.apply_decisions import plain_text
 from ..sources.adapters import ORACLE_VIEWS, cues, golden, read, regions, words
+from ..sources.kept import kept
 
 HOUR = 3_600_000_000
 QUERIES: dict = {}
@@ -1075,24 +1076,24 @@ def place_generated(spark, sf):
     from ..operators import apply_decisions as ad
 
     c = cues(spark, sf)
-    return ad.placements(c, _cases(spark, sf), c.where("cue_id % 4 = 0"), 10_000_000)
+    return ad.placements(c, kept(_cases(spark, sf), "cases"), c.where("cue_id % 4 = 0"), 10_000_000)
 
 
 @query()
 def apply_decisions(spark, sf):
     from ..operators import apply_decisions as ad
 
-    c, cases = cues(spark, sf), _cases(spark, sf)
-    return ad.apply_decisions(c, cases, ad.placements(c, cases, c.where("cue_id % 4 = 0"), 10_000_000))[0]
+    c, cases = cues(spark, sf), kept(_cases(spark, sf), "cases")
+    return ad.apply_decisions(c, cases, kept(ad.placements(c, cases, c.where("cue_id % 4 = 0"), 10_000_000), "placed"))[0]
 
 
 @query()
 def decision_flags(spark, sf):
     from ..operators import apply_decisions as ad
 
-    c, cases = cues(spark, sf), _cases(spark, sf)
-    flags = ad.apply_decisions(c, cases, ad.placements(c, cases, c.where("cue_id % 4 = 0"), 10_000_000), drop_policy="remove")[1]
-    return flags.select("ep", "nth", "kind", F.get("cue_ids", 0).alias("cue_id"), "old_text", "new_text")
+    c, cases = cues(spark, sf), kept(_cases(spark, sf), "cases")
+    flags = ad.apply_decisions(c, cases, kept(ad.placements(c, cases, c.where("cue_id % 4 = 0"), 10_000_000), "placed"), drop_policy="remove")[1]
+    return flags.select("ep", "nth", "kind", "severity", F.get("cue_ids", 0).alias("cue_id"), "message", "confidence", "start", "end", "old_text", "new_text")
 
 
 @query("SELECT ep, cue_id, CASE WHEN cue_id % 4 = 1 THEN text || '!' ELSE text END AS text, CASE cue_id % 4 WHEN 2 THEN 'words changed' WHEN 3 THEN 'quotation marks changed' END AS problem FROM v_cues")
