@@ -1006,6 +1006,19 @@ def _speech(spark, sf):
     return d.select("ep", F.col("pos").alias("region_idx"), "start_us", F.greatest(F.col("end_ms") * 1000 - 390_000, F.col("start_us")).alias("end_us"))
 
 
+@query(SPEECH + """, cov AS (SELECT c.ep, c.cue_id, c.start_ms, c.end_ms, coalesce(sum(least(sp.end_us, c.end_ms * 1000) - greatest(sp.start_us, c.start_ms * 1000)) FILTER (sp.ep IS NOT NULL), 0) / ((c.end_ms - c.start_ms) * 1000.0::DOUBLE) AS share, max(sp.end_us) AS last
+  FROM v_cues c LEFT JOIN sp ON sp.ep = c.ep AND sp.start_us < c.end_ms * 1000 AND c.start_ms * 1000 < sp.end_us GROUP BY c.ep, c.cue_id, c.start_ms, c.end_ms),
+tail AS (SELECT *, least(last, end_ms * 1000) AS cut, round_even((end_ms * 1000 - least(last, end_ms * 1000)) / 1000.0::DOUBLE, 0)::BIGINT AS ms FROM cov WHERE last IS NOT NULL)
+SELECT ep, 'cue_without_speech_activity' AS kind, cue_id, format('Cue overlaps speech activity for only {}% of its duration.', round_even(share * 100, 0)::INT) AS message, round(share, 3) AS confidence, start_ms / 1000.0::DOUBLE AS start, end_ms / 1000.0::DOUBLE AS "end" FROM cov WHERE share < 0.9
+UNION ALL SELECT ep, 'cue_with_excessive_trailing_silence', cue_id, format('Cue remains visible for {} ms after the last detected speech activity; limit is 300 ms.', ms), NULL, cut / 1e6, end_ms / 1000.0::DOUBLE FROM tail WHERE ms > 300""")
+def speech_flags(spark, sf):
+    """A8 and W23 as findings."""
+    from ..operators.findings import speech_findings
+
+    d = speech_findings(cues(spark, sf), _speech(spark, sf), 4_000_000, 0.9)
+    return d.select("ep", "kind", F.get("cue_ids", 0).alias("cue_id"), "message", "confidence", "start", "end")
+
+
 @query(SPEECH + "SELECT sp.ep, region_idx, list(cue_id ORDER BY pos)[1] AS first_cue, list(cue_id ORDER BY pos)[-1] AS last_cue, count(*) AS n FROM sp JOIN v_cues c ON c.ep = sp.ep AND c.start_ms * 1000 < sp.end_us AND sp.start_us < c.end_ms * 1000 GROUP BY ALL")
 def region_cues(spark, sf):
     from ..operators import refinement
