@@ -874,9 +874,9 @@ r AS (SELECT ep, cue_id, speaker, k, start_ms, end_ms, start_ms AS was_start, en
  FROM r JOIN o ON o.ep = r.ep AND o.k = r.k + 1, LATERAL (SELECT CASE WHEN o.start_ms < r.end_ms THEN 'output_overlap_resolved' WHEN o.start_ms = r.end_ms AND o.speaker <> r.speaker THEN 'speaker_transition_gap_inserted' END AS kind,
    CASE WHEN o.start_ms < r.end_ms OR (o.start_ms = r.end_ms AND o.speaker <> r.speaker) THEN CASE WHEN o.speaker <> r.speaker THEN {ceil_sql("r.end_ms + 1")} ELSE r.end_ms END ELSE o.start_ms END AS ns) s),
 inv AS (SELECT ep, cue_id, start_ms, end_ms, lag(cue_id) OVER {LINE} AS before, lag(start_ms) OVER {LINE} AS ps, lag(end_ms) OVER {LINE} AS pe FROM v_cues)
-SELECT ep, 'cue' AS row, NULL AS kind, [cue_id] AS cue_ids, start_ms, end_ms, NULL AS new_text FROM r
-UNION ALL SELECT ep, 'finding', kind, [before, cue_id], start_ms, end_ms, format('{{:.3f}} --> {{:.3f}}', start_ms / 1000.0::DOUBLE, end_ms / 1000.0::DOUBLE) FROM r WHERE kind IS NOT NULL
-UNION ALL SELECT ep, 'finding', 'output_order_inversion', [before, cue_id], least(ps, start_ms), greatest(pe, end_ms), NULL FROM inv WHERE start_ms < ps"""
+SELECT ep, 'cue' AS row, NULL AS kind, cue_id::VARCHAR AS cue_ids, start_ms, end_ms, NULL AS new_text FROM r
+UNION ALL SELECT ep, 'finding', kind, before || ',' || cue_id, start_ms, end_ms, format('{{:.3f}} --> {{:.3f}}', start_ms / 1000.0::DOUBLE, end_ms / 1000.0::DOUBLE) FROM r WHERE kind IS NOT NULL
+UNION ALL SELECT ep, 'finding', 'output_order_inversion', before || ',' || cue_id, least(ps, start_ms), greatest(pe, end_ms), NULL FROM inv WHERE start_ms < ps"""
 
 
 @query(SORTED)
@@ -885,15 +885,15 @@ def finalize_turns(spark, sf):
     from ..operators.finalize import Finish, finalize
 
     d = finalize(cues(spark, sf), Finish(alike=101.0))
-    return d.select("ep", "row", "kind", F.coalesce("cue_ids", F.array("cue_id")).alias("cue_ids"), "start_ms", "end_ms", F.when(F.col("row") == "finding", F.col("new_text")).alias("new_text"))
+    return d.select("ep", "row", "kind", F.array_join(F.coalesce("cue_ids", F.array("cue_id")), ",").alias("cue_ids"), "start_ms", "end_ms", F.when(F.col("row") == "finding", F.col("new_text")).alias("new_text"))
 
 
-@query(f", p AS (SELECT *, lag(cue_id) OVER {LINE} AS before, lag(text) OVER {LINE} AS pt, lag(start_ms) OVER {LINE} AS ps, lag(end_ms) OVER {LINE} AS pe FROM v_cues) SELECT ep, 'overlap_stacked' AS kind, [before, cue_id] AS cue_ids, greatest(ps, start_ms) AS start_ms, least(pe, end_ms) AS end_ms, pt || chr(10) || text AS old_text FROM p WHERE start_ms < pe")
+@query(f", p AS (SELECT *, lag(cue_id) OVER {LINE} AS before, lag(text) OVER {LINE} AS pt, lag(start_ms) OVER {LINE} AS ps, lag(end_ms) OVER {LINE} AS pe FROM v_cues) SELECT ep, 'overlap_stacked' AS kind, before || ',' || cue_id AS cue_ids, greatest(ps, start_ms) AS start_ms, least(pe, end_ms) AS end_ms, pt || chr(10) || text AS old_text FROM p WHERE start_ms < pe")
 def overlap_findings(spark, sf):
     """Cues that begin before the last one ends."""
     from ..operators.finalize import findings_of, overlap_policy
 
-    return findings_of(overlap_policy(cues(spark, sf))).select("ep", "kind", "cue_ids", "start_ms", "end_ms", "old_text")
+    return findings_of(overlap_policy(cues(spark, sf))).select("ep", "kind", F.array_join("cue_ids", ",").alias("cue_ids"), "start_ms", "end_ms", "old_text")
 
 
 @query()
@@ -956,7 +956,7 @@ r AS (SELECT p.*, k.n, k.token, k.name, row_number() OVER (PARTITION BY ep, key
 """
 
 
-@query(", " + DRIFT_WORDS + """SELECT ep, CASE WHEN name THEN 'name_spelling_inconsistency' ELSE 'unsourced_word_substitution' END AS kind, 'warning' AS severity, cue_ids,
+@query(", " + DRIFT_WORDS + """SELECT ep, CASE WHEN name THEN 'name_spelling_inconsistency' ELSE 'unsourced_word_substitution' END AS kind, 'warning' AS severity, array_to_string(cue_ids, ',') AS cue_ids,
   format('Output spelling ''{}'' is absent from the source, while near spelling ''{}'' appears {} times; review as {}.', new_text, token, n::BIGINT, CASE WHEN name THEN 'a possible name drift' ELSE 'an unsourced word substitution' END) AS message, token AS old_text, new_text
 FROM r JOIN new USING (ep, key) WHERE r = 1 AND n / all_n >= 0.8""")
 def name_drift_roles(spark, sf):
@@ -964,7 +964,8 @@ def name_drift_roles(spark, sf):
     from ..operators.name_drift import name_drift_findings
 
     c = cues(spark, sf)
-    return name_drift_findings(c.where("speaker = 'user'"), c.where("speaker = 'assistant'"))
+    d = name_drift_findings(c.where("speaker = 'user'"), c.where("speaker = 'assistant'"))
+    return d.withColumn("cue_ids", F.array_join("cue_ids", ","))
 
 
 @query(", " + DRIFT_WORDS + "SELECT ep, speaker, cue_id, (i - 1)::INT AS i, token, initial FROM o")
