@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.text import indel
+from .sequence import together
 
 # Fixed values of the alignment's scores, bands and budget.
 LIKE, LIKE_SCORE, UNLIKE, GAP = 0.85, 2.0, -0.6, -0.75
@@ -278,7 +279,7 @@ def paired(left: DataFrame, right: DataFrame, columns: list[str], fn: Callable[[
         close()
         yield _batch(out, schema)
 
-    both = sides[0].unionByName(sides[1]).repartition("ep").sortWithinPartitions("ep", "side", columns[0])
+    both = together(sides[0].unionByName(sides[1])).sortWithinPartitions("ep", "side", columns[0])
     return both.select(*names).mapInArrow(run, schema)
 
 

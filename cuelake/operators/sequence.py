@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.timing import snap_ceil, snap_floor
 
 
+def together(df: DataFrame, key: str = "ep") -> DataFrame:
+    """Rows of one ``key`` in one partition, for passes over whole partitions.
+
+    Dealt by the key's hash: an exchange by the key itself is left out where the rows seem to lie so
+    already, and what they lie in (a union's sides, joins) can be read in other partitions in the end.
+    """
+    return df.repartition(F.xxhash64(key))
+
+
 def by(*order: str, part: tuple[str, ...] = ("ep",)):
     return Window.partitionBy(*part).orderBy(*order)
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import indel
@@ -89,3 +90,22 @@ def test_fits_of_times():
 def test_null_tokens_match_nothing(spark):
     d = spark.createDataFrame([(1, 0, None), (1, 1, "a")], "ep long, idx long, token string")
     assert [x.kind for x in align.align_tokens(d, d).orderBy("op_pos").collect()]== ["replace", "match"]
+
+
+def test_sides_meet_wherever_they_lie(spark):
+    """Both sides lie by episode already, each read in partitions of its own number."""
+    w = Window.partitionBy("ep").orderBy("x")
+
+    def side(n):
+        t = spark.range(n).select((F.col("id") % 40).alias("ep"), F.col("id").alias("x"), (F.col("id") / 40).cast("int").cast("string").alias("token"))
+        return t.select("ep", (F.row_number().over(w) - 1).cast("long").alias("idx"), "token")
+
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = align.align_tokens(side(8000), side(400)).groupBy("kind").count().collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert {x["kind"]: x["count"] for x in got} == {"match": 400, "delete": 7600}
