@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.text import indel
-from .sequence import together
+from .sequence import dealt, together
 
 # Fixed values of the alignment's scores, bands and budget.
 LIKE, LIKE_SCORE, UNLIKE, GAP = 0.85, 2.0, -0.6, -0.75
@@ -397,7 +397,7 @@ def _described(ops: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame
     first = F.min("idx").over(Window.partitionBy("ep", "cue_id"))
     left = tokens.select("ep", F.col("idx").alias("left_idx"), F.struct("token", "cue_id", (F.col("idx") - first).alias("nth")).alias("l"))
     right = words.select("ep", F.col("word_idx").alias("right_idx"), F.struct("text", "start_us", "end_us", "confidence", "speaker").alias("r"))
-    return ops.join(left, ["ep", "left_idx"], "left").join(right, ["ep", "right_idx"], "left")
+    return ops.join(dealt(left), ["ep", "left_idx"], "left").join(dealt(right), ["ep", "right_idx"], "left")
 
 
 def _texts(item: Column, text: str) -> Column:

@@ -21,6 +21,14 @@ def together(df: DataFrame, key: str = "ep") -> DataFrame:
     return df.repartition(F.xxhash64(key))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join that deals out both sides.
+
+    What explodes from a small table is guessed as small as that; it would be gathered whole by the driver.
+    """
+    return df.hint("merge")
+
+
 def by(*order: str, part: tuple[str, ...] = ("ep",)):
     return Window.partitionBy(*part).orderBy(*order)
 

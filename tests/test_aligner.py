@@ -109,3 +109,13 @@ def test_sides_meet_wherever_they_lie(spark):
         for k in small:
             spark.conf.unset(k)
     assert {x["kind"]: x["count"] for x in got} == {"match": 400, "delete": 7600}
+
+
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    """A small file of long texts gives many rows: no join gathers them in the driver."""
+    from cuelake.plans.queries import QUERIES
+
+    spark.range(50).select(F.col("id").alias("p_partkey"), *(F.lit("steel bolt").alias(c) for c in ("p_name", "p_brand", "p_type"))).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("anchor_regions",):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
