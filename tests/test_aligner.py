@@ -116,6 +116,6 @@ def test_exploded_sides_are_not_broadcast(spark, tmp_path):
     from cuelake.plans.queries import QUERIES
 
     spark.range(50).select(F.col("id").alias("p_partkey"), *(F.lit("steel bolt").alias(c) for c in ("p_name", "p_brand", "p_type"))).write.parquet(f"{tmp_path}/part.parquet")
-    for name in ("anchor_regions",):
+    for name in ("anchor_regions", "divergence_details"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
