@@ -12,11 +12,13 @@ Only pairs within the bound are compared letter by letter. Nothing that is ``lea
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, indel_series
 from .apply_decisions import plain_text
+from .sequence import dealt
 
 #: A sentence's end before a word: its sign, then closing quotes and brackets.
 ENDED = r"""[.!?]["'»“”„’)\]]*\s*$"""
@@ -57,29 +59,44 @@ def spellings(words: DataFrame) -> DataFrame:
 
 def _lettered(words: DataFrame, key: str) -> DataFrame:
     """Adds len, letters (each with its number among equals) and mask (a bit a letter, by hash)."""
-    ordered = F.array_sort(F.split(key, ""))
-    numbered = F.transform("ordered", lambda c, i: F.concat(c, (i + 1 - F.array_position("ordered", c)).cast("string")))
-    bits = F.aggregate("letters", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
-    return words.withColumn("ordered", ordered).withColumn("len", F.size("ordered")).withColumn("letters", numbered).drop("ordered").withColumn("mask", bits)
 
+    def lettered(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for text in texts:
+            seen: dict[str, int] = {}
+            letters, mask = [], 0
+            for c in text:
+                n = seen[c] = seen.get(c, 0) + 1
+                letters.append(f"{c}{n}")
+                mask |= 1 << (ord(c) * 31 + n * 7) % 64
+            found.append((len(text), letters, mask - (mask >> 63 << 64)))
+        return pd.DataFrame(found, columns=["len", "letters", "mask"])
 
-def similar_pairs(new: DataFrame, known: DataFrame, least: float = 70.0, apart: int = 3) -> DataFrame:
+    told = F.pandas_udf(lettered, "len int, letters array<string>, mask long")(F.col(key))
+    # written out with its letters in each row, so that what they come to is known before a join is chosen
+    return words.withColumn("__told", told).select(*words.columns, "__told.*").repartition(F.xxhash64("ep", key))
+
+
+def similar_pairs(new: DataFrame, known: DataFrame, least: float = 70.0, apart: int = 3, whole: bool = False) -> DataFrame:
     """(ep, key, known, ratio) of words (ep, key) and (ep, known) at most ``apart`` letters in length and ``least`` alike.
 
-    Words stand once an episode on either side; their other columns stay with them.
+    Words stand once an episode on either side; their other columns stay with them. ``whole`` tells that
+    there is one episode only: its few letters are then no keys to deal words out by.
     """
     with_key, with_known = ([F.col(c) for c in d.columns if c not in ("ep", k)] for d, k in ((new, "key"), (known, "known")))
     a, b = _lettered(new, "key"), _lettered(known, "known")
     a = a.select("ep", "key", "len", "mask", *with_key, F.explode("letters").alias("letter"))
     rarity = a.groupBy("ep", "letter").agg(F.count("*").alias("held"))
-    each = b.select("ep", "known", "len", "mask", F.struct(F.lit(0).alias("col1"), *with_known).alias("other"), F.explode("letters").alias("letter")).join(rarity, ["ep", "letter"], "left")
+    each = b.select("ep", "known", "len", "mask", F.struct(F.lit(0).alias("col1"), *with_known).alias("other"), F.explode("letters").alias("letter")).join(dealt(rarity), ["ep", "letter"], "left")
     place = F.struct(F.coalesce("held", F.lit(0)).alias("held"), "letter")
     b = each.groupBy("ep", "known", F.col("len").alias("known_len"), F.col("mask").alias("known_mask")).agg(F.sort_array(F.collect_list(place)).alias("letters"), F.any_value("other").alias("other"))
     # what a word of each length must share, so that one of the known word's first letters is among it
     b = b.withColumn("len", F.explode(F.sequence(F.greatest(F.col("known_len") - apart, F.lit(1)), F.col("known_len") + apart)))
     b = b.withColumn("common", F.ceil(least * (F.col("len") + F.col("known_len")) / 200 - 1e-9).cast("int")).where("common <= len and common <= known_len")
     b = b.select("ep", "known", "len", "known_mask", "common", "other", F.explode(F.slice("letters", 1, F.col("known_len") - F.col("common") + 1)).alias("first"))
-    pairs = a.join(b.withColumn("letter", F.col("first.letter")), ["ep", "len", "letter"])
+    b = b.withColumn("letter", F.col("first.letter")).drop("first")
+    # so many rows a word: they are counted in an exchange, if the driver may gather them
+    pairs = a.join(b.repartition("ep", "len", "letter") if whole else dealt(b), ["ep", "len", "letter"])
     shared = F.col("len") - F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("known_mask")))  # at most so many
     pairs = pairs.where(shared >= F.col("common")).select("ep", "key", "known", *with_key, "other.*").drop("col1").dropDuplicates(["ep", "key", "known"])
     return pairs.withColumn("ratio", indel_series(F.col("key"), F.col("known"))).where(F.col("ratio") >= least)
@@ -96,12 +113,12 @@ def name_drift_findings(source: DataFrame, output: DataFrame, least: float = 70.
     """
     known = spellings(occurrences(source))
     said = occurrences(output).groupBy("ep", "key").agg(F.min_by("token", F.struct("pos", "cue_id", "i")).alias("new_text"), F.array_sort(F.collect_set("cue_id")).alias("cue_ids"))
-    new = said.where(F.length("key") >= 4).join(known.select("ep", "key"), ["ep", "key"], "left_anti")
+    new = said.where(F.length("key") >= 4).join(dealt(known.select("ep", "key")), ["ep", "key"], "left_anti")
     often = known.where(F.col("n") >= count).withColumnRenamed("key", "known")
     pairs = similar_pairs(new.select("ep", "key"), often, least)
     each = Window.partitionBy("ep", "key")
     ranked = pairs.withColumn("r", F.row_number().over(each.orderBy(F.desc("n"), F.desc("ratio"), "first"))).withColumn("all_n", F.sum("n").over(each))
-    best = ranked.where((F.col("r") == 1) & (F.col("n") / F.col("all_n") >= share)).join(new, ["ep", "key"])
+    best = ranked.where((F.col("r") == 1) & (F.col("n") / F.col("all_n") >= share)).join(dealt(new), ["ep", "key"])
     kind = F.when(F.col("name_like"), "name_spelling_inconsistency").otherwise("unsourced_word_substitution")
     label = F.when(F.col("name_like"), "a possible name drift").otherwise("an unsourced word substitution")
     message = F.format_string("Output spelling '%s' is absent from the source, while near spelling '%s' appears %d times; review as %s.", "new_text", "token", "n", label)

@@ -81,3 +81,10 @@ def test_sentences_go_on_over_cues_and_empty_ones(spark):
 def test_empty_sides(spark):
     none = frame(spark, {1: [(1, None)]})
     assert name_drift_findings(none, frame(spark, {1: [(1, "Deanna")]})).count() == 0 == name_drift_findings(frame(spark, {1: [(1, "Deanna Deanna")]}), none.where("false")).count()
+
+
+def test_letters_of_words_are_not_broadcast(spark, sf):
+    from cuelake.plans.queries import QUERIES
+
+    plan = QUERIES["name_drift_roles"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
