@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import indel_ratio, restore_ending
+from ..sources.kept import kept
 from .name_drift import similar_pairs
 
 
@@ -89,12 +90,12 @@ def name_drift(tokens: DataFrame, known: DataFrame, least: float = 70.0, count:
     a candidate; the most frequent one counts if it has ``share`` of all candidates' places. By episode,
     with kinds and cues, it is ``name_drift.name_drift_findings``.
     """
-    given = known.groupBy("token").agg(F.count("*").alias("known_n"))
+    given = kept(known.groupBy("token").agg(F.count("*").alias("known_n")), "given")
     new = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.length("token") >= 4).join(given, "token", "left_anti")
     often = given.where(F.col("known_n") >= count).withColumnRenamed("token", "known")
     one = F.lit(0).alias("ep")
     # likeness has no side: the words that are asked about offer their rarest letters
-    pairs = similar_pairs(often.select(one, F.col("known").alias("key"), "known_n"), new.select(one, F.col("token").alias("known"), "n"), least)
+    pairs = similar_pairs(often.select(one, F.col("known").alias("key"), "known_n"), new.select(one, F.col("token").alias("known"), "n"), least, whole=True)
     pairs = pairs.select(F.col("known").alias("token"), F.col("key").alias("known"), "known_n", "n", "ratio")
     each = Window.partitionBy("token")
     best = each.orderBy(F.desc("known_n"), F.desc("ratio"), "known")

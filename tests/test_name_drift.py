@@ -88,3 +88,9 @@ def test_letters_of_words_are_not_broadcast(spark, sf):
 
     plan = QUERIES["name_drift_roles"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_the_dictionary_is_counted_once(spark, sf):
+    from cuelake.plans.queries import QUERIES
+
+    assert "documents.parquet" not in QUERIES["name_drift"](spark, sf)._jdf.queryExecution().executedPlan().toString()
