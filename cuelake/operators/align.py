@@ -27,6 +27,8 @@ UNIT = 20 * 2**24
 GAP_UNITS, UNLIKE_UNITS, NEVER = round(GAP * UNIT), round(UNLIKE * UNIT), -(2**60)
 #: Cells whose steps are kept at once; larger parts are halved.
 HELD = 1 << 24
+#: Short episodes that are aligned side by side.
+TOGETHER = 512
 
 def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Tokens that stand once on either side; none at all unless their order agrees."""
@@ -250,37 +252,42 @@ def paired(left: DataFrame, right: DataFrame, columns: list[str], fn: Callable[[
 
     One exchange and one sort bring both sides of an episode together; batches hold many episodes.
     """
-    names = ["ep", "side", *columns]
-    sides = [d.select("ep", F.lit(k).alias("side"), *columns) for k, d in enumerate((left, right))]
-
     def run(batches):
-        key, held = None, None
         out: list[tuple] = []
-
-        def close():
-            if held is not None:
-                out.extend(fn(key, *held))
-
-        for batch in batches:
-            rows = batch.to_pydict()
-            at, ep, side = 0, rows["ep"], rows["side"]
-            for i in range(1, batch.num_rows + 1):
-                if i < batch.num_rows and ep[i] == ep[at] and side[i] == side[at]:
-                    continue
-                if held is None or ep[at] != key:
-                    close()
-                    key, held = ep[at], tuple({c: [] for c in columns} for _ in range(2))
-                for c in columns:
-                    held[side[at]][c].extend(rows[c][at:i])
-                at = i
+        for key, a, b in _episodes(batches, columns):
+            out.extend(fn(key, a, b))
             if len(out) > 50_000:
                 yield _batch(out, schema)
                 out = []
-        close()
         yield _batch(out, schema)
 
+    return _sides(left, right, columns).mapInArrow(run, schema)
+
+
+def _sides(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    sides = [d.select("ep", F.lit(k).alias("side"), *columns) for k, d in enumerate((left, right))]
     both = together(sides[0].unionByName(sides[1])).sortWithinPartitions("ep", "side", columns[0])
-    return both.select(*names).mapInArrow(run, schema)
+    return both.select("ep", "side", *columns)
+
+
+def _episodes(batches, columns: list[str]):
+    """(ep, left, right) of rows in order, the sides as lists by column."""
+    key, held = None, None
+    for batch in batches:
+        rows = batch.to_pydict()
+        at, ep, side = 0, rows["ep"], rows["side"]
+        for i in range(1, batch.num_rows + 1):
+            if i < batch.num_rows and ep[i] == ep[at] and side[i] == side[at]:
+                continue
+            if held is None or ep[at] != key:
+                if held is not None:
+                    yield key, *held
+                key, held = ep[at], tuple({c: [] for c in columns} for _ in range(2))
+            for c in columns:
+                held[side[at]][c].extend(rows[c][at:i])
+            at = i
+    if held is not None:
+        yield key, *held
 
 
 def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
@@ -294,11 +301,89 @@ def align_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     Null tokens count as empty, which is like nothing. ``limited`` tells that the bands of the episode fell short.
     """
 
-    def run(ep, a: dict, b: dict) -> list[tuple]:
-        ops, limited = scripted(*([t or "" for t in x["token"]] for x in (a, b)))
-        return [(ep, k, *op, limited) for k, op in enumerate(ops)]
+    schema = _script_schema(left)
 
-    return paired(left, right, ["idx", "token"], run, _script_schema(left))
+    def run(batches):
+        few, out = [], []
+        for ep, a, b in _episodes(batches, ["idx", "token"]):
+            x, y = ([t or "" for t in side["token"]] for side in (a, b))
+            if short(x, y):
+                few.append((ep, x, y))
+                if len(few) == TOGETHER:
+                    yield _scripts(few, schema)
+                    few = []
+                continue
+            ops, limited = scripted(x, y)
+            out += [(ep, k, *op, limited) for k, op in enumerate(ops)]
+            if len(out) > 50_000:
+                yield _batch(out, schema)
+                out = []
+        if few:
+            yield _scripts(few, schema)
+        yield _batch(out, schema)
+
+    return _sides(left, right, ["idx", "token"]).mapInArrow(run, schema)
+
+
+def short(left: list[str], right: list[str]) -> bool:
+    """Whether the narrowest band holds all cells and no two different tokens can be ``LIKE``: one letter apart is too much."""
+    longest = max(map(len, left), default=0) + max(map(len, right), default=0)
+    return max(len(left), len(right)) <= MARGINS[0] and longest - 1 < LIKE * longest
+
+
+def short_scripts(pairs: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, ...]:
+    """(number of the pair, place, step, left place, right place) of the scripts of ``short`` pairs, as ``scripted`` has them.
+
+    All pairs go through the rows side by side; what lies beyond a pair's end changes nothing before it.
+    """
+    number: dict[str, int] = {"": -1}
+    ids = [[[number.setdefault(t, len(number)) for t in side] for side in pair] for pair in pairs]
+    n, m = (np.array([len(pair[k]) for pair in ids]) for k in (0, 1))
+    a, b = np.full((len(ids), n.max(initial=0)), -1), np.full((len(ids), m.max(initial=0)), -1)
+    for k, (x, y) in enumerate(ids):
+        a[k, : len(x)], b[k, : len(y)] = x, y
+    gaps = np.arange(b.shape[1] + 1, dtype=np.int64) * GAP_UNITS
+    above = np.tile(gaps, (len(ids), 1))
+    steps = np.full((a.shape[1] + 1, *above.shape), INSERT, np.uint8)
+    for i in range(a.shape[1]):
+        down, pair = above + GAP_UNITS, np.full_like(above, NEVER)
+        same = (b == a[:, i : i + 1]) & (b >= 0)
+        pair[:, 1:] = above[:, :-1] + np.where(same, round(LIKE_SCORE * UNIT), UNLIKE_UNITS)
+        best = np.maximum(down, pair)
+        above = np.maximum.accumulate(best - gaps, axis=1) + gaps
+        insert = above > best
+        insert[:, 1:] |= above[:, :-1] + GAP_UNITS == above[:, 1:]
+        steps[i + 1] = np.where(above == down, DELETE, np.where(insert, INSERT, PAIR))
+    every, i, j, back = np.arange(len(ids)), n.copy(), m.copy(), []
+    while len(every):
+        every = every[(i[every] > 0) | (j[every] > 0)]
+        kind = steps[i[every], every, j[every]]
+        i[every] -= kind != INSERT
+        j[every] -= kind != DELETE
+        back.append((every, kind, i[every], j[every]))
+    who, kind, i, j = (np.concatenate([x[k] for x in back[::-1]] or [np.empty(0, np.int64)]) for k in range(4))
+    order = np.argsort(who, kind="stable")
+    who = who[order]
+    return who, np.arange(len(who)) - np.searchsorted(who, who), kind[order], i[order], j[order]
+
+
+def _scripts(few: list[tuple[object, list[str], list[str]]], schema: StructType) -> pa.RecordBatch:
+    """The operations of ``short`` episodes (ep, left, right)."""
+    who, place, step, i, j = short_scripts([(x, y) for _, x, y in few])
+    kind, score = np.where(step == DELETE, 0, np.where(step == INSERT, 1, 2)), np.zeros(len(who))
+    for k in np.flatnonzero(step == PAIR).tolist():
+        _, x, y = few[who[k]]
+        s, t = x[i[k]], y[j[k]]
+        if s == t and s:
+            kind[k], score[k] = 3, 1.0
+        elif len(s) > 1 or len(t) > 1:
+            score[k] = indel(s, t) / 100
+    fields = to_arrow_schema(schema)
+    columns = [
+        pa.array([e for e, *_ in few], fields.field(0).type).take(pa.array(who)), pa.array(place), pa.array(["delete", "insert", "replace", "match"]).take(pa.array(kind)),
+        pa.array(i, mask=step == INSERT), pa.array(j, mask=step == DELETE), pa.array(score), pa.array(np.zeros(len(who), bool)),
+    ]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
 
 
 def _script_schema(left: DataFrame) -> StructType:

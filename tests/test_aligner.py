@@ -119,3 +119,14 @@ def test_exploded_sides_are_not_broadcast(spark, tmp_path):
     for name in ("anchor_regions", "divergence_details"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_short_pairs_side_by_side():
+    rng = random.Random(5)
+    pairs = [tuple([rng.choice(letters) for _ in range(rng.randint(0, 40))] for _ in range(2)) for letters in ["abc", ["", "a", "b"], "abcdefgh", ["ab", "b", "abc"]] * 50]
+    assert all(align.short(*p) for p in pairs) and not align.short(["words"], ["word"]) and not align.short(["a"] * 65, ["a"])
+    who, place, step, i, j = align.short_scripts(pairs)
+    got = {k: [] for k in range(len(pairs))}
+    for k, _, s, x, y in zip(*(c.tolist() for c in (who, place, step, i, j))):
+        got[k].append(align._operation(*pairs[k], s, x, y))
+    assert all(got[k] == align.edit_script(*p) for k, p in enumerate(pairs))
