@@ -211,6 +211,13 @@ def spliced(plain: str, srt_text: str, final: str) -> str:
     return restore_ending_of(" ".join(x.strip() for x in [*kept_before, new, *kept_behind] if x.strip()), plain)
 
 
+def in_parts(batches, rows: int = 256):
+    """Arrow batches in parts, so that few rows are Python objects at once: texts of a whole batch would add up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 ACTION = "ep long, nth long, act string, cue_id long, first long, last long, text string, kind string, cue_ids array<long>, old_text string, new_text string"
 
 
@@ -293,7 +300,7 @@ def _decider(remove: bool, width: int, most: int):
     fields = pa.schema([(n, kinds[t.split()[1]]) for n, t in zip(names, ACTION.split(", "))])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [{"ep": c["ep"], "nth": c["nth"], **a} for c in batch.to_pylist() for a in act(c)]
             yield pa.RecordBatch.from_pylist(rows, fields)
 
@@ -316,7 +323,7 @@ def actions(cues: DataFrame, cases: DataFrame, placed: DataFrame, drop_policy: s
 
 def _applier(width: int, lines: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             out = {"text": [], "edited": [], "gone": []}
             for r in batch.to_pylist():
                 edits = [(e["first"], e["last"], e["text"] or "") for e in r["edits"] or []]

@@ -246,3 +246,11 @@ def test_srt_files_and_small_predicates(spark, tmp_path):
     assert [tuple(x) for x in d.select(decisions.known_different(a, b), decisions.known_different(a, b, c, e)).collect()] == [(False, True), (False, False), (True, True)]
     jobs = spark.createDataFrame([("o", "queued")] * 3, "owner string, status string")
     assert [decisions.admission(jobs, 5, n).first().admitted for n in (1, 2, 3)] == [True, True, False]
+
+
+def test_batches_go_in_parts():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (600, 0, 3)]
+    parts = list(ad.in_parts(iter(batches)))
+    assert [p.num_rows for p in parts] == [256, 256, 88, 3] and [x for p in parts for x in p.column("x").to_pylist()] == [*range(600), *range(3)]
