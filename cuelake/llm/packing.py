@@ -164,6 +164,7 @@ def _packer(p: Packing):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def pack(batches):
+        pa.default_memory_pool().release_unused()  # what earlier stages left to this worker
         encode, sequence = tokenizer(p.vocabulary, p.words), TaskContext.get().partitionId() << 36
         waiting, held, rows = [], 0, []  # pieces: (doc_id, start, ids, doc_tokens)
         most = p.windows * (p.capacity - p.slack)
@@ -219,7 +220,7 @@ def _packer(p: Packing):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i, j, texts in text_blocks(batch.column(1), 3 << 20):
+            for i, j, texts in text_blocks(batch.column(1), 1 << 20):
                 for doc, tokens in zip(ids[i:j], encode(texts)):
                     tokens = np.append(tokens, np.uint32(p.end_id))
                     total, at = len(tokens), 0
