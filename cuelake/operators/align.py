@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,6 +31,8 @@ GAP_UNITS, UNLIKE_UNITS, NEVER = round(GAP * UNIT), round(UNLIKE * UNIT), -(2**6
 HELD = 1 << 24
 #: Short episodes that are aligned side by side.
 TOGETHER = 512
+#: Longer ones that are: cells of one at most, cells of all and their number.
+ALONE, ABREAST, MANY = 1 << 21, 1 << 24, 64
 
 def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Tokens that stand once on either side; none at all unless their order agrees."""
@@ -83,11 +87,9 @@ class Scores:
 
     @staticmethod
     def _bags(names: list[str]) -> np.ndarray:
-        bags = np.zeros((len(names), 64), np.int16)
-        for k, t in enumerate(names):
-            for c in t:
-                bags[k, ord(c) % 64] += 1
-        return bags
+        letters = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32) % 64
+        at = np.repeat(np.arange(len(names)), [len(t) for t in names])
+        return np.bincount(at * 64 + letters, minlength=64 * len(names)).reshape(-1, 64)
 
     def like(self, token: str) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of right tokens that are like ``token``, their scores)."""
@@ -206,15 +208,17 @@ def scripted(left: list[str], right: list[str], priors=None) -> tuple[list[tuple
     budget of cells ends before, both sequences are cut at these pairs and each part is aligned over
     all of its cells, so no match is given up.
     """
+    steps, limited = _steps(left, right, priors)
+    return [_operation(left, right, *s) for s in steps], limited
+
+
+def _steps(left: list[str], right: list[str], priors=None) -> tuple[list[tuple[int, int, int]], bool]:
     n, m = len(left), len(right)
     pairs = unique_exact_pairs(left, right)
     scores = Scores(left, right, priors)
     centres = pairs
     if priors is not None and m:
-        expected, _, times = priors
-        after = np.clip(np.searchsorted(times, expected), 1, max(m - 1, 1))
-        near = np.where(np.abs(times[after - 1] - expected) <= np.abs(times[np.minimum(after, m - 1)] - expected), after - 1, np.minimum(after, m - 1))
-        centres = pairs + list(enumerate(near.tolist()))
+        centres = pairs + list(enumerate(_nearest(priors).tolist()))
     room, steps = CELLS, None
     for margin in dict.fromkeys(min(x, max(n, m)) for x in MARGINS):
         rows = bands(n, m, margin, centres)
@@ -234,7 +238,15 @@ def scripted(left: list[str], right: list[str], priors=None) -> tuple[list[tuple
             if i < n:
                 steps.append((PAIR, i, j))
             a, c = i + 1, j + 1
-    return [_operation(left, right, *s) for s in steps], limited
+    return steps, limited
+
+
+def _nearest(priors) -> np.ndarray:
+    """By left token the right one nearest to its expected time, the earlier among equals."""
+    expected, _, times = priors
+    after = np.clip(np.searchsorted(times, expected), 1, max(len(times) - 1, 1))
+    here = np.minimum(after, len(times) - 1)
+    return np.where(np.abs(times[after - 1] - expected) <= np.abs(times[here] - expected), after - 1, here)
 
 
 def _operation(left: list[str], right: list[str], kind: int, i: int, j: int) -> tuple[str, int | None, int | None, float]:
@@ -246,6 +258,200 @@ def _operation(left: list[str], right: list[str], kind: int, i: int, j: int) ->
     same = x == y and x != ""
     return "match" if same else "replace", i, j, 1.0 if same else indel(x, y) / 100
 
+# ---- longer episodes side by side
+
+
+@functools.lru_cache(1 << 17)
+def _ratio(a: str, b: str) -> float:
+    return indel(a, b) / 100
+
+
+def ratio(a: str, b: str) -> float:
+    """``indel`` as a share; that of words is remembered, as they come again in other episodes."""
+    return _ratio(a, b) if len(a) + len(b) <= 64 else indel(a, b) / 100
+
+
+class Sides:
+    """Both sides of an episode, what of them is alike, and the priors of their times."""
+
+    def __init__(self, left: list[str], right: list[str]):
+        self.left, self.right, self.n, self.m = left, right, len(left), len(right)
+        self.pairs = unique_exact_pairs(left, right)
+        self.priors, self._like = None, None
+
+    def like(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left places, right places, what the pair is worth beyond an unlike one) of like pairs, by left place."""
+        if self._like is None:
+            self._like = self._alike()
+        i, j, more = self._like
+        if self.priors is not None:
+            expected, radius, times = self.priors
+            away = np.abs(times[j] - expected[i]) / radius[i]
+            more = more + np.where(away < 1, np.rint(BONUS * UNIT * (1 - np.minimum(away, 1))).astype(np.int64), 0)
+        return i, j, more
+
+    def _alike(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at: dict[str, list[int]] = {}
+        for j, t in enumerate(self.right):
+            if t:
+                at.setdefault(t, []).append(j)
+        names, others = [t for t in dict.fromkeys(self.left) if t], list(at)
+        bags = [Scores._bags(x) for x in (names, others)]
+        bits = [np.packbits(x > 0, axis=1).view(np.uint64)[:, 0] for x in bags]
+        size = [np.array([len(t) for t in x], np.int64) for x in (names, others)]
+        apart = np.bitwise_count(bits[0][:, None] ^ bits[1][None, :])  # never more than the bags are, nor these than letters to add or remove
+        most = (1 - LIKE) * (size[0][:, None] + size[1][None, :]) + 1e-9
+        a, b = np.nonzero(apart <= most)
+        near = np.abs(bags[0][a] - bags[1][b]).sum(axis=1) <= most[a, b]
+        found: dict[str, tuple[list[int], list[int]]] = {}
+        for a, b in zip(a[near].tolist(), b[near].tolist()):
+            s, t = names[a], others[b]
+            r = 1.0 if s == t else ratio(s, t)
+            if r >= LIKE:
+                js, worth = found.setdefault(s, ([], []))
+                js += at[t]
+                worth += [round(LIKE_SCORE * r * UNIT) - UNLIKE_UNITS] * len(at[t])
+        held = {t: (np.array(js, np.int64), np.array(worth, np.int64)) for t, (js, worth) in found.items()}
+        none = (np.empty(0, np.int64),) * 2
+        rows = [held.get(t, none) for t in self.left]
+        return np.repeat(np.arange(self.n), [len(js) for js, _ in rows]), np.concatenate([js for js, _ in rows]), np.concatenate([w for _, w in rows])
+
+    def spots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, columns) of the bands' middles, a row once in each: those of ``bands``."""
+        rows = np.arange(self.n + 1)
+        yield rows, np.rint(rows * self.m / self.n).astype(np.int64)
+        yield np.array([0, self.n]), np.array([0, self.m])
+        if self.pairs:
+            i, j = np.array(self.pairs).T
+            yield i, j
+            yield i + 1, j + 1
+        if self.priors is not None:
+            near = _nearest(self.priors)
+            yield rows[:-1], near
+            yield rows[1:], near + 1
+
+
+def scripts(sides: list[Sides]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(steps, left places, right places, limited) of each episode, as ``scripted`` has them.
+
+    Bands are filled side by side; an episode without a side, with very many cells or whose bands fall short goes alone.
+    """
+    out: list = [None] * len(sides)
+    room = [CELLS] * len(sides)
+    open_ = [k for k, s in enumerate(sides) if s.n and s.m and (s.n + 1) * (s.m + 2) <= ALONE]
+    before: list[int] = [0] * len(sides)
+    for widest in MARGINS:
+        margins = {k: min(widest, max(sides[k].n, sides[k].m)) for k in open_}
+        turn = sorted((k for k in open_ if margins[k] != before[k]), key=lambda k: -sides[k].n)
+        for part in _parts(turn, sides):
+            for k, cells, got in zip(part, *_abreast([sides[k] for k in part], [margins[k] for k in part])):
+                if cells > room[k]:
+                    continue
+                room[k] -= cells
+                if got is None:
+                    continue
+                kind, i, j = got
+                if margins[k] < max(sides[k].n, sides[k].m):
+                    if not set(sides[k].pairs) <= set(zip(i[kind == PAIR].tolist(), j[kind == PAIR].tolist())):
+                        continue
+                out[k] = (*got, False)
+        before = [margins.get(k, b) for k, b in enumerate(before)]
+        open_ = [k for k in open_ if out[k] is None]
+    for k, s in enumerate(sides):
+        if out[k] is None:
+            steps, limited = _steps(s.left, s.right, s.priors)
+            out[k] = (*(np.array([x[c] for x in steps], np.int64) for c in range(3)), limited)
+    return out
+
+
+def _parts(turn: list[int], sides: list[Sides]) -> Iterator[list[int]]:
+    part, widest = [], 0
+    for k in turn:
+        wide = max(widest, sides[k].m + 2)
+        if part and (sides[part[0]].n + 1) * wide * (len(part) + 1) > ABREAST:
+            yield part
+            part, wide = [], sides[k].m + 2
+        part, widest = [*part, k], wide
+    if part:
+        yield part
+
+
+def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]]:
+    """Cells of each one's bands and its script (None if they don't reach the end); the episodes come by falling length.
+
+    A row of all episodes is filled at once. Scores are counted from what gaps alone would have cost up to the
+    cell, so a gap leaves them as they are; among equal ones delete comes before insert before pair.
+    """
+    never, lift, paired_ = -(2**50), 2**52, UNLIKE_UNITS - 2 * GAP_UNITS
+    n, m = (np.array([getattr(s, x) for s in sides]) for x in "nm")
+    rows, wide = int(n.max()) + 1, int(m.max()) + 2
+    band = np.zeros((rows, len(sides), wide), np.int8)
+    for k, (s, margin) in enumerate(zip(sides, margins)):
+        for r, c in s.spots():
+            band[r, k, np.maximum(c - margin, 0)] += 1
+            band[r, k, np.minimum(c + margin, s.m) + 1] -= 1
+    band = np.cumsum(band, axis=2, dtype=np.int8) > 0
+    cells, used = band.sum(axis=(0, 2)).tolist(), band.any(axis=1)
+    begins = band[:, :, 1:] & ~band[:, :, :-1]
+    split = (np.count_nonzero(begins, axis=2) + band[:, :, 0] > 1).any(axis=1)
+    first, last = used.argmax(axis=1).tolist(), (wide - used[:, ::-1].argmax(axis=1)).tolist()
+    off = ~band
+    alive = np.searchsorted(-n, -np.arange(rows + 1), side="right").tolist()
+    like = [s.like() for s in sides]
+    who = np.repeat(np.arange(len(sides)), [len(x[0]) for x in like])
+    row, column, more = (np.concatenate([x[c] for x in like]) + (c < 2) for c in range(3))
+    order = np.argsort(row, kind="stable")
+    who, column, more = who[order], column[order], more[order]
+    bounds = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
+    above = np.full((len(sides), wide + 1), never, np.int64)  # column j stands at j + 1
+    above[:, 1:][np.logical_and.accumulate(band[0], axis=1)] = 0
+    steps = np.full(band.shape, INSERT, np.uint8)
+    reached = np.zeros(len(sides), bool)
+    for r in range(1, rows):
+        a, lo, hi = alive[r], first[r], last[r]
+        old, out = above[:a, lo + 1 : hi + 1], off[r, :a, lo:hi]
+        best = above[:a, lo:hi] + paired_
+        k, c, w = (x[bounds[r] : bounds[r + 1]] for x in (who, column, more))
+        inside = (c >= lo) & (c < hi)
+        best[k[inside], c[inside] - lo] += w[inside]
+        np.maximum(best, old, out=best)
+        np.copyto(best, never, where=out)
+        if split[r]:  # inserts don't lead from one range to the next
+            of = np.zeros(best.shape, np.int64)
+            of[:, 1:] = np.cumsum(begins[r, :a, lo : hi - 1], axis=1)
+            best += of * lift
+            np.maximum.accumulate(best, axis=1, out=best)
+            best -= of * lift
+        else:
+            np.maximum.accumulate(best, axis=1, out=best)
+        np.copyto(best, never, where=out)
+        kind = np.full(best.shape, PAIR, np.uint8)
+        np.copyto(kind[:, 1:], INSERT, where=best[:, 1:] == best[:, :-1])
+        np.copyto(kind, DELETE, where=best == old)
+        steps[r, :a, lo:hi] = kind
+        above[:a] = never
+        above[:a, lo + 1 : hi + 1] = best
+        for k in range(alive[r + 1], a):
+            reached[k] = above[k, m[k] + 1] > never // 2
+    who, kind, i, j = _walked(steps, np.flatnonzero(reached), n, m)
+    ends = np.searchsorted(who, np.arange(len(sides) + 1))
+    return cells, [(kind[x:y].astype(np.int64), i[x:y], j[x:y]) if ok else None for ok, x, y in zip(reached, ends, ends[1:])]
+
+
+def _walked(steps: np.ndarray, every: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(episode, step, left place, right place) on the way back from each one's end, in order; ``steps`` by row, episode, column."""
+    i, j, back = n.copy(), m.copy(), []
+    while len(every):
+        every = every[(i[every] > 0) | (j[every] > 0)]
+        kind = steps[i[every], every, j[every]]
+        i[every] -= kind != INSERT
+        j[every] -= kind != DELETE
+        back.append((every, kind, i[every], j[every]))
+    who, kind, i, j = (np.concatenate([x[k] for x in back[::-1]] or [np.empty(0, np.int64)]) for k in range(4))
+    order = np.argsort(who, kind="stable")
+    return who[order], kind[order], i[order], j[order]
+
+
 
 def paired(left: DataFrame, right: DataFrame, columns: list[str], fn: Callable[[object, dict, dict], list[tuple]], schema: StructType) -> DataFrame:
     """``fn`` over both sides of each episode, as lists by column in the order of the first: rows of ``schema``.
@@ -274,11 +480,10 @@ def _episodes(batches, columns: list[str]):
     """(ep, left, right) of rows in order, the sides as lists by column."""
     key, held = None, None
     for batch in batches:
-        rows = batch.to_pydict()
-        at, ep, side = 0, rows["ep"], rows["side"]
-        for i in range(1, batch.num_rows + 1):
-            if i < batch.num_rows and ep[i] == ep[at] and side[i] == side[at]:
-                continue
+        ep, side = _listed(batch.column("ep")), _listed(batch.column("side"))
+        rows = {c: _listed(batch.column(c)) for c in columns}
+        at = 0
+        for i in _turns(batch):
             if held is None or ep[at] != key:
                 if held is not None:
                     yield key, *held
@@ -290,6 +495,21 @@ def _episodes(batches, columns: list[str]):
         yield key, *held
 
 
+def _listed(column: pa.Array) -> list:
+    """Values as Python objects; by way of numpy, where that keeps them."""
+    kept = pa.types.is_string(column.type) or not column.null_count and not pa.types.is_nested(column.type) and not pa.types.is_temporal(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if kept else column.to_pylist()
+
+
+def _turns(batch: pa.RecordBatch) -> list[int]:
+    """Where a side of an episode ends in a batch of rows in order."""
+    other = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for c in ("ep", "side"):
+        x = batch.column(c)
+        other |= pc.not_equal(x[1:], x[:-1]).fill_null(True).to_numpy(zero_copy_only=False) if len(other) else other
+    return [*(np.flatnonzero(other) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+
+
 def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
     fields = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields)
@@ -304,23 +524,22 @@ def align_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     schema = _script_schema(left)
 
     def run(batches):
-        few, out = [], []
+        few, some = [], []
         for ep, a, b in _episodes(batches, ["idx", "token"]):
             x, y = ([t or "" for t in side["token"]] for side in (a, b))
             if short(x, y):
                 few.append((ep, x, y))
-                if len(few) == TOGETHER:
-                    yield _scripts(few, schema)
-                    few = []
-                continue
-            ops, limited = scripted(x, y)
-            out += [(ep, k, *op, limited) for k, op in enumerate(ops)]
-            if len(out) > 50_000:
-                yield _batch(out, schema)
-                out = []
+            else:
+                some.append((ep, Sides(x, y)))
+            if len(few) == TOGETHER:
+                yield _scripts(few, schema)
+                few = []
+            if len(some) == MANY:
+                yield from _longer(some, scripts([s for _, s in some]), schema)
+                some = []
         if few:
             yield _scripts(few, schema)
-        yield _batch(out, schema)
+        yield from _longer(some, scripts([s for _, s in some]), schema)
 
     return _sides(left, right, ["idx", "token"]).mapInArrow(run, schema)
 
@@ -354,34 +573,45 @@ def short_scripts(pairs: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray,
         insert = above > best
         insert[:, 1:] |= above[:, :-1] + GAP_UNITS == above[:, 1:]
         steps[i + 1] = np.where(above == down, DELETE, np.where(insert, INSERT, PAIR))
-    every, i, j, back = np.arange(len(ids)), n.copy(), m.copy(), []
-    while len(every):
-        every = every[(i[every] > 0) | (j[every] > 0)]
-        kind = steps[i[every], every, j[every]]
-        i[every] -= kind != INSERT
-        j[every] -= kind != DELETE
-        back.append((every, kind, i[every], j[every]))
-    who, kind, i, j = (np.concatenate([x[k] for x in back[::-1]] or [np.empty(0, np.int64)]) for k in range(4))
-    order = np.argsort(who, kind="stable")
-    who = who[order]
-    return who, np.arange(len(who)) - np.searchsorted(who, who), kind[order], i[order], j[order]
+    who, kind, i, j = _walked(steps, np.arange(len(ids)), n, m)
+    return who, np.arange(len(who)) - np.searchsorted(who, who), kind, i, j
 
 
 def _scripts(few: list[tuple[object, list[str], list[str]]], schema: StructType) -> pa.RecordBatch:
     """The operations of ``short`` episodes (ep, left, right)."""
     who, place, step, i, j = short_scripts([(x, y) for _, x, y in few])
+    return _operations(few, who, place, step, i, j, np.zeros(len(who), bool), schema)
+
+
+def _longer(some: list[tuple[object, Sides]], found, schema: StructType) -> Iterator[pa.RecordBatch]:
+    """The operations of episodes (ep, sides) by what ``scripts`` found, some ten thousand rows at once."""
+    at = 0
+    while at < len(some):
+        end, rows = at, 0
+        while end < len(some) and (end == at or rows + len(found[end][0]) <= 50_000):
+            rows += len(found[end][0])
+            end += 1
+        sizes = [len(kind) for kind, *_ in found[at:end]]
+        who, place = np.repeat(np.arange(end - at), sizes), np.concatenate([np.arange(x) for x in sizes])
+        step, i, j = (np.concatenate([f[c] for f in found[at:end]]) for c in range(3))
+        yield _operations([(ep, s.left, s.right) for ep, s in some[at:end]], who, place, step, i, j, np.repeat([f[3] for f in found[at:end]], sizes), schema)
+        at = end
+
+
+def _operations(episodes: list[tuple[object, list[str], list[str]]], who, place, step, i, j, limited, schema: StructType) -> pa.RecordBatch:
+    """Steps of episodes (ep, left, right) as rows of ``schema``."""
     kind, score = np.where(step == DELETE, 0, np.where(step == INSERT, 1, 2)), np.zeros(len(who))
-    for k in np.flatnonzero(step == PAIR).tolist():
-        _, x, y = few[who[k]]
-        s, t = x[i[k]], y[j[k]]
+    pairs = np.flatnonzero(step == PAIR)
+    for k, e, a, b in zip(*(x.tolist() for x in (pairs, who[pairs], i[pairs], j[pairs]))):
+        s, t = episodes[e][1][a], episodes[e][2][b]
         if s == t and s:
             kind[k], score[k] = 3, 1.0
         elif len(s) > 1 or len(t) > 1:
-            score[k] = indel(s, t) / 100
+            score[k] = ratio(s, t)
     fields = to_arrow_schema(schema)
     columns = [
-        pa.array([e for e, *_ in few], fields.field(0).type).take(pa.array(who)), pa.array(place), pa.array(["delete", "insert", "replace", "match"]).take(pa.array(kind)),
-        pa.array(i, mask=step == INSERT), pa.array(j, mask=step == DELETE), pa.array(score), pa.array(np.zeros(len(who), bool)),
+        pa.array([e for e, *_ in episodes], fields.field(0).type).take(pa.array(who)), pa.array(place), pa.array(["delete", "insert", "replace", "match"]).take(pa.array(kind)),
+        pa.array(i, mask=step == INSERT), pa.array(j, mask=step == DELETE), pa.array(score), pa.array(limited),
     ]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
 
@@ -425,36 +655,54 @@ def align_timed(tokens: DataFrame, words: DataFrame) -> DataFrame:
     of the first pass tell how the cues' times became the words'.
     """
 
-    def run(ep, left_rows: dict, right_rows: dict) -> list[tuple]:
-        a, b = pd.DataFrame(left_rows), pd.DataFrame(right_rows)
-        left, right = ([t or "" for t in x["token"]] for x in (left_rows, right_rows))
-        ops, limited = scripted(left, right)
-        priors = time_priors_of(a, b, left, right, ops)
-        if priors is not None:
-            ops, more = scripted(left, right, priors)
-            limited = limited or more
-        return [(ep, k, *op, limited) for k, op in enumerate(ops)]
+    schema = _script_schema(tokens)
+
+    def aligned(some: list[tuple[object, dict, dict]]):
+        sides = [Sides(*([t or "" for t in x["token"]] for x in (a, b))) for _, a, b in some]
+        found = scripts(sides)
+        again = []
+        for k, (s, (kind, i, j, _), (_, a, b)) in enumerate(zip(sides, found, some)):
+            paired_ = kind == PAIR
+            s.priors = time_priors_of(a, b, s.left, s.right, zip(i[paired_].tolist(), j[paired_].tolist()))
+            if s.priors is not None:
+                again.append(k)
+        for k, (*steps, more) in zip(again, scripts([sides[k] for k in again])):
+            found[k] = (*steps, found[k][3] or more)
+        return _longer([(ep, s) for (ep, *_), s in zip(some, sides)], found, schema)
+
+    def run(batches):
+        some = []
+        for episode in _episodes(batches, times):
+            some.append(episode)
+            if len(some) == MANY:
+                yield from aligned(some)
+                some = []
+        yield from aligned(some)
 
     times = ["idx", "token", "cue_id", "start", "end"]
-    return paired(tokens.select("ep", *times), words.withColumn("cue_id", F.lit(None).cast("long")).select("ep", *times), times, run, _script_schema(tokens))
+    return _sides(tokens.select("ep", *times), words.withColumn("cue_id", F.lit(None).cast("long")).select("ep", *times), times).mapInArrow(run, schema)
+
 
+def time_priors_of(a: dict, b: dict, left: list[str], right: list[str], pairs: Iterable[tuple[int, int]]) -> tuple | None:
+    """(expected times, radii, word centres) of a second pass; None where it would not help or times are unusable.
 
-def time_priors_of(a: pd.DataFrame, b: pd.DataFrame, left: list[str], right: list[str], ops) -> tuple | None:
-    """(expected times, radii, word centres) of a second pass; None where it would not help or times are unusable."""
+    Sides are lists by column, ``pairs`` the places that the first pass paired.
+    """
     n, m = Counter(left), Counter(right)
     if not any(t and (n[t] > 1 or m[t] > 1) for t in n.keys() & m.keys()):
         return None
-    cues = a.drop_duplicates("cue_id")
-    for s, e in ((cues["start"], cues["end"]), (b["start"], b["end"])):
-        s, e = s.to_numpy(float), e.to_numpy(float)
+    (start, end), (w_start, w_end) = ((np.array(x["start"], float), np.array(x["end"], float)) for x in (a, b))
+    _, first, cue, size = np.unique(np.array([-1 if c is None else c for c in a["cue_id"]], np.int64), return_index=True, return_inverse=True, return_counts=True)
+    heads = np.sort(first)
+    for s, e in ((start[heads], end[heads]), (w_start, w_end)):
         if not len(s) or not np.isfinite(s).all() or not np.isfinite(e).all() or (s < 0).any() or (e < s).any() or (np.diff(s) < 0).any():
             return None
-    nth = a.groupby("cue_id").cumcount().to_numpy()
-    size = a.groupby("cue_id")["idx"].transform("size").to_numpy()
-    lasts = (a["end"] - a["start"]).to_numpy(float)
-    expected, radius = a["start"].to_numpy(float) + lasts * ((nth + 0.5) / size), np.maximum(LEAST_RADIUS, lasts)
-    times = ((b["start"] + b["end"]) / 2).to_numpy(float)
-    anchors = [(i, j) for kind, i, j, _ in ops if kind == "match" and n[left[i]] == 1 and m[right[j]] == 1]
+    order, nth = np.argsort(cue, kind="stable"), np.empty(len(cue), np.int64)
+    nth[order] = np.arange(len(cue)) - (np.cumsum(size) - size)[cue[order]]
+    lasts = end - start
+    expected, radius = start + lasts * ((nth + 0.5) / size[cue]), np.maximum(LEAST_RADIUS, lasts)
+    times = (w_start + w_end) / 2
+    anchors = [(i, j) for i, j in pairs if left[i] and left[i] == right[j] and n[left[i]] == 1 and m[right[j]] == 1]
     if anchors:
         x, y = expected[[i for i, _ in anchors]], times[[j for _, j in anchors]]
         fit = None if (np.diff(x) <= 0).any() or (np.diff(y) < 0).any() else fit_times(x, y)

@@ -22,11 +22,11 @@ def cue_tokens(cues: DataFrame) -> DataFrame:
     return t.select("ep", idx.cast("long").alias("idx"), "token", "cue_id")
 
 
-def aligner_tokens(cues: DataFrame) -> DataFrame:
-    """(ep, idx, token, cue_id): the normalized tokens of the cues' plain text in any script, empty ones left out."""
-    t = cues.select("ep", "pos", "cue_id", F.posexplode(signature(plain_text(F.coalesce("text", F.lit(""))))).alias("i", "token"))
+def aligner_tokens(cues: DataFrame, *more: str) -> DataFrame:
+    """(ep, idx, token, cue_id): the normalized tokens of the cues' plain text in any script, empty ones left out; ``more`` are columns of their cue."""
+    t = cues.select("ep", "pos", "cue_id", *more, F.posexplode(signature(plain_text(F.coalesce("text", F.lit(""))))).alias("i", "token"))
     idx = F.row_number().over(Window.partitionBy("ep").orderBy("pos", "i")) - 1
-    return t.select("ep", idx.cast("long").alias("idx"), "token", "cue_id")
+    return t.select("ep", idx.cast("long").alias("idx"), "token", "cue_id", *more)
 
 
 def matched_words(cues: DataFrame, words: DataFrame) -> DataFrame:
@@ -35,13 +35,11 @@ def matched_words(cues: DataFrame, words: DataFrame) -> DataFrame:
     Cues are split as ``aligner_tokens`` has it, words are normalized whole: a hyphenated word is one token
     on both sides. The cues' and words' times choose between repeated ones.
     """
-    tokens_ = aligner_tokens(cues)
-    times = cues.select("ep", "cue_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
-    left = tokens_.join(times, ["ep", "cue_id"]).select("ep", "idx", "token", "cue_id", "start", "end")
+    left = aligner_tokens(cues, "start_ms", "end_ms").select("ep", "idx", "token", "cue_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
     heard = words.select("ep", F.col("word_idx").alias("idx"), normalized(F.col("text")).alias("token"), (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"))
     ops = align.align_timed(left, heard).where("kind = 'match'")
-    pairs = ops.select("ep", F.col("left_idx").alias("idx"), F.col("right_idx").alias("word_idx")).join(tokens_.select("ep", "idx", "cue_id"), ["ep", "idx"])
-    return pairs.select("ep", "cue_id", "word_idx").join(words.select("ep", "word_idx", "start_us", "end_us"), ["ep", "word_idx"])
+    pairs = ops.select("ep", F.col("left_idx").alias("idx"), F.col("right_idx").alias("word_idx")).join(sequence.dealt(aligner_tokens(cues).select("ep", "idx", "cue_id")), ["ep", "idx"])
+    return pairs.select("ep", "cue_id", "word_idx").join(sequence.dealt(words.select("ep", "word_idx", "start_us", "end_us")), ["ep", "word_idx"])
 
 
 def retime(cues: DataFrame, matches: DataFrame, fps: float = 30.0, lead_ms: int = 0, tail_ms: int = 40, gap_us: int = 1_500_000, long_us: int = 2_000_000) -> DataFrame:

@@ -130,3 +130,35 @@ def test_short_pairs_side_by_side():
     for k, _, s, x, y in zip(*(c.tolist() for c in (who, place, step, i, j))):
         got[k].append(align._operation(*pairs[k], s, x, y))
     assert all(got[k] == align.edit_script(*p) for k, p in enumerate(pairs))
+
+
+def test_long_pairs_side_by_side():
+    import numpy as np
+
+    rng = random.Random(7)
+    few = ["", "a", "b", "word", "words", "colour", "colours", "sentence", "sentences", "ab", "tnetnoc", "content"]
+    many = few + [f"{rng.choice(few)}{k}" for k in range(60)]
+    pairs = [([], ["a"]), (["a"], []), ([], [])]
+    for names in (few, many) * 12:
+        left = [rng.choice(names) for _ in range(rng.randint(1, 260))]
+        right = [rng.choice(names) if rng.random() < 0.2 else t for t in left if rng.random() > 0.1]
+        at = rng.randint(0, len(right))
+        pairs.append((left, right[:at] + [rng.choice(names) for _ in range(rng.choice((0, 3, 150)))] + right[at:]))
+    alone = [f"only{k}" for k in range(300)]
+    pairs.append((alone, ["zz"] * 90 + alone))  # the narrowest band misses the unique pairs
+    sides = [align.Sides(*p) for p in pairs]
+    for s, (*steps, limited) in zip(sides, align.scripts(sides)):
+        assert ([align._operation(s.left, s.right, *x) for x in zip(*(x.tolist() for x in steps))], limited) == align.scripted(s.left, s.right)
+    timed = [s for s in sides if s.n and s.m]
+    for s in timed:
+        s.priors = np.sort(np.array([rng.random() * 90 for _ in range(s.n)])), np.full(s.n, 2.0 + rng.random() * 9), np.sort(np.array([rng.random() * 90 for _ in range(s.m)]))
+    for s, (*steps, limited) in zip(timed, align.scripts(timed)):
+        assert ([align._operation(s.left, s.right, *x) for x in zip(*(x.tolist() for x in steps))], limited) == align.scripted(s.left, s.right, s.priors)
+
+
+def test_words_of_cues_are_not_broadcast(spark, sf):
+    """Tokens that explode from a small table of cues are not gathered by the driver."""
+    from cuelake.plans.queries import QUERIES
+
+    plan = QUERIES["matched_whole"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
