@@ -158,3 +158,17 @@ def test_islands_and_parts(spark):
     d = spark.createDataFrame([(1, i) for i in range(8)], "ep long, pos long")
     parts = [r.part for r in sequence.even_parts(d, F.lit(3)).orderBy("pos").collect()]
     assert parts == [0, 0, 0, 1, 1, 1, 2, 2] and all(b - a in (0, 1) for a, b in combinations(parts, 2) if b - a < 2)
+
+
+def test_indel_of_common_ends():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b, x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(4))
+        s, t = x + a + y, x + b + y
+        row = [0] * (len(t) + 1)
+        for c in s:
+            now = [0]
+            for k, d in enumerate(t):
+                now.append(row[k] + 1 if c == d else max(now[k], row[k + 1]))
+            row = now
+        assert tx.indel(s, t) == (200.0 * row[-1] / (len(s) + len(t)) if s and t else 0.0)
