@@ -808,7 +808,7 @@ def _spoken(spark, sf):
     """Words as they would be heard: the cues' tokens in their order, every seventh missing, half a second late."""
     from . import flows
 
-    t = flows.cue_tokens(cues(spark, sf)).join(cues(spark, sf).select("ep", "cue_id", "start_ms", "end_ms", "speaker"), ["ep", "cue_id"])
+    t = flows.cue_tokens(cues(spark, sf)).join(sequence.dealt(cues(spark, sf).select("ep", "cue_id", "start_ms", "end_ms", "speaker")), ["ep", "cue_id"])
     n, i = F.count("*").over(sequence.Window.partitionBy("ep", "cue_id")), F.row_number().over(sequence.Window.partitionBy("ep", "cue_id").orderBy("idx")) - 1
     at = F.col("start_ms") * 1000 + 500_000 + F.floor((F.col("end_ms") - F.col("start_ms")) * 1000 * i / n)
     d = t.withColumn("start_us", at.cast("long")).where("idx % 7 <> 3")
