@@ -29,10 +29,10 @@ UNIT = 20 * 2**24
 GAP_UNITS, UNLIKE_UNITS, NEVER = round(GAP * UNIT), round(UNLIKE * UNIT), -(2**60)
 #: Cells whose steps are kept at once; larger parts are halved.
 HELD = 1 << 24
-#: Short episodes that are aligned side by side.
-TOGETHER = 512
-#: Longer ones that are: cells of one at most, cells of all and their number.
-ALONE, ABREAST, MANY = 1 << 21, 1 << 24, 64
+#: Short episodes that are aligned side by side, and rows that are looked at together.
+TOGETHER, AT_ONCE = 512, 2048
+#: Longer ones that are: cells of one at most, cells of all and their number; from how many these are chosen.
+ALONE, ABREAST, WIDE, MANY = 1 << 21, 1 << 24, 32, 256
 
 def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Tokens that stand once on either side; none at all unless their order agrees."""
@@ -342,7 +342,7 @@ def scripts(sides: list[Sides]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     before: list[int] = [0] * len(sides)
     for widest in MARGINS:
         margins = {k: min(widest, max(sides[k].n, sides[k].m)) for k in open_}
-        turn = sorted((k for k in open_ if margins[k] != before[k]), key=lambda k: -sides[k].n)
+        turn = sorted((k for k in open_ if margins[k] != before[k]), key=lambda k: sides[k].m / sides[k].n)  # bands of like slope lie over each other
         for part in _parts(turn, sides):
             for k, cells, got in zip(part, *_abreast([sides[k] for k in part], [margins[k] for k in part])):
                 if cells > room[k]:
@@ -365,15 +365,16 @@ def scripts(sides: list[Sides]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _parts(turn: list[int], sides: list[Sides]) -> Iterator[list[int]]:
-    part, widest = [], 0
+    """Up to ``WIDE`` of them at once, by falling length."""
+    part: list[int] = []
     for k in turn:
-        wide = max(widest, sides[k].m + 2)
-        if part and (sides[part[0]].n + 1) * wide * (len(part) + 1) > ABREAST:
-            yield part
-            part, wide = [], sides[k].m + 2
-        part, widest = [*part, k], wide
+        more = [*part, k]
+        if part and (len(more) > WIDE or (max(sides[x].n for x in more) + 1) * (max(sides[x].m for x in more) + 2) * len(more) > ABREAST):
+            yield sorted(part, key=lambda x: -sides[x].n)
+            more = [k]
+        part = more
     if part:
-        yield part
+        yield sorted(part, key=lambda x: -sides[x].n)
 
 
 def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]]:
@@ -385,17 +386,20 @@ def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tu
     never, lift, paired_ = -(2**50), 2**52, UNLIKE_UNITS - 2 * GAP_UNITS
     n, m = (np.array([getattr(s, x) for s in sides]) for x in "nm")
     rows, wide = int(n.max()) + 1, int(m.max()) + 2
-    band = np.zeros((rows, len(sides), wide), np.int8)
+    off = np.ones((rows, len(sides), wide), bool)
+    cells, split, first, last = [], np.zeros(rows, bool), np.full(rows, wide), np.zeros(rows, np.int64)
     for k, (s, margin) in enumerate(zip(sides, margins)):
+        own = np.zeros((s.n + 1, s.m + 2), np.int8)
         for r, c in s.spots():
-            band[r, k, np.maximum(c - margin, 0)] += 1
-            band[r, k, np.minimum(c + margin, s.m) + 1] -= 1
-    band = np.cumsum(band, axis=2, dtype=np.int8) > 0
-    cells, used = band.sum(axis=(0, 2)).tolist(), band.any(axis=1)
-    begins = band[:, :, 1:] & ~band[:, :, :-1]
-    split = (np.count_nonzero(begins, axis=2) + band[:, :, 0] > 1).any(axis=1)
-    first, last = used.argmax(axis=1).tolist(), (wide - used[:, ::-1].argmax(axis=1)).tolist()
-    off = ~band
+            own[r, np.maximum(c - margin, 0)] += 1
+            own[r, np.minimum(c + margin, s.m) + 1] -= 1
+        band = np.cumsum(own, axis=1, dtype=np.int8) > 0
+        off[: s.n + 1, k, : s.m + 2] = ~band
+        cells.append(int(np.count_nonzero(band)))
+        split[: s.n + 1] |= np.count_nonzero(band[:, 1:] > band[:, :-1], axis=1) + band[:, 0] > 1
+        np.minimum(first[: s.n + 1], band.argmax(axis=1), out=first[: s.n + 1])
+        np.maximum(last[: s.n + 1], s.m + 2 - band[:, ::-1].argmax(axis=1), out=last[: s.n + 1])
+    first, last = first.tolist(), last.tolist()
     alive = np.searchsorted(-n, -np.arange(rows + 1), side="right").tolist()
     like = [s.like() for s in sides]
     who = np.repeat(np.arange(len(sides)), [len(x[0]) for x in like])
@@ -404,8 +408,8 @@ def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tu
     who, column, more = who[order], column[order], more[order]
     bounds = np.searchsorted(row[order], np.arange(rows + 1)).tolist()
     above = np.full((len(sides), wide + 1), never, np.int64)  # column j stands at j + 1
-    above[:, 1:][np.logical_and.accumulate(band[0], axis=1)] = 0
-    steps = np.full(band.shape, INSERT, np.uint8)
+    above[:, 1:][np.logical_and.accumulate(~off[0], axis=1)] = 0
+    steps = np.full(off.shape, INSERT, np.uint8)
     reached = np.zeros(len(sides), bool)
     for r in range(1, rows):
         a, lo, hi = alive[r], first[r], last[r]
@@ -418,7 +422,7 @@ def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tu
         np.copyto(best, never, where=out)
         if split[r]:  # inserts don't lead from one range to the next
             of = np.zeros(best.shape, np.int64)
-            of[:, 1:] = np.cumsum(begins[r, :a, lo : hi - 1], axis=1)
+            of[:, 1:] = np.cumsum(out[:, :-1] & ~out[:, 1:], axis=1)
             best += of * lift
             np.maximum.accumulate(best, axis=1, out=best)
             best -= of * lift
@@ -429,7 +433,7 @@ def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tu
         np.copyto(kind[:, 1:], INSERT, where=best[:, 1:] == best[:, :-1])
         np.copyto(kind, DELETE, where=best == old)
         steps[r, :a, lo:hi] = kind
-        above[:a] = never
+        above[:a, first[r - 1] + 1 : last[r - 1] + 1] = never
         above[:a, lo + 1 : hi + 1] = best
         for k in range(alive[r + 1], a):
             reached[k] = above[k, m[k] + 1] > never // 2
@@ -438,12 +442,12 @@ def _abreast(sides: list[Sides], margins: list[int]) -> tuple[list[int], list[tu
     return cells, [(kind[x:y].astype(np.int64), i[x:y], j[x:y]) if ok else None for ok, x, y in zip(reached, ends, ends[1:])]
 
 
-def _walked(steps: np.ndarray, every: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(episode, step, left place, right place) on the way back from each one's end, in order; ``steps`` by row, episode, column."""
+def _walked(steps: np.ndarray, every: np.ndarray, n: np.ndarray, m: np.ndarray, diagonal: bool = False) -> tuple[np.ndarray, ...]:
+    """(episode, step, left place, right place) on the way back from each one's end, in order; ``steps`` by row, episode, column or by diagonal, row, episode."""
     i, j, back = n.copy(), m.copy(), []
     while len(every):
         every = every[(i[every] > 0) | (j[every] > 0)]
-        kind = steps[i[every], every, j[every]]
+        kind = steps[i[every] + j[every], i[every], every] if diagonal else steps[i[every], every, j[every]]
         i[every] -= kind != INSERT
         j[every] -= kind != DELETE
         back.append((every, kind, i[every], j[every]))
@@ -516,32 +520,132 @@ def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
 
 
 def align_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Edit scripts of (ep, idx, token) sequences.
+    """Edit scripts of (ep, idx, token) sequences, or of (ep, idx, tokens): pieces, each an array of tokens in order.
 
     Null tokens count as empty, which is like nothing. ``limited`` tells that the bands of the episode fell short.
+    Pieces save a row a token where a text's tokens lie together already.
     """
-
     schema = _script_schema(left)
 
     def run(batches):
-        few, some = [], []
-        for ep, a, b in _episodes(batches, ["idx", "token"]):
-            x, y = ([t or "" for t in side["token"]] for side in (a, b))
-            if short(x, y):
-                few.append((ep, x, y))
-            else:
-                some.append((ep, Sides(x, y)))
-            if len(few) == TOGETHER:
-                yield _scripts(few, schema)
-                few = []
-            if len(some) == MANY:
-                yield from _longer(some, scripts([s for _, s in some]), schema)
-                some = []
-        if few:
-            yield _scripts(few, schema)
-        yield from _longer(some, scripts([s for _, s in some]), schema)
+        for part, found in _coded(batches):
+            yield _operations(part, *found, schema)
+
+    return _pieces(left, right).mapInArrow(run, schema)
+
+
+def aligned_divergences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``divergences`` of ``align_tokens``, and beside them ``before_left``, ``before_right``, ``after_left``, ``after_right``: the places of the matches around.
+
+    An episode's operations lie together where they are made, so its runs are told there and its operations go nowhere.
+    """
+    schema = _run_schema(left)
 
-    return _sides(left, right, ["idx", "token"]).mapInArrow(run, schema)
+    def run(batches):
+        for part, found in _coded(batches):
+            yield _runs(part, *found, schema)
+
+    return _pieces(left, right).mapInArrow(run, schema)
+
+
+def _pieces(left: DataFrame, right: DataFrame) -> DataFrame:
+    tokens = lambda d: F.col("tokens") if "tokens" in d.columns else F.array("token").alias("tokens")
+    return _sides(*(d.select("ep", "idx", tokens(d)) for d in (left, right)), ["idx", "tokens"]).select("ep", "side", "tokens")
+
+
+class Coded:
+    """Whole episodes as numbers: episode k's tokens are ids[at[k] : at[k] + n[k]] to the left, the m[k] after them to the right."""
+
+    def __init__(self, ep: pa.Array, ids: np.ndarray, names: list[str], n: np.ndarray, m: np.ndarray):
+        self.ep, self.ids, self.names, self.n, self.m = ep, ids, names, n, m
+        self.at = np.cumsum(n + m) - n - m
+
+    @functools.cached_property
+    def letters(self) -> np.ndarray:
+        return np.array([len(t) for t in self.names], np.int64)
+
+    def part(self, which: np.ndarray) -> Coded:
+        sizes = (self.n + self.m)[which]
+        return Coded(self.ep.take(pa.array(which)), self.ids[_ranges(self.at[which], sizes)], self.names, self.n[which], self.m[which])
+
+    def sides(self, k: int) -> tuple[list[str], list[str]]:
+        got = [self.names[x] for x in self.ids[self.at[k] : self.at[k] + self.n[k] + self.m[k]].tolist()]
+        return got[: self.n[k]], got[self.n[k] :]
+
+    def short(self) -> np.ndarray:
+        """By episode, whether it is ``short``."""
+        size = self.letters[self.ids]
+        longest = np.zeros((2, len(self.n)), np.int64)
+        who = np.repeat(np.arange(len(self.n)), self.n + self.m)
+        np.maximum.at(longest, ((np.arange(len(self.ids)) - self.at[who] >= self.n[who]).astype(np.int64), who), size)
+        both = longest.sum(axis=0)
+        return (np.maximum(self.n, self.m) <= MARGINS[0]) & (both - 1 < LIKE * both)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _coded(batches) -> Iterator[tuple[Coded, tuple]]:
+    """(episodes, their scripts: number of the episode, place, step, left place, right place, limited) of rows in order, some at once."""
+    for batch in _whole(batches):
+        side, size = batch.column("side").to_numpy(), pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(batch.column("tokens").flatten().fill_null(""))
+        ends = np.array([*_changes(batch, ("ep",)), batch.num_rows])
+        of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        n, m = (np.bincount(of[side == k], size[side == k], len(ends)).astype(np.int64) for k in (0, 1))
+        every = Coded(batch.column("ep").take(pa.array(ends - 1)), coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), n, m)
+        few = every.short()
+        which = np.flatnonzero(few)
+        for k in range(0, len(which), TOGETHER):
+            part = every.part(which[k : k + TOGETHER])
+            found = short_scripts(part)
+            yield part, (*found, np.zeros(len(found[0]), bool))
+        which = np.flatnonzero(~few)
+        for k in range(0, len(which), MANY):
+            part = every.part(which[k : k + MANY])
+            yield from _in_turn(part, scripts([Sides(*part.sides(e)) for e in range(len(part.n))]))
+
+
+def _in_turn(part: Coded, found: list) -> Iterator[tuple[Coded, tuple]]:
+    """Scripts of some episodes as ``_coded`` has them, some ten thousand operations at once."""
+    at = 0
+    while at < len(found):
+        end, rows = at, 0
+        while end < len(found) and (end == at or rows + len(found[end][0]) <= 50_000):
+            rows += len(found[end][0])
+            end += 1
+        sizes = np.array([len(kind) for kind, *_ in found[at:end]])
+        who, (step, i, j) = np.repeat(np.arange(end - at), sizes), (np.concatenate([f[c] for f in found[at:end]]) for c in range(3))
+        yield part.part(np.arange(at, end)), (who, _ranges(np.zeros(end - at, np.int64), sizes), step, i, j, np.repeat([f[3] for f in found[at:end]], sizes))
+        at = end
+
+
+def _whole(batches) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in order, cut so that each episode lies in one."""
+    held: list[pa.RecordBatch] = []
+    for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+        if held and held[-1].column("ep")[-1].as_py() != batch.column("ep")[0].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        last = ([0, *_changes(batch, ("ep",))])[-1]
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _changes(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[int]:
+    """Rows, the first left out, at which one of the columns differs from the row before; a null is one of the values."""
+    other = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for x in map(batch.column, names):
+        if len(other):
+            null = x.is_null().to_numpy(zero_copy_only=False)
+            other |= pc.not_equal(x[1:], x[:-1]).fill_null(False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+    return (np.flatnonzero(other) + 1).tolist()
 
 
 def short(left: list[str], right: list[str]) -> bool:
@@ -550,72 +654,112 @@ def short(left: list[str], right: list[str]) -> bool:
     return max(len(left), len(right)) <= MARGINS[0] and longest - 1 < LIKE * longest
 
 
-def short_scripts(pairs: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, ...]:
+def short_scripts(episodes: Coded | list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, ...]:
     """(number of the pair, place, step, left place, right place) of the scripts of ``short`` pairs, as ``scripted`` has them.
 
-    All pairs go through the rows side by side; what lies beyond a pair's end changes nothing before it.
+    All pairs go through the diagonals side by side; what lies beyond a pair's end changes nothing before it.
+    Scores are counted from what gaps alone would have cost up to the cell, in the largest unit that holds all.
     """
-    number: dict[str, int] = {"": -1}
-    ids = [[[number.setdefault(t, len(number)) for t in side] for side in pair] for pair in pairs]
-    n, m = (np.array([len(pair[k]) for pair in ids]) for k in (0, 1))
-    a, b = np.full((len(ids), n.max(initial=0)), -1), np.full((len(ids), m.max(initial=0)), -1)
-    for k, (x, y) in enumerate(ids):
-        a[k, : len(x)], b[k, : len(y)] = x, y
-    gaps = np.arange(b.shape[1] + 1, dtype=np.int64) * GAP_UNITS
-    above = np.tile(gaps, (len(ids), 1))
-    steps = np.full((a.shape[1] + 1, *above.shape), INSERT, np.uint8)
-    for i in range(a.shape[1]):
-        down, pair = above + GAP_UNITS, np.full_like(above, NEVER)
-        same = (b == a[:, i : i + 1]) & (b >= 0)
-        pair[:, 1:] = above[:, :-1] + np.where(same, round(LIKE_SCORE * UNIT), UNLIKE_UNITS)
-        best = np.maximum(down, pair)
-        above = np.maximum.accumulate(best - gaps, axis=1) + gaps
-        insert = above > best
-        insert[:, 1:] |= above[:, :-1] + GAP_UNITS == above[:, 1:]
-        steps[i + 1] = np.where(above == down, DELETE, np.where(insert, INSERT, PAIR))
-    who, kind, i, j = _walked(steps, np.arange(len(ids)), n, m)
+    p = episodes if isinstance(episodes, Coded) else _listed_pairs(episodes)
+    n, m, ids = p.n, p.m, np.where(p.letters[p.ids] > 0, p.ids, -1).astype(np.int32) if len(p.ids) else p.ids.astype(np.int32)
+    a, b = np.full((n.max(initial=0), len(n)), -1, np.int32), np.full((m.max(initial=0), len(n)), -2, np.int32)  # what is no token is like nothing
+    every = np.arange(len(n))
+    for to, at, size in ((a, p.at, n), (b, p.at + n, m)):
+        to[_ranges(np.zeros(len(n), np.int64), size), np.repeat(every, size)] = ids[_ranges(at, size)]
+    b[b == -1] = -2
+    rows, columns = len(a), len(b)
+    same, unlike = (np.int16((round(x * UNIT) - 2 * GAP_UNITS) >> 24) for x in (LIKE_SCORE, UNLIKE))
+    back = b[::-1]  # column j - 1 stands at columns - j
+    older, old = np.zeros((rows + 1, len(n)), np.int16), np.zeros((rows + 1, len(n)), np.int16)
+    steps = np.full((rows + columns + 1, rows + 1, len(n)), INSERT, np.uint8)
+    for d in range(1, rows + columns + 1):
+        if d <= rows:
+            steps[d, d] = DELETE
+        lo, hi = max(1, d - columns), min(rows, d - 1)
+        new = np.zeros_like(old)
+        if lo <= hi:
+            like = a[lo - 1 : hi] == back[columns - d + lo : columns - d + hi + 1]
+            best = older[lo - 1 : hi] + np.where(like, same, unlike)
+            np.maximum(best, old[lo - 1 : hi], out=best)
+            np.maximum(best, old[lo : hi + 1], out=best)
+            kind = steps[d, lo : hi + 1]
+            np.copyto(kind, PAIR, where=best != old[lo : hi + 1])
+            np.copyto(kind, DELETE, where=best == old[lo - 1 : hi])
+            new[lo : hi + 1] = best
+        older, old = old, new
+    who, kind, i, j = _walked(steps, every, n, m, diagonal=True)
     return who, np.arange(len(who)) - np.searchsorted(who, who), kind, i, j
 
 
-def _scripts(few: list[tuple[object, list[str], list[str]]], schema: StructType) -> pa.RecordBatch:
-    """The operations of ``short`` episodes (ep, left, right)."""
-    who, place, step, i, j = short_scripts([(x, y) for _, x, y in few])
-    return _operations(few, who, place, step, i, j, np.zeros(len(who), bool), schema)
-
-
-def _longer(some: list[tuple[object, Sides]], found, schema: StructType) -> Iterator[pa.RecordBatch]:
-    """The operations of episodes (ep, sides) by what ``scripts`` found, some ten thousand rows at once."""
-    at = 0
-    while at < len(some):
-        end, rows = at, 0
-        while end < len(some) and (end == at or rows + len(found[end][0]) <= 50_000):
-            rows += len(found[end][0])
-            end += 1
-        sizes = [len(kind) for kind, *_ in found[at:end]]
-        who, place = np.repeat(np.arange(end - at), sizes), np.concatenate([np.arange(x) for x in sizes])
-        step, i, j = (np.concatenate([f[c] for f in found[at:end]]) for c in range(3))
-        yield _operations([(ep, s.left, s.right) for ep, s in some[at:end]], who, place, step, i, j, np.repeat([f[3] for f in found[at:end]], sizes), schema)
-        at = end
-
-
-def _operations(episodes: list[tuple[object, list[str], list[str]]], who, place, step, i, j, limited, schema: StructType) -> pa.RecordBatch:
-    """Steps of episodes (ep, left, right) as rows of ``schema``."""
-    kind, score = np.where(step == DELETE, 0, np.where(step == INSERT, 1, 2)), np.zeros(len(who))
-    pairs = np.flatnonzero(step == PAIR)
-    for k, e, a, b in zip(*(x.tolist() for x in (pairs, who[pairs], i[pairs], j[pairs]))):
-        s, t = episodes[e][1][a], episodes[e][2][b]
-        if s == t and s:
-            kind[k], score[k] = 3, 1.0
-        elif len(s) > 1 or len(t) > 1:
-            score[k] = ratio(s, t)
+def _listed_pairs(pairs: list[tuple[list[str], list[str]]]) -> Coded:
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(t, len(number)) for pair in pairs for side in pair for t in side], np.int64)
+    n, m = (np.array([len(pair[k]) for pair in pairs], np.int64) for k in (0, 1))
+    return Coded(pa.array(range(len(pairs))), ids, list(number), n, m)
+
+
+def _operations(part: Coded, who, place, step, i, j, limited, schema: StructType) -> pa.RecordBatch:
+    """Steps of episodes as rows of ``schema``."""
+    kind, score = _kinds(part, who, step, i, j), np.zeros(len(who))
+    score[kind == 3] = 1.0
+    s, t = part.at[who] + i, part.at[who] + part.n[who] + j
+    other = np.flatnonzero(kind == 2)
+    x, y = part.ids[s[other]], part.ids[t[other]]
+    some = (part.letters[x] > 1) | (part.letters[y] > 1)
+    other, x, y = other[some], x[some], y[some]
+    if len(other):
+        pairs, at = np.unique(x * len(part.names) + y, return_inverse=True)
+        score[other] = np.array([ratio(part.names[k // len(part.names)], part.names[k % len(part.names)]) for k in pairs.tolist()])[at]
     fields = to_arrow_schema(schema)
     columns = [
-        pa.array([e for e, *_ in episodes], fields.field(0).type).take(pa.array(who)), pa.array(place), pa.array(["delete", "insert", "replace", "match"]).take(pa.array(kind)),
+        part.ep.take(pa.array(who)), pa.array(place), pa.DictionaryArray.from_arrays(pa.array(kind.astype(np.int8)), pa.array(["delete", "insert", "replace", "match"])),
         pa.array(i, mask=step == INSERT), pa.array(j, mask=step == DELETE), pa.array(score), pa.array(limited),
     ]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
 
 
+def _kinds(part: Coded, who, step, i, j) -> np.ndarray:
+    """By step 0 delete, 1 insert, 2 replace, 3 match."""
+    kind = np.where(step == DELETE, 0, np.where(step == INSERT, 1, 2))
+    pairs = np.flatnonzero(step == PAIR)
+    w = who[pairs]
+    x, y = part.ids[part.at[w] + i[pairs]], part.ids[part.at[w] + part.n[w] + j[pairs]]
+    kind[pairs[(x == y) & (part.letters[x] > 0)]] = 3
+    return kind
+
+
+def _runs(part: Coded, who, place, step, i, j, limited, schema: StructType) -> pa.RecordBatch:
+    """The maximal runs of what is no match, by episode and in order."""
+    other, fresh, ends = _kinds(part, who, step, i, j) != 3, np.ones(len(who), bool), np.ones(len(who), bool)
+    fresh[1:] = ends[:-1] = who[1:] != who[:-1]
+    first, last = other & fresh, other & ends
+    first[1:] |= other[1:] & ~other[:-1]
+    last[:-1] |= other[:-1] & ~other[1:]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    w = who[first]
+    size = last - first + 1
+    # a step stands at the next place of either side, so a run holds what lies between its first step and the one after its last
+    end = {"left": i[last] + (step[last] != INSERT), "right": j[last] + (step[last] != DELETE)}
+    begin = {"left": i[first], "right": j[first]}
+    none = {c: end[c] == begin[c] for c in end}
+    ahead, behind = fresh[first], ends[last]
+    nth = np.arange(len(w)) - np.searchsorted(w, w) + 1
+    columns = {
+        "ep": part.ep.take(pa.array(w)), "first_op": pa.array(place[first]), "n_ops": pa.array(size),
+        **{f"{c}_{x}": pa.array(v, mask=none[c]) for c in end for x, v in (("from", begin[c]), ("to", end[c] - 1))},
+        "case_id": pc.binary_join_element_wise("case-", pa.array(nth).cast(pa.string()), ""),
+        **{f"before_{c}": pa.array(begin[c] - 1, mask=ahead) for c in end}, **{f"after_{c}": pa.array(end[c], mask=behind) for c in end},
+    }
+    fields = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in fields], schema=fields)
+
+
+def _run_schema(left: DataFrame) -> StructType:
+    longs = ["first_op", "n_ops", "left_from", "left_to", "right_from", "right_to"]
+    around = ["before_left", "before_right", "after_left", "after_right"]
+    return StructType([StructField("ep", left.schema["ep"].dataType), *(StructField(c, LongType()) for c in longs), StructField("case_id", StringType()), *(StructField(c, LongType()) for c in around)])
+
+
 def _script_schema(left: DataFrame) -> StructType:
     more = [("op_pos", LongType()), ("kind", StringType()), ("left_idx", LongType()), ("right_idx", LongType()), ("score", DoubleType()), ("limited", BooleanType())]
     return StructType([StructField("ep", left.schema["ep"].dataType), *(StructField(n, t) for n, t in more)])
@@ -668,7 +812,10 @@ def align_timed(tokens: DataFrame, words: DataFrame) -> DataFrame:
                 again.append(k)
         for k, (*steps, more) in zip(again, scripts([sides[k] for k in again])):
             found[k] = (*steps, found[k][3] or more)
-        return _longer([(ep, s) for (ep, *_), s in zip(some, sides)], found, schema)
+        part = _listed_pairs([(s.left, s.right) for s in sides])
+        part.ep = pa.array([ep for ep, *_ in some], to_arrow_schema(schema).field(0).type)
+        for these, steps in _in_turn(part, found):
+            yield _operations(these, *steps, schema)
 
     def run(batches):
         some = []

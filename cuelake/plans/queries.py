@@ -353,8 +353,7 @@ def align_outliers(spark, sf):
 
 
 def _turns(spark, sf, odd):
-    c = cues(spark, sf).where(F.col("pos") % 2 == odd)
-    return c.select("ep", "pos", F.posexplode(tx.tokens(F.col("text"))).alias("i", "token")).select("ep", (F.col("pos") * 100_000 + F.col("i")).alias("idx"), "token")
+    return cues(spark, sf).where(F.col("pos") % 2 == odd).select("ep", F.col("pos").alias("idx"), tx.tokens(F.col("text")).alias("tokens"))
 
 
 @query()
@@ -362,6 +361,9 @@ def align_tokens(spark, sf):
     return align.align_tokens(_turns(spark, sf, 0), _turns(spark, sf, 1))
 
 
+RUN = ("ep", "first_op", "n_ops", "left_from", "left_to", "right_from", "right_to", "case_id")
+
+
 @query()
 def divergence_spans(spark, sf):
     return align.divergences(align.align_tokens(_turns(spark, sf, 0), _turns(spark, sf, 1)))
@@ -382,21 +384,26 @@ o AS (SELECT w.ep, max(n) OVER (PARTITION BY w.ep) - n AS op_pos, CASE WHEN kind
 NAMED = {"left": "concat(p_name, ' ', lower(p_brand))", "right": "concat(lower(p_type), ' ', p_name)"}
 
 
+def _spelt(spark, sf, side):
+    """A part's letters in one piece."""
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("ep"), F.lit(0).cast("long").alias("idx"), F.split(F.expr(NAMED[side]), "").alias("tokens"))
+
+
 def _letters(spark, sf, side):
-    d = read(spark, sf, "part").select(F.col("p_partkey").alias("ep"), F.posexplode(F.split(F.expr(NAMED[side]), "")).alias("i", "token"))
+    d = _spelt(spark, sf, side).select("ep", F.posexplode("tokens").alias("i", "token"))
     return d.select("ep", F.col("i").cast("long").alias("idx"), "token")
 
 
 @query(SCRIPT + "SELECT ep, op_pos, kind, left_idx, right_idx, CASE WHEN kind = 'match' THEN 1.0 ELSE 0.0 END AS score, false AS limited FROM o")
 def align_names(spark, sf):
-    return align.align_tokens(_letters(spark, sf, "left"), _letters(spark, sf, "right"))
+    return align.align_tokens(_spelt(spark, sf, "left"), _spelt(spark, sf, "right"))
 
 
 @query(SCRIPT + """, m AS (SELECT *, sum((kind = 'match')::INT) OVER (PARTITION BY ep ORDER BY op_pos) AS after FROM o),
 d AS (SELECT ep, after, min(op_pos) AS first_op, count(*) AS n_ops, min(left_idx) AS left_from, max(left_idx) AS left_to, min(right_idx) AS right_from, max(right_idx) AS right_to FROM m WHERE kind <> 'match' GROUP BY ep, after)
 SELECT ep, first_op, n_ops, left_from, left_to, right_from, right_to, 'case-' || row_number() OVER (PARTITION BY ep ORDER BY first_op) AS case_id FROM d""")
 def name_divergences(spark, sf):
-    return align.divergences(align.align_tokens(_letters(spark, sf, "left"), _letters(spark, sf, "right")))
+    return align.divergences(align.align_tokens(_spelt(spark, sf, "left"), _spelt(spark, sf, "right")))
 
 
 PARTS = SCRIPT + """, d AS (SELECT o.*, s.a[left_idx + 1] AS lt, left_idx // 4 AS lc, s.b[right_idx + 1] AS rt, right_idx * 1000 AS rs, right_idx * 1000 + 700 AS re, (right_idx % 8) / 8 AS rc, CASE WHEN right_idx % 3 <> 2 THEN right_idx % 3 END AS rp FROM o JOIN seq s ON s.ep = o.ep)
@@ -414,7 +421,7 @@ h AS (SELECT *, n_words > 0 AND n_tokens = 0 AS ins FROM g)
 SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY first_op) AS nth, first_cue, n_cues, srt_text, asr_text, n_tokens, n_words, confidence, n_speakers, coalesce(a, p.e, n.s) AS start_us, coalesce(z, n.s, p.e) AS end_us, CASE WHEN ins THEN p.c END AS left_cue, CASE WHEN ins THEN n.c END AS right_cue, CASE WHEN ins AND p.c = n.c THEN n.i - n.c * 4 END AS insert_at, CASE WHEN ins THEN p.e END AS left_end_us, CASE WHEN ins THEN n.s END AS right_start_us, CASE WHEN ins THEN p.p END AS left_speaker, CASE WHEN ins THEN n.p END AS right_speaker FROM h""")
 def divergence_details(spark, sf):
     left = _letters(spark, sf, "left").withColumn("cue_id", F.floor(F.col("idx") / 4))
-    d = align.divergence_details(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "right")), left, _part_words(spark, sf))
+    d = align.divergence_details(align.align_tokens(_spelt(spark, sf, "left"), _spelt(spark, sf, "right")), left, _part_words(spark, sf))
     n = lambda c: F.size(c).cast("long")
     return d.select("ep", "nth", F.get("cue_ids", 0).alias("first_cue"), n("cue_ids").alias("n_cues"), "srt_text", "asr_text", n("token_idx").alias("n_tokens"), n("word_idx").alias("n_words"), "confidence", n("speaker_ids").alias("n_speakers"), "start_us", "end_us", "left_cue", "right_cue", "insert_at", "left_end_us", "right_start_us", "left_speaker", "right_speaker")
 
@@ -424,7 +431,7 @@ g AS (SELECT ep, run, min(op_pos) AS first_op, min(lc) AS first_cue, string_agg(
 SELECT ep, row_number() OVER (PARTITION BY ep ORDER BY first_op) AS nth, first_cue, srt_text, start_us, end_us, n, 1.0 AS score FROM g""")
 def anchor_regions(spark, sf):
     left = _letters(spark, sf, "left").withColumn("cue_id", F.floor(F.col("idx") / 4))
-    d = align.anchor_regions(align.align_tokens(left.select("ep", "idx", "token"), _letters(spark, sf, "right")), left, _part_words(spark, sf), 1)
+    d = align.anchor_regions(align.align_tokens(_spelt(spark, sf, "left"), _spelt(spark, sf, "right")), left, _part_words(spark, sf), 1)
     return d.select("ep", "nth", F.get("cue_ids", 0).alias("first_cue"), "srt_text", "start_us", "end_us", "n", "score")
 
 

@@ -162,3 +162,32 @@ def test_words_of_cues_are_not_broadcast(spark, sf):
 
     plan = QUERIES["matched_whole"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tokens_in_pieces(spark):
+    """Pieces, rows and batches cut anywhere give the same scripts, and runs are those of the operations."""
+    rng = random.Random(3)
+    rows = lambda: [(ep, i, [rng.choice([*WORDS, None]) for _ in range(rng.randint(0, 60))]) for ep in [None, *range(30)] for i in range(rng.randint(0, 3))]
+    left, right = (spark.createDataFrame(rows(), "ep long, idx long, tokens array<string>") for _ in range(2))
+    one = lambda d: d.select("ep", "idx", F.posexplode("tokens").alias("i", "token")).select("ep", (F.col("idx") * 1000 + F.col("i")).alias("idx"), "token")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = align.align_tokens(left, right).orderBy("ep", "op_pos").collect()
+        runs = align.aligned_divergences(left, right).orderBy("ep", "first_op").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ops = align.align_tokens(one(left), one(right))
+    assert got == ops.orderBy("ep", "op_pos").collect() and {x.ep for x in got} >= {None, 0, 1}
+    assert [tuple(x)[:8] for x in runs] == [tuple(x) for x in align.divergences(ops).orderBy("ep", "first_op").collect()]
+    at = {(x.ep, x.op_pos): x for x in got}
+    for x in runs:
+        around = at.get((x.ep, x.first_op - 1)), at.get((x.ep, x.first_op + x.n_ops))
+        assert (x.before_left, x.before_right, x.after_left, x.after_right) == tuple(v for y in around for v in ((y.left_idx, y.right_idx) if y else (None, None)))
+
+
+@pytest.mark.parametrize("name", ["align_tokens"])
+def test_tokens_are_dealt_out_in_pieces_and_once(spark, sf, name):
+    from cuelake.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Window" not in plan
