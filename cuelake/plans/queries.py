@@ -366,7 +366,7 @@ RUN = ("ep", "first_op", "n_ops", "left_from", "left_to", "right_from", "right_t
 
 @query()
 def divergence_spans(spark, sf):
-    return align.divergences(align.align_tokens(_turns(spark, sf, 0), _turns(spark, sf, 1)))
+    return align.aligned_divergences(_turns(spark, sf, 0), _turns(spark, sf, 1)).select(*RUN)
 
 
 # Short sequences over all cells: the letters of a part's name and brand against those of its type and name. Hundredths: a gap -75, unlike letters -60, the same 200.
