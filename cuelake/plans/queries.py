@@ -403,7 +403,7 @@ def align_names(spark, sf):
 d AS (SELECT ep, after, min(op_pos) AS first_op, count(*) AS n_ops, min(left_idx) AS left_from, max(left_idx) AS left_to, min(right_idx) AS right_from, max(right_idx) AS right_to FROM m WHERE kind <> 'match' GROUP BY ep, after)
 SELECT ep, first_op, n_ops, left_from, left_to, right_from, right_to, 'case-' || row_number() OVER (PARTITION BY ep ORDER BY first_op) AS case_id FROM d""")
 def name_divergences(spark, sf):
-    return align.divergences(align.align_tokens(_spelt(spark, sf, "left"), _spelt(spark, sf, "right")))
+    return align.aligned_divergences(_spelt(spark, sf, "left"), _spelt(spark, sf, "right")).select(*RUN)
 
 
 PARTS = SCRIPT + """, d AS (SELECT o.*, s.a[left_idx + 1] AS lt, left_idx // 4 AS lc, s.b[right_idx + 1] AS rt, right_idx * 1000 AS rs, right_idx * 1000 + 700 AS re, (right_idx % 8) / 8 AS rc, CASE WHEN right_idx % 3 <> 2 THEN right_idx % 3 END AS rp FROM o JOIN seq s ON s.ep = o.ep)

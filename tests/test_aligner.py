@@ -185,7 +185,7 @@ def test_tokens_in_pieces(spark):
         assert (x.before_left, x.before_right, x.after_left, x.after_right) == tuple(v for y in around for v in ((y.left_idx, y.right_idx) if y else (None, None)))
 
 
-@pytest.mark.parametrize("name", ["align_tokens", "divergence_spans"])
+@pytest.mark.parametrize("name", ["align_tokens", "divergence_spans", "name_divergences"])
 def test_tokens_are_dealt_out_in_pieces_and_once(spark, sf, name):
     from cuelake.plans.queries import QUERIES
 
