@@ -33,6 +33,8 @@ HELD = 1 << 24
 TOGETHER, AT_ONCE = 512, 2048
 #: Longer ones that are: cells of one at most, cells of all and their number; from how many these are chosen.
 ALONE, ABREAST, WIDE, MANY = 1 << 21, 1 << 24, 32, 256
+#: Tokens of such episodes that are held at once; a longer one is held alone.
+TOKENS = 1 << 18
 
 def unique_exact_pairs(left: list[str], right: list[str]) -> list[tuple[int, int]]:
     """Tokens that stand once on either side; none at all unless their order agrees."""
@@ -271,6 +273,44 @@ def ratio(a: str, b: str) -> float:
     return _ratio(a, b) if len(a) + len(b) <= 64 else indel(a, b) / 100
 
 
+def ratios(names: list[str], others: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``ratio`` of names[a] and others[b], 1 if they are the same: letters in common by bits, all pairs at once."""
+    size = [np.array([len(t) for t in x], np.int64) for x in (names, others)]
+    n, m = size[0][a], size[1][b]
+    out = np.empty(len(a))
+    small = (n <= 60) & (m <= 60)
+    for k in np.flatnonzero(~small).tolist():
+        s, t = names[a[k]], others[b[k]]
+        out[k] = 1.0 if s == t else ratio(s, t)
+    which = np.flatnonzero(small)
+    if len(which):
+        a, b, n, m = a[which], b[which], n[which], m[which]
+        x, y = _letters_of(names, size[0], int(n.max()), 0)[a], _letters_of(others, size[1], int(m.max()), 1)[b]
+        bit, full = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64), (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+        s = full.copy()
+        for k in range(y.shape[1]):
+            u = s & (x == y[:, k : k + 1]) @ bit
+            s = ((s + u) | (s - u)) & full
+        out[which] = 200.0 * (n - np.bitwise_count(s)) / (n + m) / 100
+    return out
+
+
+def _letters_of(names: list[str], size: np.ndarray, wide: int, none: int) -> np.ndarray:
+    """Names as rows of letters, the first ``wide`` of each; ``none`` and more where they end is no letter."""
+    out = np.full((len(names), wide), 0x110000 + none, np.uint32)
+    letters, short = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32), np.minimum(size, wide)
+    out[np.repeat(np.arange(len(names)), short), _ranges(np.zeros(len(names), np.int64), short)] = letters[_ranges(np.cumsum(size) - size, short)]
+    return out
+
+
+def _places(tokens: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where a name's places begin, how many they are, all places by name and order)."""
+    number = {t: k for k, t in enumerate(names)}
+    ids = np.array([number.get(t, len(names)) for t in tokens], np.int64)
+    n = np.bincount(ids, minlength=len(names) + 1)
+    return np.cumsum(n) - n, n, np.argsort(ids, kind="stable")
+
+
 class Sides:
     """Both sides of an episode, what of them is alike, and the priors of their times."""
 
@@ -291,30 +331,26 @@ class Sides:
         return i, j, more
 
     def _alike(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at: dict[str, list[int]] = {}
-        for j, t in enumerate(self.right):
-            if t:
-                at.setdefault(t, []).append(j)
-        names, others = [t for t in dict.fromkeys(self.left) if t], list(at)
-        bags = [Scores._bags(x) for x in (names, others)]
-        bits = [np.packbits(x > 0, axis=1).view(np.uint64)[:, 0] for x in bags]
+        names, others = (list(dict.fromkeys(t for t in x if t)) for x in (self.left, self.right))
+        (at, n, mine), (at_, m, theirs) = _places(self.left, names), _places(self.right, others)
         size = [np.array([len(t) for t in x], np.int64) for x in (names, others)]
+        bags = [Scores._bags(x).astype(np.uint8 if max(size[0].max(initial=0), size[1].max(initial=0)) < 256 else np.int64) for x in (names, others)]
+        bits = [np.packbits(x > 0, axis=1).view(np.uint64)[:, 0] for x in bags]
         apart = np.bitwise_count(bits[0][:, None] ^ bits[1][None, :])  # never more than the bags are, nor these than letters to add or remove
         most = (1 - LIKE) * (size[0][:, None] + size[1][None, :]) + 1e-9
         a, b = np.nonzero(apart <= most)
-        near = np.abs(bags[0][a] - bags[1][b]).sum(axis=1) <= most[a, b]
-        found: dict[str, tuple[list[int], list[int]]] = {}
-        for a, b in zip(a[near].tolist(), b[near].tolist()):
-            s, t = names[a], others[b]
-            r = 1.0 if s == t else ratio(s, t)
-            if r >= LIKE:
-                js, worth = found.setdefault(s, ([], []))
-                js += at[t]
-                worth += [round(LIKE_SCORE * r * UNIT) - UNLIKE_UNITS] * len(at[t])
-        held = {t: (np.array(js, np.int64), np.array(worth, np.int64)) for t, (js, worth) in found.items()}
-        none = (np.empty(0, np.int64),) * 2
-        rows = [held.get(t, none) for t in self.left]
-        return np.repeat(np.arange(self.n), [len(js) for js, _ in rows]), np.concatenate([js for js, _ in rows]), np.concatenate([w for _, w in rows])
+        x, y = bags[0][a], bags[1][b]
+        near = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= most[a, b]
+        a, b = a[near], b[near]
+        alike = ratios(names, others, a, b)
+        like = np.flatnonzero(alike >= LIKE)
+        a, b, worth = a[like], b[like], np.rint(LIKE_SCORE * alike[like] * UNIT).astype(np.int64) - UNLIKE_UNITS
+        # a like pair of words stands for all pairs of their places
+        sizes = n[a] * m[b]
+        pair, nth = np.repeat(np.arange(len(a)), sizes), _ranges(np.zeros(len(a), np.int64), sizes)
+        i, j = mine[at[a][pair] + nth // m[b][pair]], theirs[at_[b][pair] + nth % m[b][pair]]
+        order = np.argsort(i, kind="stable")
+        return i[order], j[order], worth[pair][order]
 
     def spots(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(rows, columns) of the bands' middles, a row once in each: those of ``bands``."""
@@ -603,11 +639,20 @@ def _coded(batches) -> Iterator[tuple[Coded, tuple]]:
             found = short_scripts(part)
             yield part, (*found, np.zeros(len(found[0]), bool))
         which = np.flatnonzero(~few)
-        for k in range(0, len(which), MANY):
-            part = every.part(which[k : k + MANY])
+        for some in _some(which, (every.n + every.m)[which]):
+            part = every.part(some)
             yield from _in_turn(part, scripts([Sides(*part.sides(e)) for e in range(len(part.n))]))
 
 
+def _some(which: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """``MANY`` of them at most, of ``TOKENS`` tokens at most."""
+    at = 0
+    while at < len(which):
+        end = min(at + MANY, at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + MANY]), TOKENS, side="right"))))
+        yield which[at:end]
+        at = end
+
+
 def _in_turn(part: Coded, found: list) -> Iterator[tuple[Coded, tuple]]:
     """Scripts of some episodes as ``_coded`` has them, some ten thousand operations at once."""
     at = 0
@@ -801,45 +846,85 @@ def align_timed(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
     schema = _script_schema(tokens)
 
-    def aligned(some: list[tuple[object, dict, dict]]):
-        sides = [Sides(*([t or "" for t in x["token"]] for x in (a, b))) for _, a, b in some]
-        found = scripts(sides)
-        again = []
-        for k, (s, (kind, i, j, _), (_, a, b)) in enumerate(zip(sides, found, some)):
-            paired_ = kind == PAIR
-            s.priors = time_priors_of(a, b, s.left, s.right, zip(i[paired_].tolist(), j[paired_].tolist()))
-            if s.priors is not None:
-                again.append(k)
-        for k, (*steps, more) in zip(again, scripts([sides[k] for k in again])):
-            found[k] = (*steps, found[k][3] or more)
-        part = _listed_pairs([(s.left, s.right) for s in sides])
-        part.ep = pa.array([ep for ep, *_ in some], to_arrow_schema(schema).field(0).type)
-        for these, steps in _in_turn(part, found):
-            yield _operations(these, *steps, schema)
+    def run(batches):
+        for part, found, _ in _timed(batches):
+            for these, steps in _in_turn(part, found):
+                yield _operations(these, *steps, schema)
+
+    return _timed_sides(tokens, words).mapInArrow(run, schema)
+
+
+def timed_matches(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(ep, cue_id, right_idx): the matches of ``align_timed`` by the cue of their token; tokens may come in pieces, each of one cue."""
+    schema = StructType([StructField("ep", tokens.schema["ep"].dataType), StructField("cue_id", LongType()), StructField("right_idx", LongType())])
 
     def run(batches):
-        some = []
-        for episode in _episodes(batches, times):
-            some.append(episode)
-            if len(some) == MANY:
-                yield from aligned(some)
-                some = []
-        yield from aligned(some)
+        for part, found, cue in _timed(batches):
+            who = np.repeat(np.arange(len(found)), [len(kind) for kind, *_ in found])
+            step, i, j = (np.concatenate([f[c] for f in found]) for c in range(3))
+            hit = np.flatnonzero(_kinds(part, who, step, i, j) == 3)
+            who, i, j = who[hit], i[hit], j[hit]
+            yield pa.RecordBatch.from_arrays([part.ep.take(pa.array(who)), cue.take(pa.array((np.cumsum(part.n) - part.n)[who] + i)), pa.array(j)], schema=to_arrow_schema(schema))
+
+    return _timed_sides(tokens, words).mapInArrow(run, schema)
+
 
-    times = ["idx", "token", "cue_id", "start", "end"]
-    return _sides(tokens.select("ep", *times), words.withColumn("cue_id", F.lit(None).cast("long")).select("ep", *times), times).mapInArrow(run, schema)
+TIMES = ["idx", "tokens", "cue_id", "start", "end"]
+
+
+def _timed_sides(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    pieces = lambda d: d if "tokens" in d.columns else d.withColumn("tokens", F.array("token"))
+    return _sides(*(pieces(d).select("ep", *TIMES) for d in (tokens, words.withColumn("cue_id", F.lit(None).cast("long")))), TIMES)
+
+
+def _timed(batches) -> Iterator[tuple[Coded, list, pa.Array]]:
+    """(episodes, their scripts as ``scripts`` has them, cues of their left tokens), some at once."""
+    some, held = [], 0
+    for batch in _whole(batches):
+        tokens = batch.column("tokens")
+        size = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
+        names, row = tokens.flatten().fill_null("").to_numpy(zero_copy_only=False).tolist(), np.repeat(np.arange(batch.num_rows), size)
+        side = np.repeat(batch.column("side").to_numpy(), size)
+        start, end = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)[row] for c in ("start", "end"))
+        cue, ep, ends = batch.column("cue_id").take(pa.array(row)), batch.column("ep"), np.array([*_changes(batch, ("ep",)), batch.num_rows])
+        at = 0
+        for first, last in zip([0, *np.cumsum(size)[ends - 1].tolist()], np.cumsum(size)[ends - 1].tolist()):
+            mid = first + int(np.count_nonzero(side[first:last] == 0))
+            a, b = ({"token": names[x:y], "start": start[x:y], "end": end[x:y], "cue_id": cue[x:y]} for x, y in ((first, mid), (mid, last)))
+            if some and (len(some) == MANY or held + last - first > TOKENS):
+                yield _timed_scripts(some)
+                some, held = [], 0
+            some.append((ep[int(ends[at]) - 1].as_py(), a, b))
+            held, at = held + last - first, at + 1
+    if some:
+        yield _timed_scripts(some)
+
+
+def _timed_scripts(some: list[tuple[object, dict, dict]]) -> tuple[Coded, list, pa.Array]:
+    sides = [Sides(a["token"], b["token"]) for _, a, b in some]
+    found, again = scripts(sides), []
+    for k, (s, (kind, i, j, _), (_, a, b)) in enumerate(zip(sides, found, some)):
+        paired_ = kind == PAIR
+        s.priors = time_priors_of(a, b, s.left, s.right, zip(i[paired_].tolist(), j[paired_].tolist()))
+        if s.priors is not None:
+            again.append(k)
+    for k, (*steps, more) in zip(again, scripts([sides[k] for k in again])):
+        found[k] = (*steps, found[k][3] or more)
+    part = _listed_pairs([(s.left, s.right) for s in sides])
+    part.ep = pa.array([ep for ep, *_ in some])
+    return part, found, pa.concat_arrays([a["cue_id"] for _, a, _ in some])
 
 
 def time_priors_of(a: dict, b: dict, left: list[str], right: list[str], pairs: Iterable[tuple[int, int]]) -> tuple | None:
     """(expected times, radii, word centres) of a second pass; None where it would not help or times are unusable.
 
-    Sides are lists by column, ``pairs`` the places that the first pass paired.
+    Sides are arrays by column, ``pairs`` the places that the first pass paired.
     """
     n, m = Counter(left), Counter(right)
     if not any(t and (n[t] > 1 or m[t] > 1) for t in n.keys() & m.keys()):
         return None
     (start, end), (w_start, w_end) = ((np.array(x["start"], float), np.array(x["end"], float)) for x in (a, b))
-    _, first, cue, size = np.unique(np.array([-1 if c is None else c for c in a["cue_id"]], np.int64), return_index=True, return_inverse=True, return_counts=True)
+    _, first, cue, size = np.unique(a["cue_id"].fill_null(-1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True, return_counts=True)
     heads = np.sort(first)
     for s, e in ((start[heads], end[heads]), (w_start, w_end)):
         if not len(s) or not np.isfinite(s).all() or not np.isfinite(e).all() or (s < 0).any() or (e < s).any() or (np.diff(s) < 0).any():

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, indel_series
+from ..sources.kept import kept
 from .apply_decisions import plain_text
 from .sequence import dealt
 
@@ -111,11 +112,13 @@ def name_drift_findings(source: DataFrame, output: DataFrame, least: float = 70.
     kind is name_spelling_inconsistency where the source writes it with a capital within a sentence, else
     unsourced_word_substitution. Episodes without source words give nothing, nor do null texts.
     """
-    known = spellings(occurrences(source))
-    said = occurrences(output).groupBy("ep", "key").agg(F.min_by("token", F.struct("pos", "cue_id", "i")).alias("new_text"), F.array_sort(F.collect_set("cue_id")).alias("cue_ids"))
-    new = said.where(F.length("key") >= 4).join(dealt(known.select("ep", "key")), ["ep", "key"], "left_anti")
-    often = known.where(F.col("n") >= count).withColumnRenamed("key", "known")
-    pairs = similar_pairs(new.select("ep", "key"), often, least)
+    keys = lambda d: occurrences(d).select("ep", "key").where(F.length("key") >= 4).distinct()
+    fresh = kept(keys(output).join(dealt(keys(source)), ["ep", "key"], "left_anti"), "new")
+    # what episodes without a new word say, and how they spell it, would meet nothing
+    some = lambda d: occurrences(d.join(dealt(fresh.select("ep").distinct()), "ep", "left_semi"))
+    new = some(output).join(dealt(fresh), ["ep", "key"], "left_semi").groupBy("ep", "key").agg(F.min_by("token", F.struct("pos", "cue_id", "i")).alias("new_text"), F.array_sort(F.collect_set("cue_id")).alias("cue_ids"))
+    often = spellings(some(source)).where(F.col("n") >= count).withColumnRenamed("key", "known")
+    pairs = similar_pairs(fresh, often, least)
     each = Window.partitionBy("ep", "key")
     ranked = pairs.withColumn("r", F.row_number().over(each.orderBy(F.desc("n"), F.desc("ratio"), "first"))).withColumn("all_n", F.sum("n").over(each))
     best = ranked.where((F.col("r") == 1) & (F.col("n") / F.col("all_n") >= share)).join(dealt(new), ["ep", "key"])

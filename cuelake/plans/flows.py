@@ -13,6 +13,7 @@ from ..operators import align, quality_control, recurrences, sequence
 from ..operators.apply_decisions import plain_text
 from ..operators.finalize import Finish, cues_of, finalize, findings_of, overlap_policy
 from ..operators.name_drift import name_drift_findings
+from ..sources.kept import kept
 
 
 def cue_tokens(cues: DataFrame) -> DataFrame:
@@ -35,11 +36,11 @@ def matched_words(cues: DataFrame, words: DataFrame) -> DataFrame:
     Cues are split as ``aligner_tokens`` has it, words are normalized whole: a hyphenated word is one token
     on both sides. The cues' and words' times choose between repeated ones.
     """
-    left = aligner_tokens(cues, "start_ms", "end_ms").select("ep", "idx", "token", "cue_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
+    said = signature(plain_text(F.coalesce("text", F.lit(""))))
+    left = cues.select("ep", F.col("pos").alias("idx"), said.alias("tokens"), "cue_id", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"))
     heard = words.select("ep", F.col("word_idx").alias("idx"), normalized(F.col("text")).alias("token"), (F.col("start_us") / 1e6).alias("start"), (F.col("end_us") / 1e6).alias("end"))
-    ops = align.align_timed(left, heard).where("kind = 'match'")
-    pairs = ops.select("ep", F.col("left_idx").alias("idx"), F.col("right_idx").alias("word_idx")).join(sequence.dealt(aligner_tokens(cues).select("ep", "idx", "cue_id")), ["ep", "idx"])
-    return pairs.select("ep", "cue_id", "word_idx").join(sequence.dealt(words.select("ep", "word_idx", "start_us", "end_us")), ["ep", "word_idx"])
+    pairs = align.timed_matches(left, heard).withColumnRenamed("right_idx", "word_idx")
+    return pairs.join(sequence.dealt(words.select("ep", "word_idx", "start_us", "end_us")), ["ep", "word_idx"])
 
 
 def retime(cues: DataFrame, matches: DataFrame, fps: float = 30.0, lead_ms: int = 0, tail_ms: int = 40, gap_us: int = 1_500_000, long_us: int = 2_000_000) -> DataFrame:
@@ -88,10 +89,10 @@ def finished(cues: DataFrame, source: DataFrame | None = None, p: Finish = Finis
     """(cues, findings) of a run's end: overlaps are told, then the final pass, then what the cues themselves show.
 
     With ``source`` also the words that it does not spell so. Findings are (ep, kind, severity, cue_ids,
-    message, start_ms, end_ms, old_text, new_text).
+    message, start_ms, end_ms, old_text, new_text). What comes of either pass is written once.
     """
-    told = overlap_policy(cues, p)
-    done = finalize(cues_of(told), p)
+    told = kept(overlap_policy(cues, p), "told")
+    done = kept(finalize(cues_of(told), p), "done")
     out = cues_of(done)
     none = F.lit(None).cast("string")
     row = lambda d: d.select("ep", "kind", "severity", "cue_ids", "message", "start_ms", "end_ms", "old_text", "new_text")

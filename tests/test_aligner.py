@@ -191,3 +191,31 @@ def test_tokens_are_dealt_out_in_pieces_and_once(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "Window" not in plan
+
+
+def test_matches_come_with_their_cue(spark):
+    """Pieces of cues give the matches of their tokens; each cue's wording is worked out once."""
+    from cuelake.plans.queries import QUERIES
+
+    rng = random.Random(11)
+    cues = [(ep, i, [rng.choice(WORDS) for _ in range(rng.randint(0, 30))], rng.choice([None, i]), 2.0 * i, 2.0 * i + 1.5) for ep in range(12) for i in range(rng.randint(0, 4))]
+    words = [(ep, i, rng.choice(WORDS), i / 9, i / 9 + 0.1) for ep in range(12) for i in range(rng.randint(0, 70))]
+    left = spark.createDataFrame(cues, "ep long, idx long, tokens array<string>, cue_id long, start double, end double")
+    right = spark.createDataFrame(words, "ep long, idx long, token string, start double, end double")
+    each = left.select("ep", "idx", "cue_id", "start", "end", F.posexplode("tokens").alias("i", "token"))
+    each = each.select("ep", (F.row_number().over(Window.partitionBy("ep").orderBy("idx", "i")) - 1).cast("long").alias("idx"), "token", "cue_id", "start", "end")
+    ops = align.align_timed(each, right).where("kind = 'match'")
+    want = ops.join(each.select("ep", F.col("idx").alias("left_idx"), "cue_id"), ["ep", "left_idx"]).select("ep", "cue_id", "right_idx")
+    got = align.timed_matches(left, right)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() > 50
+    plan = QUERIES["matched_whole"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython ") == 2
+
+
+def test_likeness_by_bits():
+    import numpy as np
+
+    rng = random.Random(13)
+    names, others = (["".join(rng.choice("abcä😀") for _ in range(rng.choice((1, 3, 9, 60, 61, 90)))) for _ in range(60)] for _ in range(2))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    assert align.ratios(names, others, a, b).tolist() == [indel(names[x], others[y]) / 100 for x, y in zip(a.tolist(), b.tolist())]
