@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import find_bounds, flow, indel_series, repetitive, signature, signature_of, split_for_cues, split_tokens, token_spans
+from ..functions.text import ROWS, find_bounds, flow, in_turn, indel_series, repetitive, signature, signature_of, split_for_cues, split_tokens, token_spans
 from ..sources.kept import kept
 from .intervals import overlap_join
 from .recurrences import per_episode
@@ -68,7 +68,7 @@ def anchored_cue(cases: DataFrame, cues: DataFrame, gap: float = 0.2, further: f
     left = ids.select("ep", F.col("cue_id").alias("left_cue"), F.col("plain").alias("left_plain"))
     right = ids.select("ep", F.col("cue_id").alias("right_cue"), F.lit(True).alias("right_there"))
     d = _generated(cases).join(left, ["ep", "left_cue"], "left").join(right, ["ep", "right_cue"], "left")
-    n = F.size(signature(F.col("final_text")))
+    n = F.size(signature(F.col("final_text"), once=True))
     fits = lambda who: (F.size("speaker_ids") == 0) | who.isNull() | F.array_contains("speaker_ids", who)
     sure = lambda who: who.isNotNull() & (F.size(F.array_distinct("speaker_ids")) == 1) & (F.get("speaker_ids", 0) == who)
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -211,11 +211,12 @@ def spliced(plain: str, srt_text: str, final: str) -> str:
     return restore_ending_of(" ".join(x.strip() for x in [*kept_before, new, *kept_behind] if x.strip()), plain)
 
 
-def in_parts(batches, rows: int = 256):
+def in_parts(batches, rows: int = ROWS):
     """Arrow batches in parts, so that few rows are Python objects at once: texts of a whole batch would add up."""
-    for batch in batches:
+    for batch in in_turn(batches):
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
 
 
 ACTION = "ep long, nth long, act string, cue_id long, first long, last long, text string, kind string, cue_ids array<long>, old_text string, new_text string"

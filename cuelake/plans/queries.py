@@ -1077,8 +1077,8 @@ def refine_boundaries(spark, sf):
 
 def _cases(spark, sf):
     """Cases over the cues: replaced, shortened and emptied spans, and generated text between and within cues."""
-    off = F.coalesce(F.sum(F.size(tx.signature(tx_plain()))).over(sequence.by("pos").rowsBetween(sequence.Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    c = cues(spark, sf).withColumn("offset", off).withColumn("sig", tx.signature(tx_plain())).where("cue_id % 2 = 0 and size(sig) > 1")
+    off = F.coalesce(F.sum(F.size("sig")).over(sequence.by("pos").rowsBetween(sequence.Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    c = cues(spark, sf).withColumn("sig", tx.signature(tx_plain())).withColumn("offset", off).where("cue_id % 2 = 0 and size(sig) > 1")
     kind = (F.col("pos") + F.col("ep")) % 5
     own = F.when(kind < 4, F.array("cue_id")).otherwise(F.array().cast("array<long>"))
     idx = F.when(kind < 3, F.transform(F.sequence(F.lit(1), F.when(kind == 1, F.lit(1)).otherwise(F.size("sig") - 1)), lambda i: F.col("offset") + i)).otherwise(F.array().cast("array<long>"))

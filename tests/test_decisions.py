@@ -254,3 +254,27 @@ def test_batches_go_in_parts():
     batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (600, 0, 3)]
     parts = list(ad.in_parts(iter(batches)))
     assert [p.num_rows for p in parts] == [256, 256, 88, 3] and [x for p in parts for x in p.column("x").to_pylist()] == [*range(600), *range(3)]
+
+
+def test_python_steps_are_worked_out_once(spark, sf):
+    """A filter on what Python told does not have it told again: each further step in a row holds a worker of its own."""
+    from cuelake.plans import queries
+    from cuelake.sources.adapters import cues
+
+    c, cases = cues(spark, sf), queries._cases(spark, sf)
+    steps = lambda d: d._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    given = spark.createDataFrame([], cases.schema)
+    assert steps(cases) == 1
+    assert steps(ad.anchored_cue(given, c)) == 1
+    assert steps(ad.reconciled_cues(given, c, 10_000_000)) == 3  # signatures of either side, likeness
+
+
+def test_parts_of_batches_hold_every_row():
+    import pyarrow as pa
+
+    texts = [None, "", "Yes, yes", *(f"word {k}" for k in range(2 * tx.ROWS))]
+    kind = pa.list_(pa.string())
+    got = tx.by_parts(tx.signature_of, kind, pa.array(texts))
+    assert got.to_pylist() == [tx.signature_of(x) for x in texts] and tx.by_parts(tx.signature_of, kind, pa.array([], pa.string())).to_pylist() == []
+    batches = pa.table({"x": texts}).to_batches(300)
+    assert [x for part in ad.in_parts(iter(batches)) for x in part.column(0).to_pylist()] == texts
