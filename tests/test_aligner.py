@@ -121,6 +121,16 @@ def test_exploded_sides_are_not_broadcast(spark, tmp_path):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
 
 
+def test_described_runs_are_dealt_out_as_run(spark, sf):
+    """Nor does what a run finds small, once it is shuffled, go to the driver."""
+    from cuelake.plans.queries import QUERIES
+
+    d = QUERIES["divergence_details"](spark, sf)
+    assert d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan.split("== Initial Plan ==")[0]
+
+
 def test_short_pairs_side_by_side():
     rng = random.Random(5)
     pairs = [tuple([rng.choice(letters) for _ in range(rng.randint(0, 40))] for _ in range(2)) for letters in ["abc", ["", "a", "b"], "abcdefgh", ["ab", "b", "abc"]] * 50]
