@@ -64,8 +64,9 @@ def cue_words(cues: DataFrame, words: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Tokens that both sides of an episode have and one side repeats."""
-    n = lambda d, c: d.groupBy("ep", "token").agg(F.count("*").alias(c))
+    """Tokens that both sides of an episode have and one side repeats. Sides are (ep, token), or (ep, tokens): pieces, each an array of tokens."""
+    token = lambda d: F.explode("tokens").alias("token") if "tokens" in d.columns else F.col("token")
+    n = lambda d, c: d.select("ep", token(d)).groupBy("ep", "token").agg(F.count("*").alias(c))
     return n(left, "n_left").join(n(right, "n_right"), ["ep", "token"]).where("n_left > 1 or n_right > 1")
 
 

@@ -278,3 +278,15 @@ def test_parts_of_batches_hold_every_row():
     assert got.to_pylist() == [tx.signature_of(x) for x in texts] and tx.by_parts(tx.signature_of, kind, pa.array([], pa.string())).to_pylist() == []
     batches = pa.table({"x": texts}).to_batches(300)
     assert [x for part in ad.in_parts(iter(batches)) for x in part.column(0).to_pylist()] == texts
+
+
+def test_repeated_tokens_in_rows_and_pieces(spark):
+    """A token counts over all pieces of its side; one that the other side lacks, or that neither repeats, is left out."""
+    left = [(1, 0, ["a", "b", "c"]), (1, 2, ["a", "d", "d"]), (1, 4, []), (1, 6, None), (2, 0, ["a", "a"])]
+    right = [(1, 1, ["a", "b"]), (1, 3, ["c", "c"]), (2, 1, ["b"])]
+    sides = [spark.createDataFrame(s, "ep long, idx long, tokens array<string>") for s in (left, right)]
+    rows = [s.select("ep", "idx", F.explode("tokens").alias("token")) for s in sides]
+    for l, r in (sides, rows, (sides[0], rows[1])):
+        got = decisions.repeated_tokens(l, r)
+        assert got.columns == ["ep", "token", "n_left", "n_right"]
+        assert sorted(map(tuple, got.collect())) == [(1, "a", 2, 1), (1, "c", 1, 2)]
